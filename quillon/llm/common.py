@@ -62,3 +62,29 @@ def fold(doc_id: Column, k: int = 5) -> Column:
 
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
+
+
+def texts(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text and the named columns alone; small Arrow batches, so that a batch of very long texts fits a Python worker."""
+    spark = docs.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 512:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    return docs.select("doc_id", "text", *more)
+
+
+def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
+    """mapInArrow over lists: make() once a task gives a function from a batch's columns (lists) to the output's columns (lists)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        import pyarrow as pa
+
+        each = make()
+        for batch in batches:
+            columns = each(*[c.to_pylist() for c in batch.columns])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return df.mapInArrow(run, schema)

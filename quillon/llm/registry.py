@@ -1,7 +1,7 @@
 """The queries and SQL of this package."""
 
-from . import sharding, url_filter
+from . import quality, secrets, sharding, url_filter
 
-MODULES = [sharding, url_filter]
+MODULES = [quality, secrets, sharding, url_filter]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
