@@ -43,6 +43,14 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def arrow_schema(ddl: str):
+    """The Arrow schema of a DDL string; needs the driver's session."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(_parse_datatype_string(ddl))
+
+
 def local_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """A table of driver parameters whose exact size Catalyst knows."""
     import pyarrow as pa
@@ -74,10 +82,7 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
     """mapInArrow over lists: make() once a task gives a function from a batch's columns (lists) to the output's columns (lists)."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow = arrow_schema(schema)
 
     def run(batches):
         import pyarrow as pa
