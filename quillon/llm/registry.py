@@ -1,7 +1,7 @@
 """The queries and SQL of this package."""
 
-from . import quality, secrets, sharding, token_output, url_filter
+from . import quality, secrets, sharding, token_output, toxicity, url_filter
 
-MODULES = [quality, secrets, sharding, token_output, url_filter]
+MODULES = [quality, secrets, sharding, token_output, toxicity, url_filter]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
