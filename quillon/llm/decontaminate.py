@@ -2,9 +2,9 @@
 
 Test items are cut into entries of at most ENTRY words and put into a BM25 inverted index, weights divided by the score of an entry with
 itself. Every passage of every document (windows of 2 * ENTRY words, each ENTRY apart, so an entry lies whole in some passage) is a query. Block-max
-WAND finds all entries at THRESHOLD or more: a passage is skipped when the largest weights of its terms cannot reach the threshold; else
-blocks of entries whose summed maxima reach it are scored exactly. A retrieved item is then verified around the passage: SHINGLE-word
-shingles of its question and words of its answer (its last sentence, when it has several) must overlap by half or more.
+WAND finds all entries at THRESHOLD or more: the most frequent terms, which give no entry more than COMMON, open no passage; the other
+terms' largest weight in each block of entries, summed over a passage, bounds its scores there; blocks that may reach the threshold
+are scored exactly. Both steps run on whole batches. A retrieved item is then verified around the passage: SHINGLE-word shingles of its question and words of its answer (its last sentence, when it has several) must overlap by half or more.
 
 The index is built from at most INDEX_WORDS words of items at a time; a larger benchmark is split by hash into that many more passes.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, table, texts
 
-ENTRY, BLOCK, THRESHOLD, SHINGLE, OVERLAP, INDEX_WORDS = 48, 16, 0.5, 3, 0.5, 500_000
+ENTRY, BLOCK, THRESHOLD, COMMON, SHINGLE, OVERLAP, INDEX_WORDS, CHUNKS = 48, 8, 0.5, 0.2, 3, 0.5, 500_000, 4_096
 K1, B = 1.2, 0.75
 WORD = re.compile(r"\w+")
 
@@ -63,59 +63,104 @@ class Index:
                 lists.setdefault(t, []).append((e, x / own))
         self.number = {t: i for i, t in enumerate(lists)}
         self.posts = [(np.array([e for e, _ in p]), np.array([x for _, x in p])) for p in lists.values()]
-        self.most = np.array([x.max() for _, x in self.posts] + [0.0])
-        self.blocks = []
+        # the most frequent terms add COMMON at most to any entry's score: that is allowed for, and only the others open a passage
+        common = np.zeros(len(self.entries))
+        essential = np.ones(len(self.posts) + 1, bool)
+        essential[-1] = False
+        for t in np.argsort([-len(ids) for ids, _ in self.posts], kind="stable"):
+            ids, x = self.posts[t]
+            if (common[ids] + x).max() > COMMON:
+                break
+            common[ids] += x
+            essential[t] = False
+        self.essential, self.n_blocks = essential, -(-len(self.entries) // BLOCK)
+        self.need = np.full(self.n_blocks, THRESHOLD - 1e-9)
+        if len(self.entries):
+            allowed = np.zeros(self.n_blocks)
+            np.maximum.at(allowed, np.arange(len(self.entries)) // BLOCK, common)
+            self.need -= allowed
+        blocks, most = [], []
         for ids, x in self.posts:
             b = np.unique(ids // BLOCK)
             m = np.zeros(len(b))
             np.maximum.at(m, np.searchsorted(b, ids // BLOCK), x)
-            self.blocks.append((b, m))
+            blocks.append(b)
+            most.append(m)
+        self.at = np.cumsum([0, *map(len, blocks)])
+        self.block = np.concatenate([*blocks, np.zeros(0, np.int64)]).astype(np.int64)
+        self.most = np.concatenate([*most, np.zeros(0)])
+
+    def passages(self, found, chunk, last) -> list[tuple[int, int]]:
+        """(first chunk of a passage, block) where the block's maxima may reach the threshold. found: term of each word; chunk: its number;
+        last: whether a chunk ends its text. A passage is a chunk and the next of the same text."""
+        import numpy as np
 
-    def search(self, terms: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
-        """All entries whose score with the query terms (distinct) is at the threshold or above."""
+        out = []
+        for c0 in range(0, len(last), CHUNKS):
+            c1 = min(c0 + CHUNKS + 1, len(last))  # one more, for the last passage
+            i, j = np.searchsorted(chunk, [c0, c1])
+            keep = self.essential[found[i:j]]
+            pair = np.unique((chunk[i:j][keep] - c0) * (len(self.posts) + 1) + found[i:j][keep])  # a term counts once a chunk
+            c, t = np.divmod(pair, len(self.posts) + 1)
+            n = self.at[t + 1] - self.at[t]
+            take = np.arange(n.sum()) + np.repeat(self.at[t] - (np.cumsum(n) - n), n)
+            s = np.bincount(np.repeat(c, n) * self.n_blocks + self.block[take], self.most[take], (c1 - c0) * self.n_blocks).reshape(-1, self.n_blocks)
+            s[:-1] += np.where(last[c0 : c1 - 1, None], 0, s[1:])
+            first, block = np.nonzero(s[: CHUNKS if c1 < len(last) else None] >= self.need)
+            out += zip((first + c0).tolist(), block.tolist())
+        return out
+
+    def search(self, terms: list[int], blocks: set[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
+        """The entries of the blocks whose exact score with the query terms (distinct) is at the threshold or above."""
         import numpy as np
 
-        eps = 1e-9
-        b = np.concatenate([self.blocks[t][0] for t in terms])
-        bound = np.bincount(b, np.concatenate([self.blocks[t][1] for t in terms]))
-        alive = bound >= threshold - eps
-        if not alive.any():
-            return []
         ids = np.concatenate([self.posts[t][0] for t in terms])
         x = np.concatenate([self.posts[t][1] for t in terms])
-        keep = alive[ids // BLOCK]
-        score = np.bincount(ids[keep], x[keep])
-        return [(int(e), float(score[e])) for e in np.flatnonzero(score >= threshold - eps)]
-
-    def leaks(self, text: str | None) -> list[tuple]:
-        """(item_id, bm25, question_overlap, answer_overlap) of every verified item in a whole text, best passage each."""
+        score = np.bincount(ids, x)
+        return [(int(e), float(score[e])) for e in np.flatnonzero(score >= threshold - 1e-9) if e // BLOCK in blocks]
+
+    def verify(self, near: list[str], n: int) -> tuple[float, float]:
+        """Shares of item n's question shingles and of its answer's words that the words near a passage hold."""
+        _, question, answer = self.items[n]
+        size = min(SHINGLE, len(question))
+        q, have = shingles(question), {tuple(near[k : k + size]) for k in range(len(near) - size + 1)}
+        a, there = Counter(answer), Counter(near)
+        return len(q & have) / len(q) if q else 1.0, sum((a & there).values()) / len(answer) if answer else 1.0
+
+    def leaks(self, all_texts: list) -> list[list[tuple]]:
+        """Per whole text: (item_id, bm25, question_overlap, answer_overlap) of every verified item, its best passage each."""
         import numpy as np
 
-        words = words_of(text)
-        if not words or not self.entries:
-            return []
         get, none = self.number.get, len(self.number)
-        found = np.array([get(w, none) for w in words])
-        # the sum of the largest weights over a window bounds every score of its passage
-        run = np.concatenate([[0.0], np.cumsum(self.most[found])])
-        starts = np.arange(0, max(1, len(words) - ENTRY), ENTRY)
-        stops = np.minimum(starts + 2 * ENTRY, len(words))
-        best: dict[int, tuple] = {}
-        for s in np.flatnonzero(run[stops] - run[starts] >= THRESHOLD - 1e-9):
-            i, j = int(starts[s]), int(stops[s])
-            terms = [t for t in set(found[i:j].tolist()) if t != none]
-            for e, score in self.search(terms):
+        words = [words_of(t) for t in all_texts]
+        sizes = np.array([len(w) for w in words], np.int64)
+        best: list[dict[int, tuple]] = [{} for _ in words]
+        if not self.entries or not sizes.sum():
+            return [[] for _ in words]
+        found = np.fromiter((get(w, none) for ws in words for w in ws), np.int64, int(sizes.sum()))
+        chunks = -(-sizes // ENTRY)
+        first_chunk, first_word = np.cumsum(chunks) - chunks, np.cumsum(sizes) - sizes
+        inside = np.arange(len(found)) - np.repeat(first_word, sizes)
+        chunk = inside // ENTRY + np.repeat(first_chunk, sizes)
+        last = np.zeros(int(chunks.sum()), bool)
+        last[(first_chunk + chunks - 1)[chunks > 0]] = True
+        by: dict[int, set[int]] = {}
+        for c, b in self.passages(found, chunk, last):
+            by.setdefault(c, set()).add(b)
+        for c, blocks in by.items():
+            d = int(np.searchsorted(first_chunk, c, "right")) - 1
+            while not chunks[d]:  # a text without words begins at the same chunk
+                d -= 1
+            i = (c - int(first_chunk[d])) * ENTRY
+            j = min(i + 2 * ENTRY, int(sizes[d]))
+            terms = [t for t in set(found[first_word[d] + i : first_word[d] + j].tolist()) if t != none]
+            for e, score in self.search(terms, blocks):
                 n = self.entries[e][0]
-                item, question, answer = self.items[n]
-                reach = len(question) + len(answer)
-                near = words[max(0, i - reach) : j + reach]
-                q, have = shingles(question), shingles(near) if len(question) >= SHINGLE else {tuple(near[k : k + len(question)]) for k in range(len(near))}
-                q_share = len(q & have) / len(q) if q else 1.0
-                a, there = Counter(answer), Counter(near)
-                a_share = sum((a & there).values()) / len(answer) if answer else 1.0
-                if q_share >= OVERLAP and a_share >= OVERLAP and (n not in best or best[n][1:] < (score, q_share, a_share)):
-                    best[n] = (item, score, q_share, a_share)
-        return [best[n] for n in sorted(best)]
+                reach = len(self.items[n][1]) + len(self.items[n][2])
+                q, a = self.verify(words[d][max(0, i - reach) : j + reach], n)
+                if q >= OVERLAP and a >= OVERLAP and (n not in best[d] or best[d][n][1:] < (score, q, a)):
+                    best[d][n] = (self.items[n][0], score, q, a)
+        return [[b[n] for n in sorted(b)] for b in best]
 
 
 def indexes(benchmark: DataFrame) -> list[Index]:
@@ -135,7 +180,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def one(index: Index) -> DataFrame:
         def make():
             def each(ids, text):
-                rows = [(d, *leak) for d, t in zip(ids, text) for leak in index.leaks(t)]
+                rows = [(d, *leak) for d, found in zip(ids, index.leaks(text)) for leak in found]
                 return list(zip(*rows)) if rows else [[]] * 5
 
             return each
@@ -161,7 +206,7 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
             for b in batches:
                 text = b.column(b.schema.get_field_index("text")).to_pylist()
-                yield b.filter(pa.array([not index.leaks(t) for t in text], pa.bool_()))
+                yield b.filter(pa.array([not found for found in index.leaks(text)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
