@@ -6,7 +6,7 @@ order. Each task encodes its documents and appends their ids to segments of abou
 the segments' sizes: a running sum over the parts, then one within each part. Reading decodes segments independently.
 
 The encoder works word by word: ids of a word never depend on its neighbours beyond a space, so distinct words are encoded once a task
-(in batches by the tokenizers library) and looked up afterwards; the memory of words is emptied beyond CACHE entries.
+(many at once by the tokenizers library) and looked up afterwards; the memory of words is emptied beyond CACHE entries.
 
 Defined results: a null text is an empty one and has the end id alone; a null doc_id comes first; repeated rows are written as often as
 they come; an empty table gives no segments and an empty result; other columns are ignored.
@@ -14,13 +14,16 @@ they come; an empty table gives no segments and an empty result; other columns a
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import pfor
 from .common import arrow_schema, scratch_path, table, texts
 
-SEGMENT, CACHE, END_ID = 1 << 20, 400_000, 1
+SEGMENT, CACHE, END_ID = 1 << 20, 800_000, 1
+MARKS = re.compile(r"(?<=[a-z])[.,!?;:](?=[ \n])")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -30,7 +33,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordEncoder:
-    """Whole-text ids of a tokenizer that drops white space, through a memory of words."""
+    """Whole-text ids of a tokenizer that drops white space, through a memory of words.
+
+    New words are encoded many at a time, a special token between them; a word that holds such a token's string is encoded alone.
+    """
+
+    MARK = "<|endoftext|>"
 
     def __init__(self, path: str):
         import os
@@ -41,23 +49,58 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.mark = self.tokenizer.token_to_id(self.MARK)
         self.known: dict[str, bytes] = {"": b""}
 
+    @classmethod
+    def of_process(cls, path: str):
+        """One encoder a worker process: the memory of words outlives a task."""
+        import sys
+        import types
+
+        kept = sys.modules.setdefault("quillon_worker_state", types.ModuleType("quillon_worker_state")).__dict__
+        return kept.setdefault(("words", path), cls(path)) if ("words", path) not in kept else kept["words", path]
+
+    def ids(self, text: str):
+        """Ids of one string, as the library gives them."""
+        import numpy as np
+
+        some = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return np.array(some([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn(self, words: list[str]) -> None:
+        import numpy as np
+
+        alone = [w for w in words if "<|" in w or self.mark is None]
+        for w in alone:
+            self.known[w] = self.ids(w).tobytes()
+        plain = [w for w in words if "<|" not in w] if self.mark is not None else []
+        for i in range(0, len(plain), 1024):
+            part = plain[i : i + 1024]
+            ids = self.ids(f" {self.MARK} ".join(part))
+            raw, cut = ids.tobytes(), (np.flatnonzero(ids == self.mark) * 4).tolist()
+            if len(cut) != len(part) - 1:
+                raise ValueError("a word without the mark gave the mark's id")
+            self.known.update((w, raw[a:b]) for w, a, b in zip(part, [0, *(c + 4 for c in cut)], [*cut, len(raw)]))
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        """Strings whose ids, one after the other, are those of the text. The tokenizer lower-cases and always parts a letter from a
+        mark that follows, so doing both first leaves fewer distinct strings; only special tokens' strings depend on case."""
+        if "<|" not in text:
+            text = MARKS.sub(" \\g<0>", text.encode().lower().decode())
+        return text.replace("\n", " ").split(" ")
+
     def encode(self, batch: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        import numpy as np
+        from itertools import chain
 
-        words = [(t or "").replace("\n", " ").split(" ") for t in batch]
+        words = [self.split(t or "") for t in batch]
         if len(self.known) > CACHE:
             self.known = {"": b""}
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        some = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, some(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in ws]) for ws in words]
+        self.learn(list(set(chain.from_iterable(words)).difference(self.known)))
+        find = self.known.__getitem__
+        return [b"".join(map(find, ws)) for ws in words]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segment: int = SEGMENT) -> None:
@@ -73,7 +116,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, part = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = WordEncoder.of_process(tokenizer), TaskContext.get().partitionId()
         ids, docs_in, sizes, held, seg = [], [], [], 0, 0
         end = np.array([end_id], "<u4").tobytes()
 
