@@ -139,19 +139,43 @@ class Index:
         lists = [(w, *self.postings[t]) for t, w in sorted(q.items()) if t in self.postings]
         if not lists:
             return []
-        bound = sum(w * most for w, _, _, _, most in lists)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1][0] - 1e-9):
-                break
-            scores = np.zeros(BLOCK)
-            for w, ids, weights, starts, _ in lists:
-                i, j = starts[b], starts[b + 1]
-                if i < j:
-                    scores[ids[i:j] - b * BLOCK] += w * weights[i:j]
-            hits = [(round(float(scores[i]), 12), int(b * BLOCK + i)) for i in np.flatnonzero(scores > 0) if b * BLOCK + i != without]
-            best = sorted([*best, *hits], key=lambda x: (-x[0], x[1]))[:k]
-        return best
+        bound = sum(w * most for w, _, _, _, most in lists) + 1e-9
+        scores = np.zeros(self.blocks * BLOCK)
+
+        def score(blocks) -> None:
+            for b in blocks:
+                for w, ids, weights, starts, _ in lists:
+                    i, j = starts[b], starts[b + 1]
+                    scores[ids[i:j]] += w * weights[i:j]
+
+        def best():
+            """The k best of what is scored, and the k-th score."""
+            seen = np.flatnonzero(scores > 0)
+            value = scores[seen].round(12)
+            if len(seen) > k:
+                least = np.partition(value, len(seen) - k)[len(seen) - k]
+                seen, value = seen[value >= least], value[value >= least]
+            order = np.lexsort((seen, -value))[:k]
+            return [(float(value[i]), int(seen[i])) for i in order], float(value[order[-1]]) if len(order) == k else 0.0
+
+        first = np.argsort(-bound, kind="stable")[:2]
+        score(first)
+        if without >= 0:
+            scores[without] = 0
+        found, least = best()
+        alive = (bound >= least) & (bound > 2e-9)
+        alive[first] = False
+        if alive.sum() <= 4:
+            score(np.flatnonzero(alive))
+        else:  # many blocks: all postings at once, then only the blocks that count
+            scores[:] = 0
+            for w, ids, weights, _, _ in lists:
+                scores[ids] += w * weights
+            alive[first] = True
+            scores.reshape(-1, BLOCK)[~alive] = 0
+        if without >= 0:
+            scores[without] = 0
+        return best()[0] if alive.any() else found
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         weights = [1 / (1.05 - min(1.0, s)) for s, _ in near]
