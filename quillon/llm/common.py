@@ -72,11 +72,17 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def small_batches(spark: SparkSession, rows: int = 512, size: str = "8m") -> None:
+    """Arrow batches of few rows and bytes from now on."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and the named columns alone; small Arrow batches, so that a batch of very long texts fits a Python worker."""
     spark = docs.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 512:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    small_batches(spark)
     return docs.select("doc_id", "text", *more)
 
 

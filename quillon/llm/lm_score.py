@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, fold, stash, table, texts
 
-MU, BLOCK_BYTES, RANGE_BYTES = 20.0, 8 << 20, 32 << 20
+MU, BLOCK_BYTES, RANGE_BYTES = 20.0, 8 << 20, 16 << 20
 END, START = b"\n", b" "  # no word holds white space
 
 
@@ -94,6 +94,23 @@ def unsqueeze(raw: bytes):
     return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1).astype(np.uint64), dtype=np.uint64)
 
 
+def pack_counts(counts) -> bytes:
+    """Counts as compressed byte planes; nearly all are small, so all planes but one are zeros."""
+    import zlib
+
+    import numpy as np
+
+    return zlib.compress(np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpack_counts(raw: bytes):
+    import zlib
+
+    import numpy as np
+
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
 def walk(block: Block, counts: list, n: int, v: int, mu: float = MU):
     """Per text: tokens, known tokens, base score, score; counts: training totals of the block's tokens and pairs."""
     import numpy as np
@@ -148,7 +165,7 @@ def score_texts(docs: DataFrame, learn, mu: float = MU) -> DataFrame:
             for kind, keys, inverse in ((1, block.tokens, block.token), (2, block.pairs, block.pair)):
                 counts = np.bincount(inverse, weight, len(keys)).astype("<u8")
                 at = cuts(keys, ranges)
-                out += [(kind, p, no, squeeze(keys[i:j]), counts[i:j].tobytes()) for p, (i, j) in enumerate(zip(at, at[1:])) if i < j]
+                out += [(kind, p, no, squeeze(keys[i:j]), pack_counts(counts[i:j])) for p, (i, j) in enumerate(zip(at, at[1:])) if i < j]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), sent)], schema=sent)
 
     asked = dealt.select("block", "text", "train").repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(send, "kind int, part int, block int, keys binary, counts binary")
@@ -161,11 +178,11 @@ def score_texts(docs: DataFrame, learn, mu: float = MU) -> DataFrame:
         for _, rows in _blocks(batches, 6):
             keys = [unsqueeze(r[4]) for r in rows]
             distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(inverse, np.concatenate([np.frombuffer(r[5], "<u8") for r in rows]).astype(np.float64), len(distinct)).astype("<u8")
+            total = np.bincount(inverse, np.concatenate([unpack_counts(r[5]) for r in rows]).astype(np.float64), len(distinct)).astype("<u8")
             sums = (int(total.sum()), int((total > 0).sum())) if rows[0][1] == 1 else (0, 0)
             at = 0
             for i, (r, k) in enumerate(zip(rows, keys)):
-                out = [r[3]], [r[1]], [r[2]], [total[inverse[at : at + len(k)]].tobytes()], [sums[0] if not i else 0], [sums[1] if not i else 0]
+                out = [r[3]], [r[1]], [r[2]], [pack_counts(total[inverse[at : at + len(k)]])], [sums[0] if not i else 0], [sums[1] if not i else 0]
                 at += len(k)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, told)], schema=told)
 
@@ -185,7 +202,7 @@ def score_texts(docs: DataFrame, learn, mu: float = MU) -> DataFrame:
             docs_in = [r for r in rows if r[1] == 3]
             if not docs_in:
                 continue
-            counts = [np.concatenate([np.frombuffer(r[3], "<u8") for r in rows if r[1] == kind]) for kind in (1, 2)]
+            counts = [np.concatenate([unpack_counts(r[3]) for r in rows if r[1] == kind]) for kind in (1, 2)]
             n_tokens, n_known, base, total = walk(Block([r[5] for r in docs_in]), counts, n, v, mu)
             out = [r[4] for r in docs_in], [not r[6] for r in docs_in], n_tokens, n_known, np.full(len(docs_in), n), base, total
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, scored)], schema=scored)
@@ -194,7 +211,6 @@ def score_texts(docs: DataFrame, learn, mu: float = MU) -> DataFrame:
     have = answers.select("block", "kind", "part", "counts", none(id_type).alias("doc_id"), none("string").alias("text"), none("boolean").alias("train"))
     want = dealt.select("block", F.lit(3).alias("kind"), F.lit(0).alias("part"), none("binary").alias("counts"), "doc_id", "text", "train")
     both = have.unionAll(want).repartition(blocks, "block").sortWithinPartitions("block", "kind", "part")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     return both.mapInArrow(score, out_ddl)
 
 

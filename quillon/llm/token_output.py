@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import pfor
-from .common import arrow_schema, scratch_path, table, texts
+from .common import arrow_schema, scratch_path, small_batches, table, texts
 
 SEGMENT, CACHE, END_ID = 1 << 20, 800_000, 1
 MARKS = re.compile(r"(?<=[a-z])[.,!?;:](?=[ \n])")
@@ -173,7 +173,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 ids = [raw[i:j].tobytes() for i, j in zip(first, ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([docs, first + start, sizes, ids], schema)], schema=schema)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    small_batches(spark)
     return segments.mapInArrow(run, out)
 
 
