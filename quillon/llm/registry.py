@@ -1,7 +1,7 @@
 """The queries and SQL of this package."""
 
-from . import decontaminate, jaccard_join, lm_score, quality, secrets, sharding, token_output, toxicity, url_filter
+from . import decontaminate, jaccard_join, lm_score, piece_scan, quality, secrets, sharding, token_output, toxicity, url_filter
 
-MODULES = [decontaminate, jaccard_join, lm_score, quality, secrets, sharding, token_output, toxicity, url_filter]
+MODULES = [decontaminate, jaccard_join, lm_score, piece_scan, quality, secrets, sharding, token_output, toxicity, url_filter]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
