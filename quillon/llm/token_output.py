@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import pfor
 from .common import arrow_schema, scratch_path, small_batches, table, texts
 
-SEGMENT, CACHE, END_ID = 1 << 20, 800_000, 1
+SEGMENT, CACHE, END_ID = 1 << 20, 1_500_000, 1
 MARKS = re.compile(r"(?<=[a-z])[.,!?;:](?=[ \n])")
 
 
