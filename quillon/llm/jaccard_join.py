@@ -471,11 +471,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, that are the first (smallest doc_id, then text) of their component; texts without words stay."""
-    found = near_duplicates(docs, words, percent).filter("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return kept
+    """The rows of docs, all columns, without those of a component that are not of its smallest doc_id.
+
+    A component of one doc_id keeps its rows as they are, and texts without words stay; a null doc_id is never the smallest, so its row
+    goes when its component has another."""
+    found = near_duplicates(docs, words, percent).filter("n_shingles > 0 and not (doc_id <=> component_id)")
+    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
