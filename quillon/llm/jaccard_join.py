@@ -8,14 +8,13 @@ empty one has none). Two documents link when 100 * |A and B| >= PERCENT * |A or
 2. Each class goes to the partitions of those of its first keys that it shares, once a partition, with its size and token bitmap.
    Classes that meet under a key make a unit. A unit of few classes tries all its pairs by bitmap; a larger one builds a signature
    tree, whose nodes hold OR-combined bitmaps, size ranges and the largest excess (elements beyond bits), and traverses it against itself:
-   node pairs are pruned by the largest overlap that their bitmaps and sizes allow. Nothing that could link is pruned.
-3. Surviving pairs are checked on the sets themselves. In a large unit a pair already joined through others is left out at first; after the
-   verified links' components are known, units that left pairs out and still hold several components are traversed again, and then every pair
-   across components is tried. So no link between different components is lost, and a group of copies costs its size, not its square.
+   node pairs are pruned by the largest overlap that their bitmaps and sizes allow. Nothing that could link is pruned; pairs already joined
+   through others are passed over, so a partition gives a forest. Its trees over all partitions are the candidate groups: no link leaves one.
+3. The sets of a candidate group meet once and every pair not yet joined is checked on them exactly; again a forest of links comes out. A
+   group of more than GROUP classes meets in pairs of blocks. So a group of copies costs its size in rows, not its square.
 
-A key of more classes than UNIT is dealt over sub-units by hash; the second traversal brings those not in the key's largest component to
-each of them. All tables are shuffled by hash; broadcast are only the list of frequent first keys (at most HOT_KEYS) and, when they
-are at most SMALL, the ids of the candidate documents.
+A key of more classes than UNIT is dealt over pairs of blocks likewise. All tables are shuffled by hash; broadcast are only the list of
+frequent first keys (at most HOT_KEYS) and, when they are at most SMALL, the ids of the candidate documents.
 
 Defined results: a null or empty text, or one of white space, has 0 shingles and is its own component; a null doc_id takes part and never is the
 smallest of a component that has another; repeated rows are in one component; an empty table gives an empty result; other columns are
@@ -31,7 +30,7 @@ from .common import arrow_schema, stash, table, texts
 from .lm_score import token_keys
 
 WORDS, PERCENT = 4, 85
-UNIT, FEW, NODE, FREQUENT, HOT_KEYS, SMALL = 2_000, 24, 16, 64, 100_000, 1_000_000
+UNIT, GROUP, FEW, NODE, FREQUENT, HOT_KEYS, SMALL = 20_000, 2_000, 24, 16, 64, 100_000, 1_000_000
 MIN_BITS, MAX_BITS = 256, 65_536
 
 
@@ -173,74 +172,99 @@ class Signatures:
                         yield i[some], j[some]
 
 
-def candidate_pairs(ids: list[int], sizes: list[int], bitmaps: list[bytes], units: dict, groups=None, percent: int = PERCENT):
-    """(a, b) class id pairs that may link and share a unit, and the keys of units where some were left out.
+class Forest:
+    """Union-find over 0..n-1."""
 
-    units: {unit: [indices]}. Without groups, a large unit leaves out pairs already joined through others; with groups (a component a
-    class) all pairs across components are given and none is left out."""
+    def __init__(self, n: int):
+        self.top = list(range(n))
+
+    def root(self, i: int) -> int:
+        top = self.top
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.root(i), self.root(j)
+        self.top[max(a, b)] = min(a, b)
+        return a != b
+
+
+def candidate_forest(sizes: list[int], bitmaps: list[bytes], units: dict, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Index pairs that may link and share a unit ({unit: [indices]}), without those already joined through others."""
     import numpy as np
 
-    s = Signatures(sizes, bitmaps, percent)
-    g = None if groups is None else np.array(groups)
-    found: set[tuple[int, int]] = set()
-    partial = []
+    s, forest, out = Signatures(sizes, bitmaps, percent), Forest(len(sizes)), []
     by_size: dict[int, list] = {}
-    large = []
-    for k, members in units.items():
-        if len(members) <= FEW:
-            by_size.setdefault(len(members), []).append(members)
-        else:
-            large.append((k, np.array(sorted(members, key=lambda i: ids[i]))))
+    for members in units.values():
+        by_size.setdefault(len(members), []).append(members)
     pairs = [np.zeros((0, 2), np.int64)]
     for size, some in by_size.items():
-        i, j = np.triu_indices(size, 1)
-        m = np.array(some, np.int64)
-        pairs.append(np.unique(np.sort(np.stack([m[:, i].ravel(), m[:, j].ravel()], 1), 1), axis=0))
+        if size <= FEW:
+            i, j = np.triu_indices(size, 1)
+            m = np.array(some, np.int64)
+            pairs.append(np.unique(np.sort(np.stack([m[:, i].ravel(), m[:, j].ravel()], 1), 1), axis=0))
     few = np.unique(np.concatenate(pairs), axis=0)
     few = few[few[:, 0] != few[:, 1]]
-    if g is not None:
-        few = few[g[few[:, 0]] != g[few[:, 1]]]
     if len(few):
         few = few[s.may_link(few[:, 0], few[:, 1])]
-        found.update(map(tuple, few.tolist()))
-    for k, members in large:
-        top = np.arange(len(ids)) if g is None else None
-
-        def root(i):
-            while top[i] != i:
-                top[i] = top[top[i]]
-                i = top[i]
-            return i
-
-        label = {}
-
-        def fresh(i, j):
-            if g is not None:
-                return g[i] != g[j]
-            for x in set(i.tolist()) | set(j.tolist()):
-                label[x] = root(x)
-            apart = np.array([label[x] for x in i.tolist()]) != np.array([label[x] for x in j.tolist()])
-            if not apart.all() and (not partial or partial[-1] != k):
-                partial.append(k)
-            return apart
-
-        for i, j in s.tree_pairs(members, fresh):
-            for x, y in zip(i.tolist(), j.tolist()):
-                if g is None:
-                    rx, ry = root(x), root(y)
-                    if rx == ry:
-                        if not partial or partial[-1] != k:
-                            partial.append(k)
-                        continue
-                    top[max(rx, ry)] = min(rx, ry)
-                found.add((x, y))
-    return [(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in found], partial
+        out += [(i, j) for i, j in few.tolist() if forest.join(i, j)]
+
+    def fresh(i, j):
+        roots = {x: forest.root(x) for x in {*i.tolist(), *j.tolist()}}
+        return np.array([roots[x] for x in i.tolist()]) != np.array([roots[x] for x in j.tolist()])
+
+    for size, some in by_size.items():
+        if size > FEW:
+            for members in some:
+                for i, j in s.tree_pairs(np.array(members, np.int64), fresh):
+                    out += [(x, y) for x, y in zip(i.tolist(), j.tolist()) if forest.join(x, y)]
+    return out
+
+
+def link_forest(sets: list, sides: list[int] | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Index pairs of sets that link, exactly, without those already joined through others; sides: only pairs across sides (unless all are
+    on one). Sets become bits over the keys that two of them share, which is an exact overlap."""
+    import numpy as np
+
+    n = np.array([len(x) for x in sets], np.int64)
+    if len(sets) < 2:
+        return []
+    if len(sets) == 2:
+        k = len(np.intersect1d(*sets, assume_unique=True))
+        return [(0, 1)] if k * (100 + percent) >= percent * (n[0] + n[1]) else []
+    keys, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(counts > 1) - 1
+    width = int((counts > 1).sum())
+    words = -(-max(1, width) // 64)
+    bits = np.zeros((len(sets), words), np.uint64)
+    owner = np.repeat(np.arange(len(sets)), n)
+    keep = counts[inverse] > 1
+    at = place[inverse[keep]]
+    np.bitwise_or.at(bits, (owner[keep], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    order = np.argsort(n, kind="stable")
+    size, group, out = n[order], np.arange(len(sets)), []
+    side = None if sides is None or len(set(sides)) == 1 else np.array(sides)
+    for i, x in enumerate(order.tolist()):
+        j = order[i + 1 : int(np.searchsorted(size, size[i] * 100 // percent, "right"))]
+        j = j[group[j] != group[x]]
+        if side is not None:
+            j = j[side[j] != side[x]]
+        for k in range(0, len(j), 1024):
+            y = j[k : k + 1024]
+            both = np.bitwise_count(bits[y] & bits[x]).sum(1, dtype=np.int64)
+            for z in y[both * (100 + percent) >= percent * (n[y] + n[x])].tolist():
+                if group[z] != group[x]:
+                    out.append((x, z))
+                    group[group == group[z]] = group[x]
+    return out
 
 
 def _scan(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """kind 0: a document (doc_id, n, cid); kind 1: a first key (cid) that several classes of a task have, and how many (n)."""
+    """kind 0: a document (doc_id, n, cid, bitmap of its set); kind 1: a first key (cid) that several classes of a task have, and how many (n)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    ddl = f"kind int, doc_id {id_type}, n long, cid long"
+    ddl = f"kind int, doc_id {id_type}, n long, cid long, marks binary"
     schema = arrow_schema(ddl)
 
     def run(batches):
@@ -254,34 +278,35 @@ def _scan(docs: DataFrame, words: int, percent: int) -> DataFrame:
             some = counts > 1
             return keys[some], counts[some]
 
-        def batch(kind, ids, n, cid):
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((np.full(len(n), kind), ids, n, cid), schema)], schema=schema)
+        def batch(kind, ids, n, cid, marks):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((np.full(len(n), kind), ids, n, cid, marks), schema)], schema=schema)
 
         size = 0
         for b in batches:
-            ids, n, cid = b.column(0).to_pylist(), [], []
+            ids, n, cid, marks = b.column(0).to_pylist(), [], [], []
             for t in b.column(1).to_pylist():
                 k = shingle_set(t, words)
                 n.append(len(k))
                 cid.append(class_id(k) if len(k) else None)
+                marks.append(bitmap(k) if len(k) else None)
                 if len(k) and cid[-1] not in classes:
                     classes.add(cid[-1])
                     held.append(first_keys(k, none, percent))
                     size += len(held[-1])
-            yield batch(0, ids, n, cid)
+            yield batch(0, ids, n, cid, marks)
             if size > 4_000_000:
                 keys, counts = frequent()
-                yield batch(1, [None] * len(keys), counts, keys.view(np.int64))
+                yield batch(1, [None] * len(keys), counts, keys.view(np.int64), [None] * len(keys))
                 held, classes, size = [], set(), 0
         keys, counts = frequent()
-        yield batch(1, [None] * len(keys), counts, keys.view(np.int64))
+        yield batch(1, [None] * len(keys), counts, keys.view(np.int64), [None] * len(keys))
 
     return texts(docs).mapInArrow(run, ddl)
 
 
 def _first_rows(docs: DataFrame, hot, words: int, percent: int) -> DataFrame:
-    """kind 0: a class (cid, n, bitmap); kind 1: one of its first keys (key)."""
-    schema = arrow_schema("kind int, cid long, n long, key long, marks binary")
+    """(key, cid) for the first keys of each class, once a task."""
+    schema = arrow_schema("key long, cid long")
 
     def run(batches):
         import numpy as np
@@ -289,25 +314,20 @@ def _first_rows(docs: DataFrame, hot, words: int, percent: int) -> DataFrame:
 
         classes = set()
         for b in batches:
-            cids, sizes, marks, keys = [], [], [], []
+            cids, keys = [], []
             for t in b.column(1).to_pylist():
                 k = shingle_set(t, words)
                 c = class_id(k) if len(k) else None
                 if c is not None and c not in classes:
                     classes.add(c)
                     cids.append(c)
-                    sizes.append(len(k))
-                    marks.append(bitmap(k))
                     keys.append(first_keys(k, hot, percent).view(np.int64))
             if len(classes) > 1_000_000:
                 classes = set()
             if cids:
-                count = [len(k) for k in keys]
-                m = sum(count)
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((np.zeros(len(cids)), cids, sizes, [None] * len(cids), marks), schema)], schema=schema)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(np.repeat(cids, count)), pa.nulls(m, pa.int64()), pa.array(np.concatenate(keys)), pa.nulls(m, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(cids, np.int64), [len(k) for k in keys]))], schema=schema)
 
-    return texts(docs).mapInArrow(run, "kind int, cid long, n long, key long, marks binary")
+    return texts(docs).mapInArrow(run, "key long, cid long")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -343,50 +363,66 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(run, "key long, cid long")
 
 
-def _units(routed: DataFrame, parts: int, grouped: bool, percent: int) -> DataFrame:
-    """kind 0: a pair (a, b); kind 1: a key (a) whose unit left pairs out. routed: part, cid, n, marks, units array<struct<key, sub>>, comp."""
-    schema = arrow_schema("kind int, a long, b long")
+def _by_first(batches, solve):
+    """solve(rows) for each run of rows with the same first column, in a stream sorted by it."""
+    now, rows = None, []
+    for b in batches:
+        for r in zip(*[c.to_pylist() for c in b.columns]):
+            if r[0] != now and rows:
+                yield solve(rows)
+                rows = []
+            now = r[0]
+            rows.append(r)
+    if rows:
+        yield solve(rows)
 
-    def run(batches):
+
+def _candidates(shared: DataFrame, classes: DataFrame, parts: int, percent: int) -> DataFrame:
+    """(a, b): a forest of classes that may link, a partition. shared: key, cid, sub; classes: cid, n, marks."""
+    schema = arrow_schema("a long, b long")
+    part = F.pmod(F.xxhash64("key", "sub"), F.lit(parts)).cast("int")
+    routed = shared.groupBy(part.alias("part"), "cid").agg(F.collect_list(F.struct("key", "sub")).alias("units")).join(classes, "cid")
+
+    def solve(rows):
         import pyarrow as pa
 
-        def solve(rows):
-            units: dict[tuple, list[int]] = {}
-            for i, r in enumerate(rows):
-                for u in r[4]:
-                    units.setdefault((u["key"], u["sub"]), []).append(i)
-            pairs, partial = candidate_pairs([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], units, [r[5] for r in rows] if grouped else None, percent)
-            kinds = [0] * len(pairs) + [1] * len(partial)
-            cols = kinds, [p[0] for p in pairs] + [k[0] for k in partial], [p[1] for p in pairs] + [0] * len(partial)
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
-
-        now, rows = None, []
-        for b in batches:
-            for r in zip(*[c.to_pylist() for c in b.columns]):
-                if r[0] != now and rows:
-                    yield solve(rows)
-                    rows = []
-                now = r[0]
-                rows.append(r)
-        if rows:
-            yield solve(rows)
+        units: dict[tuple, list[int]] = {}
+        for i, r in enumerate(rows):
+            for u in r[4]:
+                units.setdefault((u["key"], u["sub"]), []).append(i)
+        pairs = candidate_forest([r[2] for r in rows], [r[3] for r in rows], units, percent)
+        return pa.RecordBatch.from_arrays([pa.array([rows[p[k]][1] for p in pairs], pa.int64()) for k in (0, 1)], schema=schema)
 
-    cols = ["part", "cid", "n", "marks", "units", "comp"]
-    return routed.select(cols).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "kind int, a long, b long")
+    sent = routed.select("part", "cid", "n", "marks", "units").repartition(parts, "part").sortWithinPartitions("part")
+    return sent.mapInArrow(lambda batches: _by_first(batches, solve), "a long, b long")
 
 
-def _route(shared: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
-    """A row a class and part with all its units there. shared: key, cid, sub, comp."""
-    part = F.pmod(F.xxhash64("key", "sub"), F.lit(parts)).cast("int")
-    units = shared.groupBy(part.alias("part"), "cid").agg(F.collect_list(F.struct("key", "sub")).alias("units"), F.min("comp").alias("comp"))
-    return units.join(classes, "cid")
+def block_pairs(i, of):
+    """The pairs (lower, higher) of `of` blocks that block i is in, as an array column of numbers lower * of + higher."""
+    return F.transform(F.sequence(F.lit(0), of - 1), lambda j: F.least(i, j) * of + F.greatest(i, j))
+
+
+def _links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a forest of links within each candidate group (cid, comp), checked on the sets (cid, keys)."""
+    schema = arrow_schema("a long, b long")
+    large = groups.groupBy("comp").agg(F.count("*").alias("of")).filter(F.col("of") > GROUP).select("comp", F.ceil(F.col("of") / F.lit(GROUP)).cast("int").alias("of"))
+    dealt = groups.join(large, "comp", "left").withColumn("of", F.coalesce("of", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("of")).cast("int"))
+    units = dealt.select("cid", "comp", "block", F.explode(block_pairs(F.col("block"), F.col("of"))).alias("pair"))
+
+    def solve(rows):
+        import numpy as np
+        import pyarrow as pa
+
+        pairs = link_forest([np.array(r[3], np.int64).view(np.uint64) for r in rows], [r[2] for r in rows], percent)
+        return pa.RecordBatch.from_arrays([pa.array([rows[p[k]][1] for p in pairs], pa.int64()) for k in (0, 1)], schema=schema)
+
+    met = units.join(sets, "cid").select(F.concat_ws(":", "comp", "pair").alias("unit"), "cid", "block", "keys").repartition("unit").sortWithinPartitions("unit")
+    return met.mapInArrow(lambda batches: _by_first(batches, solve), "a long, b long")
 
 
-def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """cid, comp (the smallest class id it reaches) of every class with an edge (a, b); start: components known before (cid, comp)."""
-    if start is not None:  # edges between known components
-        lab = lambda e, c: e.join(start.select(F.col("cid").alias(c), F.col("comp").alias(f"{c}_")), c, "left").withColumn(c, F.coalesce(f"{c}_", c)).drop(f"{c}_")
-        edges = lab(lab(edges, "a"), "b").filter("a != b")
+def components(edges: DataFrame) -> DataFrame:
+    """cid, comp (the smallest class id it reaches) of every class with an edge (a, b): least neighbours and pointer jumps in turn."""
     both = stash(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "join-edges")
     labels = stash(both.groupBy(F.col("a").alias("cid")).agg(F.least(F.min("b"), F.col("a")).alias("comp")), "join-labels")
     while True:
@@ -397,17 +433,12 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
         done = nxt.filter("old != comp").isEmpty()
         labels = nxt.select("cid", "comp")
         if done:
-            break
-    if start is None:
-        return labels
-    moved = start.join(labels.select(F.col("cid").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("cid", F.coalesce("to", "comp").alias("comp"))
-    return moved.unionAll(labels.join(start, "cid", "left_anti"))
+            return labels
 
 
-def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, by the sets themselves. reps: cid, rep (a document id)."""
-    wanted = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct()
-    ids = stash(wanted.join(reps, "cid").select(F.col("rep").alias("_rep")).distinct(), "join-candidates")
+def class_sets(docs: DataFrame, wanted: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """cid, keys of the wanted classes (cid), from the text of one document each. reps: cid, rep (a document id)."""
+    ids = stash(wanted.join(reps, "cid").select(F.col("rep").alias("_rep")).distinct(), "join-ids")
     ids = F.broadcast(ids) if ids.count() <= SMALL else ids
     schema = arrow_schema("cid long, keys array<long>")
 
@@ -416,15 +447,11 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, words: int, per
         import pyarrow as pa
 
         for b in batches:
-            sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
-            sets = [s for s in sets if len(s)]
+            sets = [s for s in (shingle_set(t, words) for t in b.column(1).to_pylist()) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], schema.field(1).type)], schema=schema)
 
     picked = texts(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-    sets = stash(picked.mapInArrow(run, "cid long, keys array<long>").dropDuplicates(["cid"]), "join-sets")
-    one = pairs.join(sets.select(F.col("cid").alias("a"), F.col("keys").alias("ka")), "a").join(sets.select(F.col("cid").alias("b"), F.col("keys").alias("kb")), "b")
-    both = F.size(F.array_intersect("ka", "kb"))
-    return one.filter(both * (100 + percent) >= percent * (F.size("ka") + F.size("kb"))).select("a", "b")
+    return picked.mapInArrow(run, "cid long, keys array<long>").dropDuplicates(["cid"])
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -434,37 +461,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     spark = docs.sparkSession
     scan = stash(_scan(docs, words, percent), "join-scan")
     thin = scan.filter("kind = 0").select("doc_id", "n", "cid")
-    reps = thin.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    reps = thin.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"))
+    classes = scan.filter("kind = 0 and cid is not null").select("cid", "n", "marks").dropDuplicates(["cid"])
     often = scan.filter("kind = 1").groupBy("cid").agg(F.sum("n").alias("n")).filter(F.col("n") > FREQUENT)
     hot = np.sort(np.array([r.cid for r in often.orderBy(F.desc("n"), "cid").limit(HOT_KEYS).select("cid").collect()], np.int64).view(np.uint64))  # at most HOT_KEYS
-    first = _first_rows(docs, hot, words, percent)
-    rows = stash(first, "join-first")
-    classes = stash(rows.filter("kind = 0").select("cid", "n", "marks").dropDuplicates(["cid"]), "join-classes")
-    shared = stash(_shared(rows.filter("kind = 1").select("key", "cid")), "join-shared")
-    held = shared.groupBy("key").agg(F.count("*").alias("of"))
-    big = held.filter(F.col("of") > UNIT).select("key", F.ceil(F.col("of") / F.lit(UNIT)).alias("subs"))
-    sub = F.pmod(F.xxhash64("key", "cid"), F.coalesce("subs", F.lit(1)))
-    dealt = shared.join(big, "key", "left").select("key", "cid", sub.cast("int").alias("sub"), F.lit(None).cast("long").alias("comp"), F.col("subs").isNotNull().alias("big"))
-    n_rows = shared.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // 50_000))
-    told = stash(_units(_route(dealt, classes, parts), parts, False, percent), "join-units")
-    pairs = told.filter("kind = 0").select("a", "b").distinct()
-    links = stash(verified(docs, pairs, reps, words, percent), "join-links")
-    comp = stash(components(links), "join-comp")
-    # units that left pairs out, and keys dealt over several units: again where they still hold several components
-    again = told.filter("kind = 1").select(F.col("a").alias("key")).unionAll(big.select("key")).distinct()
-    left = shared.join(again, "key", "left_semi").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    counts = left.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    main = counts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("of"), F.max_by("comp", F.struct("c", "comp")).alias("main")).filter("comps > 1")
-    rest = left.join(main.select("key", "main", F.ceil(F.col("of") / F.lit(UNIT)).cast("int").alias("subs")), "key")
-    own = F.array(F.pmod(F.xxhash64("key", "cid"), F.col("subs")).cast("int"))
-    rest = rest.select("key", "cid", "comp", F.explode(F.when(F.col("comp") == F.col("main"), own).otherwise(F.sequence(F.lit(0), F.col("subs") - 1))).alias("sub"))
-    rest = stash(rest, "join-rest")
-    if not rest.isEmpty():
-        told = _units(_route(rest, classes, parts), parts, True, percent)
-        more = stash(told.filter("kind = 0").select("a", "b").distinct(), "join-more")
-        if not more.isEmpty():
-            comp = stash(components(verified(docs, more, reps, words, percent), comp), "join-comp")
+    shared = stash(_shared(_first_rows(docs, hot, words, percent)), "join-shared")
+    big = shared.groupBy("key").agg(F.count("*").alias("of")).filter(F.col("of") > UNIT).select("key", F.ceil(F.col("of") / F.lit(UNIT)).cast("int").alias("of"))
+    dealt = shared.join(big, "key", "left").withColumn("of", F.coalesce("of", F.lit(1)))
+    dealt = dealt.select("key", "cid", F.explode(block_pairs(F.pmod(F.xxhash64("key", "cid"), F.col("of")).cast("int"), F.col("of"))).alias("sub"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shared.count() // 50_000))
+    groups = components(stash(_candidates(dealt, classes, parts, percent), "join-candidates"))
+    sets = class_sets(docs, groups.select("cid"), reps, words)
+    comp = components(stash(_links(groups, sets, percent), "join-links"))
     smallest = comp.join(reps, "cid").groupBy("comp").agg(F.min("rep").alias("least"))
     of_class = reps.join(comp, "cid", "left").join(smallest, "comp", "left").select("cid", F.coalesce("least", "rep").alias("component_id"))
     return thin.join(of_class, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
