@@ -1,4 +1,319 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the driver's tables, and the SQL that says the same.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Documents serve as reference text (one file a language, one fragment a document) and, through the simulator, as reads; benchmark items
+are reads for the search of contamination.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import scoring
+from .functions.alphabet import PAIRS, code, differing, encode_text, hamming, pair_keys, quarters, reverse_complement
+from .operators import align, choose, reads, simulate, text
+from .plans.config import AlignConfig
+
+CONFIG = AlignConfig()
+L = CONFIG.seed_length
+LENGTH = 40
+
+
+def _table(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _docs(spark, d):
+    return _table(spark, d, "documents")
+
+
+def _fragments(spark, d):
+    return text.fragments_of_documents(_docs(spark, d))
+
+
+def _reads(spark, d):
+    return reads.prepare(simulate.reads_of_documents(_docs(spark, d), LENGTH))
+
+
+def _matches(spark, d, scored=False):
+    m = align.seed_matches(_fragments(spark, d), _reads(spark, d), CONFIG)
+    return align.with_score(m, CONFIG, True) if scored else m
+
+
+def _hit(df, *more):
+    return df.select("read_ord", "strand", "file_ord", "frag_ord", F.col("pos").cast("long").alias("pos"), F.col("k").cast("int").alias("k"), *more)
+
+
+def q_encode_text(spark, d):
+    return _docs(spark, d).select("doc_id", encode_text(F.col("text")).alias("seq"))
+
+
+def q_base_composition(spark, d):
+    seq = _fragments(spark, d)
+    counts = F.array(*[F.struct(F.lit(b).alias("base"), (F.length("seq") - F.length(F.replace("seq", F.lit(b), F.lit("")))).alias("n")) for b in "ACGT"])
+    return seq.select("file_ord", F.inline(counts)).groupBy("file_ord", "base").agg(F.sum("n").alias("n"))
+
+
+def q_read_count(spark, d):
+    r = _reads(spark, d)
+    return r.agg(F.count("*").alias("n_reads"), F.min_by("len", "read_ord").alias("first_len"))
+
+
+#: As encode_text, but q, x and z become N.
+MASKED = "".join("N" if c in "qxz" else "CGTA"[i % 4] for i, c in enumerate("abcdefghijklmnopqrstuvwxyz"))
+
+
+def _masked(spark, d):
+    """The first 60 bases of each document as reads in which some letters are unknown."""
+    raw = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", MASKED)
+    return reads.prepare(_docs(spark, d).select(F.col("doc_id").alias("read_ord"), F.substring(raw, 1, 60).alias("raw")))
+
+
+def q_dontcare_filter(spark, d):
+    return _masked(spark, d).select("read_ord", "seq", "len", "has_n", ((F.col("len") >= L) & ~F.col("has_n")).alias("usable"))
+
+
+def q_read_length_buckets(spark, d):
+    return reads.length_buckets(_masked(spark, d))
+
+
+def q_rewrite_order(spark, d):
+    return reads.rewrite_order(_masked(spark, d)).select("read_ord", "len", "has_n", F.col("new_ord").cast("long").alias("new_ord"))
+
+
+def q_revcomp(spark, d):
+    r = _reads(spark, d)
+    return r.select("read_ord", reverse_complement(F.col("seq")).alias("rc"))
+
+
+def q_quality_offset(spark, d):
+    raw = F.array_join(F.transform("qual", lambda q: F.char(q + 33)), "")
+    return reads.quality_offset(_reads(spark, d).select("read_ord", raw.alias("quality_raw")))
+
+
+def q_windows(spark, d):
+    w = text.windows(_fragments(spark, d), L)
+    return w.groupBy("file_ord", "frag_ord").agg(F.count("*").alias("n_windows"), F.min("seed").alias("first_seed"), F.max("seed").alias("last_seed"), F.sum(F.col("pos").cast("long")).alias("sum_pos"))
+
+
+def q_seed_signatures(spark, d):
+    m = quarters(F.substring("seq", 1, L), L)
+    return _reads(spark, d).select("read_ord", *[code(x).alias(f"m{i}") for i, x in enumerate(m)])
+
+
+def q_pair_signatures(spark, d):
+    return _reads(spark, d).select("read_ord", F.inline(pair_keys(F.substring("seq", 1, L), L))).select("read_ord", "pair_idx", "key")
+
+
+def q_signature_histogram(spark, d):
+    return text.windows(_fragments(spark, d), L).groupBy(F.substring("seed", 1, 6).alias("prefix")).agg(F.count("*").alias("n"))
+
+
+def _truth(spark, d):
+    docs = _docs(spark, d).select(F.col("doc_id").alias("read_ord"), encode_text(F.col("text")).alias("s"))
+    r = _reads(spark, d).join(docs, "read_ord")
+    own = F.when(F.col("read_ord") % 2 == 1, reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
+    return r.select("read_ord", own.alias("own"), F.substring("s", F.col("truth_pos") + 1, F.lit(LENGTH)).alias("there"))
+
+
+def q_hamming_codes(spark, d):
+    q = lambda c: code(F.substring(c, 1, 16))
+    return _truth(spark, d).select("read_ord", differing(q("own"), q("there")).alias("differing"), hamming(F.col("own"), F.col("there")).alias("distance"))
+
+
+def q_rest_distance(spark, d):
+    tail = lambda c: F.substring(c, L + 1, LENGTH - L)
+    return _truth(spark, d).select("read_ord", hamming(tail("own"), tail("there")).alias("rest"))
+
+
+def q_fragment_starts(spark, d):
+    return text.fragment_starts(_fragments(spark, d)).select("file_ord", "frag_ord", *[F.col(c).cast("long").alias(c) for c in ("start", "next_start")])
+
+
+def q_position_to_fragment(spark, d):
+    starts = text.fragment_starts(_fragments(spark, d))
+    ends = starts.groupBy("file_ord").agg(F.max("next_start").alias("n"))
+    positions = ends.select("file_ord", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(997).cast("long"))).alias("p"))
+    return text.locate(positions, starts).select("file_ord", "p", "frag_ord", F.col("pos").cast("long").alias("pos"))
+
+
+def q_odds_matrix(spark, d):
+    rows = [(k[0], k[1], v, scoring.log_odds(CONFIG)[k]) for k, v in scoring.odds(CONFIG).items()]
+    return spark.createDataFrame(rows, "ref_base string, read_base string, odds double, log2_odds double").select("ref_base", "read_base", F.round("odds", 9).alias("odds"), F.round("log2_odds", 9).alias("log2_odds"))
+
+
+def q_score_table(spark, d):
+    base = spark.createDataFrame([(k[0], k[1], v) for k, v in scoring.log_odds(CONFIG).items()], "ref_base string, read_base string, v double")
+    certain = F.array(*[F.lit(1 - e) for e in scoring.ERROR_OF_QUALITY])
+    each = base.withColumn("quality", F.explode(F.sequence(F.lit(0), F.lit(62))))
+    return each.select("ref_base", "read_base", "quality", F.round(F.col("v") * F.element_at(certain, F.col("quality") + 1), 6).alias("entry"))
+
+
+def q_filter_value(spark, d):
+    lens = _masked(spark, d).select("len").distinct()
+    each = F.array(*[F.struct(F.lit(v).alias("level"), F.round(CONFIG.with_(filter_level=v).epsilon(F.col("len")), 6).alias("epsilon")) for v in range(5)])
+    return lens.select("len", F.inline(each))
+
+
+def q_align_all(spark, d):
+    return _hit(align.all_hits(_matches(spark, d)))
+
+
+def q_align_all_scored(spark, d):
+    return _hit(align.all_hits(_matches(spark, d, True)), F.round("score", 4).alias("score"))
+
+
+def q_align_all_ranked(spark, d):
+    hits = align.ranked(align.all_hits(_matches(spark, d)))
+    order = Window.partitionBy("read_ord").orderBy("k", "pos", "file_ord", "frag_ord", "strand")
+    return _hit(hits.withColumn("rank", F.row_number().over(order)), "rank")
+
+
+def q_hits_per_read(spark, d):
+    return align.all_hits(_matches(spark, d)).groupBy("read_ord").agg(F.count("*").alias("n_hits"), F.min("k").cast("int").alias("least_k"))
+
+
+def q_align_unique(spark, d):
+    return _hit(choose.unique_by_errors(_matches(spark, d)))
+
+
+def q_unique_count(spark, d):
+    return choose.unique_by_errors(_matches(spark, d)).groupBy("strand").agg(F.count("*").alias("n_unique"))
+
+
+def q_align_unique_scored_canonical(spark, d):
+    return _hit(choose.unique_by_score(_matches(spark, d, True), CONFIG), F.round("score", 4).alias("score"))
+
+
+def q_align_unique_scored_fold(spark, d):
+    return _hit(choose.unique_by_fold(_matches(spark, d, True), CONFIG), F.round("score", 4).alias("score"))
+
+
+def q_matched_reads(spark, d):
+    return align.matched(_reads(spark, d), _matches(spark, d)).select("read_ord")
+
+
+def q_unmatched_reads(spark, d):
+    return align.unmatched(_reads(spark, d), _matches(spark, d)).select("read_ord")
+
+
+def q_alignment_report(spark, d):
+    best = choose.unique_by_score(_matches(spark, d, True), CONFIG)
+    out = choose.report(best, _reads(spark, d), _fragments(spark, d), True)
+    return out.withColumn("score", F.round("score", 4))
+
+
+def q_simulate_reads(spark, d):
+    return simulate.reads_of_documents(_docs(spark, d), LENGTH).select("read_ord", "read_id", "raw", F.array_join(F.transform("qual", lambda x: x.cast("string")), ",").alias("qual"))
+
+
+def q_random_text(spark, d):
+    return simulate.random_text(spark, 60_000)
+
+
+def q_contamination_hits(spark, d):
+    items = _table(spark, d, "benchmark").select(F.col("item_id").alias("read_ord"), F.substring(encode_text(F.col("text")), 1, 36).alias("raw"))
+    return _hit(align.all_hits(align.seed_matches(_fragments(spark, d), reads.prepare(items), CONFIG)))
+
+
+QUERIES = {k.removeprefix("q_"): f for k, f in list(globals().items()) if k.startswith("q_")}
+
+# --- the same in SQL ---
+
+_ENC = "translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'CGTACGTACGTACGTACGTACGTACG')"
+_RC = "translate(reverse({0}), 'ACGT', 'TGCA')".format
+_DIFF = "len(list_filter(range(1, length({0}) + 1), lambda j: substr({0}, j, 1) != substr({1}, j, 1)))".format
+_FRAG = f"frag AS (SELECT * FROM (SELECT dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS file_ord, doc_id AS frag_ord, CAST(doc_id AS VARCHAR) AS ref_id, {_ENC} AS seq FROM documents) WHERE length(seq) > 0)"
+_READS = f"""src AS (SELECT doc_id, s, doc_id * 7919 % (length(s) - {LENGTH}) AS at FROM (SELECT doc_id, {_ENC} AS s FROM documents) WHERE length(s) >= 200),
+part AS (SELECT doc_id, at, substr(s, at + 1, {LENGTH}) AS p FROM src),
+mut AS (SELECT *, list_transform(range(0, {LENGTH}), lambda j: (doc_id * 31 + j * j * 17) % (7 + doc_id % 17) = 0) AS hit FROM part),
+new AS (SELECT *, array_to_string(list_transform(range(0, {LENGTH}), lambda j: CASE WHEN hit[j + 1] THEN translate(substr(p, j + 1, 1), 'ACGT', 'CGTA') ELSE substr(p, j + 1, 1) END), '') AS n FROM mut),
+reads AS (SELECT doc_id AS read_ord, at, p, CASE WHEN doc_id % 2 = 1 THEN {_RC('n')} ELSE n END AS seq,
+  'p' || at || CASE WHEN doc_id % 2 = 1 THEN '_inv' ELSE '' END || coalesce(array_to_string(list_transform(list_filter(range(0, {LENGTH}), lambda j: hit[j + 1]), lambda j: '_' || j || substr(p, j + 1, 1) || translate(substr(p, j + 1, 1), 'ACGT', 'CGTA')), ''), '') AS read_id,
+  list_transform(range(0, {LENGTH}), lambda j: 20 + (doc_id * 13 + j * 7) % 20) AS qual FROM new)"""
+
+
+def _seeded(frag: str, reads_cte: str, s: int, e: int) -> str:
+    """CTEs up to events: each hit once for each quarter pair that finds it."""
+    q = L // 4
+    cols = ", ".join(f"substr(seed, {i * q + 1}, {q}) AS m{i}" for i in range(4))
+    joins = " UNION ALL ".join(f"SELECT {i} AS pair_idx, w.file_ord, w.frag_ord, w.at, w.seed, t.* FROM win w JOIN two t ON w.m{a} = t.m{a} AND w.m{b} = t.m{b}" for i, (a, b) in enumerate(PAIRS))
+    return f"""{frag}, {reads_cte},
+win AS (SELECT *, {cols} FROM (SELECT *, substr(seq, CAST(at + 1 AS BIGINT), {L}) AS seed FROM (SELECT file_ord, frag_ord, seq, unnest(range(0, length(seq) - {L - 1})) AS at FROM frag))),
+two AS (SELECT *, {cols.replace('seed', 'rseed')} FROM (SELECT read_ord, '+' AS strand, seq AS w, substr(seq, 1, {L}) AS rseed, length(seq) AS m, qual AS q FROM reads WHERE length(seq) >= {L}
+  UNION ALL SELECT read_ord, '-', {_RC('seq')}, right({_RC('seq')}, {L}), length(seq), list_reverse(qual) FROM reads WHERE length(seq) >= {L})),
+met AS (SELECT *, CASE WHEN strand = '+' THEN at ELSE at - (m - {L}) END AS pos FROM ({joins}) WHERE hamming(seed, rseed) <= {s}),
+placed AS (SELECT met.*, substr(f.seq, CAST(pos + 1 AS BIGINT), m) AS ref FROM met JOIN frag f ON f.file_ord = met.file_ord AND f.frag_ord = met.frag_ord WHERE pos >= 0 AND pos + m <= length(f.seq)),
+events AS (SELECT *, hamming(ref, w) AS k FROM placed WHERE hamming(ref, w) <= {e})"""
+
+
+_LL = "[" + ", ".join(repr(scoring.log_odds(CONFIG)[a + b]) + "::DOUBLE" for a in "ACGT" for b in "ACGT") + "]"
+_QE = "[" + ", ".join(f"{e!r}::DOUBLE" for e in scoring.ERROR_OF_QUALITY) + "]"
+_SCORE = f"1 + list_sum(list_transform(range(1, m + 1), lambda j: ({_LL})[4 * (strpos('ACGT', substr(ref, j, 1)) - 1) + strpos('ACGT', substr(w, j, 1))] * (1 - ({_QE})[q[j] + 1])))"
+_S, _E = CONFIG.seed_mismatches, CONFIG.total_mismatches
+_EVENTS = "WITH " + _seeded(_FRAG, _READS, _S, _E)
+_SCORED = _EVENTS + f", scored AS (SELECT *, {_SCORE} AS score FROM events)"
+_OUT = "read_ord, strand, CAST(file_ord AS INT) AS file_ord, frag_ord, CAST(pos AS BIGINT) AS pos, CAST(k AS INT) AS k"
+_EPS = f"m * {CONFIG.total_mismatches} / 70.0"
+_MASK_READS = f"""masked AS (SELECT doc_id AS read_ord, regexp_replace(left(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', '{MASKED}'), 60), '[^ACGT]', 'N', 'g') AS seq FROM documents)"""
+_UNIQUE = """, locus AS (SELECT read_ord, file_ord, frag_ord, pos, min(k) AS k, arg_min(strand, {'k': k, 's': strand}) AS strand FROM events GROUP BY ALL),
+low AS (SELECT *, min(k) OVER (PARTITION BY read_ord) AS e FROM locus), one AS (SELECT *, count(*) OVER (PARTITION BY read_ord) AS n FROM low WHERE k = e)"""
+_CANON = f""", locus AS (SELECT read_ord, m, file_ord, frag_ord, pos, max({{'score': score, 'plus': strand = '+', 'nk': -k}}) AS b FROM scored GROUP BY ALL),
+top AS (SELECT *, max(b.score) OVER (PARTITION BY read_ord) AS best FROM locus),
+one AS (SELECT *, count(*) OVER (PARTITION BY read_ord) AS n FROM top WHERE b.score > best - {_EPS} OR b.score = best),
+best AS (SELECT read_ord, file_ord, frag_ord, pos, CASE WHEN b.plus THEN '+' ELSE '-' END AS strand, -b.nk AS k, b.score AS score FROM one WHERE n = 1)"""
+_CODE = lambda c: f"CAST(list_sum(list_transform(range(1, length({c}) + 1), lambda i: (strpos('ACGT', substr({c}, i, 1)) - 1) * CAST(pow(4, length({c}) - i) AS BIGINT))) AS BIGINT)"
+_STARTS = "starts AS (SELECT file_ord, frag_ord, sum(length(seq)) OVER (PARTITION BY file_ord ORDER BY frag_ord) - length(seq) AS start, sum(length(seq)) OVER (PARTITION BY file_ord ORDER BY frag_ord) AS next_start FROM frag)"
+
+
+def _odds_sql() -> str:
+    c = CONFIG
+    bias, change = c.gc_bias * (1 - c.gc) / c.gc, 1 - c.similarity
+    return f"""WITH b(x) AS (VALUES ('A'), ('C'), ('G'), ('T')),
+p AS (SELECT r.x AS ref_base, d.x AS read_base, CASE WHEN r.x = d.x THEN NULL ELSE {change!r}::DOUBLE * CASE WHEN r.x || d.x IN ('AG', 'GA', 'CT', 'TC') THEN {c.transitions!r}::DOUBLE ELSE {(1 - c.transitions) / 2!r}::DOUBLE END
+  / {bias + 1!r}::DOUBLE * CASE WHEN r.x IN ('G', 'C') THEN {bias / c.gc!r}::DOUBLE ELSE {1 / (1 - c.gc)!r}::DOUBLE END END AS moved FROM b r, b d),
+o AS (SELECT ref_base, read_base, coalesce(moved, 1 - sum(moved) OVER (PARTITION BY ref_base)) * {1 - c.error_rate!r}::DOUBLE / CASE WHEN read_base IN ('G', 'C') THEN {c.gc / 2!r}::DOUBLE ELSE {(1 - c.gc) / 2!r}::DOUBLE END AS odds FROM p)"""
+
+
+_FOLD = f""", ev AS (SELECT read_ord, list({{'st': 0, 'f': CAST(file_ord AS BIGINT), 'g': frag_ord, 'p': CAST(pos AS BIGINT), 's': strand, 'k': CAST(k AS BIGINT), 'v': score, 'e': {_EPS}::DOUBLE}} ORDER BY file_ord, strand, pair_idx, frag_ord, pos) AS es FROM scored GROUP BY read_ord),
+fold AS (SELECT read_ord, list_reduce(es, lambda a, x: CASE
+  WHEN a.st = 0 OR x.v > a.v + x.e THEN {{'st': 1, 'f': x.f, 'g': x.g, 'p': x.p, 's': x.s, 'k': x.k, 'v': x.v, 'e': x.e}}
+  WHEN a.st = 1 AND x.v > a.v - x.e AND NOT (a.f = x.f AND a.g = x.g AND a.p = x.p) THEN {{'st': 2, 'f': a.f, 'g': a.g, 'p': a.p, 's': a.s, 'k': a.k, 'v': a.v, 'e': a.e}}
+  ELSE a END, {{'st': 0, 'f': 0::BIGINT, 'g': 0::BIGINT, 'p': 0::BIGINT, 's': '', 'k': 0::BIGINT, 'v': 0::DOUBLE, 'e': 0::DOUBLE}}) AS r FROM ev)"""
+
+SQL = {
+    "encode_text": f"SELECT doc_id, {_ENC} AS seq FROM documents",
+    "base_composition": f"WITH {_FRAG} SELECT CAST(file_ord AS INT) AS file_ord, base, CAST(sum(length(seq) - length(replace(seq, base, ''))) AS BIGINT) AS n FROM frag, (VALUES ('A'), ('C'), ('G'), ('T')) b(base) GROUP BY ALL",
+    "read_count": f"WITH {_READS} SELECT count(*) AS n_reads, CAST(arg_min(length(seq), read_ord) AS INT) AS first_len FROM reads",
+    "dontcare_filter": f"WITH {_MASK_READS} SELECT read_ord, seq, CAST(length(seq) AS INT) AS len, contains(seq, 'N') AS has_n, length(seq) >= {L} AND NOT contains(seq, 'N') AS usable FROM masked",
+    "read_length_buckets": f"WITH {_MASK_READS} SELECT CAST(length(seq) AS INT) AS len, contains(seq, 'N') AS has_n, count(*) AS n_reads FROM masked GROUP BY ALL",
+    "rewrite_order": f"WITH {_MASK_READS} SELECT read_ord, CAST(length(seq) AS INT) AS len, contains(seq, 'N') AS has_n, row_number() OVER (ORDER BY length(seq), contains(seq, 'N'), read_ord) - 1 AS new_ord FROM masked",
+    "revcomp": f"WITH {_READS} SELECT read_ord, {_RC('seq')} AS rc FROM reads",
+    "quality_offset": f"WITH {_READS}, c AS (SELECT read_ord, unnest(qual) + 33 AS o, unnest(range(0, {LENGTH})) AS i FROM reads), x AS (SELECT arg_min(o, read_ord * 1000 + i) AS o FROM c WHERE o <= 54 OR o >= 94) SELECT CASE WHEN o IS NULL THEN 0 WHEN o <= 54 THEN 33 ELSE 64 END AS quality_offset FROM x",
+    "windows": f"WITH {_FRAG}, w AS (SELECT file_ord, frag_ord, seq, unnest(range(0, length(seq) - {L - 1})) AS pos FROM frag) SELECT CAST(file_ord AS INT) AS file_ord, frag_ord, count(*) AS n_windows, min(substr(seq, CAST(pos + 1 AS BIGINT), {L})) AS first_seed, max(substr(seq, CAST(pos + 1 AS BIGINT), {L})) AS last_seed, CAST(sum(pos) AS BIGINT) AS sum_pos FROM w GROUP BY ALL",
+    "seed_signatures": f"WITH {_READS}, m AS (SELECT read_ord, " + ", ".join(f"substr(seq, {i * L // 4 + 1}, {L // 4}) AS s{i}" for i in range(4)) + " FROM reads) SELECT read_ord, " + ", ".join(f"{_CODE(f's{i}')} AS m{i}" for i in range(4)) + " FROM m",
+    "pair_signatures": f"WITH {_READS} " + " UNION ALL ".join(f"SELECT read_ord, {i} AS pair_idx, substr(seq, {a * L // 4 + 1}, {L // 4}) || substr(seq, {b * L // 4 + 1}, {L // 4}) AS key FROM reads" for i, (a, b) in enumerate(PAIRS)),
+    "signature_histogram": f"WITH {_FRAG}, w AS (SELECT seq, unnest(range(0, length(seq) - {L - 1})) AS pos FROM frag) SELECT substr(seq, CAST(pos + 1 AS BIGINT), 6) AS prefix, count(*) AS n FROM w GROUP BY ALL",
+    "hamming_codes": f"WITH {_READS}, t AS (SELECT read_ord, p, CASE WHEN read_ord % 2 = 1 THEN {_RC('seq')} ELSE seq END AS own FROM reads) SELECT read_ord, CAST({_DIFF('left(own, 16)', 'p')} AS INT) AS differing, CAST({_DIFF('own', 'p')} AS INT) AS distance FROM t",
+    "rest_distance": f"WITH {_READS}, t AS (SELECT read_ord, right(p, {LENGTH - L}) AS p, right(CASE WHEN read_ord % 2 = 1 THEN {_RC('seq')} ELSE seq END, {LENGTH - L}) AS own FROM reads) SELECT read_ord, CAST({_DIFF('own', 'p')} AS INT) AS rest FROM t",
+    "fragment_starts": f"WITH {_FRAG}, {_STARTS} SELECT CAST(file_ord AS INT) AS file_ord, frag_ord, CAST(start AS BIGINT) AS start, CAST(next_start AS BIGINT) AS next_start FROM starts",
+    "position_to_fragment": f"WITH {_FRAG}, {_STARTS}, pos AS (SELECT file_ord, unnest(range(0, CAST(max(next_start) AS BIGINT), 997)) AS p FROM starts GROUP BY file_ord) SELECT CAST(s.file_ord AS INT) AS file_ord, p, frag_ord, CAST(p - start AS BIGINT) AS pos FROM pos JOIN starts s ON s.file_ord = pos.file_ord AND p >= start AND p < next_start",
+    "odds_matrix": _odds_sql() + " SELECT ref_base, read_base, round(odds, 9) AS odds, round(log2(odds), 9) AS log2_odds FROM o",
+    "score_table": _odds_sql() + f" SELECT ref_base, read_base, CAST(q AS INT) AS quality, round(log2(odds) * (1 - ({_QE})[CAST(q + 1 AS BIGINT)]), 6) AS entry FROM o, range(0, 63) r(q)",
+    "filter_value": f"WITH {_MASK_READS} SELECT DISTINCT CAST(length(seq) AS INT) AS len, level, round(length(seq) * mult * {CONFIG.total_mismatches} / 70.0, 6) AS epsilon FROM masked, (VALUES (0, 0.0::DOUBLE), (1, 0.5::DOUBLE), (2, 1.0::DOUBLE), (3, 2.0::DOUBLE), (4, 3.0::DOUBLE)) v(level, mult)",
+    "align_all": f"{_EVENTS} SELECT DISTINCT {_OUT} FROM events",
+    "align_all_scored": f"{_SCORED} SELECT DISTINCT {_OUT}, round(score, 4) AS score FROM scored",
+    "align_all_ranked": f"{_EVENTS}, h AS (SELECT DISTINCT {_OUT} FROM events) SELECT *, CAST(row_number() OVER (PARTITION BY read_ord ORDER BY k, pos, file_ord, frag_ord, strand) AS INT) AS rank FROM h",
+    "hits_per_read": f"{_EVENTS}, h AS (SELECT DISTINCT {_OUT} FROM events) SELECT read_ord, count(*) AS n_hits, min(k) AS least_k FROM h GROUP BY read_ord",
+    "align_unique": f"{_EVENTS}{_UNIQUE} SELECT {_OUT} FROM one WHERE n = 1",
+    "unique_count": f"{_EVENTS}{_UNIQUE} SELECT strand, count(*) AS n_unique FROM one WHERE n = 1 GROUP BY strand",
+    "align_unique_scored_canonical": f"{_SCORED}{_CANON} SELECT {_OUT}, round(score, 4) AS score FROM best",
+    "align_unique_scored_fold": f"{_SCORED}{_FOLD} SELECT read_ord, r.s AS strand, CAST(r.f AS INT) AS file_ord, r.g AS frag_ord, r.p AS pos, CAST(r.k AS INT) AS k, round(r.v, 4) AS score FROM fold WHERE r.st = 1",
+    "matched_reads": f"{_EVENTS} SELECT DISTINCT read_ord FROM events",
+    "unmatched_reads": f"{_EVENTS} SELECT read_ord FROM reads WHERE read_ord NOT IN (SELECT read_ord FROM events)",
+    "alignment_report": f"{_SCORED}{_CANON} SELECT read_id, CASE WHEN strand = '-' THEN {_RC('seq')} ELSE seq END AS seq, round(score, 4) AS score, 1 AS n_hits, 'a' AS pair, {LENGTH} AS len, strand, CAST(frag_ord AS VARCHAR) AS ref_id, CAST(pos + 1 AS BIGINT) AS pos, '' AS hit_type, CAST(k AS INT) AS errors FROM best JOIN reads USING (read_ord)",
+    "simulate_reads": f"WITH {_READS} SELECT read_ord, read_id, seq AS raw, array_to_string(qual, ',') AS qual FROM reads",
+    "random_text": "SELECT i // 60 AS line_no, string_agg(substr('ACGT', CAST(((((i + 1) * 1103515245 + 12345) % 2147483648) >> 16) % 4 + 1 AS BIGINT), 1), '' ORDER BY i) AS line FROM range(0, 60000) r(i) GROUP BY ALL",
+    # every window against every item, no seeds: the definition itself
+    "contamination_hits": f"WITH {_FRAG}, items AS (SELECT item_id, left({_ENC}, 36) AS s FROM benchmark), two AS (SELECT item_id, '+' AS strand, s AS w, left(s, {L}) AS seed FROM items WHERE length(s) = 36 UNION ALL SELECT item_id, '-', {_RC('s')}, right({_RC('s')}, {L}) FROM items WHERE length(s) = 36), win AS (SELECT file_ord, frag_ord, pos, substr(seq, CAST(pos + 1 AS BIGINT), 36) AS ref FROM (SELECT *, unnest(range(0, length(seq) - 35)) AS pos FROM frag)) SELECT item_id AS read_ord, strand, CAST(file_ord AS INT) AS file_ord, frag_ord, CAST(pos AS BIGINT) AS pos, CAST(hamming(ref, w) AS INT) AS k FROM win, two WHERE hamming(ref, w) <= {_E} AND hamming(CASE WHEN strand = '+' THEN left(ref, {L}) ELSE right(ref, {L}) END, seed) <= {_S}",
+}
