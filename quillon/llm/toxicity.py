@@ -23,7 +23,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, map_rows, stash, table, texts
+from .common import arrow_schema, fold, map_rows, stash, table, texts
 
 SAMPLE, VOCABULARY, K, BLOCK, LEVEL = 12_000, 8_192, 15, 64, 0.001
 WORD = re.compile(r"\w+")
@@ -232,6 +232,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn, sample: int = SAM
     return stash(picked, "toxicity-sample")
 
 
+def term_counts(vectors: DataFrame) -> DataFrame:
+    """(t, n): documents with each term, summed up within a task first."""
+    schema = arrow_schema("t int, n long")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros(VOCABULARY + 1, np.int64)
+        for b in batches:
+            terms = b.column(0).flatten().to_numpy(zero_copy_only=False)
+            if len(terms):
+                total += np.bincount(terms.astype(np.int64), minlength=len(total))
+        t = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(total[t])], schema=schema)
+
+    return vectors.select("terms").mapInArrow(run, "t int, n long")
+
+
 def learn_model(docs: DataFrame, labels: DataFrame, learn=lambda c: F.lit(True), sample: int = SAMPLE) -> tuple[Model, DataFrame]:
     """The model, and doc_id, text hash, terms, counts of every document in the model's vocabulary."""
     drawn = labelled_sample(docs, labels, learn, sample)
@@ -251,7 +270,7 @@ def learn_model(docs: DataFrame, labels: DataFrame, learn=lambda c: F.lit(True),
 
     every = stash(vectors(texts(docs), "", ""), "toxicity-vectors")
     n = every.count()
-    df = dict(every.select(F.explode("terms").alias("t")).groupBy("t").count().collect())  # at most VOCABULARY rows
+    df = dict(term_counts(every).groupBy("t").agg(F.sum("n")).collect())  # at most VOCABULARY rows
     idf = [math.log((n + 1) / (df.get(i, 0) + 0.5)) + 1 for i in range(len(terms))] + [1.0]
     rows = vectors(texts(drawn, "toxic"), "toxic", ", toxic int").collect()  # about SAMPLE rows of at most VOCABULARY terms
     examples = sorted((r.doc_id, r.toxic, dict(zip(r.terms, r.counts))) for r in rows) if rows else []
