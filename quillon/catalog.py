@@ -146,7 +146,7 @@ def q_score_table(spark, d):
     base = spark.createDataFrame([(k[0], k[1], v) for k, v in scoring.log_odds(CONFIG).items()], "ref_base string, read_base string, v double")
     certain = F.array(*[F.lit(1 - e) for e in scoring.ERROR_OF_QUALITY])
     each = base.withColumn("quality", F.explode(F.sequence(F.lit(0), F.lit(62))))
-    return each.select("ref_base", "read_base", "quality", F.round(F.col("v") * F.element_at(certain, F.col("quality") + 1), 6).alias("entry"))
+    return each.select("ref_base", "read_base", "quality", (F.round(F.col("v") * F.element_at(certain, F.col("quality") + 1), 6) + F.lit(0.0)).alias("entry"))
 
 
 def q_filter_value(spark, d):
@@ -224,12 +224,12 @@ _ENC = "translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklm
 _RC = "translate(reverse({0}), 'ACGT', 'TGCA')".format
 _DIFF = "len(list_filter(range(1, length({0}) + 1), lambda j: substr({0}, j, 1) != substr({1}, j, 1)))".format
 _FRAG = f"frag AS (SELECT * FROM (SELECT dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS file_ord, doc_id AS frag_ord, CAST(doc_id AS VARCHAR) AS ref_id, {_ENC} AS seq FROM documents) WHERE length(seq) > 0)"
-_READS = f"""src AS (SELECT doc_id, s, doc_id * 7919 % (length(s) - {LENGTH}) AS at FROM (SELECT doc_id, {_ENC} AS s FROM documents) WHERE length(s) >= 200),
-part AS (SELECT doc_id, at, substr(s, at + 1, {LENGTH}) AS p FROM src),
+_READS = f"""src AS (SELECT doc_id, s, doc_id * 7919 % (length(s) - {LENGTH}) AS place FROM (SELECT doc_id, {_ENC} AS s FROM documents) WHERE length(s) >= 200),
+part AS (SELECT doc_id, place, substr(s, CAST(place + 1 AS BIGINT), {LENGTH}) AS p FROM src),
 mut AS (SELECT *, list_transform(range(0, {LENGTH}), lambda j: (doc_id * 31 + j * j * 17) % (7 + doc_id % 17) = 0) AS hit FROM part),
 new AS (SELECT *, array_to_string(list_transform(range(0, {LENGTH}), lambda j: CASE WHEN hit[j + 1] THEN translate(substr(p, j + 1, 1), 'ACGT', 'CGTA') ELSE substr(p, j + 1, 1) END), '') AS n FROM mut),
-reads AS (SELECT doc_id AS read_ord, at, p, CASE WHEN doc_id % 2 = 1 THEN {_RC('n')} ELSE n END AS seq,
-  'p' || at || CASE WHEN doc_id % 2 = 1 THEN '_inv' ELSE '' END || coalesce(array_to_string(list_transform(list_filter(range(0, {LENGTH}), lambda j: hit[j + 1]), lambda j: '_' || j || substr(p, j + 1, 1) || translate(substr(p, j + 1, 1), 'ACGT', 'CGTA')), ''), '') AS read_id,
+reads AS (SELECT doc_id AS read_ord, place, p, CASE WHEN doc_id % 2 = 1 THEN {_RC('n')} ELSE n END AS seq,
+  'p' || place || CASE WHEN doc_id % 2 = 1 THEN '_inv' ELSE '' END || coalesce(array_to_string(list_transform(list_filter(range(0, {LENGTH}), lambda j: hit[j + 1]), lambda j: '_' || j || substr(p, j + 1, 1) || translate(substr(p, j + 1, 1), 'ACGT', 'CGTA')), ''), '') AS read_id,
   list_transform(range(0, {LENGTH}), lambda j: 20 + (doc_id * 13 + j * 7) % 20) AS qual FROM new)"""
 
 
@@ -237,12 +237,12 @@ def _seeded(frag: str, reads_cte: str, s: int, e: int) -> str:
     """CTEs up to events: each hit once for each quarter pair that finds it."""
     q = L // 4
     cols = ", ".join(f"substr(seed, {i * q + 1}, {q}) AS m{i}" for i in range(4))
-    joins = " UNION ALL ".join(f"SELECT {i} AS pair_idx, w.file_ord, w.frag_ord, w.at, w.seed, t.* FROM win w JOIN two t ON w.m{a} = t.m{a} AND w.m{b} = t.m{b}" for i, (a, b) in enumerate(PAIRS))
+    joins = " UNION ALL ".join(f"SELECT {i} AS pair_idx, w.file_ord, w.frag_ord, w.place, w.seed, t.* FROM win w JOIN two t ON w.m{a} = t.m{a} AND w.m{b} = t.m{b}" for i, (a, b) in enumerate(PAIRS))
     return f"""{frag}, {reads_cte},
-win AS (SELECT *, {cols} FROM (SELECT *, substr(seq, CAST(at + 1 AS BIGINT), {L}) AS seed FROM (SELECT file_ord, frag_ord, seq, unnest(range(0, length(seq) - {L - 1})) AS at FROM frag))),
+win AS (SELECT *, {cols} FROM (SELECT *, substr(seq, CAST(place + 1 AS BIGINT), {L}) AS seed FROM (SELECT file_ord, frag_ord, seq, unnest(range(0, length(seq) - {L - 1})) AS place FROM frag))),
 two AS (SELECT *, {cols.replace('seed', 'rseed')} FROM (SELECT read_ord, '+' AS strand, seq AS w, substr(seq, 1, {L}) AS rseed, length(seq) AS m, qual AS q FROM reads WHERE length(seq) >= {L}
   UNION ALL SELECT read_ord, '-', {_RC('seq')}, right({_RC('seq')}, {L}), length(seq), list_reverse(qual) FROM reads WHERE length(seq) >= {L})),
-met AS (SELECT *, CASE WHEN strand = '+' THEN at ELSE at - (m - {L}) END AS pos FROM ({joins}) WHERE hamming(seed, rseed) <= {s}),
+met AS (SELECT *, CASE WHEN strand = '+' THEN place ELSE place - (m - {L}) END AS pos FROM ({joins}) WHERE hamming(seed, rseed) <= {s}),
 placed AS (SELECT met.*, substr(f.seq, CAST(pos + 1 AS BIGINT), m) AS ref FROM met JOIN frag f ON f.file_ord = met.file_ord AND f.frag_ord = met.frag_ord WHERE pos >= 0 AND pos + m <= length(f.seq)),
 events AS (SELECT *, hamming(ref, w) AS k FROM placed WHERE hamming(ref, w) <= {e})"""
 
@@ -299,7 +299,7 @@ SQL = {
     "fragment_starts": f"WITH {_FRAG}, {_STARTS} SELECT CAST(file_ord AS INT) AS file_ord, frag_ord, CAST(start AS BIGINT) AS start, CAST(next_start AS BIGINT) AS next_start FROM starts",
     "position_to_fragment": f"WITH {_FRAG}, {_STARTS}, pos AS (SELECT file_ord, unnest(range(0, CAST(max(next_start) AS BIGINT), 997)) AS p FROM starts GROUP BY file_ord) SELECT CAST(s.file_ord AS INT) AS file_ord, p, frag_ord, CAST(p - start AS BIGINT) AS pos FROM pos JOIN starts s ON s.file_ord = pos.file_ord AND p >= start AND p < next_start",
     "odds_matrix": _odds_sql() + " SELECT ref_base, read_base, round(odds, 9) AS odds, round(log2(odds), 9) AS log2_odds FROM o",
-    "score_table": _odds_sql() + f" SELECT ref_base, read_base, CAST(q AS INT) AS quality, round(log2(odds) * (1 - ({_QE})[CAST(q + 1 AS BIGINT)]), 6) AS entry FROM o, range(0, 63) r(q)",
+    "score_table": _odds_sql() + f" SELECT ref_base, read_base, CAST(q AS INT) AS quality, round(log2(odds) * (1 - ({_QE})[CAST(q + 1 AS BIGINT)]), 6) + 0::DOUBLE AS entry FROM o, range(0, 63) r(q)",
     "filter_value": f"WITH {_MASK_READS} SELECT DISTINCT CAST(length(seq) AS INT) AS len, level, round(length(seq) * mult * {CONFIG.total_mismatches} / 70.0, 6) AS epsilon FROM masked, (VALUES (0, 0.0::DOUBLE), (1, 0.5::DOUBLE), (2, 1.0::DOUBLE), (3, 2.0::DOUBLE), (4, 3.0::DOUBLE)) v(level, mult)",
     "align_all": f"{_EVENTS} SELECT DISTINCT {_OUT} FROM events",
     "align_all_scored": f"{_SCORED} SELECT DISTINCT {_OUT}, round(score, 4) AS score FROM scored",

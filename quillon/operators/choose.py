@@ -70,6 +70,7 @@ def report(best: DataFrame, reads: DataFrame, fragments: DataFrame, scored: bool
 
     ids = reads.select("read_ord", "read_id", F.col("seq").alias("_seq"), "len")
     refs = fragments.select("file_ord", "frag_ord", "ref_id")
+    best = best.select("read_ord", "file_ord", "frag_ord", "pos", "strand", "k", *(["score"] if scored else []))
     b = best.join(ids, "read_ord").join(refs, ["file_ord", "frag_ord"])
     seq = F.when(b["strand"] == "-", reverse_complement(F.col("_seq"))).otherwise(F.col("_seq"))
     return b.select(
