@@ -85,10 +85,18 @@ class Pieces:
         self.ids = {p: i for i, (p, _, t) in enumerate(rows) if t == NORMAL}
         self.bytes = {int(p[1:-1], 16): i for i, (p, _, t) in enumerate(rows) if t == BYTE}
         self.longest = max(map(len, self.ids))
+        self.reach: dict[str, int] = {}  # the longest piece that ends in these two characters
+        for p in self.ids:
+            self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 1))
+        # a piece's text; of bytes beyond ASCII it depends on their neighbours
+        self.text = [p if t == NORMAL else "" for p, _, t in rows]
+        for b, i in self.bytes.items():
+            self.text[i] = chr(b) if b < 128 else ""
+        self.joint = {i for b, i in self.bytes.items() if b >= 128}
         self.unknown = min(s for _, s, t in rows if t == NORMAL) - 10
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids):
             raise ValueError("pieces go across words")
-        self.memory: dict[tuple[int, int], bool] = {}
+        self.memory: dict[int, bool] = {}
         self.known: dict[str, list[int]] = {}
         self.cut = re.compile(rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
@@ -124,7 +132,7 @@ class Pieces:
         """Whether the arc of piece b may come after piece a."""
         if self.kind != BPE or b < NOTHING and a <= NOTHING:
             return True
-        key = (a, b)
+        key = a * 4_194_304 + b  # characters without a piece are numbered down to -1_114_113
         ok = self.memory.get(key)
         if ok is None:
             x, y = self.spell(a) if a != NOTHING else "", self.spell(b)
@@ -142,12 +150,14 @@ class Pieces:
         n = hi - lo + 1
         value, last, size = [None] * n, [None] * n, [0] * n
         value[0], last[0] = 0.0, piece
-        get, bpe, agree, by = self.ids.get, self.kind == BPE, 0, None
+        get, bpe, agree, by, reach, sure = self.ids.get, self.kind == BPE, 0, None, self.reach.get, self.memory.get
         for i in range(lo + 1, hi + 1):
             best = None
-            for k in range(min(self.longest, i - lo), 0, -1):
+            most = reach(s[i - 2 : i], 1) if i - lo > 1 else 1
+            for k in range(most if most < i - lo else i - lo, 0, -1):
                 j = i - k - lo
-                if last[j] is None:
+                before = last[j]
+                if before is None:
                     continue
                 p = get(s[i - k : i])
                 if p is None:
@@ -155,7 +165,8 @@ class Pieces:
                         continue
                     p = -2 - ord(s[i - 1])
                 if bpe:
-                    if self.follows(last[j], p):
+                    ok = sure(before * 4_194_304 + p)
+                    if ok or ok is None and self.follows(before, p):
                         best = (0.0, p, k)
                         break
                 else:
@@ -207,6 +218,9 @@ class Pieces:
         return self.to_ids(out) if min(out) < 0 else out
 
     def decode(self, ids: list[int]) -> str:
+        if self.joint.isdisjoint(ids):
+            text = "".join(map(self.text.__getitem__, ids)).replace(SPACE, " ")
+            return text[1:] if text.startswith(" ") else text
         out, raw = [], bytearray()
         for i in [*ids, None]:
             if i is not None and self.types[i] == BYTE:
