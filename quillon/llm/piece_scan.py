@@ -7,7 +7,7 @@ is the library's segmentation. A boundary state is (how many characters before t
 
 A giant document is split into chunks of CHUNK characters. Each gives, independently, the matrix from the states at its left boundary to
 those at its right; the matrices are combined associatively, the best path's states are read off at every boundary, and each chunk is then traced
-back on its own between its two states. Positions that no piece crosses (before a space after another character, around a line feed) are certain
+back on its own between its two states. Positions that no piece crosses (before a space after another character or a mark after a letter, around a line feed) are certain
 boundaries: stretches between them are encoded alone and remembered, and starts before the first of them meet there.
 
 Defined results: a null text is an empty one and has no ids; characters without a piece become their UTF-8 bytes' pieces; decoding gives back
@@ -18,6 +18,7 @@ ignored.
 from __future__ import annotations
 
 import re
+import string
 import struct
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,7 +99,10 @@ class Pieces:
             raise ValueError("pieces go across words")
         self.memory: dict[int, bool] = {}
         self.known: dict[str, list[int]] = {}
-        self.cut = re.compile(rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
+        joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        marks = re.escape("".join(m for m in string.punctuation if not any(c + m in joined for c in string.ascii_letters)))
+        to_mark = rf"[A-Za-z]+(?=[{marks}])|" if marks else ""  # no piece holds a letter and such a mark after it
+        self.cut = re.compile(rf"\n|{SPACE}+(?:{to_mark}[^{SPACE}\n]*)|{to_mark}[^{SPACE}\n]+")
 
     @classmethod
     def of_process(cls, path: str):
