@@ -141,9 +141,9 @@ class Signatures:
                 ok[i] = most >= self.need(na, nb)
         return ok
 
-    def tree_pairs(self, members, fresh):
-        """Pairs of members (i, j) that may link, by dual traversal of their signature tree. fresh(i, j): whether a pair is still wanted,
-        for index arrays; asked again for each leaf pair of nodes, so that what was found meanwhile prunes the rest."""
+    def tree_pairs(self, members, roots):
+        """Pairs of members (i, j) that may link, by dual traversal of their signature tree. roots(array): the tree of pairs found so far that each
+        class is in; pairs within one are not wanted. Asked again for every node, so that what was found meanwhile prunes whole nodes."""
         import numpy as np
 
         members = members[np.lexsort((members, self.n[members]))]
@@ -159,14 +159,15 @@ class Signatures:
             least, largest, spare = np.minimum.reduceat(n, cut), np.maximum.reduceat(n, cut), np.maximum.reduceat(excess, cut)
             for u in range(-(-len(low) // NODE)):
                 v = np.arange(u, len(cut))
+                tree = roots(both)
+                low_root, high_root = np.minimum.reduceat(tree, cut), np.maximum.reduceat(tree, cut)
+                v = v[(low_root[v] != low_root[u]) | (high_root[v] != low_root[u]) | (high_root[u] != low_root[u])]
                 v = v[(100 * largest[v] >= self.percent * least[u]) & (100 * largest[u] >= self.percent * least[v])]
                 most = np.bitwise_count(joined[u] & joined[v]).sum(1, dtype=np.int64) + np.minimum(spare[u], spare[v])
                 for w in v[most >= self.need(least[u], least[v])].tolist():
                     i, j = (x.ravel() for x in np.meshgrid(np.arange(u * NODE, min((u + 1) * NODE, len(low))), np.arange(w * NODE, min((w + 1) * NODE, len(both))), indexing="ij"))
-                    some = i < j
+                    some = (i < j) & (tree[i] != tree[j])
                     i, j = both[i[some]], both[j[some]]
-                    some = fresh(i, j)
-                    i, j = i[some], j[some]
                     if len(i):
                         some = self.may_link(i, j)
                         yield i[some], j[some]
@@ -211,14 +212,13 @@ def candidate_forest(sizes: list[int], bitmaps: list[bytes], units: dict, percen
         few = few[s.may_link(few[:, 0], few[:, 1])]
         out += [(i, j) for i, j in few.tolist() if forest.join(i, j)]
 
-    def fresh(i, j):
-        roots = {x: forest.root(x) for x in {*i.tolist(), *j.tolist()}}
-        return np.array([roots[x] for x in i.tolist()]) != np.array([roots[x] for x in j.tolist()])
+    def roots(members):
+        return np.array([forest.root(x) for x in members.tolist()])
 
     for size, some in by_size.items():
         if size > FEW:
             for members in some:
-                for i, j in s.tree_pairs(np.array(members, np.int64), fresh):
+                for i, j in s.tree_pairs(np.array(members, np.int64), roots):
                     out += [(x, y) for x, y in zip(i.tolist(), j.tolist()) if forest.join(x, y)]
     return out
 
