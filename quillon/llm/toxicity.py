@@ -1,13 +1,16 @@
 """Operator 3: toxicity by the nearest labelled examples.
 
-Terms are words of the lower-cased text and their leading 4 and 5 letters. From a bounded hash sample of labelled documents (SAMPLE) the
-terms that go with a label beyond chance (exact hypergeometric tail, Bonferroni over all terms) make the vocabulary, at most VOCABULARY
-terms; their document frequencies are counted over all documents. The examples' TF-IDF vectors lie in an inverted index whose postings are cut
-into blocks of BLOCK examples with the largest weight of each; a query visits blocks by falling upper bound and stops when no block
-can reach its K-th best, so its K nearest are exact. Neighbours vote with weight 1 / (1.05 - cosine); a monotone table fitted by leaving
-each example out maps vote shares to observed rates. A text without any vocabulary term gets the rate of such examples.
-
-The driver gathers the vocabulary and the examples' vectors only: both have fixed bounds.
+A text's vector holds all of its words (lower-cased), and the leading 4 and 5 letters of a word where those go with a label. From a bounded hash
+sample of labelled documents (SAMPLE) the words and leads that go with a label beyond chance (exact hypergeometric tail, Bonferroni over all
+terms) are learned, at most VOCABULARY; they weigh more than others by how certain they are, and no word is left out. Document frequencies
+are counted over all documents for each term of the examples; a word that no example has meets none, and lengthens the vector as a word
+of one document. The examples' TF-IDF vectors lie in an inverted index, and a batch of texts meets all postings of its terms: those of the
+DENSE commonest terms as a matrix, the others list by list. Cosines are exact and no example is passed over. (Bounds of blocks of examples do not pay on
+vectors of whole texts: the K-th best cosine is about 0.1, and the common words alone add as much.)
+Neighbours vote with weight 1 / (1.05 - cosine); a monotone table fitted by leaving each example out maps vote shares to observed rates.
+A text that shares no word with any example gets the rate of examples without words.
+
+The driver gathers the learned terms, the words of the examples and their vectors: as much as the sample's texts.
 
 Defined results: a null or empty text has no terms; with no labelled documents all scores are 0; equal cosines are ranked by example
 order (doc_id, then text); repeated rows each get their row; a document with several labels counts as toxic if any says so; labels that
@@ -23,14 +26,20 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, fold, map_rows, stash, table, texts
+from .common import arrow_schema, fold, map_rows, small_batches, stash, table, texts
 
-SAMPLE, VOCABULARY, K, BLOCK, LEVEL = 12_000, 8_192, 15, 64, 0.001
+SAMPLE, VOCABULARY, K, BLOCK, LEVEL, CHUNK, DENSE = 12_000, 8_192, 15, 64, 0.001, 65_536, 256
 WORD = re.compile(r"\w+")
+ASCII_GAPS = {i: " " for i in range(128) if not WORD.match(chr(i))}
+
+
+def words_of(text: str) -> list[str]:
+    text = text.lower()
+    return text.translate(ASCII_GAPS).split() if text.isascii() else WORD.findall(text)
 
 
 def terms_of(text: str | None) -> Counter:
-    counts = Counter(WORD.findall(text.lower())) if text else Counter()
+    counts = Counter(words_of(text)) if text else Counter()
     for w, n in list(counts.items()):
         for k in (4, 5):
             if len(w) >= k:
@@ -39,28 +48,34 @@ def terms_of(text: str | None) -> Counter:
 
 
 class Vocabulary:
-    """Finds the vocabulary's terms in a text; a word's first four letters rule most words out.
-
-    A text with any term also has one for its words at large (numbered after the others), so that a chance hit in a long text
-    does not look like a text full of them.
-    """
-
-    def __init__(self, terms: list[str]):
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.heads = {t.rstrip("*")[:4] for t in terms}
-
-    def vector(self, text: str | None) -> dict[int, int]:
-        if not text or not self.number:
-            return {}
-        heads, number, found = self.heads, self.number, {}
-        for w in WORD.findall(text.lower()):
-            if w[:4] in heads:
-                for t in (w, w[:4] + "*", w[:5] + "*") if len(w) > 4 else (w, w + "*") if len(w) == 4 else (w,):
-                    if t in number:
-                        found[number[t]] = found.get(number[t], 0) + 1
-        if found:
-            found[len(number)] = text.count(" ") + 1
-        return found
+    """Numbers the terms of a text: learned leads first, then all words of the examples. Kept as one string until a task needs it."""
+
+    def __init__(self, leads: list[str], words: list[str]):
+        self.size, self.joined, self.number = len(leads) + len(words), "\n".join([*leads, *words]), None
+        self.heads = {t.rstrip("*")[:4] for t in leads}
+
+    def __getstate__(self):
+        return {**self.__dict__, "number": None}
+
+    def vector(self, text: str | None):
+        """Term numbers and counts as arrays, and the counts of the words that have no number."""
+        import numpy as np
+
+        if self.number is None:
+            self.number = {t: i for i, t in enumerate(self.joined.split("\n"))} if self.size else {}
+        number, heads, found, rest = self.number, self.heads, {}, []
+        for w, n in Counter(words_of(text)).items() if text else ():
+            i = number.get(w)
+            if i is None:
+                rest.append(n)
+            else:
+                found[i] = n
+            if len(w) > 3 and w[:4] in heads:
+                for k in (4, 5):
+                    i = number.get(w[:k] + "*") if len(w) >= k else None
+                    if i is not None:
+                        found[i] = found.get(i, 0) + n
+        return np.fromiter(found, np.int32, len(found)), np.fromiter(found.values(), np.int32, len(found)), np.array(rest, np.int32)
 
 
 def tail(a: int, marked: int, n1: int, n: int) -> float:
@@ -76,8 +91,8 @@ def tail(a: int, marked: int, n1: int, n: int) -> float:
     return m + math.log(math.fsum(math.exp(x - m) for x in logs))
 
 
-def learn_terms(sample: DataFrame, size: int = VOCABULARY, level: float = LEVEL) -> list[str]:
-    """The terms whose documents carry one label more often than chance allows, most certain first."""
+def learn_terms(sample: DataFrame, size: int = VOCABULARY, level: float = LEVEL) -> tuple[dict[str, float], list[str]]:
+    """The terms whose documents carry one label more often than chance allows, with their weights (over 1), and all words of the sample."""
 
     def make():
         def each(text, toxic):
@@ -94,8 +109,9 @@ def learn_terms(sample: DataFrame, size: int = VOCABULARY, level: float = LEVEL)
     sides = sample.groupBy("toxic").count().collect()  # two rows
     n = {r.toxic: r["count"] for r in sides}
     n0, n1 = n.get(0, 0), n.get(1, 0)
+    words = sorted(counts.filter(~F.endswith("term", F.lit("*"))).select("term").toArrow().column(0).to_pylist())  # as much as the sample's texts
     if not n0 or not n1:
-        return []
+        return {}, words
     tests = 2 * counts.count()
     limit = math.log(level / tests)
 
@@ -109,77 +125,87 @@ def learn_terms(sample: DataFrame, size: int = VOCABULARY, level: float = LEVEL)
     # only a term off the base rate can pass
     worth = counts.filter((F.abs(F.col("toxic") - (F.col("clean") + F.col("toxic")) * (n1 / (n0 + n1))) > 2))
     best = worth.mapInPandas(certain, "term string, p double").orderBy("p", "term").limit(size)
-    return [r.term for r in best.collect()]  # at most VOCABULARY terms
+    return {r.term: 1 + limit - r.p for r in best.collect()}, words  # at most VOCABULARY terms
 
 
 class Index:
-    """Block-max inverted index of example vectors; example: (name, label, {term: weight}) with unit length."""
+    """Inverted index of example vectors; example: (name, label, {term: weight}) or (name, label, (terms, weights)), of unit length."""
 
     def __init__(self, examples: list[tuple]):
         import numpy as np
 
-        self.names, self.labels = [e[0] for e in examples], [e[1] for e in examples]
-        self.blocks = -(-len(examples) // BLOCK)
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for i, (_, _, v) in enumerate(examples):
-            for t, w in v.items():
-                lists.setdefault(t, []).append((i, w))
-        self.postings = {}
-        for t, p in lists.items():
-            ids, weights = np.array([x[0] for x in p]), np.array([x[1] for x in p])
-            starts = np.searchsorted(ids, np.arange(self.blocks + 1) * BLOCK)
-            most = np.zeros(self.blocks)
-            np.maximum.at(most, ids // BLOCK, weights)
-            self.postings[t] = (ids, weights, starts, most)
-
-    def nearest(self, q: dict[int, float], k: int = K, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest cosine (above 0), exactly; ties by example order."""
+        self.names, self.labels = [e[0] for e in examples], np.array([e[1] for e in examples], np.float64)
+        pairs = [self.arrays(v) for _, _, v in examples]
+        terms = np.concatenate([np.zeros(0, np.int64), *[p[0] for p in pairs]])
+        order = np.argsort(terms, kind="stable")
+        self.ids = np.repeat(np.arange(len(examples), dtype=np.int32), [len(p[0]) for p in pairs])[order]
+        self.weights = np.concatenate([np.zeros(0), *[p[1] for p in pairs]])[order]
+        df = np.bincount(terms)
+        self.start = np.concatenate([[0], np.cumsum(df)])
+        self.common, self.matrix = np.argsort(-df, kind="stable")[:DENSE], None
+
+    def __getstate__(self):
+        return {**self.__dict__, "matrix": None}
+
+    @staticmethod
+    def arrays(v):
+        import numpy as np
+
+        return (np.fromiter(v, np.int64, len(v)), np.fromiter(v.values(), np.float64, len(v))) if isinstance(v, dict) else v
+
+    def scores(self, queries):
+        """Dot products of some queries (terms, weights) with all examples."""
+        import numpy as np
+
+        n = len(self.names)
+        if self.matrix is None:
+            self.row = np.full(len(self.start), -1, np.int32)
+            self.row[self.common] = np.arange(len(self.common))
+            self.matrix = np.zeros((len(self.common), n))
+            for k, t in enumerate(self.common.tolist()):
+                self.matrix[k, self.ids[self.start[t] : self.start[t + 1]]] = self.weights[self.start[t] : self.start[t + 1]]
+        dense, out = np.zeros((len(queries), len(self.common))), []
+        for q, (terms, weights) in enumerate(queries):
+            known = terms < len(self.start) - 1
+            terms, weights = terms[known], weights[known]
+            row = self.row[terms]
+            dense[q, row[row >= 0]] = weights[row >= 0]
+            terms, weights = terms[row < 0], weights[row < 0]
+            order = np.argsort(terms)
+            terms, weights = terms[order], weights[order]
+            runs = list(zip(self.start[terms].tolist(), self.start[terms + 1].tolist()))
+            if not runs:
+                out.append(np.zeros(n))
+                continue
+            value = np.concatenate([self.weights[i:j] for i, j in runs])
+            value *= np.repeat(weights, [j - i for i, j in runs])
+            out.append(np.bincount(np.concatenate([self.ids[i:j] for i, j in runs]), value, n) if len(value) else np.zeros(n))
+        return dense @ self.matrix + np.array(out).reshape(len(queries), n)
+
+    def nearest_of(self, queries: list, k: int = K, without: int | None = None) -> list[list[tuple[float, int]]]:
+        """For each query, the k examples of largest cosine (above 0), exactly; ties by example order. without: query i leaves out example without + i."""
         import numpy as np
 
-        lists = [(w, *self.postings[t]) for t, w in sorted(q.items()) if t in self.postings]
-        if not lists:
-            return []
-        bound = sum(w * most for w, _, _, _, most in lists) + 1e-9
-        scores = np.zeros(self.blocks * BLOCK)
-
-        def score(blocks) -> None:
-            for b in blocks:
-                for w, ids, weights, starts, _ in lists:
-                    i, j = starts[b], starts[b + 1]
-                    scores[ids[i:j]] += w * weights[i:j]
-
-        def best():
-            """The k best of what is scored, and the k-th score."""
-            seen = np.flatnonzero(scores > 0)
-            value = scores[seen].round(12)
-            if len(seen) > k:
-                least = np.partition(value, len(seen) - k)[len(seen) - k]
-                seen, value = seen[value >= least], value[value >= least]
-            order = np.lexsort((seen, -value))[:k]
-            return [(float(value[i]), int(seen[i])) for i in order], float(value[order[-1]]) if len(order) == k else 0.0
-
-        first = np.argsort(-bound, kind="stable")[:2]
-        score(first)
-        if without >= 0:
-            scores[without] = 0
-        found, least = best()
-        alive = (bound >= least) & (bound > 2e-9)
-        alive[first] = False
-        if alive.sum() <= 4:
-            score(np.flatnonzero(alive))
-        else:  # many blocks: all postings at once, then only the blocks that count
-            scores[:] = 0
-            for w, ids, weights, _, _ in lists:
-                scores[ids] += w * weights
-            alive[first] = True
-            scores.reshape(-1, BLOCK)[~alive] = 0
-        if without >= 0:
-            scores[without] = 0
-        return best()[0] if alive.any() else found
+        found, queries = [], [self.arrays(q) for q in queries]
+        for at in range(0, len(queries), BLOCK):
+            for scores in self.scores(queries[at : at + BLOCK]):
+                if without is not None:
+                    scores[without + len(found)] = 0
+                seen = np.flatnonzero(scores > 0)
+                value = scores[seen].round(12)
+                if len(seen) > k:
+                    least = np.partition(value, len(seen) - k)[len(seen) - k]
+                    seen, value = seen[value >= least], value[value >= least]
+                order = np.lexsort((seen, -value))[:k]
+                found.append([(float(value[i]), int(seen[i])) for i in order])
+        return found
+
+    def nearest(self, q, k: int = K) -> list[tuple[float, int]]:
+        return self.nearest_of([q], k)[0]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         weights = [1 / (1.05 - min(1.0, s)) for s, _ in near]
-        return sum(w * self.labels[i] for w, (_, i) in zip(weights, near)) / sum(weights)
+        return float(sum(w * self.labels[i] for w, (_, i) in zip(weights, near)) / sum(weights))
 
 
 def unit(counts: dict[int, int], idf: list[float]) -> dict[int, float]:
@@ -189,19 +215,19 @@ def unit(counts: dict[int, int], idf: list[float]) -> dict[int, float]:
 
 
 class Model:
-    """What scoring needs; all of it is bounded by SAMPLE and VOCABULARY."""
-
-    def __init__(self, terms: list[str], idf: list[float], examples: list[tuple]):
-        self.vocabulary, self.idf = Vocabulary(terms), idf
-        vectors = [(name, y, unit(c, idf)) for name, y, c in examples]
-        self.index = Index([e for e in vectors if e[2]])
-        rest = [y for _, y, v in vectors if not v]
+    """What scoring needs; all of it is bounded by the sample's texts. idf: of each term, learned weight included; alone: of a word no example has."""
+
+    def __init__(self, vocabulary: Vocabulary, idf, alone: float, examples: list[tuple]):
+        self.vocabulary, self.idf, self.alone = vocabulary, idf, alone
+        vectors = [(name, y, self.unit(v)) for name, y, v in examples]
+        some = [e for e in vectors if len(e[2][0])]
+        self.index = Index(some)
+        rest = [y for _, y, v in vectors if not len(v[0])]
         base = sum(y for _, y, _ in vectors) / len(vectors) if vectors else 0.0
         self.empty = (sum(rest) + base) / (len(rest) + 1) if vectors else 0.0
         # votes of each example without itself, in ten bins, made monotone by pooling neighbours
         bins = [[base, 1.0] for _ in range(10)]
-        for i, (_, y, v) in enumerate(e for e in vectors if e[2]):
-            near = self.index.nearest(v, without=i)
+        for (_, y, _), near in zip(some, self.index.nearest_of([v for _, _, v in some], without=0)):
             if near:
                 b = bins[min(9, int(self.index.vote(near) * 10))]
                 b[0] += y
@@ -217,9 +243,17 @@ class Model:
             for i in members:
                 self.rates[i] = y / n
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(unit(counts, self.idf))
-        return (self.rates[min(9, int(self.index.vote(near) * 10))], near) if near else (self.empty, [])
+    def unit(self, vector):
+        """Terms and weights of a vector (terms, counts, counts of other words), of unit length with the other words."""
+        import numpy as np
+
+        terms, counts, rest = vector
+        v, r = (1 + np.log(counts)) * self.idf[terms], (1 + np.log(rest)) * self.alone
+        return terms, v / math.sqrt(v @ v + r @ r) if len(v) else v
+
+    def score(self, text: list[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
+        near = self.index.nearest_of([self.unit(self.vocabulary.vector(t)) for t in text])
+        return [(self.rates[min(9, int(self.index.vote(x) * 10))], x) if x else (self.empty, []) for x in near]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE) -> DataFrame:
@@ -232,77 +266,94 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn, sample: int = SAM
     return stash(picked, "toxicity-sample")
 
 
-def term_counts(vectors: DataFrame) -> DataFrame:
-    """(t, n): documents with each term, summed up within a task first."""
-    schema = arrow_schema("t int, n long")
+def term_counts(docs: DataFrame, vocabulary: Vocabulary):
+    """How many documents have each term of the vocabulary, as an array, and how many documents there are. A task counts its own and hands
+    out packed runs of CHUNK terms; runs are summed where they meet, so rows do not grow with the texts."""
+    import numpy as np
 
-    def run(batches):
+    parts = -(-vocabulary.size // CHUNK)
+    schema = arrow_schema("chunk int, n binary")
+
+    def count(batches):
         import numpy as np
         import pyarrow as pa
 
-        total = np.zeros(VOCABULARY + 1, np.int64)
+        total, rows = np.zeros(parts * CHUNK, np.int64), 0
         for b in batches:
-            terms = b.column(0).flatten().to_numpy(zero_copy_only=False)
-            if len(terms):
-                total += np.bincount(terms.astype(np.int64), minlength=len(total))
-        t = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(total[t])], schema=schema)
+            for t in b.column(0).to_pylist():
+                total[vocabulary.vector(t)[0]] += 1
+                rows += 1
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *range(parts)], pa.int32()), pa.array([np.int64(rows).tobytes(), *[total[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in range(parts)]], pa.binary())], schema=schema)
 
-    return vectors.select("terms").mapInArrow(run, "t int, n long")
+    def add(batches):
+        import numpy as np
+        import pyarrow as pa
 
+        sums = {}
+        for b in batches:
+            for c, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                sums[c] = sums.get(c, 0) + np.frombuffer(n, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], schema=schema)
+
+    small_batches(docs.sparkSession)
+    runs = docs.select("text").mapInArrow(count, "chunk int, n binary").repartition("chunk").mapInArrow(add, "chunk int, n binary").collect()  # one a chunk
+    found = {r.chunk: np.frombuffer(r.n, np.int64) for r in runs}
+    df = np.concatenate([np.zeros(0, np.int64), *[found.get(i, np.zeros(CHUNK, np.int64)) for i in range(parts)]])[: vocabulary.size]
+    return df, int(found[-1][0]) if found else 0
+
+
+def learn_model(docs: DataFrame, labels: DataFrame, learn=lambda c: F.lit(True), sample: int = SAMPLE) -> Model:
+    import numpy as np
 
-def learn_model(docs: DataFrame, labels: DataFrame, learn=lambda c: F.lit(True), sample: int = SAMPLE) -> tuple[Model, DataFrame]:
-    """The model, and doc_id, text hash, terms, counts of every document in the model's vocabulary."""
     drawn = labelled_sample(docs, labels, learn, sample)
-    terms = learn_terms(drawn)
-    vocabulary = Vocabulary(terms)
+    learned, words = learn_terms(drawn)
+    leads = [t for t in learned if t.endswith("*")]
+    vocabulary = Vocabulary(leads, words)
+    df, n = term_counts(docs, vocabulary)
+    more = np.array([learned[t] for t in leads] + [learned.get(w, 1.0) for w in words])
+    idf = (np.log((n + 1) / (df + 0.5)) + 1) * more
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def vectors(rows: DataFrame, more: str, ddl: str) -> DataFrame:
-        def make():
-            def each(ids, text, *rest):
-                found = [vocabulary.vector(t) for t in text]
-                return ids, [list(v) for v in found], [list(v.values()) for v in found], *rest
-
-            return each
+    def make():
+        def each(ids, text, toxic):
+            found = list(zip(*[[x.tobytes() for x in vocabulary.vector(t)] for t in text])) or [[], [], []]
+            return ids, toxic, *found
 
-        return map_rows(rows, make, f"doc_id {id_type}, terms array<int>, counts array<int>{ddl}")
+        return each
 
-    every = stash(vectors(texts(docs), "", ""), "toxicity-vectors")
-    n = every.count()
-    df = dict(term_counts(every).groupBy("t").agg(F.sum("n")).collect())  # at most VOCABULARY rows
-    idf = [math.log((n + 1) / (df.get(i, 0) + 0.5)) + 1 for i in range(len(terms))] + [1.0]
-    rows = vectors(texts(drawn, "toxic"), "toxic", ", toxic int").collect()  # about SAMPLE rows of at most VOCABULARY terms
-    examples = sorted((r.doc_id, r.toxic, dict(zip(r.terms, r.counts))) for r in rows) if rows else []
-    return Model(terms, idf, examples), every
+    rows = map_rows(texts(drawn, "toxic"), make, f"doc_id {id_type}, toxic int, terms binary, counts binary, rest binary").collect()  # about SAMPLE rows
+    numbers = lambda b: np.frombuffer(b, np.int32)
+    examples = sorted(((r.doc_id, r.toxic, numbers(r.terms), numbers(r.counts), numbers(r.rest)) for r in rows), key=lambda e: (e[0], e[2].tolist(), e[3].tolist()))
+    return Model(vocabulary, idf, math.log((n + 1) / 1.5) + 1, [(i, y, v) for i, y, *v in examples])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn=lambda c: F.lit(True), sample: int = SAMPLE) -> DataFrame:
     """Per row of docs: doc_id, score, predicted, evidence (the nearest examples: doc_id, cosine, label)."""
-    model, every = learn_model(docs, labels, learn, sample)
+    model = learn_model(docs, labels, learn, sample)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def make():
-        def each(ids, terms, counts):
-            found = [model.score(dict(zip(t, c))) for t, c in zip(terms, counts)]
-            evidence = [[{"doc_id": model.index.names[i], "cosine": s, "label": model.index.labels[i]} for s, i in near] for _, near in found]
+        def each(ids, text):
+            found = model.score(text)
+            evidence = [[{"doc_id": model.index.names[i], "cosine": s, "label": int(model.index.labels[i])} for s, i in near] for _, near in found]
             return ids, [s for s, _ in found], [int(s >= 0.5) for s, _ in found], evidence
 
         return each
 
-    return map_rows(every, make, f"doc_id {id_type}, score double, predicted int, evidence array<struct<doc_id: {id_type}, cosine: double, label: int>>")
+    return map_rows(texts(docs), make, f"doc_id {id_type}, score double, predicted int, evidence array<struct<doc_id: {id_type}, cosine: double, label: int>>")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, learn=lambda c: F.lit(True), sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, all columns, whose text the model does not call toxic."""
-    model, _ = learn_model(docs, labels, learn, sample)
+    model = learn_model(docs, labels, learn, sample)
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             text = b.column(b.schema.get_field_index("text")).to_pylist()
-            yield b.filter(pa.array([model.score(model.vocabulary.vector(t))[0] < 0.5 for t in text], pa.bool_()))
+            yield b.filter(pa.array([s < 0.5 for s, _ in model.score(text)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

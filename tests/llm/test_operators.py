@@ -146,6 +146,20 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.predicted == r.toxic for r in got]) > 0.9 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
 
 
+def test_copies_of_examples_are_found(spark):
+    """Neighbours go by whole texts: a copy of an example is found though none of its words goes with a label, with a cosine of 1."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(40))) for i in range(200)]
+    rows += [(1000 + i, t + f" new{i}" * (i % 2)) for i, t in rows[:20]] + [(2000, "Ünseen, wörds?"), (2001, None)]
+    labels = spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    for i in range(20):
+        near = got[1000 + i].evidence
+        assert near[0].doc_id == i and len(near) == toxicity.K and (near[0].cosine == pytest.approx(1) if i % 2 == 0 else 0.8 < near[0].cosine < 0.999)
+    assert got[2000].evidence == got[2001].evidence == []
+    assert all(toxicity.words_of(t) == toxicity.WORD.findall(t.lower()) for t in ["a_b-C\x1fd\x00e9 'x'", "É ß_1", ""])
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (2, 1, 1), (None, 1, 1), (6, 1, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.score_toxicity(odd, labels).count() == odd.count() and toxicity.drop_toxic(odd, labels).columns == odd.columns
