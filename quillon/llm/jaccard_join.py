@@ -264,7 +264,7 @@ def link_forest(sets: list, sides: list[int] | None = None, percent: int = PERCE
 def _scan(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """kind 0: a document (doc_id, n, cid, bitmap of its set); kind 1: a first key (cid) that several classes of a task have, and how many (n)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    ddl = f"kind int, doc_id {id_type}, n long, cid long, marks binary"
+    ddl = f"kind int, doc_id {id_type}, n long, cid long, marks binary, text_id long"
     schema = arrow_schema(ddl)
 
     def run(batches):
@@ -278,8 +278,8 @@ def _scan(docs: DataFrame, words: int, percent: int) -> DataFrame:
             some = counts > 1
             return keys[some], counts[some]
 
-        def batch(kind, ids, n, cid, marks):
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((np.full(len(n), kind), ids, n, cid, marks), schema)], schema=schema)
+        def batch(kind, ids, n, cid, marks, text_ids):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((np.full(len(n), kind), ids, n, cid, marks, text_ids), schema)], schema=schema)
 
         size = 0
         for b in batches:
@@ -293,15 +293,15 @@ def _scan(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     classes.add(cid[-1])
                     held.append(first_keys(k, none, percent))
                     size += len(held[-1])
-            yield batch(0, ids, n, cid, marks)
+            yield batch(0, ids, n, cid, marks, b.column(2).to_pylist())
             if size > 4_000_000:
                 keys, counts = frequent()
-                yield batch(1, [None] * len(keys), counts, keys.view(np.int64), [None] * len(keys))
+                yield batch(1, [None] * len(keys), counts, keys.view(np.int64), [None] * len(keys), [None] * len(keys))
                 held, classes, size = [], set(), 0
         keys, counts = frequent()
-        yield batch(1, [None] * len(keys), counts, keys.view(np.int64), [None] * len(keys))
+        yield batch(1, [None] * len(keys), counts, keys.view(np.int64), [None] * len(keys), [None] * len(keys))
 
-    return texts(docs).mapInArrow(run, ddl)
+    return texts(docs, F.xxhash64("text").alias("text_id")).mapInArrow(run, ddl)
 
 
 def _first_rows(docs: DataFrame, hot, words: int, percent: int) -> DataFrame:
@@ -456,11 +456,16 @@ def class_sets(docs: DataFrame, wanted: DataFrame, reps: DataFrame, words: int)
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
+    return _row_components(docs, words, percent).drop("text_id")
+
+
+def _row_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """near_duplicates with text_id, a hash of the row's text."""
     import numpy as np
 
     spark = docs.sparkSession
     scan = stash(_scan(docs, words, percent), "join-scan")
-    thin = scan.filter("kind = 0").select("doc_id", "n", "cid")
+    thin = scan.filter("kind = 0").select("doc_id", "n", "cid", "text_id")
     reps = thin.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"))
     classes = scan.filter("kind = 0 and cid is not null").select("cid", "n", "marks").dropDuplicates(["cid"])
     often = scan.filter("kind = 1").groupBy("cid").agg(F.sum("n").alias("n")).filter(F.col("n") > FREQUENT)
@@ -475,17 +480,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     comp = components(stash(_links(groups, sets, percent), "join-links"))
     smallest = comp.join(reps, "cid").groupBy("comp").agg(F.min("rep").alias("least"))
     of_class = reps.join(comp, "cid", "left").join(smallest, "comp", "left").select("cid", F.coalesce("least", "rep").alias("component_id"))
-    return thin.join(of_class, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return thin.join(of_class, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, without those of a component that are not of its smallest doc_id.
+    """The rows of docs, all columns, without those of a component that are not of its smallest doc_id. Rows go by doc_id and text: other texts
+    under the doc_id (or without one) stay.
 
     A component of one doc_id keeps its rows as they are, and texts without words stay; a null doc_id is never the smallest, so its row
     goes when its component has another."""
-    found = near_duplicates(docs, words, percent).filter("n_shingles > 0 and not (doc_id <=> component_id)")
-    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    found = _row_components(docs, words, percent).filter("n_shingles > 0 and not (doc_id <=> component_id)")
+    gone = found.select(F.col("doc_id").alias("_gone"), F.col("text_id").alias("_gone_text")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_gone_text")), "left_anti")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

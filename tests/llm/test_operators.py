@@ -323,6 +323,17 @@ def test_join_odd(spark, odd, none):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [1, 3, 4, 5, 6, 8, 9, 10]
 
 
+def test_only_the_copied_row_goes(spark, odd):
+    """A row goes by its own text: others without an id, or with the same id, stay."""
+    copied = "the quick brown fox jumps over the lazy dog again and again today"
+    more = [(None, copied), (None, "a text of its own and without any id at all"), (None, ""), (None, None), (20, copied), (20, "another text under the very same id stays here"), (20, "")]
+    every = odd.select("doc_id", "text").unionAll(spark.createDataFrame(more, "doc_id long, text string"))
+    key = lambda rows: sorted(map(repr, rows))
+    got = [(r.doc_id, r.text) for r in jaccard_join.keep_one(every).collect()]
+    want = [(r.doc_id, r.text) for r in every.collect() if not (r.text == copied and r.doc_id != 1 or r.doc_id == 7)]
+    assert key(got) == key(want) and (None, "a text without an id") in got and got.count((None, None)) == 2
+
+
 # 9. token output
 
 
