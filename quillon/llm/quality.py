@@ -3,10 +3,12 @@
 Every whole text gets counts (words, symbols, repeated lines, words in repeated 3-word windows, ...) and from them rule values, higher
 being worse. The base rules reject short and repetitive texts. Beyond them each rule has a fixed grid of cutoffs, chosen before any label
 is seen. The labelled good documents (quality 1) that pass the base rules are the holdout: per stratum (language), rule and cutoff the
-number of good documents rejected has an exact (Clopper-Pearson) upper bound; a rule takes its strictest cutoff whose bound is within
-ALPHA / rules at confidence 1 - DELTA / (strata * rules * cutoffs). By the union bound all rules together reject at most ALPHA of a
-stratum's good documents, in all strata at once, with probability 1 - DELTA. A stratum with too few labels gets no cutoff, so nothing is
-rejected there beyond the base.
+number of good documents rejected has an exact (Clopper-Pearson) upper bound. The cutoffs of a rule are nested, so they are tested in fixed
+order from loose to strict until one fails, which needs no correction over cutoffs: a rule takes its strictest cutoff whose bound is within
+ALPHA / rules at confidence 1 - DELTA / (strata * rules). A stratum whose holdout is too small for that even without a rejection tests one
+combined rule instead: all rules at the same step of their grids, within ALPHA at confidence 1 - DELTA / strata. The choice looks at the size
+of the holdout only. So all rules together reject at most ALPHA of a stratum's good documents, in all strata at once, with probability
+1 - DELTA. A stratum with too few labels for either gets no cutoff, so nothing is rejected there beyond the base.
 
 Defined results: a null or empty text has no words and fails the base; a null language is a stratum of its own; repeated rows each get
 their row; a document with several labels counts by its lowest; labels of unknown documents are ignored; empty tables give empty results
@@ -28,6 +30,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MAX_BROADCAST_STRATA = 10_000
+ALL = "all"
 
 #: Rule values as SQL over the counts, and the cutoffs: a document fails a rule when its value is above the cutoff.
 RULES = {
@@ -114,10 +117,10 @@ def choose_cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, d
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1 and doc_id is not null").select("doc_id")
     held = counts.filter("not base_failed").join(good, "doc_id", "left_semi")
     strata = max(1, held.select("stratum").distinct().count())
-    steps = {r: len(c) for r, (_, c) in RULES.items()}
-    share = delta / (strata * sum(steps.values()))
+    steps = min(len(c) for _, c in RULES.values())
     # how many cutoffs a value is above: a document is rejected by exactly those cutoffs, the least strict first to stop
     above = {r: sum(F.when(F.expr(v) > F.lit(c), 1).otherwise(0) for c in cuts) for r, (v, cuts) in RULES.items()}
+    above[ALL] = F.greatest(*above.values())
     each = held.select("stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), a.cast("int").alias("above")) for r, a in above.items()])).alias("x")).select("stratum", "x.*")
     hist = each.groupBy("stratum", "rule", "above").count()
     grid = hist.groupBy("stratum", "rule").agg(F.sum("count").alias("holdout"), F.collect_list(F.struct("above", "count")).alias("hist"))  # at most 16 a list
@@ -128,11 +131,19 @@ def choose_cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, d
         for pdf in batches:
             out = []
             for s, r, n, h in zip(*(pdf[c] for c in ("stratum", "rule", "holdout", "hist"))):
-                for i, c in enumerate(RULES[r][1]):  # strictest first
-                    k = sum(x["count"] for x in h if x["above"] > i)
-                    if binomial_cdf(int(k), int(n), alpha / len(RULES)) <= share:
-                        out.append((s, r, float(c), int(n), int(k), upper_bound(int(k), int(n), share)))
+                apart = binomial_cdf(0, int(n), alpha / len(RULES)) <= delta / (strata * len(RULES))  # by the size alone
+                if apart == (r == ALL):
+                    continue
+                most, share = (alpha, delta / strata) if r == ALL else (alpha / len(RULES), delta / (strata * len(RULES)))
+                last = None
+                for i in reversed(range(steps if r == ALL else len(RULES[r][1]))):  # loose to strict
+                    k = int(sum(x["count"] for x in h if x["above"] > i))
+                    if binomial_cdf(k, int(n), most) > share:
                         break
+                    last = i, k
+                if last is not None:
+                    i, k = last
+                    out += [(s, x, float(RULES[x][1][i]), int(n), k, upper_bound(k, int(n), share)) for x in (RULES if r == ALL else [r])]
             yield pd.DataFrame(out, columns=["stratum", "rule", "cutoff", "holdout", "rejected", "bound"])
 
     return grid.mapInPandas(certify, "stratum string, rule string, cutoff double, holdout long, rejected long, bound double")

@@ -231,6 +231,17 @@ def test_cutoffs_keep_the_good(spark):
     assert not quality.choose_cutoffs(counts.limit(20), labels, 0.02, 0.05).collect()
 
 
+def test_small_strata_get_cutoffs(spark):
+    """1,600 good documents certify rules one by one, 300 all rules together, 30 none; rejections stay within the bound."""
+    sizes = {"large": 1600, "small": 300, "tiny": 30}
+    rows = [(i, s, 100, 500, 60 if s == "small" and i < 3 else 0, 0, 0, 5, 0, False) for s, n in sizes.items() for i in range(n)]
+    rows = [(k, *r[1:]) for k, r in enumerate(rows)]
+    counts = spark.createDataFrame(rows, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper_words long, base_failed boolean")
+    got = quality.choose_cutoffs(counts, counts.selectExpr("doc_id", "1 as quality"), 0.02, 0.05).collect()
+    assert sorted((r.stratum, r.rule) for r in got) == sorted((s, r) for s in ("large", "small") for r in quality.RULES)
+    assert all(r.bound <= (0.004 if r.stratum == "large" else 0.02) and r.cutoff == pytest.approx(quality.RULES[r.rule][1][0 if r.stratum == "large" else 5]) for r in got)
+
+
 def test_quality_odd(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (2, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.judge_quality(odd, labels).collect()
