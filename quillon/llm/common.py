@@ -20,6 +20,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors: spark.checkpoint.dir, else a temporary one (local sessions only)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="quillon-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -86,6 +88,29 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", "text", *more)
 
 
+def grouped(batches, column: int, size: int):
+    """Arrow batches joined until their column (of strings) holds about size bytes, so that work on distinct words has many to share."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.column(column).nbytes
+        if n >= size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def spread(starts, sizes, codes):
+    """Positions of the items of runs (starts, sizes), one run after the other in the order of codes."""
+    import numpy as np
+
+    n = sizes[codes]
+    return np.repeat(starts[codes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
     """mapInArrow over lists: make() once a task gives a function from a batch's columns (lists) to the output's columns (lists)."""
     arrow = arrow_schema(schema)
