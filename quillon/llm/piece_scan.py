@@ -5,14 +5,17 @@ alternatives take the maximum. In a unigram model an arc weighs its piece's scor
 another only if merging the two alone gives back the two; exactly one path from the start to a position is then free of -inf, and it
 is the library's segmentation. A boundary state is (how many characters before the boundary the last piece ended, that piece).
 
+Positions that no piece crosses (before a space after another character or a mark after a letter, around a line feed) are certain boundaries.
+Texts up to CHUNK characters are taken in groups of about GROUP_BYTES: the group's distinct stretches between certain boundaries are solved side by
+side, one max-plus step a position over arrays, and their ids gathered by number.
+
 A giant document is split into chunks of CHUNK characters. Each gives, independently, the matrix from the states at its left boundary to
 those at its right; the matrices are combined associatively, the best path's states are read off at every boundary, and each chunk is then traced
-back on its own between its two states. Positions that no piece crosses (before a space after another character or a mark after a letter, around a line feed) are certain
-boundaries: stretches between them are encoded alone and remembered, and starts before the first of them meet there.
+back on its own between its two states.
 
 Defined results: a null text is an empty one and has no ids; characters without a piece become their UTF-8 bytes' pieces; decoding gives back
 the text, but U+2581 becomes a space; repeated rows each get their row; an empty table gives an empty result; other columns are
-ignored.
+ignored. Of paths of equal value the one of the longest last piece is taken. A very long text's ids are one row, as its text is.
 """
 
 from __future__ import annotations
@@ -24,9 +27,10 @@ import struct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_rows, stash, table, texts
+from .common import arrow_schema, grouped, map_rows, spread, stash, table, texts
 
-CHUNK, CACHE, SPACE = 65_536, 800_000, "▁"
+CHUNK, GROUP_BYTES, SPACE = 65_536, 8 << 20, "▁"
+WIDE, PAIR_SLOTS, CHAR_BITS = 64, 1 << 20, 21  # stretches up to WIDE characters are solved side by side; the memory of pairs is a fixed table
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 NOTHING = -1  # the piece before the start
@@ -89,16 +93,11 @@ class Pieces:
         self.reach: dict[str, int] = {}  # the longest piece that ends in these two characters
         for p in self.ids:
             self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 1))
-        # a piece's text; of bytes beyond ASCII it depends on their neighbours
-        self.text = [p if t == NORMAL else "" for p, _, t in rows]
-        for b, i in self.bytes.items():
-            self.text[i] = chr(b) if b < 128 else ""
-        self.joint = {i for b, i in self.bytes.items() if b >= 128}
         self.unknown = min(s for _, s, t in rows if t == NORMAL) - 10
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids):
             raise ValueError("pieces go across words")
         self.memory: dict[int, bool] = {}
-        self.known: dict[str, list[int]] = {}
+        self.tables = self.spelled = None
         joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         marks = re.escape("".join(m for m in string.punctuation if not any(c + m in joined for c in string.ascii_letters)))
         to_mark = rf"[A-Za-z]+(?=[{marks}])|" if marks else ""  # no piece holds a letter and such a mark after it
@@ -139,13 +138,18 @@ class Pieces:
         key = a * 4_194_304 + b  # characters without a piece are numbered down to -1_114_113
         ok = self.memory.get(key)
         if ok is None:
-            x, y = self.spell(a) if a != NOTHING else "", self.spell(b)
-            ok = self.merged(x + y) == ([x, y] if x else [y])
-            if len(self.memory) > 2_000_000:
+            ok = self.checks(a, b)
+            if len(self.memory) > 500_000:
                 self.memory.clear()
             self.memory[key] = ok
         return ok
 
+    def checks(self, a: int, b: int) -> bool:
+        if b < NOTHING and a <= NOTHING:
+            return True
+        x, y = self.spell(a) if a != NOTHING else "", self.spell(b)
+        return self.merged(x + y) == ([x, y] if x else [y])
+
     def forward(self, s: str, lo: int, hi: int, piece: int, meet=None):
         """Best values, last pieces and their lengths at the positions lo to hi, from the start state (at lo, after piece).
 
@@ -198,45 +202,277 @@ class Pieces:
             i -= size[i]
         return out[::-1]
 
-    def stretch(self, s: str) -> list[int]:
-        """Pieces of a stretch between certain boundaries."""
-        found = self.known.get(s)
-        if found is None:
+    def build(self):
+        """The pieces' prefix tree as a hash table in arrays: (node, character) to node, and the piece that ends at a node."""
+        import numpy as np
+
+        edges, at_node = {}, [-1]
+        for p, i in self.ids.items():
+            node = 0
+            for c in p:
+                key = node << CHAR_BITS | ord(c)
+                if key not in edges:
+                    edges[key] = len(at_node)
+                    at_node.append(-1)
+                node = edges[key]
+            at_node[node] = i
+        self.slots = 1 << max(10, (4 * len(edges)).bit_length())
+        keys, to = np.full(self.slots, -1, np.int64), np.zeros(self.slots, np.int32)
+        key, value = np.fromiter(edges, np.int64, len(edges)), np.fromiter(edges.values(), np.int32, len(edges))
+        slot = self.slot(key, self.slots)
+        while len(key):
+            _, first = np.unique(slot, return_index=True)
+            first = first[keys[slot[first]] < 0]
+            keys[slot[first]], to[slot[first]] = key[first], value[first]
+            left = np.ones(len(key), bool)
+            left[first] = False
+            key, value, slot = key[left], value[left], (slot[left] + 1) % self.slots
+        score = np.array([*self.score, self.unknown])
+        self.tables = keys, to, np.array(at_node, np.int32), score, np.array([self.bytes.get(i, 0) for i in range(256)], np.int32)
+        self.pair_keys, self.pair_ok = np.full(PAIR_SLOTS, -1, np.int64), np.zeros(PAIR_SLOTS, bool)
+
+    @staticmethod
+    def slot(key, slots: int):
+        import numpy as np
+
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64)
+
+    def child(self, node, char):
+        """The nodes that the characters lead to, -1 where none does."""
+        import numpy as np
+
+        keys, to = self.tables[:2]
+        key = node.astype(np.int64) << CHAR_BITS | char
+        slot = self.slot(key, self.slots)
+        have = keys[slot]
+        out = np.where(have == key, to[slot], np.int32(-1))
+        at = np.flatnonzero((have != key) & (have >= 0))
+        while len(at):
+            slot[at] = (slot[at] + 1) % self.slots
+            have = keys[slot[at]]
+            hit = have == key[at]
+            out[at[hit]] = to[slot[at[hit]]]
+            at = at[~hit & (have >= 0)]
+        return out
+
+    def follow(self, a, b):
+        """follows() of arrays of pieces; distinct pairs not seen before are worked out one by one."""
+        import numpy as np
+
+        shift = 1_114_114
+        key = (a.astype(np.int64) + shift) << 22 | (b.astype(np.int64) + shift)
+        slot = self.slot(key, PAIR_SLOTS)
+        ok, new = self.pair_ok[slot], np.flatnonzero(self.pair_keys[slot] != key)
+        if len(new):
+            distinct, inverse = np.unique(key[new], return_inverse=True)
+            found = np.array([self.checks((k >> 22) - shift, (k & ((1 << 22) - 1)) - shift) for k in distinct.tolist()], bool)
+            ok[new] = found[inverse]
+            where = self.slot(distinct, PAIR_SLOTS)
+            self.pair_keys[where], self.pair_ok[where] = -1, False
+            _, one = np.unique(where, return_index=True)  # of pairs that share a slot, one is remembered
+            self.pair_keys[where[one]], self.pair_ok[where[one]] = distinct[one], found[one]
+        return ok
+
+    def solve(self, chars, n):
+        """Best paths through strings side by side: chars (longest, strings) of code points, n: lengths, longest first. (pieces on end, counts).
+
+        One max-plus step a position: the value at i is the maximum over the pieces that end there of the value where they begin plus their weight."""
+        import numpy as np
+
+        length, count = chars.shape
+        at_node, score = self.tables[2:4]
+        pos, row = np.nonzero(np.arange(length)[:, None] < n)
+        node = self.child(np.zeros(len(pos), np.int32), chars[pos, row])
+        first = np.where(node >= 0, at_node[node], -1)
+        arcs = [np.full((length, count), -1, np.int32)]
+        arcs[0][pos, row] = np.where(first >= 0, first, -2 - chars[pos, row])
+        while True:
+            k = len(arcs)
+            go = (node >= 0) & (pos + k < n[row])
+            pos, row, node = pos[go], row[go], node[go]
+            if not len(pos):
+                break
+            node = self.child(node, chars[pos + k, row])
+            piece = np.where(node >= 0, at_node[node], -1)
+            arcs.append(np.full((length, count), -1, np.int32))
+            arcs[k][pos, row] = piece
+        value, last, size = np.full((length + 1, count), -np.inf), np.full((length + 1, count), NOTHING, np.int32), np.zeros((length + 1, count), np.int8)
+        value[0] = 0.0
+        live = np.searchsorted(-n, -np.arange(length + 1), "right")  # strings of at least this length
+        for i in range(1, length + 1):
+            m = int(live[i])
+            for k in range(min(i, len(arcs)), 0, -1):
+                p = arcs[k - 1][i - k, :m]
+                some = (p != -1) & (value[i - k, :m] > -np.inf)
+                if self.kind == BPE:
+                    some &= value[i, :m] == -np.inf  # at most one path is free of -inf
+                at = np.flatnonzero(some)
+                if not len(at):
+                    continue
+                p = p[at]
+                if self.kind == BPE:
+                    ok = self.follow(last[i - k, at], p)
+                    at, p = at[ok], p[ok]
+                    v = value[i - k, at]
+                else:
+                    v = value[i - k, at] + score[np.where(p < 0, len(score) - 1, p)]
+                    more = v > value[i, at]
+                    at, p, v = at[more], p[more], v[more]
+                value[i, at], last[i, at], size[i, at] = v, p, k
+        back, left, steps = n.astype(np.int64).copy(), np.arange(count), []
+        counts = np.zeros(count, np.int64)
+        while True:
+            left = left[back[left] > 0]
+            if not len(left):
+                break
+            out = np.full(count, -1, np.int32)
+            out[left] = last[back[left], left]
+            back[left] -= size[back[left], left]
+            counts[left] += 1
+            steps.append(out)
+        if not steps:
+            return np.zeros(0, np.int32), counts
+        turned = np.array(steps[::-1]).T
+        return turned[np.arange(len(steps))[None, :] >= len(steps) - counts[:, None]], counts
+
+    def solve_all(self, stretches: list[str]):
+        """Pieces of stretches between certain boundaries: (all on end, counts)."""
+        import numpy as np
+
+        if self.tables is None:
+            self.build()
+        n = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        code = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        starts, order = np.cumsum(n) - n, np.argsort(-n, kind="stable")
+        flat, sizes, which = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        wide = int(np.searchsorted(-n[order], -WIDE, "left"))
+        for i in order[:wide].tolist():  # long unbroken ones alone, along the string
+            s = stretches[i]
             _, last, size, _ = self.forward(s, 0, len(s), NOTHING)
-            found = self.trace(last, size, len(s))
-            if len(s) <= 64:
-                if len(self.known) > CACHE:
-                    self.known.clear()
-                self.known[s] = found
-        return found
+            flat.append(np.array(self.trace(last, size, len(s)), np.int32))
+            sizes.append(np.array([len(flat[-1])]))
+            which.append(np.array([i]))
+        for low, high in ((17, WIDE), (11, 16), (7, 10), (1, 6), (0, 0)):
+            at = order[int(np.searchsorted(-n[order], -high, "left")) : int(np.searchsorted(-n[order], -low, "right"))]
+            for k in range(0, len(at), 100_000):
+                some = at[k : k + 100_000]
+                m = n[some]
+                chars = np.zeros((int(m.max()), len(some)), np.int64)
+                pos, row = np.nonzero(np.arange(len(chars))[:, None] < m)
+                chars[pos, row] = code[starts[some][row] + pos]
+                pieces, counts = self.solve(chars, m)
+                flat.append(pieces)
+                sizes.append(counts)
+                which.append(some)
+        flat, which, sizes = np.concatenate(flat), np.concatenate(which), np.concatenate(sizes)
+        begin = np.empty(len(n), np.int64)
+        begin[which] = np.cumsum(sizes) - sizes
+        count = np.empty(len(n), np.int64)
+        count[which] = sizes
+        return flat[spread(begin, count, np.arange(len(n)))], count
+
+    def ids_of(self, pieces, counts):
+        """Ids instead of pieces: characters that are none become their UTF-8 bytes' pieces."""
+        import numpy as np
+
+        none = np.flatnonzero(pieces < 0)
+        if not len(none):
+            return pieces, counts
+        char = -2 - pieces[none].astype(np.int64)
+        width = 1 + (char > 0x7F) + (char > 0x7FF) + (char > 0xFFFF)
+        raw = np.frombuffer(char.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
+        each = np.ones(len(pieces), np.int64)
+        each[none] = width
+        owner = np.repeat(np.arange(len(counts)), counts)
+        out = np.repeat(pieces, each)
+        out[np.repeat(pieces < 0, each)] = self.tables[4][raw]
+        return out, np.bincount(owner, each, len(counts)).astype(np.int64)
+
+    def distinct(self, stretches: list[str]):
+        """(ids of the distinct stretches on end, their counts, the number of each stretch)."""
+        number: dict[str, int] = {}
+        codes = [number.setdefault(x, len(number)) for x in stretches]
+        return *self.ids_of(*self.solve_all(list(number))), codes
+
+    def along(self, s: str) -> list[int]:
+        """Pieces of a string from one certain boundary to another."""
+        import numpy as np
+
+        number: dict[str, int] = {}
+        codes = np.array([number.setdefault(x, len(number)) for x in self.cut.findall(s)], np.int64)
+        flat, counts = self.solve_all(list(number))
+        return flat[spread(np.cumsum(counts) - counts, counts, codes)].tolist() if len(codes) else []
 
     def to_ids(self, pieces: list[int]) -> list[int]:
         return [i for p in pieces for i in ([p] if p >= 0 else [self.bytes[b] for b in chr(-2 - p).encode()])]
 
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        out: list[int] = []
-        for s in self.cut.findall(SPACE + text.replace(" ", SPACE)):
-            out += self.stretch(s)
-        return self.to_ids(out) if min(out) < 0 else out
+        return self.to_ids(self.along(SPACE + text.replace(" ", SPACE))) if text else []
+
+    def encode_all(self, texts):
+        """(ids of all texts on end, their sizes) of an Arrow array of strings.
+
+        A text is a run of words, each the spaces before it and what follows; the group's distinct words are cut into stretches, and its distinct
+        stretches solved."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        flag = lambda x: x.to_numpy(zero_copy_only=False)
+        full = flag(pc.binary_length(texts)) > 0
+        spaced = flag(pc.match_substring(texts, "  ")) | flag(pc.match_substring(texts, SPACE)) | flag(pc.starts_with(texts, " ")) | flag(pc.ends_with(texts, " "))
+        plain, other = np.flatnonzero(full & ~spaced), np.flatnonzero(full & spaced)
+        words = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        more, n_more = [], []
+        for t in texts.take(pa.array(other)).to_pylist():
+            found = re.findall(" +[^ ]*", " " + t.replace(SPACE, " "))
+            n_more.append(len(found))
+            more += [x[1:] for x in found]
+        every = pa.chunked_array([words.flatten(), pa.array(more, pa.large_string())]).combine_chunks().dictionary_encode()
+        n_words = np.zeros(len(texts), np.int64)
+        n_words[plain], n_words[other] = np.diff(words.offsets.to_numpy()), n_more
+        parts, cuts, findall = [], [], self.cut.findall
+        for w in every.dictionary.to_numpy(zero_copy_only=False).tolist():
+            found = findall(SPACE + w.replace(" ", SPACE))
+            cuts.append(len(found))
+            parts += found
+        flat, counts, codes = self.distinct(parts)
+        codes, cuts = np.array(codes, np.int64), np.array(cuts, np.int64)
+        pool = flat[spread(np.cumsum(counts) - counts, counts, codes)] if len(codes) else np.zeros(0, np.int32)  # ids of the distinct words
+        word_at = np.concatenate([[0], np.cumsum(cuts)])
+        sizes = np.diff(np.concatenate([[0], np.cumsum(counts[codes])])[word_at]) if len(codes) else np.zeros(0, np.int64)
+        at = every.indices.to_numpy().astype(np.int64)
+        # words lie in the order plain texts, other texts; texts are put back in theirs
+        begin = np.zeros(len(texts), np.int64)
+        order = np.concatenate([plain, other])
+        begin[order] = np.cumsum(n_words[order]) - n_words[order]
+        if len(other):
+            at = at[spread(begin, n_words, np.arange(len(texts)))]
+        ids = pool[spread(np.cumsum(sizes) - sizes, sizes, at)] if len(at) else np.zeros(0, np.int32)
+        stops = np.concatenate([[0], np.cumsum(sizes[at])])[np.cumsum(n_words)]
+        return ids, np.diff(stops, prepend=0)
+
+    def texts_of(self, ids):
+        """The text of each list of ids (an Arrow list array)."""
+        import numpy as np
+        import pyarrow as pa
+
+        if self.spelled is None:
+            raw = [bytes([int(p[1:-1], 16)]) if t == BYTE else p.replace(SPACE, " ").encode() if t == NORMAL else b"" for p, t in zip(self.pieces, self.types)]
+            self.spelled = pa.array(raw, pa.large_binary())
+        taken = self.spelled.take(ids.values)  # the bytes of all pieces on end: a text is a slice of them
+        if not len(taken):
+            return [""] * len(ids)
+        at = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)[ids.offsets.to_numpy()].tolist()
+        raw = memoryview(taken.buffers()[2])
+        decoded = (str(raw[i:j], "utf-8", "replace") for i, j in zip(at, at[1:]))
+        return [t[1:] if t.startswith(" ") else t for t in decoded]
 
     def decode(self, ids: list[int]) -> str:
-        if self.joint.isdisjoint(ids):
-            text = "".join(map(self.text.__getitem__, ids)).replace(SPACE, " ")
-            return text[1:] if text.startswith(" ") else text
-        out, raw = [], bytearray()
-        for i in [*ids, None]:
-            if i is not None and self.types[i] == BYTE:
-                raw.append(int(self.pieces[i][1:-1], 16))
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw = bytearray()
-            if i is not None and self.types[i] == NORMAL:
-                out.append(self.pieces[i])
-        text = "".join(out).replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
+        import pyarrow as pa
+
+        return self.texts_of(pa.array([ids], pa.list_(pa.int32())))[0]
 
     # chunks: s holds the characters from `left` before the chunk to its end; states are (characters before the boundary, piece)
 
@@ -275,7 +511,7 @@ class Pieces:
         if cuts:
             tail = self.forward(s, cuts[1], hi, NOTHING)
             after = {(d, p): v for d, p, v in self.ends(tail, s, cuts[1], hi)}
-            between = 0.0 if self.kind == BPE else sum(self.score[p] if p >= 0 else self.unknown for m in self.cut.findall(s[cuts[0] : cuts[1]]) for p in self.stretch(m))
+            between = 0.0 if self.kind == BPE else sum(self.score[p] if p >= 0 else self.unknown for p in self.along(s[cuts[0] : cuts[1]]))
             for d, p in self.states(s, left):
                 value, last, _, _ = self.forward(s, left - d, cuts[0], p)
                 if last[-1] is not None:
@@ -303,8 +539,7 @@ class Pieces:
         _, last, size, _ = self.forward(s, lo, cuts[0], p)
         out = self.trace(last, size, cuts[0] - lo)
         stop = max(i for i in cuts if i <= hi)
-        for m in self.cut.findall(s[cuts[0] : stop]):
-            out += self.stretch(m)
+        out += self.along(s[cuts[0] : stop])
         _, last, size, _ = self.forward(s, stop, hi, NOTHING)
         return out + self.trace(last, size, hi - stop)
 
@@ -346,22 +581,40 @@ def boundary_states(matrices: list[dict], last: tuple | None = None) -> list[tup
 
 def encode_docs(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, ids."""
-    spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    whole_ddl, chunk_ddl = f"doc_id {id_type}, ids array<int>", "h string, c int, left int, s string"
+    whole_schema, chunk_schema = arrow_schema(whole_ddl), arrow_schema(chunk_ddl)
+
+    def whole(batches):
+        import numpy as np
+        import pyarrow as pa
 
-    def whole():
         pieces = Pieces.of_process(model)
-        return lambda ids, text: (ids, [pieces.encode(t) for t in text])
+        for b in grouped(batches, 1, GROUP_BYTES):
+            ids, sizes = pieces.encode_all(b.column(1))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(whole_schema.field(0).type), lists.cast(whole_schema.field(1).type)], schema=whole_schema)
+
+    def cut(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                h, s = hashlib.sha256(t.encode()).hexdigest(), SPACE + t.replace(" ", SPACE)
+                for i in range(0, len(s), chunk):
+                    back = min(i, left)
+                    row = [[h], [i // chunk], [back], [s[i - back : i + chunk]]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, chunk_schema)], schema=chunk_schema)
 
     rows = texts(docs)
     giant = F.coalesce(F.length("text"), F.lit(0)) > chunk
-    short = map_rows(rows.filter(~giant), whole, f"doc_id {id_type}, ids array<int>")
-    hashed = rows.filter(giant).withColumn("h", F.sha2("text", 256))
+    short = rows.filter(~giant).mapInArrow(whole, whole_ddl)
+    hashed = rows.filter(giant).select("doc_id", F.sha2("text", 256).alias("h"))
     left = 64  # characters before a chunk; twice the longest piece is enough
-    marked = hashed.select("h", "text").dropDuplicates(["h"]).select("h", F.concat(F.lit(SPACE), F.translate("text", " ", SPACE)).alias("s"))
-    chunks = marked.select("h", "s", F.explode(F.sequence(F.lit(0), F.floor((F.length("s") - 1) / chunk).cast("int"))).alias("c"))
-    back = F.least(F.col("c") * chunk, F.lit(left))
-    chunks = stash(chunks.select("h", "c", back.alias("left"), F.substring("s", F.col("c") * chunk - back + 1, back + chunk).alias("s")), "piece-chunks")
+    chunks = rows.filter(giant).select("text").mapInArrow(cut, chunk_ddl)
+    chunks = stash(chunks.repartition("h", "c").dropDuplicates(["h", "c"]), "piece-chunks")
     if chunks.isEmpty():
         return short
     matrix = "h string, c int, sd array<int>, sp array<int>, ed array<int>, ep array<int>, v array<double>"
@@ -422,13 +675,17 @@ def encode_docs(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
 
 def decode_docs(encoded: DataFrame, model: str) -> DataFrame:
     """Per row of encoded(doc_id, ids): doc_id, text."""
-    id_type = encoded.schema["doc_id"].dataType.simpleString()
+    ddl = f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string"
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        import pyarrow as pa
 
-    def make():
         pieces = Pieces.of_process(model)
-        return lambda doc, ids: (doc, [pieces.decode(i) for i in ids])
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(schema.field(0).type), pa.array(pieces.texts_of(b.column(1)), schema.field(1).type)], schema=schema)
 
-    return map_rows(encoded.select("doc_id", "ids"), make, f"doc_id {id_type}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, ddl)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -438,22 +695,23 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digests(encoded: DataFrame, model: str) -> DataFrame:
-    id_type = encoded.schema["doc_id"].dataType.simpleString()
+    ddl = f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_crc32 long, n_chars long, text_crc32 long"
+    schema = arrow_schema(ddl)
 
-    def make():
+    def run(batches):
         import zlib
 
         import numpy as np
+        import pyarrow as pa
 
         pieces = Pieces.of_process(model)
+        for b in batches:
+            ids = b.column(1)
+            text, at, flat = pieces.texts_of(ids), ids.offsets.to_numpy(), memoryview(ids.values.to_numpy(zero_copy_only=False).astype("<u4"))
+            columns = [np.diff(at), [zlib.crc32(flat[i:j]) for i, j in zip(at, at[1:])], list(map(len, text)), [zlib.crc32(t.encode()) for t in text]]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(schema.field(0).type), *[pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:])]], schema=schema)
 
-        def each(doc, ids):
-            text = [pieces.decode(i) for i in ids]
-            return doc, [len(i) for i in ids], [zlib.crc32(np.array(i, "<u4").tobytes()) for i in ids], [len(t) for t in text], [zlib.crc32(t.encode()) for t in text]
-
-        return each
-
-    return map_rows(encoded.select("doc_id", "ids"), make, f"doc_id {id_type}, n_tokens long, ids_crc32 long, n_chars long, text_crc32 long")
+    return encoded.select("doc_id", "ids").mapInArrow(run, ddl)
 
 
 QUERIES = {"op2_sentencepiece": op2_sentencepiece}
