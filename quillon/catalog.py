@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scoring
-from .functions.alphabet import PAIRS, code, differing, encode_text, hamming, pair_keys, quarters, reverse_complement
+from .functions.alphabet import PAIRS, code, differing, encode_text, hamming, pair_codes, quarters, reverse_complement, uncode
 from .operators import align, choose, reads, simulate, text
 from .plans.config import AlignConfig
+from .sources import sequences
 
 CONFIG = AlignConfig()
 L = CONFIG.seed_length
@@ -63,10 +64,19 @@ def q_read_count(spark, d):
 MASKED = "".join("N" if c in "qxz" else "CGTA"[i % 4] for i, c in enumerate("abcdefghijklmnopqrstuvwxyz"))
 
 
-def _masked(spark, d):
-    """The first 60 bases of each document as reads in which some letters are unknown."""
+def _masked_text(spark, d):
+    """Documents as fragments in which some letters are unknown."""
     raw = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", MASKED)
-    return reads.prepare(_docs(spark, d).select(F.col("doc_id").alias("read_ord"), F.substring(raw, 1, 60).alias("raw")))
+    return _docs(spark, d).select(F.lit(0).alias("file_ord"), F.col("doc_id").alias("frag_ord"), F.col("doc_id").cast("string").alias("ref_id"), raw.alias("seq"), F.length(raw).alias("len"))
+
+
+TILE = 60
+
+
+def _masked(spark, d):
+    """Every document as consecutive reads of TILE bases in which some letters are unknown; the last is as long as what is left."""
+    tiles = text.pieces(_masked_text(spark, d), TILE, 0)
+    return reads.prepare(tiles.select((F.col("frag_ord") * 1_000_000 + F.col("no")).alias("read_ord"), F.col("piece").alias("raw")))
 
 
 def q_dontcare_filter(spark, d):
@@ -102,7 +112,7 @@ def q_seed_signatures(spark, d):
 
 
 def q_pair_signatures(spark, d):
-    return _reads(spark, d).select("read_ord", F.inline(pair_keys(F.substring("seq", 1, L), L))).select("read_ord", "pair_idx", "key")
+    return _reads(spark, d).select("read_ord", F.inline(pair_codes([code(x) for x in quarters(F.substring("seq", 1, L), L)], L)))
 
 
 def q_signature_histogram(spark, d):
@@ -131,10 +141,11 @@ def q_fragment_starts(spark, d):
 
 
 def q_position_to_fragment(spark, d):
+    """The first and the last position of every fragment, found again from the position alone."""
     starts = text.fragment_starts(_fragments(spark, d))
-    ends = starts.groupBy("file_ord").agg(F.max("next_start").alias("n"))
-    positions = ends.select("file_ord", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(997).cast("long"))).alias("p"))
-    return text.locate(positions, starts).select("file_ord", "p", "frag_ord", F.col("pos").cast("long").alias("pos"))
+    ends = F.array_distinct(F.array(F.col("start"), F.col("next_start") - 1))
+    positions = starts.select("file_ord", F.explode(ends).alias("p"))
+    return text.locate(positions, starts).select("file_ord", F.col("p").cast("long").alias("p"), "frag_ord", F.col("pos").cast("long").alias("pos"))
 
 
 def q_odds_matrix(spark, d):
@@ -211,9 +222,45 @@ def q_random_text(spark, d):
     return simulate.random_text(spark, 60_000)
 
 
+ITEM = 36
+
+
 def q_contamination_hits(spark, d):
-    items = _table(spark, d, "benchmark").select(F.col("item_id").alias("read_ord"), F.substring(encode_text(F.col("text")), 1, 36).alias("raw"))
-    return _hit(align.all_hits(align.seed_matches(_fragments(spark, d), reads.prepare(items), CONFIG)))
+    """Whole benchmark items as reads of ITEM bases, one after the other and one at the end, against all documents."""
+    items = _table(spark, d, "benchmark").select("item_id", encode_text(F.col("text")).alias("s")).filter(F.length("s") >= ITEM)
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), F.length("s") - ITEM, F.lit(ITEM)), F.array(F.length("s") - ITEM)))
+    each = items.select("item_id", "s", F.explode(starts).alias("at"))
+    each = each.select((F.col("item_id") * 100_000 + F.col("at")).alias("read_ord"), F.substr("s", F.col("at") + 1, F.lit(ITEM)).alias("raw"))
+    return _hit(align.all_hits(align.seed_matches(_fragments(spark, d), reads.prepare(each), CONFIG)))
+
+
+def q_align_masked_text(spark, d):
+    """All hits in documents with unknown letters: no window may hold one."""
+    m = align.seed_matches(_masked_text(spark, d), _reads(spark, d), CONFIG)
+    return align.all_hits(m).select("read_ord", "strand", "frag_ord", F.col("pos").cast("long").alias("pos"), F.col("k").cast("int").alias("k"))
+
+
+def q_windows_dontcare_free(spark, d):
+    """How many windows of each document hold no unknown letter."""
+    return text.windows(_masked_text(spark, d), L).groupBy("frag_ord").agg(F.count("*").alias("n_windows"), F.sum(F.col("pos").cast("long")).alias("sum_pos"))
+
+
+def q_bases_of_codes(spark, d):
+    """Seeds to codes and back."""
+    m = quarters(F.substring("seq", 1, L), L)
+    return _reads(spark, d).select("read_ord", F.concat(*[uncode(code(x), L // 4) for x in m]).alias("seed"))
+
+
+def q_score_of_probabilities(spark, d):
+    """Scores of bases whose four call probabilities are known, on a grid of them."""
+    grid = [(0.25, 0.25, 0.25, 0.25), (1.0, 0.0, 0.0, 0.0), (0.1, 0.2, 0.3, 0.4), (0.0, 0.5, 0.5, 0.0), (0.05, 0.05, 0.05, 0.85)]
+    rows = [(x, *p, scoring.odds_of_probabilities(CONFIG, x, *p)) for x in "ACGT" for p in grid]
+    return spark.createDataFrame(rows, "ref_base string, a double, c double, g double, t double, score double").withColumn("score", F.round("score", 6))
+
+
+def q_reads_as_fastq(spark, d):
+    """The simulated reads as FASTQ lines, truth in the ids."""
+    return sequences.fastq_lines(_reads(spark, d), 33).select("read_ord", F.explode(F.split("record", "\n")).alias("line")).groupBy("read_ord").agg(F.count("*").alias("n_lines"), F.sum(F.crc32(F.col("line").cast("binary"))).alias("crc"))
 
 
 QUERIES = {k.removeprefix("q_"): f for k, f in list(globals().items()) if k.startswith("q_")}
@@ -234,17 +281,22 @@ reads AS (SELECT doc_id AS read_ord, place, p, CASE WHEN doc_id % 2 = 1 THEN {_R
 
 
 def _seeded(frag: str, reads_cte: str, s: int, e: int) -> str:
-    """CTEs up to events: each hit once for each quarter pair that finds it."""
-    q = L // 4
-    cols = ", ".join(f"substr(seed, {i * q + 1}, {q}) AS m{i}" for i in range(4))
-    joins = " UNION ALL ".join(f"SELECT {i} AS pair_idx, w.file_ord, w.frag_ord, w.place, w.seed, t.* FROM win w JOIN two t ON w.m{a} = t.m{a} AND w.m{b} = t.m{b}" for i, (a, b) in enumerate(PAIRS))
+    """CTEs up to events: windows and reads whose seeds are near by the definition, each hit once for each pair of quarters that agree.
+
+    Seeds of two mismatches or less agree in one of three parts, another cut than the engine's; the tests hold both against all pairs."""
+    q, t = L // 4, L // 3
+    third = lambda c: f"left({c}, {t}), substr({c}, {t + 1}, {t}), substr({c}, {2 * t + 1})"
+    agree = [f"substr(seed, {i * q + 1}, {q}) = substr(rseed, {i * q + 1}, {q})" for i in range(4)]
+    pairs = ", ".join(f"CASE WHEN {agree[a]} AND {agree[b]} THEN {i} END" for i, (a, b) in enumerate(PAIRS))
     return f"""{frag}, {reads_cte},
-win AS (SELECT *, {cols} FROM (SELECT *, substr(seq, CAST(place + 1 AS BIGINT), {L}) AS seed FROM (SELECT file_ord, frag_ord, seq, unnest(range(0, length(seq) - {L - 1})) AS place FROM frag))),
-two AS (SELECT *, {cols.replace('seed', 'rseed')} FROM (SELECT read_ord, '+' AS strand, seq AS w, substr(seq, 1, {L}) AS rseed, length(seq) AS m, qual AS q FROM reads WHERE length(seq) >= {L}
-  UNION ALL SELECT read_ord, '-', {_RC('seq')}, right({_RC('seq')}, {L}), length(seq), list_reverse(qual) FROM reads WHERE length(seq) >= {L})),
-met AS (SELECT *, CASE WHEN strand = '+' THEN place ELSE place - (m - {L}) END AS pos FROM ({joins}) WHERE hamming(seed, rseed) <= {s}),
+win AS (SELECT file_ord, frag_ord, place, substr(seq, CAST(place + 1 AS BIGINT), {L}) AS seed FROM (SELECT file_ord, frag_ord, seq, unnest(range(0, length(seq) - {L - 1})) AS place FROM frag)),
+two AS (SELECT read_ord, '+' AS strand, seq AS w, substr(seq, 1, {L}) AS rseed, length(seq) AS m, qual AS q FROM reads WHERE length(seq) >= {L}
+  UNION ALL SELECT read_ord, '-', {_RC('seq')}, right({_RC('seq')}, {L}), length(seq), list_reverse(qual) FROM reads WHERE length(seq) >= {L}),
+cut AS (SELECT *, unnest([{third('seed')}]) AS part, unnest([0, 1, 2]) AS no FROM win WHERE NOT contains(seed, 'N')), rcut AS (SELECT *, unnest([{third('rseed')}]) AS part, unnest([0, 1, 2]) AS no FROM two),
+near AS (SELECT DISTINCT file_ord, frag_ord, place, seed, read_ord, strand, w, rseed, m, q FROM cut JOIN rcut USING (no, part) WHERE hamming(seed, rseed) <= {s}),
+met AS (SELECT *, CASE WHEN strand = '+' THEN place ELSE place - (m - {L}) END AS pos, unnest(list_filter([{pairs}], lambda i: i IS NOT NULL)) AS pair_idx FROM near),
 placed AS (SELECT met.*, substr(f.seq, CAST(pos + 1 AS BIGINT), m) AS ref FROM met JOIN frag f ON f.file_ord = met.file_ord AND f.frag_ord = met.frag_ord WHERE pos >= 0 AND pos + m <= length(f.seq)),
-events AS (SELECT *, hamming(ref, w) AS k FROM placed WHERE hamming(ref, w) <= {e})"""
+events AS (SELECT *, hamming(ref, w) AS k FROM placed WHERE hamming(ref, w) <= {e} AND NOT contains(ref, 'N'))"""
 
 
 _LL = "[" + ", ".join(repr(scoring.log_odds(CONFIG)[a + b]) + "::DOUBLE" for a in "ACGT" for b in "ACGT") + "]"
@@ -255,7 +307,10 @@ _EVENTS = "WITH " + _seeded(_FRAG, _READS, _S, _E)
 _SCORED = _EVENTS + f", scored AS (SELECT *, {_SCORE} AS score FROM events)"
 _OUT = "read_ord, strand, CAST(file_ord AS INT) AS file_ord, frag_ord, CAST(pos AS BIGINT) AS pos, CAST(k AS INT) AS k"
 _EPS = f"m * {CONFIG.total_mismatches} / 70.0"
-_MASK_READS = f"""masked AS (SELECT doc_id AS read_ord, regexp_replace(left(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', '{MASKED}'), 60), '[^ACGT]', 'N', 'g') AS seq FROM documents)"""
+_MASKED_TEXT = f"translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', '{MASKED}')"
+_MASK_FRAG = f"frag AS (SELECT 0 AS file_ord, doc_id AS frag_ord, {_MASKED_TEXT} AS seq FROM documents)"
+_MASK_READS = f"""whole AS (SELECT doc_id, {_MASKED_TEXT} AS s FROM documents),
+masked AS (SELECT doc_id * 1000000 + i AS read_ord, substr(s, i * {TILE} + 1, {TILE}) AS seq FROM (SELECT *, unnest(range(0, CAST(ceil(length(s) / {TILE}.0) AS BIGINT))) AS i FROM whole))"""
 _UNIQUE = """, locus AS (SELECT read_ord, file_ord, frag_ord, pos, min(k) AS k, arg_min(strand, {'k': k, 's': strand}) AS strand FROM events GROUP BY ALL),
 low AS (SELECT *, min(k) OVER (PARTITION BY read_ord) AS e FROM locus), one AS (SELECT *, count(*) OVER (PARTITION BY read_ord) AS n FROM low WHERE k = e)"""
 _CANON = f""", locus AS (SELECT read_ord, m, file_ord, frag_ord, pos, max({{'score': score, 'plus': strand = '+', 'nk': -k}}) AS b FROM scored GROUP BY ALL),
@@ -292,12 +347,12 @@ SQL = {
     "quality_offset": f"WITH {_READS}, c AS (SELECT read_ord, unnest(qual) + 33 AS o, unnest(range(0, {LENGTH})) AS i FROM reads), x AS (SELECT arg_min(o, read_ord * 1000 + i) AS o FROM c WHERE o <= 54 OR o >= 94) SELECT CASE WHEN o IS NULL THEN 0 WHEN o <= 54 THEN 33 ELSE 64 END AS quality_offset FROM x",
     "windows": f"WITH {_FRAG}, w AS (SELECT file_ord, frag_ord, seq, unnest(range(0, length(seq) - {L - 1})) AS pos FROM frag) SELECT CAST(file_ord AS INT) AS file_ord, frag_ord, count(*) AS n_windows, min(substr(seq, CAST(pos + 1 AS BIGINT), {L})) AS first_seed, max(substr(seq, CAST(pos + 1 AS BIGINT), {L})) AS last_seed, CAST(sum(pos) AS BIGINT) AS sum_pos FROM w GROUP BY ALL",
     "seed_signatures": f"WITH {_READS}, m AS (SELECT read_ord, " + ", ".join(f"substr(seq, {i * L // 4 + 1}, {L // 4}) AS s{i}" for i in range(4)) + " FROM reads) SELECT read_ord, " + ", ".join(f"{_CODE(f's{i}')} AS m{i}" for i in range(4)) + " FROM m",
-    "pair_signatures": f"WITH {_READS} " + " UNION ALL ".join(f"SELECT read_ord, {i} AS pair_idx, substr(seq, {a * L // 4 + 1}, {L // 4}) || substr(seq, {b * L // 4 + 1}, {L // 4}) AS key FROM reads" for i, (a, b) in enumerate(PAIRS)),
+    "pair_signatures": f"WITH {_READS}, k AS (" + " UNION ALL ".join(f"SELECT read_ord, {i} AS pair_idx, substr(seq, {a * L // 4 + 1}, {L // 4}) || substr(seq, {b * L // 4 + 1}, {L // 4}) AS s FROM reads" for i, (a, b) in enumerate(PAIRS)) + f") SELECT read_ord, pair_idx, {_CODE('s')} AS key FROM k",
     "signature_histogram": f"WITH {_FRAG}, w AS (SELECT seq, unnest(range(0, length(seq) - {L - 1})) AS pos FROM frag) SELECT substr(seq, CAST(pos + 1 AS BIGINT), 6) AS prefix, count(*) AS n FROM w GROUP BY ALL",
     "hamming_codes": f"WITH {_READS}, t AS (SELECT read_ord, p, CASE WHEN read_ord % 2 = 1 THEN {_RC('seq')} ELSE seq END AS own FROM reads) SELECT read_ord, CAST({_DIFF('left(own, 16)', 'p')} AS INT) AS differing, CAST({_DIFF('own', 'p')} AS INT) AS distance FROM t",
     "rest_distance": f"WITH {_READS}, t AS (SELECT read_ord, right(p, {LENGTH - L}) AS p, right(CASE WHEN read_ord % 2 = 1 THEN {_RC('seq')} ELSE seq END, {LENGTH - L}) AS own FROM reads) SELECT read_ord, CAST({_DIFF('own', 'p')} AS INT) AS rest FROM t",
     "fragment_starts": f"WITH {_FRAG}, {_STARTS} SELECT CAST(file_ord AS INT) AS file_ord, frag_ord, CAST(start AS BIGINT) AS start, CAST(next_start AS BIGINT) AS next_start FROM starts",
-    "position_to_fragment": f"WITH {_FRAG}, {_STARTS}, pos AS (SELECT file_ord, unnest(range(0, CAST(max(next_start) AS BIGINT), 997)) AS p FROM starts GROUP BY file_ord) SELECT CAST(s.file_ord AS INT) AS file_ord, p, frag_ord, CAST(p - start AS BIGINT) AS pos FROM pos JOIN starts s ON s.file_ord = pos.file_ord AND p >= start AND p < next_start",
+    "position_to_fragment": f"WITH {_FRAG}, {_STARTS}, pos AS (SELECT DISTINCT file_ord, unnest([start, next_start - 1]) AS p FROM starts) SELECT CAST(s.file_ord AS INT) AS file_ord, CAST(p AS BIGINT) AS p, frag_ord, CAST(p - start AS BIGINT) AS pos FROM pos JOIN starts s ON s.file_ord = pos.file_ord AND p >= start AND p < next_start",
     "odds_matrix": _odds_sql() + " SELECT ref_base, read_base, round(odds, 9) AS odds, round(log2(odds), 9) AS log2_odds FROM o",
     "score_table": _odds_sql() + f" SELECT ref_base, read_base, CAST(q AS INT) AS quality, round(log2(odds) * (1 - ({_QE})[CAST(q + 1 AS BIGINT)]), 6) + 0::DOUBLE AS entry FROM o, range(0, 63) r(q)",
     "filter_value": f"WITH {_MASK_READS} SELECT DISTINCT CAST(length(seq) AS INT) AS len, level, round(length(seq) * mult * {CONFIG.total_mismatches} / 70.0, 6) AS epsilon FROM masked, (VALUES (0, 0.0::DOUBLE), (1, 0.5::DOUBLE), (2, 1.0::DOUBLE), (3, 2.0::DOUBLE), (4, 3.0::DOUBLE)) v(level, mult)",
@@ -314,6 +369,17 @@ SQL = {
     "alignment_report": f"{_SCORED}{_CANON} SELECT read_id, CASE WHEN strand = '-' THEN {_RC('seq')} ELSE seq END AS seq, round(score, 4) AS score, 1 AS n_hits, 'a' AS pair, {LENGTH} AS len, strand, CAST(frag_ord AS VARCHAR) AS ref_id, CAST(pos + 1 AS BIGINT) AS pos, '' AS hit_type, CAST(k AS INT) AS errors FROM best JOIN reads USING (read_ord)",
     "simulate_reads": f"WITH {_READS} SELECT read_ord, read_id, seq AS raw, array_to_string(qual, ',') AS qual FROM reads",
     "random_text": "SELECT i // 60 AS line_no, string_agg(substr('ACGT', CAST(((((i + 1) * 1103515245 + 12345) % 2147483648) >> 16) % 4 + 1 AS BIGINT), 1), '' ORDER BY i) AS line FROM range(0, 60000) r(i) GROUP BY ALL",
-    # every window against every item, no seeds: the definition itself
-    "contamination_hits": f"WITH {_FRAG}, items AS (SELECT item_id, left({_ENC}, 36) AS s FROM benchmark), two AS (SELECT item_id, '+' AS strand, s AS w, left(s, {L}) AS seed FROM items WHERE length(s) = 36 UNION ALL SELECT item_id, '-', {_RC('s')}, right({_RC('s')}, {L}) FROM items WHERE length(s) = 36), win AS (SELECT file_ord, frag_ord, pos, substr(seq, CAST(pos + 1 AS BIGINT), 36) AS ref FROM (SELECT *, unnest(range(0, length(seq) - 35)) AS pos FROM frag)) SELECT item_id AS read_ord, strand, CAST(file_ord AS INT) AS file_ord, frag_ord, CAST(pos AS BIGINT) AS pos, CAST(hamming(ref, w) AS INT) AS k FROM win, two WHERE hamming(ref, w) <= {_E} AND hamming(CASE WHEN strand = '+' THEN left(ref, {L}) ELSE right(ref, {L}) END, seed) <= {_S}",
+    # every window against every part of every item, no seeds: the definition itself
+    "contamination_hits": f"""WITH {_FRAG}, whole AS (SELECT item_id, {_ENC} AS s FROM benchmark),
+parts AS (SELECT DISTINCT item_id, s, unnest(list_append(range(0, length(s) - {ITEM - 1}, {ITEM}), length(s) - {ITEM})) AS place FROM whole WHERE length(s) >= {ITEM}),
+items AS (SELECT item_id * 100000 + place AS read_ord, substr(s, CAST(place + 1 AS BIGINT), {ITEM}) AS s FROM parts),
+two AS (SELECT read_ord, '+' AS strand, s AS w, left(s, {L}) AS rseed FROM items UNION ALL SELECT read_ord, '-', {_RC('s')}, right({_RC('s')}, {L}) FROM items),
+win AS (SELECT file_ord, frag_ord, place, substr(seq, CAST(place + 1 AS BIGINT), {L}) AS seed FROM (SELECT *, unnest(range(0, length(seq) - {L - 1})) AS place FROM frag)),
+near AS (SELECT *, CASE WHEN strand = '+' THEN place ELSE place - {ITEM - L} END AS pos FROM win JOIN two ON hamming(seed, rseed) <= {_S}),
+placed AS (SELECT near.*, substr(f.seq, CAST(pos + 1 AS BIGINT), {ITEM}) AS ref FROM near JOIN frag f ON f.file_ord = near.file_ord AND f.frag_ord = near.frag_ord WHERE pos >= 0 AND pos + {ITEM} <= length(f.seq))
+SELECT read_ord, strand, CAST(file_ord AS INT) AS file_ord, frag_ord, CAST(pos AS BIGINT) AS pos, CAST(hamming(ref, w) AS INT) AS k FROM placed WHERE hamming(ref, w) <= {_E}""",
+    "align_masked_text": "WITH " + _seeded(_MASK_FRAG, _READS, _S, _E) + " SELECT DISTINCT read_ord, strand, frag_ord, CAST(pos AS BIGINT) AS pos, CAST(k AS INT) AS k FROM events",
+    "windows_dontcare_free": f"WITH {_MASK_FRAG}, w AS (SELECT frag_ord, seq, unnest(range(0, length(seq) - {L - 1})) AS pos FROM frag) SELECT frag_ord, count(*) AS n_windows, CAST(sum(pos) AS BIGINT) AS sum_pos FROM w WHERE NOT contains(substr(seq, CAST(pos + 1 AS BIGINT), {L}), 'N') GROUP BY ALL",
+    "bases_of_codes": f"WITH {_READS} SELECT read_ord, left(seq, {L}) AS seed FROM reads",
+    "score_of_probabilities": _odds_sql() + ", g(a, c, g, t) AS (VALUES (0.25::DOUBLE, 0.25::DOUBLE, 0.25::DOUBLE, 0.25::DOUBLE), (1, 0, 0, 0), (0.1, 0.2, 0.3, 0.4), (0, 0.5, 0.5, 0), (0.05, 0.05, 0.05, 0.85)) SELECT ref_base, a, c, g, t, round(log2(sum(odds * CASE read_base WHEN 'A' THEN a WHEN 'C' THEN c WHEN 'G' THEN g ELSE t END)), 6) AS score FROM o, g GROUP BY ref_base, a, c, g, t",
 }

@@ -51,10 +51,23 @@ def quarters(seed: Column, length: int) -> list[Column]:
     return [F.substring(seed, i * q + 1, q) for i in range(4)]
 
 
+def pair_codes(m: list[Column], length: int) -> Column:
+    """The six (pair, key) structs of a seed's quarter codes: two quarters together as one number."""
+    return F.array(*[F.struct(F.lit(i).alias("pair_idx"), F.shiftleft(m[a], 2 * (length // 4)).bitwiseOR(m[b]).alias("key")) for i, (a, b) in enumerate(PAIRS)])
+
+
 def pair_keys(seed: Column, length: int) -> Column:
-    """The six (pair, key) structs of a seed: two of its quarters together."""
+    """The six (pair, key) structs of a seed, the key a 64-bit hash of two quarters: much cheaper than codes, and what meets by chance is told
+    apart by same_pair."""
     m = quarters(seed, length)
-    return F.array(*[F.struct(F.lit(i).alias("pair_idx"), F.concat(m[a], m[b]).alias("key")) for i, (a, b) in enumerate(PAIRS)])
+    return F.array(*[F.struct(F.lit(i).alias("pair_idx"), F.xxhash64(m[a], m[b]).alias("key")) for i, (a, b) in enumerate(PAIRS)])
+
+
+def same_pair(x: Column, y: Column, pair_idx: Column, length: int) -> Column:
+    """Whether two seeds agree in the pair's two quarters."""
+    m, n = quarters(x, length), quarters(y, length)
+    each = [m[i] == n[i] for i in range(4)]
+    return F.element_at(F.array(*[each[a] & each[b] for a, b in PAIRS]), pair_idx + 1)
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -67,4 +80,4 @@ def hamming(a: Column, b: Column) -> Column:
     """Differing bases of two N-free strings of equal length, 16 at a time."""
     parts = F.sequence(F.lit(0), F.floor((F.greatest(F.length(a), F.lit(1)) - 1) / 16).cast("int"))
     step = lambda acc, i: acc + differing(code(F.substr(a, i * 16 + 1, F.lit(16))), code(F.substr(b, i * 16 + 1, F.lit(16))))
-    return F.when(F.length(a) == 0, F.lit(0)).otherwise(F.aggregate(parts, F.lit(0), step))
+    return F.when(F.length(a) == 0, F.lit(0)).when(a == b, F.lit(0)).otherwise(F.aggregate(parts, F.lit(0), step))

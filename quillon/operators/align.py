@@ -1,8 +1,10 @@
-"""Alignment: seeds meet in an equi-join, survivors are verified where they met.
+"""Alignment: seeds meet in an equi-join on numbers, survivors fetch their read and their text.
 
 A seed of four quarters with at most two mismatches has two quarters without any, so six joins on quarter pairs, expressed as one join on
-(pair_idx, key), find every window within the seed's bound. The text is exploded into windows; the reads' keys are broadcast when there
-are at most BROADCAST_READS of them, so the text is not shuffled; beyond that the join shuffles both sides by key.
+(pair_idx, key), find every window within the seed's bound. Both sides carry seeds and places only; the seed's distance is counted
+where they meet. What survives is joined with the reads, then with the text cut into pieces of at least the longest read, and verified. The probes are
+broadcast up to BROADCAST_BYTES of them, so the text's index is not shuffled; beyond that both sides shuffle by key, and Spark's adaptive skew join
+splits the keys of repeats.
 """
 
 from __future__ import annotations
@@ -10,42 +12,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.alphabet import hamming, pair_keys, reverse_complement
+from quillon.functions.alphabet import hamming, pair_keys, reverse_complement, same_pair
 from quillon.functions.scoring import alignment_score
 from quillon.plans.config import AlignConfig
 
 from .reads import usable
-from .text import seed_index
+from .text import pieces, seed_index
 
-BROADCAST_READS = 200_000
+BROADCAST_BYTES, PROBE_BYTES, STEP = 64 << 20, 12 * 100, 4096
 
 
 def probes(reads: DataFrame, length: int) -> DataFrame:
-    """Each usable read on both strands (w: the read as the text shows it) under the six keys of its seed."""
-    quality = "qual" in reads.columns
-    r = usable(reads, length).select("read_ord", "seq", "len", *(["qual"] if quality else []))
-    q = F.col("qual") if quality else F.lit(None).cast("array<int>")
-    both = F.array(
-        F.struct(F.lit("+").alias("strand"), F.col("seq").alias("w"), q.alias("q")),
-        F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("seq")).alias("w"), F.reverse(q).alias("q")),
-    )
+    """Each usable read on both strands under the six keys of its seed: read_ord, len, strand, read_seed, pair_idx, key."""
+    r = usable(reads, length).select("read_ord", "seq", "len")
+    flipped = F.substring(reverse_complement(F.col("seq")), F.col("len") - length + 1, F.lit(length))
+    both = F.array(F.struct(F.lit("+").alias("strand"), F.substring("seq", 1, length).alias("read_seed")), F.struct(F.lit("-").alias("strand"), flipped.alias("read_seed")))
     s = r.select("read_ord", "len", F.inline(both))
-    seed = F.when(F.col("strand") == "+", F.substring("w", 1, length)).otherwise(F.substring("w", F.col("len") - length + 1, F.lit(length)))
-    return s.withColumn("read_seed", seed).select("read_ord", "len", "strand", "w", "q", "read_seed", F.inline(pair_keys(F.col("read_seed"), length)))
+    return s.select("*", F.inline(pair_keys(F.col("read_seed"), length)))
 
 
 def seed_matches(fragments: DataFrame, reads: DataFrame, config: AlignConfig) -> DataFrame:
     """Every hit once for each quarter pair that found it: read_ord, strand, file_ord, frag_ord, pos, pair_idx, seed_k, k, and w, window, q."""
     n = config.seed_length
-    found = reads.agg(F.count("*").alias("n"), F.coalesce(F.max("len"), F.lit(0)).alias("longest")).first()
-    reach = max(n, found.longest)
-    index = seed_index(fragments, n, reach)
+    good = usable(reads, n)
+    found = good.agg(F.count("*").alias("n"), F.coalesce(F.max("len"), F.lit(0)).alias("longest")).first()
+    step, longest = max(STEP, found.longest), max(n, found.longest)
     p = probes(reads, n)
-    met = index.join(F.broadcast(p) if found.n <= BROADCAST_READS else p, ["pair_idx", "key"])
-    met = met.withColumn("seed_k", hamming(F.col("seed"), F.col("read_seed"))).filter(F.col("seed_k") <= config.seed_mismatches)
+    met = seed_index(fragments, n).join(F.broadcast(p) if found.n * PROBE_BYTES <= BROADCAST_BYTES else p, ["pair_idx", "key"])
     start = F.when(F.col("strand") == "+", F.col("pos")).otherwise(F.col("pos") - F.col("len") + n)
-    met = met.withColumn("pos", start).filter("pos >= at")
-    met = met.withColumn("window", F.substring("piece", F.col("pos") - F.col("at") + 1, F.col("len"))).filter((F.length("window") == F.col("len")) & ~F.contains("window", F.lit("N")))
+    met = met.filter(same_pair(F.col("seed"), F.col("read_seed"), F.col("pair_idx"), n)).withColumn("seed_k", hamming(F.col("seed"), F.col("read_seed"))).filter(F.col("seed_k") <= config.seed_mismatches).withColumn("pos", start).filter("pos >= 0")
+    met = met.select("read_ord", "strand", "file_ord", "frag_ord", "pos", "pair_idx", "seed_k", "len")
+    own = good.select("read_ord", F.col("seq").alias("_seq"), (F.col("qual") if "qual" in reads.columns else F.lit(None).cast("array<int>")).alias("_qual"))
+    plus = F.col("strand") == "+"
+    met = met.join(own, "read_ord").withColumn("w", F.when(plus, F.col("_seq")).otherwise(reverse_complement(F.col("_seq")))).withColumn("q", F.when(plus, F.col("_qual")).otherwise(F.reverse("_qual")))
+    met = met.withColumn("no", F.floor(F.col("pos") / step).cast("int")).join(pieces(fragments, step, longest), ["file_ord", "frag_ord", "no"])
+    met = met.withColumn("window", F.substring("piece", F.col("pos") - F.col("no") * step + 1, F.col("len"))).filter((F.length("window") == F.col("len")) & ~F.contains("window", F.lit("N")))
     met = met.withColumn("k", hamming(F.col("window"), F.col("w"))).filter(F.col("k") <= config.total_mismatches)
     return met.select("read_ord", "strand", "file_ord", "frag_ord", "pos", "pair_idx", "seed_k", "k", "len", "w", "window", "q")
 

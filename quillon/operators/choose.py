@@ -64,14 +64,18 @@ def unique_by_fold(matches: DataFrame, config: AlignConfig) -> DataFrame:
     return ordered.mapInPandas(run, out.format(kind["read_ord"], kind["frag_ord"]))
 
 
-def report(best: DataFrame, reads: DataFrame, fragments: DataFrame, scored: bool) -> DataFrame:
-    """The eleven columns of an alignment report; ids are joined last."""
+def report(best: DataFrame, reads: DataFrame, fragments: DataFrame, scored: bool, rewrite: bool = True) -> DataFrame:
+    """The eleven columns of an alignment report; ids are joined last.
+
+    Rows come in the order of the reads, by length first when these are rewritten by length (rewrite), and a read's hits by mismatches, place,
+    score and strand: a distributed sort of the report alone."""
     from quillon.functions.alphabet import reverse_complement
 
     ids = reads.select("read_ord", "read_id", F.col("seq").alias("_seq"), "len")
     refs = fragments.select("file_ord", "frag_ord", "ref_id")
     best = best.select("read_ord", "file_ord", "frag_ord", "pos", "strand", "k", *(["score"] if scored else []))
     b = best.join(ids, "read_ord").join(refs, ["file_ord", "frag_ord"])
+    b = b.orderBy(*(["len"] if rewrite else []), "read_ord", "k", "pos", "file_ord", "frag_ord", *(["score"] if scored else []), "strand")
     seq = F.when(b["strand"] == "-", reverse_complement(F.col("_seq"))).otherwise(F.col("_seq"))
     return b.select(
         "read_id", seq.alias("seq"), (F.col("score") if scored else F.lit(None).cast("double")).alias("score"), F.lit(1).alias("n_hits"), F.lit("a").alias("pair"),

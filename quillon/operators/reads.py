@@ -18,15 +18,20 @@ def usable(reads: DataFrame, seed_length: int) -> DataFrame:
     return reads.filter((F.col("len") >= seed_length) & ~F.col("has_n"))
 
 
-def rewrite_order(reads: DataFrame) -> DataFrame:
+def rewrite_order(reads: DataFrame, block: int = 65_536) -> DataFrame:
     """new_ord: the place of a read when reads are sorted by length, N-free ones first, then input order.
 
-    Running counts over the (length, has_n) buckets, then a number within each bucket: no global sort."""
-    buckets = reads.groupBy("len", "has_n").agg(F.count("*").alias("of"))
-    before = Window.orderBy("len", "has_n").rowsBetween(Window.unboundedPreceding, -1)  # one row a length
-    starts = buckets.select("len", "has_n", F.coalesce(F.sum("of").over(before), F.lit(0)).alias("first"))
-    inside = F.row_number().over(Window.partitionBy("len", "has_n").orderBy("read_ord")) - 1
-    return reads.withColumn("_no", inside).join(starts, ["len", "has_n"]).withColumn("new_ord", F.col("first") + F.col("_no")).drop("_no", "first")
+    Running counts over blocks of read numbers within the (length, has_n) buckets, then a number within each block: no global sort, and a
+    bucket of most reads is many groups."""
+    own = reads.withColumn("_block", F.floor(F.col("read_ord") / block))
+    cells = own.groupBy("len", "has_n", "_block").agg(F.count("*").alias("of"))
+    inside = Window.partitionBy("len", "has_n").orderBy("_block")  # one row a block
+    buckets = cells.groupBy("len", "has_n").agg(F.sum("of").alias("all"))
+    first = Window.orderBy("len", "has_n")  # one row a length
+    buckets = buckets.select("len", "has_n", (F.sum("all").over(first) - F.col("all")).alias("_first"))
+    starts = cells.withColumn("_before", F.sum("of").over(inside) - F.col("of")).join(buckets, ["len", "has_n"]).select("len", "has_n", "_block", (F.col("_first") + F.col("_before")).alias("_start"))
+    number = F.row_number().over(Window.partitionBy("len", "has_n", "_block").orderBy("read_ord")) - 1
+    return own.withColumn("_no", number).join(starts, ["len", "has_n", "_block"]).withColumn("new_ord", F.col("_start") + F.col("_no")).drop("_no", "_start", "_block")
 
 
 def length_buckets(reads: DataFrame) -> DataFrame:

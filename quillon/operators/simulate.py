@@ -10,9 +10,12 @@ from quillon.functions.alphabet import encode_text, reverse_complement
 
 def reads_of_documents(docs: DataFrame, length: int = 40, least: int = 200) -> DataFrame:
     """One read from each document of at least `least` bases: read_ord, read_id (its place, strand and substitutions), raw, qual, truth_pos."""
-    seq = docs.filter("doc_id is not null").select("doc_id", encode_text(F.col("text")).alias("s")).filter(F.length("s") >= least)
-    at = seq.withColumn("truth_pos", (F.col("doc_id") * 7919 % F.nullif(F.length("s") - length, F.lit(0))).cast("int"))
-    part = at.withColumn("part", F.substring("s", F.col("truth_pos") + 1, F.lit(length))).drop("s")
+    # a value that lambdas read many times is generated once (inline), as Catalyst would put its expression into each of them
+    once = lambda df, *c: df.select("doc_id", F.inline(F.array(F.struct(*c))))
+    seq = once(docs.filter("doc_id is not null"), encode_text(F.col("text")).alias("s")).filter(F.length("s") >= least)
+    place = (F.col("doc_id") * 7919 % F.nullif(F.length("s") - length, F.lit(0))).cast("int")  # the filter does not guard the remainder
+    at = seq.select("doc_id", "s", place.alias("truth_pos"))
+    part = once(at, "truth_pos", F.substring("s", F.col("truth_pos") + 1, F.lit(length)).alias("part"))
     hit = lambda j: (F.col("doc_id") * 31 + j * j * 17) % (7 + F.col("doc_id") % 17) == 0
     base = lambda j: F.substr(F.col("part"), j + 1, F.lit(1))
     places = F.sequence(F.lit(0), F.lit(length - 1))

@@ -14,41 +14,49 @@ def fragments_of_documents(docs: DataFrame) -> DataFrame:
     """file_ord (rank of the language), frag_ord (doc_id), ref_id, seq, len; a language's rows share a file."""
     files = docs.select("lang").distinct().select(F.col("lang").alias("file"), (F.row_number().over(Window.orderBy(F.col("lang").asc_nulls_first())) - 1).alias("file_ord"))  # one row a language
     seq = docs.select("lang", "doc_id", encode_text(F.col("text")).alias("seq")).filter("length(seq) > 0")
-    joined = seq.join(F.broadcast(files) if files.count() <= 10_000 else files, F.col("lang").eqNullSafe(F.col("file")))
+    # rows without an id are no fragments: nothing could name them
+    joined = seq.filter("doc_id is not null").join(F.broadcast(files) if files.count() <= 10_000 else files, F.col("lang").eqNullSafe(F.col("file")))
     return joined.select("file_ord", F.col("doc_id").alias("frag_ord"), F.col("doc_id").cast("string").alias("ref_id"), "seq", F.length("seq").alias("len"))
 
 
-def segments(fragments: DataFrame, reach: int) -> DataFrame:
-    """Pieces of SEGMENT bases with reach bases on either side, so that no window's work depends on its fragment's length.
+def pieces(fragments: DataFrame, step: int, after: int) -> DataFrame:
+    """Fragments cut every `step` bases, each piece with the `after` bases that follow it: file_ord, frag_ord, no, piece (it starts at no * step).
 
-    at: 0-based place of the piece in its fragment; own_from, own_to: places of the bases it stands for."""
-    cut = fragments.filter("len > 0").select("file_ord", "frag_ord", "seq", "len", F.explode(F.sequence(F.lit(0), F.floor((F.col("len") - 1) / SEGMENT).cast("int"))).alias("no"))
-    at = F.greatest(F.lit(0), F.col("no") * SEGMENT - reach)
-    return cut.select(
-        "file_ord", "frag_ord", at.alias("at"), (F.col("no") * SEGMENT).alias("own_from"), F.least(F.col("len"), (F.col("no") + 1) * SEGMENT).alias("own_to"),
-        F.substring("seq", at + 1, SEGMENT + 2 * reach).alias("piece"),
-    )
+    A fragment is cut once, in time proportional to its length, so that no later work depends on how long it is."""
+    more = -(-after // step)
+    cut = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    own = fragments.filter("len > 0").select("file_ord", "frag_ord", cut.alias("cut"))
+    whole = F.transform("cut", lambda x, i: F.struct(i.alias("no"), F.concat(x, F.substring(F.array_join(F.slice("cut", i + 2, more), ""), 1, after)).alias("piece")))
+    return own.select("file_ord", "frag_ord", F.inline(whole))
 
 
-def windows(fragments: DataFrame, length: int, reach: int | None = None) -> DataFrame:
-    """Every N-free window of the length: file_ord, frag_ord, pos (0-based), seed; with reach, the piece around it and its place."""
-    pieces = segments(fragments, length if reach is None else max(length, reach))
-    most = F.least(F.col("own_to") - 1, F.col("at") + F.length("piece") - length)
-    starts = pieces.filter(most >= F.col("own_from")).select("*", F.explode(F.sequence(F.col("own_from"), most)).alias("pos"))
-    seeds = starts.withColumn("seed", F.substring("piece", F.col("pos") - F.col("at") + 1, F.lit(length))).filter(~F.contains("seed", F.lit("N")))
-    return seeds.select("file_ord", "frag_ord", "pos", "seed", *([] if reach is None else ["piece", "at"]))
+def windows(fragments: DataFrame, length: int) -> DataFrame:
+    """Every N-free window of the length: file_ord, frag_ord, pos (0-based), seed."""
+    # pieces are dealt to all tasks before each becomes hundreds of rows, however few files or fragments the text has
+    session = fragments.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    cut = pieces(fragments, SEGMENT, length - 1).repartition(tasks, "file_ord", "frag_ord", "no")
+    most = F.least(F.lit(SEGMENT), F.length("piece") - (length - 1))
+    seeds = F.transform(F.sequence(F.lit(0), most - 1), lambda i: F.struct((F.col("no") * SEGMENT + i).alias("pos"), F.substr("piece", i + 1, F.lit(length)).alias("seed")))
+    return cut.filter(most > 0).select("file_ord", "frag_ord", F.inline(seeds)).filter(~F.contains("seed", F.lit("N")))
 
 
-def seed_index(fragments: DataFrame, length: int, reach: int | None = None) -> DataFrame:
-    """The windows under each of their six quarter pairs."""
-    w = windows(fragments, length, reach)
-    return w.select("*", F.inline(pair_keys(F.col("seed"), length)))
+def seed_index(fragments: DataFrame, length: int) -> DataFrame:
+    """The windows under each of their six quarter pairs: file_ord, frag_ord, pos, seed, pair_idx, key; no text beyond the seed is carried."""
+    return windows(fragments, length).select("*", F.inline(pair_keys(F.col("seed"), length)))
 
 
-def fragment_starts(fragments: DataFrame) -> DataFrame:
-    """start: where a fragment begins in its file's concatenated text, and the next one's start."""
-    order = Window.partitionBy("file_ord").orderBy("frag_ord")
-    return fragments.select("file_ord", "frag_ord", "len", (F.sum("len").over(order) - F.col("len")).alias("start")).withColumn("next_start", F.col("start") + F.col("len"))
+def fragment_starts(fragments: DataFrame, block: int = 65_536) -> DataFrame:
+    """start: where a fragment begins in its file's concatenated text, and the next one's start.
+
+    Lengths are summed over blocks of fragment numbers, then within each block, so a file of many fragments is many groups."""
+    own = fragments.select("file_ord", "frag_ord", "len", F.floor(F.col("frag_ord") / block).alias("_block"))
+    sums = own.groupBy("file_ord", "_block").agg(F.sum("len").alias("_of"))
+    before = Window.partitionBy("file_ord").orderBy("_block")  # one row a block
+    sums = sums.select("file_ord", "_block", (F.sum("_of").over(before) - F.col("_of")).alias("_before"))
+    inside = Window.partitionBy("file_ord", "_block").orderBy("frag_ord")
+    met = own.withColumn("_in", F.sum("len").over(inside) - F.col("len")).join(sums, ["file_ord", "_block"])
+    return met.select("file_ord", "frag_ord", "len", (F.col("_before") + F.col("_in")).alias("start")).withColumn("next_start", F.col("start") + F.col("len"))
 
 
 def locate(positions: DataFrame, starts: DataFrame, step: int = 4096) -> DataFrame:

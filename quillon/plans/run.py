@@ -17,11 +17,11 @@ def align_reads(fragments: DataFrame, reads: DataFrame, config: AlignConfig, pol
     if config.scored:
         matches = align.with_score(matches, config, "qual" in reads.columns)
     if not config.unique:
-        return choose.report(align.ranked(align.all_hits(matches)), reads, fragments, config.scored)
+        return choose.report(align.all_hits(matches), reads, fragments, config.scored, False)
     if not config.scored:
-        return choose.report(choose.unique_by_errors(matches), reads, fragments, False)
+        return choose.report(choose.unique_by_errors(matches), reads, fragments, False, config.rewrite)
     best = choose.unique_by_fold if policy == "fold" else choose.unique_by_score
-    return choose.report(best(matches, config), reads, fragments, True)
+    return choose.report(best(matches, config), reads, fragments, True, config.rewrite)
 
 
 def align_files(spark: SparkSession, text: str, patterns: str, config: AlignConfig | None = None, policy: str = "fold") -> DataFrame:
@@ -46,13 +46,13 @@ def main(argv: list[str] | None = None) -> None:
         a.add_argument(flag, dest=name, required=True)
     d = AlignConfig()
     for flag, name, kind in (
-        ("-s", "seed_mismatches", int), ("-e", "total_mismatches", int), ("-l", "seed_length", int), ("-u", "unique", int), ("-q", "scored", int), ("-Q", "quality_offset", int),
+        ("-s", "seed_mismatches", int), ("-e", "total_mismatches", int), ("-l", "seed_length", int), ("-u", "unique", int), ("-q", "scored", int), ("-Q", "quality_offset", int), ("-R", "rewrite", int),
         ("-similarity", "similarity", float), ("-err", "error_rate", float), ("-trans", "transitions", float), ("-gc", "gc", float), ("-gcmut_bias", "gc_bias", float), ("-filter_level", "filter_level", int),
     ):
         a.add_argument(flag, dest=name, type=kind, default=getattr(d, name))
     x = vars(a.parse_args(argv))
     text, patterns, output = (x.pop(k) for k in ("text", "patterns", "output"))
-    x |= {k: bool(x[k]) for k in ("unique", "scored")}
+    x |= {k: bool(x[k]) for k in ("unique", "scored", "rewrite")}
     spark = SparkSession.builder.getOrCreate()
     sequences.write_report(align_files(spark, text, patterns, AlignConfig(**x)), output)
 

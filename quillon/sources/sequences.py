@@ -74,7 +74,7 @@ def parse_fastq(text: str) -> Iterator[tuple[str, str, str, str]]:
 
 def sniff(spark: SparkSession, path: str) -> str:
     """fasta or fastq by the first character."""
-    first = spark.read.text(path, wholetext=True).select(F.substring("value", 1, 1).alias("c")).filter("c != ''").limit(1).collect()
+    first = spark.read.option("lineSep", "\n").text(path).select(F.substring("value", 1, 1).alias("c")).limit(1).collect()  # the first line alone is read
     kind = {">": "fasta", "@": "fastq"}.get(first[0].c if first else "")
     if kind is None:
         raise ValueError("reads start with > or @")
@@ -107,6 +107,22 @@ def with_quality(reads: DataFrame, offset: int) -> DataFrame:
     return reads.withColumn("qual", F.transform(F.filter(F.split("quality_raw", ""), lambda c: c != ""), lambda c: F.ascii(c) - offset))
 
 
+def fastq_lines(reads: DataFrame, offset: int = 33) -> DataFrame:
+    """read_ord, record: reads(read_ord, read_id, raw, qual) as FASTQ records of four lines; the id ends in the length."""
+    quality = F.array_join(F.transform("qual", lambda x: F.char(x + offset)), "")
+    head = F.concat(F.lit("@"), F.col("read_id"), F.lit(" length="), F.length("raw").cast("string"))
+    return reads.select("read_ord", F.concat_ws("\n", head, F.col("raw"), F.lit("+"), quality).alias("record"))
+
+
+def fasta_lines(reads: DataFrame) -> DataFrame:
+    return reads.select("read_ord", F.concat_ws("\n", F.concat(F.lit(">"), F.col("read_id")), F.col("raw")).alias("record"))
+
+
+def write_lines(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """FASTA or FASTQ files of records, in read order across the files."""
+    records.orderBy("read_ord").select("record").write.mode(mode).text(path)
+
+
 def write_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The report as tab-separated text without a header; scores to six significant digits."""
     score = F.when(F.col("score").isNull(), F.lit("")).otherwise(F.regexp_replace(F.format_string("%.6g", "score"), r"(\.\d*?)0+$|\.$", "$1"))

@@ -45,13 +45,13 @@ def test_seeds_are_complete(spark):
     flip = str.maketrans("ACGT", "TGCA")
     patterns = []
     for i in range(40):
-        p = list(ref[(j := rng.randrange(560)) : j + rng.randrange(16, 30)])
+        p = list(ref[(j := rng.randrange(560)) : j + rng.randrange(16, 60)])
         for _ in range(i % 7):
             p[rng.randrange(len(p))] = rng.choice("ACGT")
         patterns.append("".join(p) if i % 2 else "".join(p)[::-1].translate(flip))
     frag = spark.createDataFrame([(0, 0, "x", ref, len(ref))], "file_ord int, frag_ord long, ref_id string, seq string, len int")
     rd = reads.prepare(spark.createDataFrame(list(enumerate(patterns)), "read_ord long, raw string"))
-    for s, n in itertools.product((0, 1, 2), (12, 16)):
+    for s, n in itertools.product((0, 1, 2), (12, 16, 24, 32)):
         c = AlignConfig(seed_mismatches=s, seed_length=n)
         got = {(r.read_ord, r.strand, r.pos) for r in align.all_hits(align.seed_matches(frag, rd, c)).collect()}
         want = set()
@@ -75,7 +75,11 @@ def test_fold(spark, events, state):
 
 def test_scoring_values():
     o, v = scoring.odds(AlignConfig()), scoring.log_odds(AlignConfig())
-    assert o["AA"] == pytest.approx(3.38242282) and o["CT"] == pytest.approx(0.021782482) and o["TG"] == pytest.approx(0.00756849, rel=1) and o["AG"] == pytest.approx(0.00756849)
+    want = {
+        "A": (3.38242282, 0.001545677, 0.00756849, 0.001074115), "C": (0.004448535, 4.833900157, 0.00640155, 0.021782482),
+        "G": (0.021782482, 0.00640155, 4.833900157, 0.004448535), "T": (0.001074115, 0.00756849, 0.001545677, 3.38242282),
+    }
+    assert {x + y: v for x, row in want.items() for y, v in zip("ACGT", row)} == pytest.approx(o, rel=1e-6)
     assert v["AA"] == pytest.approx(1.758057015) and v["GG"] == pytest.approx(2.273187675)
 
 
@@ -136,3 +140,66 @@ def test_stream(spark, tmp_path):
     q.stop()
     assert [r.pos for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [9]
     assert align_reads(frag, spark.read.parquet(str(tmp_path / "in")), SMALL).count() == 1
+
+
+def test_linear_pieces(spark):
+    """A long fragment is cut in time proportional to its length; pieces and what follows them give the text back."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    def run(n):
+        frag = spark.range(1).select(F.lit(0).alias("file_ord"), F.col("id").alias("frag_ord"), F.expr(f"repeat('ACGTTGCA', {n // 8})").alias("seq"), F.lit(n).alias("len"))
+        began = time.time()
+        assert text.pieces(frag, 256, 31).agg(F.sum(F.length("piece")).alias("n")).first().n == n + 31 * (n // 256 - 1)
+        return time.time() - began
+
+    run(1 << 16)
+    assert run(1 << 22) < 60
+    frag = spark.createDataFrame([(0, 1, "ACGTACGTAC", 10)], "file_ord int, frag_ord long, seq string, len int")
+    assert [(r.no, r.piece) for r in text.pieces(frag, 4, 6).orderBy("no").collect()] == [(0, "ACGTACGTAC"), (1, "ACGTAC"), (2, "AC")]
+
+
+def test_reads_of_texts_of_their_own_length(spark):
+    from quillon.operators import simulate
+
+    docs = spark.createDataFrame([(1, "a" * 40), (2, "ab" * 150), (3, "")], "doc_id long, text string")
+    assert [r.read_ord for r in simulate.reads_of_documents(docs, 40).collect()] == [2]
+
+
+def test_report_order(spark):
+    """Unique hits come by read length, then input order; without rewriting, in input order; all hits keep the order of a read's hits."""
+    ref = "".join("ACGT"[(i * i * 7 + i // 3) % 4] for i in range(400))
+    frag = spark.createDataFrame([(0, 0, "x", ref, 400)], "file_ord int, frag_ord long, ref_id string, seq string, len int")
+    rd = reads.prepare(spark.createDataFrame([(0, "a", ref[10:50]), (1, "b", ref[60:95] + "N"), (2, "c", ref[100:136])], "read_ord long, read_id string, raw string"))
+    order = lambda c: [r.read_id for r in align_reads(frag, rd, c).collect()]
+    c = AlignConfig(seed_length=32, scored=False)
+    assert order(c) == ["c", "a"] and order(c.with_(rewrite=False)) == ["a", "c"]
+    rows = align_reads(frag, rd, c.with_(unique=False)).collect()
+    assert [(r.read_id, r.errors, r.pos) for r in rows] == sorted((r.read_id, r.errors, r.pos) for r in rows)
+
+
+def test_simulated_reads_come_back(spark, tmp_path):
+    """Reads with few substitutions are found at their true places, through FASTQ files."""
+    from quillon.operators import simulate
+
+    docs = spark.createDataFrame([(i, " ".join(f"{(i * 977 + j * j * 31) % 9973:x}xyzq" + "abcdefghij"[(i + j) % 10] for j in range(90))) for i in range(8)], "doc_id long, text string").selectExpr("*", "'en' as lang")
+    frag, rd = text.fragments_of_documents(docs), reads.prepare(simulate.reads_of_documents(docs))
+    sequences.write_lines(sequences.fastq_lines(rd), str(tmp_path / "q"))
+    back = sequences.read_reads(spark, str(tmp_path / "q"), "fastq")
+    assert sorted((r.read_id.split(" ")[0], r.seq) for r in back.collect()) == sorted((r.read_id, r.seq) for r in rd.collect())
+    hits = {(r.read_ord, r.pos) for r in align.all_hits(align.seed_matches(frag, rd, AlignConfig(seed_length=24))).collect()}
+    easy = [r for r in rd.collect() if r.read_id.count("_") - ("_inv" in r.read_id) <= 2]
+    assert easy and all((r.read_ord, r.truth_pos) in hits for r in easy)
+
+
+def test_no_reference_files(spark, tmp_path):
+    (tmp_path / "x.fasta").write_text(">a\nACGT\n")
+    assert sequences.read_reference(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("body", ["ACGT\n", ""])
+def test_sniff_refuses(spark, tmp_path, body):
+    (tmp_path / "r.txt").write_text(body)
+    with pytest.raises(ValueError):
+        sequences.sniff(spark, str(tmp_path / "r.txt"))
