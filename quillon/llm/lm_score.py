@@ -1,29 +1,34 @@
 """Operator 10: language-model scoring with a weighted backoff automaton.
 
-Tokens are the ASCII-lower-cased words of a text and one end. The model is a backoff automaton of order 2: the root holds an arc a
-known token with the smoothed unigram p1 = (c + 0.5) / (N + 0.5 (V + 1)); every known token (and the start) is a state whose arcs are the
-continuations seen after it, weighted (c(h w) + MU p1(w)) / (c(h) + MU), and whose failure arc leads to the root at MU / (c(h) + MU). The
-weights of a state sum to one. A text is one left-to-right walk: take the arc of the next token or fail to the root, add the
-log-weights, and go on from the state of the token read (the root when it was never seen).
-
-No task needs the whole model. Texts are dealt into blocks of about BLOCK_BYTES by hash. Each block sends its distinct token and pair
-keys (64-bit hashes) with their training counts to key ranges; each range adds them up over all blocks and answers every block with
-the totals in the order of its keys; the block then builds the part of the automaton that its texts walk through. What is gathered is in
-proportion to the corpus, memory to a block or a range.
+Tokens are the ASCII-lower-cased words of a text and one end. The model is a backoff automaton of order 3. The root holds an arc a token with the
+smoothed unigram p1 = (c + 0.5) / (N + 0.5 (V + 1)). The start, every token and every pair of tokens seen twice or more in training is a state. A state h
+believes its own counts by the share b(h) = (c(h) - 1) / (c(h) - 1 + WEIGHTS[order - 1]): the arc of a token w seen after it weighs
+b c(h w) / c(h) + (1 - b) p(w | h without its first token), and its failure arc leads to the state without the first token at 1 - b. The weights
+of a state sum to one; a history seen once is no state, so a text gains nothing from its own rare words, but from what others share with it.
+A text is one left-to-right walk: take the arc of the next token or follow failure arcs until there is one, add up the log-weights, and go on
+from the longest state that the tokens read end in.
+
+No task needs the whole model. Texts are packed into blocks of about BLOCK_BYTES where they are read and written once as token numbers. Each
+block sends its distinct token, pair and triple keys (64-bit hashes) with their training counts to key ranges; each range adds them up over all
+blocks and answers every block with the totals in the order of its keys; the block then builds the part of the automaton that its texts walk
+through. What is gathered is in proportion to the corpus, memory to a block or a range, or to one very long text, which is a block of its own.
 
 Defined results: a null or empty text is one end token; with nothing to learn from (N = 0) every count is 0 and V is 0, so p1 is 1;
-repeated rows are documents of their own, in training too; a null doc_id counts as the empty string in a fold; an empty table gives an
+repeated rows are documents of their own, in training too, so ties score alike; a null doc_id counts as the empty string in a fold; an empty table gives an
 empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, fold, stash, table, texts
+from .common import arrow_schema, fold, grouped, stash, table, texts
 
-MU, BLOCK_BYTES, RANGE_BYTES = 20.0, 8 << 20, 16 << 20
+BLOCK_BYTES, RANGE_BYTES, STRETCH = 8 << 20, 8 << 20, 512
+WEIGHTS = (20.0, 4.0, 1.0)  # of the backoff of one-token and two-token histories; the third is never used as a history
 END, START = b"\n", b" "  # no word holds white space
 
 
@@ -59,18 +64,35 @@ def histories(keys, starts):
 
 
 class Block:
-    """The texts of a block as flat key arrays, and the distinct keys of each order, sorted."""
+    """The texts of a block as numbers: its distinct token keys (sorted), the number of each token, tokens a text, and from these the distinct keys of
+    pairs and triples and the number of each position's. Before a text's first token stands the start; a first token is in no triple."""
 
-    def __init__(self, all_texts: list):
+    def __init__(self, tokens, token, sizes):
         import numpy as np
 
-        each = [token_keys(t) for t in all_texts]
-        self.sizes = np.array([len(k) for k in each])
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        flat = np.concatenate(each)
-        self.tokens, self.token = np.unique(flat, return_inverse=True)
+        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+        flat = tokens[token]
         pair = pair_keys(histories(flat, self.starts), flat)
-        self.pairs, self.pair = np.unique(pair, return_inverse=True)
+        triple = pair_keys(np.roll(pair, 1), flat)
+        inner = np.ones(len(flat), bool)
+        inner[self.starts] = False
+        self.keys, self.at = [tokens], [token]
+        keys, at = np.unique(pair, return_inverse=True)
+        self.keys.append(keys)
+        self.at.append(at)
+        keys, at = np.unique(triple[inner], return_inverse=True)
+        every = np.full(len(flat), -1, np.int64)
+        every[inner] = at
+        self.keys.append(keys)
+        self.at.append(every)
+
+    @classmethod
+    def of_texts(cls, all_texts: list):
+        import numpy as np
+
+        each = [token_keys(t) for t in all_texts]
+        tokens, token = np.unique(np.concatenate(each), return_inverse=True)
+        return cls(tokens, token, np.array([len(k) for k in each], np.int64))
 
 
 def cuts(keys, ranges: int):
@@ -81,6 +103,20 @@ def cuts(keys, ranges: int):
     return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
 
 
+def planes(x) -> bytes:
+    """Numbers as byte planes; the upper ones are mostly zeros and compress away."""
+    import numpy as np
+
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def unplanes(raw: bytes, kind: str):
+    import numpy as np
+
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
 def squeeze(keys) -> bytes:
     """Sorted keys as differences, byte planes apart: the upper planes are mostly zeros and compress away."""
     import numpy as np
@@ -111,24 +147,81 @@ def unpack_counts(raw: bytes):
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
 
 
-def walk(block: Block, counts: list, n: int, v: int, mu: float = MU):
-    """Per text: tokens, known tokens, base score, score; counts: training totals of the block's tokens and pairs."""
+class Automaton:
+    """The part of the backoff automaton that a block walks through, as arrays over its distinct tokens, pairs and triples.
+
+    arcs[k]: weight of the arc that reads the last token of a (k+1)-gram from the state of the k tokens before it; open[k]: whether that arc is
+    there; fails[k]: weight of the failure arc of the state of a k-gram; state[k]: whether that state is there."""
+
+    def __init__(self, block: Block, counts: list, n: int, v: int):
+        import numpy as np
+
+        c = [x.astype(np.float64) for x in counts]
+        start = c[0][block.at[0][block.starts + block.sizes - 1]][0] if len(block.starts) else 0.0  # texts began as often as they ended
+        first = np.zeros(len(block.at[0]), bool)
+        first[block.starts] = True
+        self.start_state, self.fail_start = start >= 2, math.log10(1 - share(start, WEIGHTS[0]))
+        p = (c[0] + 0.5) / (n + 0.5 * (v + 1))
+        self.arcs, self.open = [np.log10(p)], [np.ones(len(p), bool)]
+        self.fails = [np.log10(1 - share(x, w)) for x, w in zip(c, WEIGHTS)]
+        self.state = [x >= 2 for x in c[:2]]
+        for k in (1, 2):
+            at = block.at[k]
+            some = np.flatnonzero(at >= 0)
+            where = np.zeros(len(block.keys[k]), np.int64)
+            where[at[some]] = some  # any position of each distinct n-gram
+            seen = c[k - 1][block.at[k - 1][where - 1]]
+            if k == 1:
+                seen = np.where(first[where], start, seen)
+            mine = share(seen, WEIGHTS[k - 1])
+            p = mine * c[k] / np.maximum(seen, 1) + (1 - mine) * p[block.at[k - 1][where]]
+            self.arcs.append(np.log10(p))
+            self.open.append((c[k] > 0) & (seen >= 2))
+
+    def walk(self, block: Block):
+        """log10 probability of each text: one left-to-right traversal, texts side by side. A state depends on the two tokens before it, so long texts
+        are walked in stretches of STRETCH tokens, each from the state that its text has there."""
+        import numpy as np
+
+        tok, pair, triple = block.at
+        cuts = -(-block.sizes // STRETCH)
+        owner = np.repeat(np.arange(len(cuts)), cuts)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        begin = block.starts[owner] + nth * STRETCH
+        length = np.minimum(STRETCH, block.sizes[owner] - nth * STRETCH)
+        order = np.argsort(-length, kind="stable")
+        begin, length, nth, owner = begin[order], length[order], nth[order], owner[order]
+        depth = np.where(self.state[1][pair[begin - 1]], 2, np.where(self.state[0][tok[begin - 1]], 1, 0))
+        depth[nth == 0] = int(self.start_state)
+        total = np.zeros(len(begin))
+        live = np.searchsorted(-length, -np.arange(int(length.max()) if len(length) else 0), "left")
+        for t, m in enumerate(live.tolist()):
+            at, d = begin[:m] + t, depth[:m]
+            one, two = tok[at], pair[at]
+            fresh = nth[:m] == 0 if t == 0 else False  # the state before is the start's
+            three = (d == 2) & (triple[at] >= 0)
+            took = np.zeros(m, np.int8)
+            took[three] = np.where(self.open[2][triple[at[three]]], 3, 0)
+            add = np.where(three & (took == 0), self.fails[1][pair[at - 1]], 0.0)
+            add[took == 3] = self.arcs[2][triple[at[took == 3]]]
+            left = (took == 0) & (d >= 1)
+            arc = left & self.open[1][two]
+            add[arc] += self.arcs[1][two[arc]]
+            fail = left & ~arc
+            add[fail] += np.where(fresh, self.fail_start, self.fails[0][tok[at - 1]])[fail]
+            root = (took == 0) & ~arc
+            add[root] += self.arcs[0][one[root]]
+            total[:m] += add
+            depth[:m] = np.where(self.state[1][two], 2, np.where(self.state[0][one], 1, 0))
+        return np.bincount(owner, total, len(block.sizes))
+
+
+def share(count, weight: float):
+    """How much a state believes its own arcs: nothing of a history seen once, nearly all of one seen often."""
     import numpy as np
 
-    c1, c2 = (c.astype(np.float64) for c in counts)
-    arc1 = np.log10((c1 + 0.5) / (n + 0.5 * (v + 1)))  # the root's arcs
-    known = c1 > 0
-    at = block.token
-    ends = at[block.starts + block.sizes - 1]
-    before = np.empty_like(at)
-    before[1:] = at[:-1]
-    before[block.starts] = ends  # the start state was left as often as texts ended
-    state = c1[before]
-    fail = np.log10(mu / (state + mu))  # 0 at the root, where no token was seen
-    seen = c2[block.pair]
-    step = np.where(seen > 0, np.log10((seen + mu * 10 ** arc1[at]) / (state + mu)), fail + arc1[at])
-    add = lambda x: np.add.reduceat(x, block.starts)
-    return block.sizes, add(known[at].astype(np.int64)), add(arc1[at]), add(step)
+    more = np.maximum(count - 1, 0)
+    return more / (more + weight)
 
 
 def _blocks(batches, fields: int):
@@ -145,31 +238,58 @@ def _blocks(batches, fields: int):
         yield now, rows
 
 
-def score_texts(docs: DataFrame, learn, mu: float = MU) -> DataFrame:
+def score_texts(docs: DataFrame, learn) -> DataFrame:
     """Per row of docs: doc_id, held_out (not learn(doc_id)), n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(8)), F.lit(0)).alias("b")).first().b
-    blocks, ranges = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // RANGE_BYTES))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    dealt = texts(docs).withColumn("train", learn(F.col("doc_id"))).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    sent = arrow_schema("kind int, part int, block int, keys binary, counts binary")
+    packed_ddl = f"block long, ids array<{id_type}>, train binary, sizes binary, tokens binary, token binary"
+    packed = arrow_schema(packed_ddl)
+    sent_ddl = "kind int, part int, block long, keys binary, counts binary"
+    sent = arrow_schema(sent_ddl)
+
+    def pack(batches):
+        """Blocks of whole texts as numbers; written once, so that both passes see the same blocks."""
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, seq = TaskContext.get().partitionId(), 0
+        for b in grouped(batches, 1, BLOCK_BYTES):
+            block_texts = b.column(1).to_pylist()
+            each = [token_keys(t) for t in block_texts]
+            tokens, token = np.unique(np.concatenate(each), return_inverse=True)
+            train = np.array(b.column(2).to_pylist(), bool)
+            row = [part << 32 | seq], [b.column(0).to_pylist()], [train.tobytes()], [np.array([len(k) for k in each], "<i8").tobytes()], [squeeze(tokens)], [planes(token.astype("<u4"))]
+            seq += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, packed)], schema=packed)
+
+    rows = texts(docs).withColumn("train", learn(F.col("doc_id")))
+    store = stash(rows.mapInArrow(pack, packed_ddl), "lm-blocks")
+    found = store.agg(F.count("*").alias("blocks"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("bytes")).first()
+    blocks, ranges = max(1, found.blocks), max(1, -(-found.bytes // RANGE_BYTES))
+
+    def unpack(sizes, tokens, token):
+        import numpy as np
+
+        return Block(unsqueeze(tokens), unplanes(token, "<u4").astype(np.int64), np.frombuffer(sizes, "<i8").astype(np.int64))
 
     def send(batches):
         import numpy as np
         import pyarrow as pa
 
-        for no, rows in _blocks(batches, 3):
-            block = Block([r[1] for r in rows])
-            weight = np.repeat(np.array([bool(r[2]) for r in rows]), block.sizes).astype(np.float64)
-            out = []
-            for kind, keys, inverse in ((1, block.tokens, block.token), (2, block.pairs, block.pair)):
-                counts = np.bincount(inverse, weight, len(keys)).astype("<u8")
-                at = cuts(keys, ranges)
-                out += [(kind, p, no, squeeze(keys[i:j]), pack_counts(counts[i:j])) for p, (i, j) in enumerate(zip(at, at[1:])) if i < j]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), sent)], schema=sent)
+        for b in batches:
+            for no, train, sizes, tokens, token in zip(*[c.to_pylist() for c in b.columns]):
+                block = unpack(sizes, tokens, token)
+                weight = np.repeat(np.frombuffer(train, bool), block.sizes).astype(np.float64)
+                for kind, (keys, at) in enumerate(zip(block.keys, block.at)):
+                    counts = np.bincount(at[at >= 0], weight[at >= 0], len(keys)).astype("<u8")
+                    cut = cuts(keys, ranges).tolist()
+                    out = [(kind, p, no, squeeze(keys[i:j]), pack_counts(counts[i:j])) for p, (i, j) in enumerate(zip(cut, cut[1:])) if i < j]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, sent)], schema=sent)
 
-    asked = dealt.select("block", "text", "train").repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(send, "kind int, part int, block int, keys binary, counts binary")
-    told = arrow_schema("block int, kind int, part int, counts binary, total long, types long")
+    asked = store.select("block", "train", "sizes", "tokens", "token").mapInArrow(send, sent_ddl)
+    told_ddl = "block long, kind int, part int, counts binary, total long, types long"
+    told = arrow_schema(told_ddl)
 
     def answer(batches):
         import numpy as np
@@ -179,16 +299,15 @@ def score_texts(docs: DataFrame, learn, mu: float = MU) -> DataFrame:
             keys = [unsqueeze(r[4]) for r in rows]
             distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(inverse, np.concatenate([unpack_counts(r[5]) for r in rows]).astype(np.float64), len(distinct)).astype("<u8")
-            sums = (int(total.sum()), int((total > 0).sum())) if rows[0][1] == 1 else (0, 0)
+            sums = (int(total.sum()), int((total > 0).sum())) if rows[0][1] == 0 else (0, 0)
             at = 0
             for i, (r, k) in enumerate(zip(rows, keys)):
                 out = [r[3]], [r[1]], [r[2]], [pack_counts(total[inverse[at : at + len(k)]])], [sums[0] if not i else 0], [sums[1] if not i else 0]
                 at += len(k)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, told)], schema=told)
 
-    by_range = asked.withColumn("range", F.col("part") * 2 + F.col("kind")).select("range", "kind", "part", "block", "keys", "counts")
-    answers = by_range.repartition(max(2, 2 * ranges), "range").sortWithinPartitions("range").mapInArrow(answer, "block int, kind int, part int, counts binary, total long, types long")
-    answers = stash(answers, "lm-answers")
+    by_range = asked.withColumn("range", F.col("part") * 3 + F.col("kind")).select("range", "kind", "part", "block", "keys", "counts")
+    answers = stash(by_range.repartition(3 * ranges, "range").sortWithinPartitions("range").mapInArrow(answer, told_ddl), "lm-answers")
     stats = answers.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
     n, v = stats.n, stats.v
     out_ddl = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -198,18 +317,19 @@ def score_texts(docs: DataFrame, learn, mu: float = MU) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for _, rows in _blocks(batches, 6):
-            docs_in = [r for r in rows if r[1] == 3]
-            if not docs_in:
-                continue
-            counts = [np.concatenate([unpack_counts(r[3]) for r in rows if r[1] == kind]) for kind in (1, 2)]
-            n_tokens, n_known, base, total = walk(Block([r[5] for r in docs_in]), counts, n, v, mu)
-            out = [r[4] for r in docs_in], [not r[6] for r in docs_in], n_tokens, n_known, np.full(len(docs_in), n), base, total
+        for _, rows in _blocks(batches, 9):
+            ids, train, sizes, tokens, token = next(r for r in rows if r[1] == 3)[4:9]
+            block = unpack(sizes, tokens, token)
+            counts = [np.concatenate([np.zeros(0, np.uint64), *[unpack_counts(r[3]) for r in rows if r[1] == kind]]) for kind in range(3)]
+            model = Automaton(block, counts, n, v)
+            add = lambda x: np.add.reduceat(x, block.starts)
+            base, known = add(model.arcs[0][block.at[0]]), add((counts[0] > 0)[block.at[0]].astype(np.int64))
+            out = ids, ~np.frombuffer(train, bool), block.sizes, known, np.full(len(ids), n), base, model.walk(block)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, scored)], schema=scored)
 
     none = lambda t: F.lit(None).cast(t)
-    have = answers.select("block", "kind", "part", "counts", none(id_type).alias("doc_id"), none("string").alias("text"), none("boolean").alias("train"))
-    want = dealt.select("block", F.lit(3).alias("kind"), F.lit(0).alias("part"), none("binary").alias("counts"), "doc_id", "text", "train")
+    have = answers.select("block", "kind", "part", "counts", none(f"array<{id_type}>").alias("ids"), *[none("binary").alias(c) for c in ("train", "sizes", "tokens", "token")])
+    want = store.select("block", F.lit(3).alias("kind"), F.lit(0).alias("part"), none("binary").alias("counts"), "ids", "train", "sizes", "tokens", "token")
     both = have.unionAll(want).repartition(blocks, "block").sortWithinPartitions("block", "kind", "part")
     return both.mapInArrow(score, out_ddl)
 

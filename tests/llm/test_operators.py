@@ -381,23 +381,38 @@ def test_tokens_against_library(spark, odd, none, tmp_path, texts):
 # 10. LM scoring
 
 
-def brute_lm(rows, train, mu=lm_score.MU):
+def brute_lm(rows, train):
+    """The backoff model by its definition, token by token with dictionaries; also whether a state's weights sum to one."""
     tokens = [(t or "").encode().lower().split() + [b"\n"] for _, t in rows]
-    c1, c2 = collections.Counter(), collections.Counter()
+    c = [collections.Counter() for _ in range(4)]
     for w, k in zip(tokens, train):
         if k:
-            c1.update(w)
-            c2.update(zip([b" ", *w], w))
-    n, v = sum(c1.values()), len(c1)
-    c1[b" "] = c1[b"\n"]
-    p1 = lambda x: (c1[x] + 0.5) / (n + 0.5 * (v + 1))
+            padded = [b" ", *w]
+            c[1].update(w)
+            c[2].update(zip(padded, w))
+            c[3].update(zip(padded, padded[1:], w[1:]))
+    n, v = sum(c[1].values()), len(c[1])
+    base = lambda x: (c[1][x] + 0.5) / (n + 0.5 * (v + 1))
+
+    def p(x, h):
+        if not h:
+            return base(x)
+        seen = c[1][b"\n"] if h == (b" ",) else c[1][h[0]] if len(h) == 1 else c[2][h]
+        own = (max(seen - 1, 0)) / (max(seen - 1, 0) + lm_score.WEIGHTS[len(h) - 1])
+        return own * c[len(h) + 1][(*h, x)] / max(1, seen) + (1 - own) * p(x, h[1:])
+
+    for h in [(b" ",), *[(x,) for x in list(c[1])[:20]], *list(c[2])[:20]]:
+        if h[-1] != b"\n":
+            assert math.isclose(sum(p(x, h) for x in c[1]) + p(b"no such word", h), 1)
     for w in tokens:
-        yield len(w), sum(c1[x] > 0 for x in w), n, sum(math.log10(p1(x)) for x in w), sum(math.log10((c2[h, x] + mu * p1(x)) / (c1[h] + mu)) for h, x in zip([b" ", *w], w))
+        padded = [b" ", *w]
+        yield len(w), sum(c[1][x] > 0 for x in w), n, sum(math.log10(base(x)) for x in w), sum(math.log10(p(x, tuple(padded[max(0, i - 1) : i + 1]))) for i, x in enumerate(w))
 
 
 def test_lm_against_counts(spark, odd, monkeypatch, docs):
     monkeypatch.setattr(lm_score, "BLOCK_BYTES", 60_000)
     monkeypatch.setattr(lm_score, "RANGE_BYTES", 100_000)
+    monkeypatch.setattr(lm_score, "STRETCH", 37)
     every = docs.select("doc_id", "text").unionAll(odd.select("doc_id", "text"))
     rows = [(r.doc_id, r.text) for r in every.collect()]
     train = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1 for i, _ in rows]
