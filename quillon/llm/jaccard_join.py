@@ -6,19 +6,19 @@ empty one has none). Two documents link when 100 * |A and B| >= PERCENT * |A or
 1. Documents of equal sets are one class. A pair of classes that links shares a key among the first n - ceil(PERCENT n / 100) + 1 of each, in
    any common order. The order puts keys that many classes begin with last, so shared passages open few pairs; within that it is by hash.
 2. Each class goes to the partitions of those of its first keys that it shares, once a partition, with its size and token bitmap.
-   Classes that meet under a key make a unit. A unit of few classes tries all its pairs by bitmap; a larger one builds a signature
-   tree, whose nodes hold OR-combined bitmaps, size ranges and the largest excess (elements beyond bits), and traverses it against itself:
-   node pairs are pruned by the largest overlap that their bitmaps and sizes allow. Nothing that could link is pruned; pairs already joined
+   Classes that meet under a key make a unit. A unit of few classes (FEW) is one leaf and tries all its pairs by bitmap; a larger one builds a
+   signature tree, leaves of NODE classes and FAN nodes to a node, which hold OR-combined bitmaps, size ranges and the largest excess (elements
+   beyond bits), and traverses it against itself from the root: node pairs are pruned by the largest overlap that their bitmaps and sizes allow. Nothing that could link is pruned; pairs already joined
    through others are passed over, so a partition gives a forest. Its trees over all partitions are the candidate groups: no link leaves one.
 3. The sets of a candidate group meet once and every pair not yet joined is checked on them exactly; again a forest of links comes out. A
-   group of more than GROUP classes meets in pairs of blocks. So a group of copies costs its size in rows, not its square.
+   group of more than GROUP classes or GROUP_KEYS keys meets in pairs of blocks. So a group of copies costs its size in rows, not its square.
 
 A key of more classes than UNIT is dealt over pairs of blocks likewise. All tables are shuffled by hash; broadcast are only the list of
 frequent first keys (at most HOT_KEYS) and, when they are at most SMALL, the ids of the candidate documents.
 
 Defined results: a null or empty text, or one of white space, has 0 shingles and is its own component; a null doc_id takes part and never is the
-smallest of a component that has another; repeated rows are in one component; an empty table gives an empty result; other columns are
-ignored. Hashes are 64-bit: among a billion distinct shingles or texts, equal ones by chance are expected 0.03 times.
+smallest of a component that has another; repeated rows and ties in size are in one component or none; an empty table gives an empty result; other
+columns are ignored. A very long text is one set, held whole by one task. Hashes are 64-bit: among a billion distinct shingles or texts, equal ones by chance are expected 0.03 times.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ from .common import arrow_schema, stash, table, texts
 from .lm_score import token_keys
 
 WORDS, PERCENT = 4, 85
-UNIT, GROUP, FEW, NODE, FREQUENT, HOT_KEYS, SMALL = 20_000, 2_000, 24, 16, 64, 100_000, 1_000_000
+UNIT, GROUP, GROUP_KEYS, FEW, NODE, FAN, FREQUENT, HOT_KEYS, SMALL = 20_000, 1_000, 1 << 22, 24, 16, 8, 64, 100_000, 1_000_000
+PAIRS_AT_ONCE, LEAF_PAIRS_AT_ONCE = 4_096, 256
 MIN_BITS, MAX_BITS = 256, 65_536
 
 
@@ -92,7 +93,7 @@ class Signatures:
     def __init__(self, sizes: list[int], bitmaps: list[bytes], percent: int):
         import numpy as np
 
-        self.percent, self.n = percent, np.array(sizes, np.int64)
+        self.percent, self.n, self.visited = percent, np.array(sizes, np.int64), 0
         self.bits = np.array([len(b) * 8 for b in bitmaps], np.int64)
         self.place = np.zeros(len(sizes), np.int64)
         self.rows, self.folded = {}, {}
@@ -141,36 +142,69 @@ class Signatures:
                 ok[i] = most >= self.need(na, nb)
         return ok
 
+    def tree(self, both, m: int) -> list[tuple]:
+        """Levels of a signature tree over classes in the order given, leaves of NODE classes first, then FAN nodes to a node: OR-combined bitmaps, least and
+        largest size, largest excess (elements beyond bits)."""
+        import numpy as np
+
+        marks, n = self.at(both, m), self.n[both]
+        level = marks, n, n, n - np.bitwise_count(marks).sum(1, dtype=np.int64)
+        levels, size = [], NODE
+        while True:
+            cut = np.arange(0, len(level[0]), size)
+            level = np.bitwise_or.reduceat(level[0], cut), np.minimum.reduceat(level[1], cut), np.maximum.reduceat(level[2], cut), np.maximum.reduceat(level[3], cut)
+            levels.append(level)
+            if len(cut) == 1:
+                return levels
+            size = FAN
+
     def tree_pairs(self, members, roots):
-        """Pairs of members (i, j) that may link, by dual traversal of their signature tree. roots(array): the tree of pairs found so far that each
-        class is in; pairs within one are not wanted. Asked again for every node, so that what was found meanwhile prunes whole nodes."""
+        """Pairs of members (i, j) that may link, by dual traversal of their signature tree from its root: a pair of nodes opens into pairs of their children
+        unless the largest overlap that bitmaps, excess and sizes allow is too small. roots(array): the tree of pairs found so far that each class is in;
+        pairs within one are not wanted. Asked again as the traversal goes, so that what was found meanwhile prunes whole nodes."""
         import numpy as np
 
         members = members[np.lexsort((members, self.n[members]))]
         for m in np.unique(self.bits[members]).tolist():
             low = members[self.bits[members] == m]
-            high = members[self.bits[members] == 2 * m]
-            both = np.concatenate([low, high])
-            marks = self.at(both, m)
-            n = self.n[both]
-            excess = n - np.bitwise_count(marks).sum(1, dtype=np.int64)
-            cut = np.arange(0, len(both), NODE)
-            joined = np.bitwise_or.reduceat(marks, cut)
-            least, largest, spare = np.minimum.reduceat(n, cut), np.maximum.reduceat(n, cut), np.maximum.reduceat(excess, cut)
-            for u in range(-(-len(low) // NODE)):
-                v = np.arange(u, len(cut))
-                tree = roots(both)
-                low_root, high_root = np.minimum.reduceat(tree, cut), np.maximum.reduceat(tree, cut)
-                v = v[(low_root[v] != low_root[u]) | (high_root[v] != low_root[u]) | (high_root[u] != low_root[u])]
-                v = v[(100 * largest[v] >= self.percent * least[u]) & (100 * largest[u] >= self.percent * least[v])]
+            both = np.concatenate([low, members[self.bits[members] == 2 * m]])
+            levels = self.tree(both, m)
+            spans = [NODE * FAN**k for k in range(len(levels))]
+            todo = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+            while todo:
+                k, u, v = todo.pop()
+                joined, least, largest, spare = levels[k]
+                self.visited += len(u)
+                ok = u * spans[k] < len(low)  # a pair needs a class of the shorter bitmaps
+                ok &= (100 * largest[v] >= self.percent * least[u]) & (100 * largest[u] >= self.percent * least[v])
+                u, v = u[ok], v[ok]
                 most = np.bitwise_count(joined[u] & joined[v]).sum(1, dtype=np.int64) + np.minimum(spare[u], spare[v])
-                for w in v[most >= self.need(least[u], least[v])].tolist():
-                    i, j = (x.ravel() for x in np.meshgrid(np.arange(u * NODE, min((u + 1) * NODE, len(low))), np.arange(w * NODE, min((w + 1) * NODE, len(both))), indexing="ij"))
-                    some = (i < j) & (tree[i] != tree[j])
-                    i, j = both[i[some]], both[j[some]]
-                    if len(i):
-                        some = self.may_link(i, j)
-                        yield i[some], j[some]
+                ok = most >= self.need(least[u], least[v])
+                u, v = u[ok], v[ok]
+                if not len(u):
+                    continue
+                top = roots(both)
+                cut = np.arange(0, len(both), spans[k])
+                low_root, high_root = np.minimum.reduceat(top, cut), np.maximum.reduceat(top, cut)
+                ok = (low_root[v] != low_root[u]) | (high_root[v] != low_root[u]) | (high_root[u] != low_root[u])
+                u, v = u[ok], v[ok]
+                if k:
+                    i, j = (x.ravel() for x in np.meshgrid(np.arange(FAN), np.arange(FAN), indexing="ij"))
+                    a, b = (u[:, None] * FAN + i).ravel(), (v[:, None] * FAN + j).ravel()
+                    some = (a <= b) & (b < len(levels[k - 1][0]))
+                    a, b = a[some], b[some]
+                    step = PAIRS_AT_ONCE if k > 1 else LEAF_PAIRS_AT_ONCE
+                    todo += [(k - 1, a[x : x + step], b[x : x + step]) for x in range(0, len(a), step)][::-1]
+                    continue
+                i, j = (x.ravel() for x in np.meshgrid(np.arange(NODE), np.arange(NODE), indexing="ij"))
+                i, j = (u[:, None] * NODE + i).ravel(), (v[:, None] * NODE + j).ravel()
+                some = (i < j) & (i < len(low)) & (j < len(both))
+                i, j = i[some], j[some]
+                some = top[i] != top[j]
+                i, j = both[i[some]], both[j[some]]
+                if len(i):
+                    some = self.may_link(i, j)
+                    yield i[some], j[some]
 
 
 class Forest:
@@ -405,20 +439,38 @@ def block_pairs(i, of):
 def _links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): a forest of links within each candidate group (cid, comp), checked on the sets (cid, keys)."""
     schema = arrow_schema("a long, b long")
-    large = groups.groupBy("comp").agg(F.count("*").alias("of")).filter(F.col("of") > GROUP).select("comp", F.ceil(F.col("of") / F.lit(GROUP)).cast("int").alias("of"))
+    sized = groups.join(sets.select("cid", F.size("keys").alias("_n")), "cid")
+    need = F.greatest(F.count("*") / F.lit(GROUP), F.sum("_n") / F.lit(GROUP_KEYS))
+    large = sized.groupBy("comp").agg(F.ceil(need).cast("int").alias("of")).filter("of > 1")
     dealt = groups.join(large, "comp", "left").withColumn("of", F.coalesce("of", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("of")).cast("int"))
     units = dealt.select("cid", "comp", "block", F.explode(block_pairs(F.col("block"), F.col("of"))).alias("pair"))
 
-    def solve(rows):
+    def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        pairs = link_forest([np.array(r[3], np.int64).view(np.uint64) for r in rows], [r[2] for r in rows], percent)
-        return pa.RecordBatch.from_arrays([pa.array([rows[p[k]][1] for p in pairs], pa.int64()) for k in (0, 1)], schema=schema)
+        def solve(rows):
+            pairs = link_forest([r[2].view(np.uint64) for r in rows], [r[1] for r in rows], percent)
+            return pa.RecordBatch.from_arrays([pa.array([rows[p[k]][0] for p in pairs], pa.int64()) for k in (0, 1)], schema=schema)
 
-    met = units.join(sets, "cid").select(F.concat_ws(":", "comp", "pair").alias("unit"), "cid", "block", "keys").repartition("unit").sortWithinPartitions("unit")
-    return met.mapInArrow(lambda batches: _by_first(batches, solve), "a long, b long")
+        now, rows = None, []
+        for b in batches:
+            keys, at = b.column(3).values.to_numpy(zero_copy_only=False), b.column(3).offsets.to_pylist()  # eight bytes a key
+            for unit, cid, block, i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), at, at[1:]):
+                if unit != now and rows:
+                    if len(rows) > 1:
+                        yield solve(rows)
+                    rows = []
+                now = unit
+                rows.append((cid, block, keys[i:j].copy()))
+        if len(rows) > 1:
+            yield solve(rows)
+
+    # sets of two blocks at most meet in a task: 2 * GROUP classes
+    tasks = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups.sparkSession.sparkContext.defaultParallelism)
+    met = units.join(sets, "cid").select(F.concat_ws(":", "comp", "pair").alias("unit"), "cid", "block", "keys").repartition(tasks, "unit").sortWithinPartitions("unit")
+    return met.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -476,7 +528,7 @@ def _row_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     dealt = dealt.select("key", "cid", F.explode(block_pairs(F.pmod(F.xxhash64("key", "cid"), F.col("of")).cast("int"), F.col("of"))).alias("sub"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shared.count() // 50_000))
     groups = components(stash(_candidates(dealt, classes, parts, percent), "join-candidates"))
-    sets = class_sets(docs, groups.select("cid"), reps, words)
+    sets = stash(class_sets(docs, groups.select("cid"), reps, words), "join-sets")
     comp = components(stash(_links(groups, sets, percent), "join-links"))
     smallest = comp.join(reps, "cid").groupBy("comp").agg(F.min("rep").alias("least"))
     of_class = reps.join(comp, "cid", "left").join(smallest, "comp", "left").select("cid", F.coalesce("least", "rep").alias("component_id"))

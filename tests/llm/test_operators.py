@@ -298,7 +298,7 @@ def test_join_against_sql(spark):
 
 def test_join_of_many_near_copies(spark, monkeypatch):
     """Dense groups, units of every size and block pairs, against all pairs."""
-    for name, v in (("UNIT", 40), ("GROUP", 30), ("FEW", 6), ("FREQUENT", 8)):
+    for name, v in (("UNIT", 40), ("GROUP", 30), ("FEW", 6), ("FREQUENT", 8), ("FAN", 2), ("NODE", 4)):
         monkeypatch.setattr(jaccard_join, name, v)
     rng = random.Random(7)
     rows = []
@@ -326,6 +326,22 @@ def test_join_of_many_near_copies(spark, monkeypatch):
     assert got == {i: root(i) for i in range(len(rows))}
 
 
+def test_tree_skips_nodes():
+    """Many families of alike sets: the traversal finds every pair that may link and visits few of the node pairs."""
+    rng = random.Random(11)
+    sets = []
+    for f in range(60):
+        base = [rng.randrange(1 << 63) for _ in range(120 + 8 * f)]
+        sets += [np.unique(np.array(base[: len(base) - k % 5] + [rng.randrange(1 << 63) for _ in range(k % 4)], np.uint64)) for k in range(40)]
+    s = jaccard_join.Signatures([len(x) for x in sets], [jaccard_join.bitmap(x) for x in sets], 85)
+    found = {tuple(sorted(p)) for i, j in s.tree_pairs(np.arange(len(sets)), lambda m: np.array(m)) for p in zip(i.tolist(), j.tolist())}
+    i, j = np.triu_indices(len(sets), 1)
+    ok = s.may_link(i, j)
+    assert found == set(zip(i[ok].tolist(), j[ok].tolist())) and found
+    leaves = len(sets) // jaccard_join.NODE
+    assert s.visited < leaves * (leaves + 1) / 2 / 2  # upper nodes counted as well
+
+
 def test_join_odd(spark, odd, none):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard_join.near_duplicates(odd).collect())
     assert [x for x in got if x[0] in (1, 2, 3, 4, 5)] == [(1, 10, 1), (2, 10, 1), (2, 10, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5)] and (7, 6, 6) in got
