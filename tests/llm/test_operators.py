@@ -65,6 +65,32 @@ def test_wand_keeps_all_above_threshold(spark):
         assert {e for e, _ in index.search(terms, blocks)} == set(np.flatnonzero(score >= decontaminate.THRESHOLD).tolist())
 
 
+def test_blocks_are_skipped(spark):
+    """Exact scores are read from the blocks that may reach the threshold, not from whole postings lists."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    index = decontaminate.Index(items)
+    words = decontaminate.words_of(items[3][1])
+    found = np.array([index.number[w] for w in words])
+    blocks = {b for _, b in index.passages(found, np.arange(len(found)) // decontaminate.ENTRY, np.arange(-(-len(found) // decontaminate.ENTRY)) == -(-len(found) // decontaminate.ENTRY) - 1)}
+    terms = sorted(set(found.tolist()))
+    index.search(terms, blocks)
+    assert 0 < index.read < sum(len(index.posts[t][0]) for t in terms) / 2
+
+
+def test_passes_do_not_change_finds(spark, texts):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(900, " ".join(f"w{i}" for i in range(50)))]
+    rng, docs = random.Random(2), list(texts.items())
+    for k in range(120):
+        w = decontaminate.words_of(items[k % len(items)][1])
+        docs.append((5000 + k, " ".join(w[: rng.randrange(len(w) // 3, len(w) + 1)] + rng.sample(docs[k][1].split() or ["x"], 1))))
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    key = lambda df: sorted((r.doc_id, r.item_id, round(r.bm25, 9), r.question_overlap, r.answer_overlap) for r in df.collect())
+    once = key(decontaminate.find_leaks(docs, items))
+    assert once == key(decontaminate.find_leaks(docs, items, words_a_pass=130)) and len(once) > 20
+    assert decontaminate.drop_leaking(docs, items, words_a_pass=400).count() == decontaminate.drop_leaking(docs, items).count() == docs.count() - len({x[0] for x in once})
+    assert [len(e) for e in decontaminate.entries_of(" ".join(map(str, range(50))))] == [48, 48]
+
+
 def test_decontamination_odd(spark, odd, none):
     items = spark.createDataFrame([(7, "the quick brown fox jumps over the lazy dog again and again today"), (8, None), (None, ""), (9, "unseen words only in this item here now")], "item_id long, text string")
     assert sorted(r.doc_id for r in decontaminate.find_leaks(odd, items).collect()) == [1, 2, 2]
