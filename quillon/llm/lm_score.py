@@ -9,7 +9,7 @@ A text is one left-to-right walk: take the arc of the next token or follow failu
 from the longest state that the tokens read end in.
 
 No task needs the whole model. Texts are packed into blocks of about BLOCK_BYTES where they are read and written once as token numbers. Each
-block sends its distinct token, pair and triple keys (64-bit hashes) with their training counts to key ranges; each range adds them up over all
+block sends its distinct token, pair and triple keys (hashes, see key_bits) with their training counts to key ranges; each range adds them up over all
 blocks and answers every block with the totals in the order of its keys; the block then builds the part of the automaton that its texts walk
 through. What is gathered is in proportion to the corpus, memory to a block or a range, or to one very long text, which is a block of its own.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, fold, grouped, stash, table, texts
 
-BLOCK_BYTES, RANGE_BYTES, STRETCH = 8 << 20, 8 << 20, 512
+BLOCK_BYTES, RANGE_BYTES, STRETCH, SPARE = 4 << 20, 8 << 20, 512, 18
 WEIGHTS = (20.0, 4.0, 1.0)  # of the backoff of one-token and two-token histories; the third is never used as a history
 END, START = b"\n", b" "  # no word holds white space
 
@@ -67,7 +67,7 @@ class Block:
     """The texts of a block as numbers: its distinct token keys (sorted), the number of each token, tokens a text, and from these the distinct keys of
     pairs and triples and the number of each position's. Before a text's first token stands the start; a first token is in no triple."""
 
-    def __init__(self, tokens, token, sizes):
+    def __init__(self, tokens, token, sizes, bits: int = 64):
         import numpy as np
 
         self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
@@ -77,29 +77,27 @@ class Block:
         inner = np.ones(len(flat), bool)
         inner[self.starts] = False
         self.keys, self.at = [tokens], [token]
-        keys, at = np.unique(pair, return_inverse=True)
+        keys, at = np.unique(pair >> np.uint64(64 - bits), return_inverse=True)
         self.keys.append(keys)
         self.at.append(at)
-        keys, at = np.unique(triple[inner], return_inverse=True)
+        keys, at = np.unique(triple[inner] >> np.uint64(64 - bits), return_inverse=True)
         every = np.full(len(flat), -1, np.int64)
         every[inner] = at
         self.keys.append(keys)
         self.at.append(every)
 
-    @classmethod
-    def of_texts(cls, all_texts: list):
-        import numpy as np
 
-        each = [token_keys(t) for t in all_texts]
-        tokens, token = np.unique(np.concatenate(each), return_inverse=True)
-        return cls(tokens, token, np.array([len(k) for k in each], np.int64))
+def key_bits(tokens: int) -> int:
+    """How many bits the keys of pairs and triples have: at any size, one key in 2^SPARE at most is expected to be another's too, their counts then being
+    added up. Tokens have all 64."""
+    return min(64, max(44, int(tokens).bit_length() + SPARE))
 
 
-def cuts(keys, ranges: int):
+def cuts(keys, ranges: int, bits: int = 64):
     """Positions in sorted keys where each of the ranges begins, and the end."""
     import numpy as np
 
-    bounds = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
+    bounds = np.array([(i << bits) // ranges for i in range(1, ranges)], np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
 
 
@@ -118,16 +116,31 @@ def unplanes(raw: bytes, kind: str):
 
 
 def squeeze(keys) -> bytes:
-    """Sorted keys as differences, byte planes apart: the upper planes are mostly zeros and compress away."""
+    """Sorted keys as the first one and byte planes of the differences, as many as the largest needs; the top plane, of few values, compressed."""
+    import zlib
+
     import numpy as np
 
-    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    if not len(keys):
+        return b""
+    d = np.diff(keys).astype("<u8")
+    width = max(1, -(-int(d.max()).bit_length() // 8)) if len(d) else 1
+    flat = np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return np.array([keys[0], len(d), width], "<u8").tobytes() + flat[: width - 1].tobytes() + zlib.compress(flat[width - 1].tobytes(), 1)
 
 
 def unsqueeze(raw: bytes):
+    import zlib
+
     import numpy as np
 
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1).astype(np.uint64), dtype=np.uint64)
+    if not raw:
+        return np.zeros(0, np.uint64)
+    first, n, width = (int(x) for x in np.frombuffer(raw, "<u8", 3))
+    d, stop = np.zeros((n, 8), np.uint8), 24 + (width - 1) * n
+    d[:, : width - 1] = np.frombuffer(raw, np.uint8, stop - 24, 24).reshape(width - 1, n).T
+    d[:, width - 1] = np.frombuffer(zlib.decompress(raw[stop:]), np.uint8)
+    return np.cumsum(np.concatenate([np.array([first], np.uint64), d.view("<u8").reshape(-1).astype(np.uint64)]), dtype=np.uint64)
 
 
 def pack_counts(counts) -> bytes:
@@ -266,12 +279,12 @@ def score_texts(docs: DataFrame, learn) -> DataFrame:
     rows = texts(docs).withColumn("train", learn(F.col("doc_id")))
     store = stash(rows.mapInArrow(pack, packed_ddl), "lm-blocks")
     found = store.agg(F.count("*").alias("blocks"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("bytes")).first()
-    blocks, ranges = max(1, found.blocks), max(1, -(-found.bytes // RANGE_BYTES))
+    blocks, ranges, bits = max(1, found.blocks), max(1, -(-found.bytes // RANGE_BYTES)), key_bits(found.bytes // 4)
 
     def unpack(sizes, tokens, token):
         import numpy as np
 
-        return Block(unsqueeze(tokens), unplanes(token, "<u4").astype(np.int64), np.frombuffer(sizes, "<i8").astype(np.int64))
+        return Block(unsqueeze(tokens), unplanes(token, "<u4").astype(np.int64), np.frombuffer(sizes, "<i8").astype(np.int64), bits)
 
     def send(batches):
         import numpy as np
@@ -283,7 +296,7 @@ def score_texts(docs: DataFrame, learn) -> DataFrame:
                 weight = np.repeat(np.frombuffer(train, bool), block.sizes).astype(np.float64)
                 for kind, (keys, at) in enumerate(zip(block.keys, block.at)):
                     counts = np.bincount(at[at >= 0], weight[at >= 0], len(keys)).astype("<u8")
-                    cut = cuts(keys, ranges).tolist()
+                    cut = cuts(keys, ranges, bits if kind else 64).tolist()
                     out = [(kind, p, no, squeeze(keys[i:j]), pack_counts(counts[i:j])) for p, (i, j) in enumerate(zip(cut, cut[1:])) if i < j]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, sent)], schema=sent)
 
