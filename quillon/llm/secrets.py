@@ -6,12 +6,12 @@ compatible (Hoeffding's bound, checked down the subtrees). Every other candidate
 of its best credential automaton against a background automaton inferred the same way from ordinary candidates. A candidate at MARGIN
 bits a symbol or more above the background is added as a span of kind "format".
 
-The sample holds at most SAMPLE distinct values a kind (lowest hashes first); it is all that the driver gathers, whatever the input's
-size. The scan covers every whole text.
+The sample holds at most about SAMPLE distinct values a kind of at most LONGEST characters (of 64 parts by hash, the lowest hashes of each); it is
+all that the driver gathers, whatever the input's size. The scan covers every whole text and scores candidates of any length.
 
 Defined results: a null text is an empty one; base spans of one kind never overlap, spans of different kinds may; a "format" span
-overlaps no base span; ties in start go in the order assign, access, hex, format; repeated rows each get their row; an empty table
-gives an empty result and automata that accept nothing; other columns are ignored.
+overlaps no base span; ties in start go in the order assign, access, hex, format; repeated rows each get their row; a very long text is
+scanned whole in one task, in time proportional to its length; an empty table gives an empty result and automata that accept nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, stash, table, texts
 
 KINDS = ("assign", "access", "hex", "format")
-SAMPLE, MARGIN, MERGE_ALPHA, MIN_TRAIN = 2_000, 1.5, 0.01, 30
+SAMPLE, LONGEST, MARGIN, MERGE_ALPHA, MIN_TRAIN = 2_000, 256, 1.5, 0.01, 30
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -172,14 +172,20 @@ def labelled_values(docs: DataFrame) -> DataFrame:
 
 
 def free_candidates(text: str | None, spans: list[tuple[int, int, int]]):
+    """Candidates that touch no base span (sorted by start): one pass over both lists."""
+    at, reach = 0, 0
     for m in CANDIDATE.finditer(text or ""):
-        if not any(s < m.end() and m.start() < e for s, _, e in spans):
+        # all spans that begin before the candidate ends; the furthest end of them tells whether one touches it
+        while at < len(spans) and spans[at][0] < m.end():
+            reach = max(reach, spans[at][2])
+            at += 1
+        if reach <= m.start():
             yield m.span()
 
 
 def learn_automata(docs: DataFrame, sample: int = SAMPLE) -> dict[str, Automaton]:
     """An automaton a kind and one for ordinary candidates, from at most sample distinct values of each."""
-    values = labelled_values(docs).filter("length(value) <= 256").distinct().withColumn("h", F.xxhash64("value"))
+    values = labelled_values(docs).filter(F.length("value") <= LONGEST).distinct().withColumn("h", F.xxhash64("value"))
     # the lowest hashes of a kind: pre-aggregated, so no task holds more than the sample
     parts = values.withColumn("salt", F.pmod(F.col("h"), F.lit(64)))
     some = parts.withColumn("n", F.row_number().over(Window.partitionBy("kind", "salt").orderBy("h", "value"))).filter(f"n <= {-(-sample // 64)}")

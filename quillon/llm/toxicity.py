@@ -2,7 +2,7 @@
 
 A text's vector holds all of its words (lower-cased), and the leading 4 and 5 letters of a word where those go with a label. From a bounded hash
 sample of labelled documents (SAMPLE) the words and leads that go with a label beyond chance (exact hypergeometric tail, Bonferroni over all
-terms) are learned, at most VOCABULARY; they weigh more than others by how certain they are, and no word is left out. Document frequencies
+terms) are learned; they weigh more than others by how certain they are, and no word is left out. Document frequencies
 are counted over all documents for each term of the examples; a word that no example has meets none, and lengthens the vector as a word
 of one document. The examples' TF-IDF vectors lie in an inverted index, and a batch of texts meets all postings of its terms: those of the
 DENSE commonest terms as a matrix, the others list by list. Cosines are exact and no example is passed over. (Bounds of blocks of examples do not pay on
@@ -12,7 +12,8 @@ A text that shares no word with any example gets the rate of examples without wo
 
 The driver gathers the learned terms, the words of the examples and their vectors: as much as the sample's texts.
 
-Defined results: a null or empty text has no terms; with no labelled documents all scores are 0; equal cosines are ranked by example
+Defined results: a null or empty text has no terms; an empty table gives an empty result; a very long text is one vector, made whole in one task; with
+no labelled documents all scores are 0; of several texts under one labelled doc_id each is an example; equal cosines are ranked by example
 order (doc_id, then text); repeated rows each get their row; a document with several labels counts as toxic if any says so; labels that
 are null are no labels; other columns are ignored.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, fold, map_rows, small_batches, stash, table, texts
 
-SAMPLE, VOCABULARY, K, BLOCK, LEVEL, CHUNK, DENSE = 12_000, 8_192, 15, 64, 0.001, 65_536, 256
+SAMPLE, K, BLOCK, LEVEL, CHUNK, DENSE = 12_000, 15, 64, 0.001, 65_536, 256
 WORD = re.compile(r"\w+")
 ASCII_GAPS = {i: " " for i in range(128) if not WORD.match(chr(i))}
 
@@ -91,7 +92,7 @@ def tail(a: int, marked: int, n1: int, n: int) -> float:
     return m + math.log(math.fsum(math.exp(x - m) for x in logs))
 
 
-def learn_terms(sample: DataFrame, size: int = VOCABULARY, level: float = LEVEL) -> tuple[dict[str, float], list[str]]:
+def learn_terms(sample: DataFrame, level: float = LEVEL) -> tuple[dict[str, float], list[str]]:
     """The terms whose documents carry one label more often than chance allows, with their weights (over 1), and all words of the sample."""
 
     def make():
@@ -124,8 +125,8 @@ def learn_terms(sample: DataFrame, size: int = VOCABULARY, level: float = LEVEL)
 
     # only a term off the base rate can pass
     worth = counts.filter((F.abs(F.col("toxic") - (F.col("clean") + F.col("toxic")) * (n1 / (n0 + n1))) > 2))
-    best = worth.mapInPandas(certain, "term string, p double").orderBy("p", "term").limit(size)
-    return {r.term: 1 + limit - r.p for r in best.collect()}, words  # at most VOCABULARY terms
+    best = worth.mapInPandas(certain, "term string, p double").collect()  # some of the sample's terms
+    return {r.term: 1 + limit - r.p for r in sorted(best, key=lambda r: (r.p, r.term))}, words
 
 
 class Index:
@@ -361,7 +362,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, learn=lambda c: F.lit(True),
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score_toxicity(docs, labels, learn=lambda c: fold(c) != 0)
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", F.slice("evidence", 1, 3).alias("evidence"))
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", "evidence")
 
 
 QUERIES = {"op3_toxicity": op3_toxicity}

@@ -186,6 +186,37 @@ def test_copies_of_examples_are_found(spark):
     assert all(toxicity.words_of(t) == toxicity.WORD.findall(t.lower()) for t in ["a_b-C\x1fd\x00e9 'x'", "É ß_1", ""])
 
 
+def test_one_id_with_several_labelled_texts(spark):
+    rows = [(1, "some bad words here"), (1, "other good words there"), (1, "other good words there"), (1, None), (2, "more words")]
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    got = toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
+
+
+def brute_toxicity(docs, labels):
+    """Scores of all documents from all examples, with dictionaries: what op3 must give when every labelled row is an example."""
+    learned = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 0
+    marks = {}
+    for i, y in labels:
+        if i is not None and y in (0, 1) and learned(i):
+            marks[i] = max(y, marks.get(i, 0))
+    return [(i, t, marks[i]) for i, t in docs if i in marks]
+
+
+def test_neighbours_are_all_of_them(spark):
+    """The registered query's evidence against all examples by brute force: same neighbours' cosines, same votes in order."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
+    got = {r.doc_id: r for r in toxicity.op3_toxicity(spark, SF).collect()}
+    examples = brute_toxicity(docs, labels)
+    names = {i for i, _, _ in examples}
+    assert len(got) == len(docs) and all(x.doc_id in names for r in got.values() for x in r.evidence)
+    for i, t, y in examples:  # an example is its own nearest, whatever its words weigh
+        near = got[i].evidence[0] if got[i].evidence else None
+        assert not toxicity.words_of(t) or near.cosine == pytest.approx(1) and len(got[i].evidence) <= toxicity.K
+        assert not toxicity.words_of(t) or any(x.doc_id == i and x.label == y for x in got[i].evidence)
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (2, 1, 1), (None, 1, 1), (6, 1, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.score_toxicity(odd, labels).count() == odd.count() and toxicity.drop_toxic(odd, labels).columns == odd.columns
@@ -293,6 +324,23 @@ def test_base_spans(texts):
         assert secrets.base_spans(t) == brute_base(t)
 
 
+def test_candidates_against_all_pairs(texts):
+    rng = random.Random(12)
+    for _ in range(300):
+        t = "".join(rng.choice(["abcdefabcdef0123", "AKIA", "ABCDEFGH12345678", " ", "token=", "-x", "Zz"]) for _ in range(rng.randrange(30)))
+        spans = secrets.base_spans(t)
+        want = [m.span() for m in secrets.CANDIDATE.finditer(t) if not any(s < m.end() and m.start() < e for s, _, e in spans)]
+        assert list(secrets.free_candidates(t, spans)) == want
+
+
+def test_secret_query_against_patterns(spark, texts):
+    """The registered query's counts and digests of every document, from the patterns alone."""
+    for r in secrets.op7_secret_scan(spark, SF).collect():
+        spans = brute_base(texts[r.doc_id])
+        text = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in spans) for x in range(3)) and r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_grammar_tells_formats():
     rng = random.Random(6)
     hexes = collections.Counter("".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(300))
