@@ -325,7 +325,8 @@ def learn_model(docs: DataFrame, labels: DataFrame, learn=lambda c: F.lit(True),
 
     rows = map_rows(texts(drawn, "toxic"), make, f"doc_id {id_type}, toxic int, terms binary, counts binary, rest binary").collect()  # about SAMPLE rows
     numbers = lambda b: np.frombuffer(b, np.int32)
-    examples = sorted(((r.doc_id, r.toxic, numbers(r.terms), numbers(r.counts), numbers(r.rest)) for r in rows), key=lambda e: (e[0], e[2].tolist(), e[3].tolist(), e[4].tolist(), e[1]))
+    rows.sort(key=lambda r: (r.doc_id, r.terms, r.counts, r.rest, r.toxic))  # bytes: nothing is unpacked to be compared
+    examples = [(r.doc_id, r.toxic, numbers(r.terms), numbers(r.counts), numbers(r.rest)) for r in rows]
     return Model(vocabulary, idf, math.log((n + 1) / 1.5) + 1, [(i, y, v) for i, y, *v in examples])
 
 
