@@ -10,7 +10,7 @@ combined rule instead: all rules at the same step of their grids, within ALPHA a
 of the holdout only. So all rules together reject at most ALPHA of a stratum's good documents, in all strata at once, with probability
 1 - DELTA. A stratum with too few labels for either gets no cutoff, so nothing is rejected there beyond the base.
 
-Defined results: a null or empty text has no words and fails the base; a null language is a stratum of its own; repeated rows each get
+Defined results: a null or empty text has no words and fails the base; a very long text is counted whole, in one task; a null language is a stratum of its own; repeated rows each get
 their row; a document with several labels counts by its lowest; labels of unknown documents are ignored; empty tables give empty results
 or no cutoffs; other columns are ignored.
 """
@@ -90,15 +90,33 @@ def quality_counts(docs: DataFrame, stratum: str = "lang") -> DataFrame:
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X ~ Binomial(n, p), summed exactly in log space."""
+    """P(X <= k) for X ~ Binomial(n, p): the regularised incomplete beta function of 1 - p at (n - k, k + 1), in constant memory."""
     if k >= n or p <= 0:
         return 1.0
     if p >= 1:
         return 0.0
-    lp, lq = math.log(p), math.log1p(-p)
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * lp + (n - i) * lq for i in range(k, -1, -1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
+    a, b = n - k, k + 1
+    front = math.exp(math.lgamma(n + 1) - math.lgamma(a) - math.lgamma(b) + a * math.log1p(-p) + b * math.log(p))
+    if (1 - p) * (a + b + 2) < a + 1:
+        return min(1.0, front * beta_fraction(a, b, 1 - p) / a)
+    return max(0.0, 1 - front * beta_fraction(b, a, p) / b)
+
+
+def beta_fraction(a: int, b: int, x: float) -> float:
+    """The continued fraction of the incomplete beta function, evaluated from the front (Lentz) until it stands; about sqrt(a + b) steps."""
+    tiny = 1e-300
+    safe = lambda v: v if abs(v) > tiny else tiny
+    c, d = 1.0, 1 / safe(1 - (a + b) * x / (a + 1))
+    value, m = d, 0
+    while True:
+        m += 1
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        for step in (even, odd):
+            c, d = safe(1 + step / c), 1 / safe(1 + step * d)
+            value *= c * d
+        if abs(c * d - 1) < 1e-15 or m > 10_000_000:
+            return value
 
 
 def upper_bound(k: int, n: int, delta: float) -> float:

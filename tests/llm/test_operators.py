@@ -244,6 +244,38 @@ def test_shards(spark, odd, shards):
     assert sum(len(x) > 1 for x in by_text.values()) <= 2
 
 
+def test_shards_against_brute_force(spark, tmp_path):
+    """Every column of the registered query where no group of copies is heavy: places by the bytes before a text in hash order."""
+    import xxhash
+
+    rng = random.Random(3)
+    rows = [(i, None if i % 2000 == 0 else "é" * rng.randrange(2) + f"{i // 2 if i % 5 else i} " * (1 + i // 2 % 11)) for i in range(1, 4001)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.op4_sharding(spark, str(tmp_path)).collect()
+    raw = {i: (t or "").encode() for i, t in rows}
+    hashed = lambda x: (h := xxhash.xxh64_intdigest(x, 42)) - (h >> 63 << 64)
+    assert max(collections.Counter(raw.values()).values()) * 2 / len(rows) < 2 / sharding.HEAVY
+    total, at, want, first, slots = sum(len(x) + 1 for x in raw.values()), 0, [], {}, collections.Counter()
+    for i in sorted(raw, key=lambda i: (hashed(raw[i]), i)):
+        shard = min(7, first.setdefault(raw[i], at) * 8 // total)
+        want.append((i, len(raw[i]) + 1, zlib.crc32(raw[i]), "bytes", shard, slots[shard], None))
+        slots[shard] += 1
+        at += len(raw[i]) + 1
+    assert sorted((r.doc_id, r.size, r.text_crc32, r.law, r.shard, r.slot, r.grown_shard) for r in got) == sorted(want)
+
+
+def test_shards_of_equal_rows(spark):
+    """A third of all rows are one text under a null id: they fill whole cells, and each shard stays near its share."""
+    rows = spark.range(2000).selectExpr("id as doc_id", "concat('text ', id) as text").unionAll(spark.range(1000).selectExpr("cast(null as long)", "'one text'"))
+    got = sharding.shard_by_bytes(rows, 8).collect()
+    assert len(got) == 3000 and sum(r.doc_id is None for r in got) == 1000
+    sizes, slots = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r.size for r in got) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_shards_empty_and_written(none, docs, tmp_path):
     assert sharding.shard_by_bytes(none).count() == 0
     sharding.write_shards(docs, str(tmp_path / "s"), 4)
@@ -280,6 +312,57 @@ def test_bounds():
     assert quality.binomial_cdf(3, 100, p) == pytest.approx(0.05) and quality.upper_bound(0, 100, 0.05) == pytest.approx(1 - 0.05**0.01)
 
 
+def test_bounds_of_large_holdouts():
+    assert quality.binomial_cdf(0, 10**8, 1e-8) == pytest.approx(math.exp(-1), rel=1e-6) and quality.binomial_cdf(5 * 10**7, 10**8, 0.5) == pytest.approx(0.5, abs=1e-4)
+    for n in (1, 2, 7, 60):
+        for k in range(n):
+            for p in (0.004, 0.3, 0.97):
+                assert quality.binomial_cdf(k, n, p) == pytest.approx(math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), rel=1e-9)
+
+
+def test_quality_against_brute_force(spark):
+    """Every column of the registered query, cutoffs included: counts word by word, bounds as sums of binomial terms."""
+    d = "/root/testdata/sf0.1"
+    white = " \t\n\x0b\x0c\r"
+    words_of = lambda t: "".join(" " if c in white else c for c in t).split(" ")
+    counts = {}
+    for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang").collect():
+        words = [w for w in words_of(r.text or "") if w]
+        seen = collections.Counter(zip(words, words[1:], words[2:]))
+        inside = [any(seen[tuple(words[j : j + 3])] > 1 for j in (i - 2, i - 1, i) if 0 <= j <= len(words) - 3) for i in range(len(words))]
+        lines = [x for x in (r.text or "").split("\n") if x.strip(white)]
+        counts[r.doc_id] = (r.lang or "", len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in r.text or ""), len(lines) - len(set(lines)), sum(inside), len(lines), sum(w.isupper() for w in words if len(w) > 1))
+    failed = {i: c[1] < 50 or 100 * c[5] > 50 * c[1] for i, c in counts.items()}
+    ratio = lambda a, b: a / max(b, 1)
+    values = {i: {"symbols": ratio(c[3], c[2]), "dup_lines": ratio(c[4], c[6]), "repeats": ratio(c[5], c[1]), "capitals": ratio(c[7], c[1]), "long_words": ratio(c[2], c[1])} for i, c in counts.items()}
+    marks = {}
+    for r in spark.read.parquet(f"{d}/labels.parquet").collect():
+        if r.doc_id is not None and r.quality is not None:
+            marks[r.doc_id] = min(r.quality, marks.get(r.doc_id, 1))
+    held = collections.defaultdict(list)
+    for i, q in marks.items():
+        if q == 1 and i in counts and not failed[i]:
+            held[counts[i][0]].append(values[i])
+    cdf = lambda k, n, p: math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+    cuts = {}
+    for s, good in held.items():
+        apart = cdf(0, len(good), quality.ALPHA / 5) <= quality.DELTA / (5 * len(held))
+        for rules in [[r] for r in quality.RULES] if apart else [list(quality.RULES)]:
+            for step in reversed(range(15)):
+                k = sum(any(v[r] > quality.RULES[r][1][step] for r in rules) for v in good)
+                if cdf(k, len(good), quality.ALPHA / (5 if apart else 1)) > quality.DELTA / (len(held) * (5 if apart else 1)):
+                    break
+                cuts |= {(s, r): quality.RULES[r][1][step] for r in rules}
+    assert len(cuts) > 5
+    got = quality.op6_quality_rules(spark, d).collect()
+    assert len(got) == len(counts)
+    for r in got:
+        c = counts[r.doc_id]
+        bad = [x for x in quality.RULES if (c[0], x) in cuts and values[r.doc_id][x] > cuts[c[0], x]]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (*c[1:6], failed[r.doc_id])
+        assert sorted(r.failed_rules) == sorted(bad) and r.kept == (not failed[r.doc_id] and not bad)
+
+
 def test_cutoffs_keep_the_good(spark):
     counts = spark.createDataFrame([(i, "s", 100, 500, i % 3, 0, 0, 5, 0, False) for i in range(6000)] + [(9000 + i, "s", 100, 500, 200, 0, 0, 5, 0, False) for i in range(50)], "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper_words long, base_failed boolean")
     labels = counts.selectExpr("doc_id", "cast(doc_id < 9000 as int) as quality")
