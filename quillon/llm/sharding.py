@@ -4,7 +4,8 @@ Law "bytes": shards of near-equal size. Records are ordered by (hash of the text
 
 1. a size-weighted hash sample of the keys (about SAMPLE keys) gives RANGES quantile boundaries;
 2. exact bytes and rows per range are summed; a range beyond the target is subdivided into equal key intervals, and a key that alone
-   exceeds its share (a hot group of copies) has its rows dealt over sub-ranges of their own;
+   exceeds its share (a hot group of copies) has its rows dealt over sub-ranges of their own by doc_id, and the equal rows of one doc_id
+   that alone exceed it, by row (which of them gets which slot makes no difference);
 3. running sums over the cells, then within each cell, give every record its exact place in the order; a group of copies goes whole to
    the shard of its first byte, a hot group is cut at the shard boundaries.
 
@@ -12,11 +13,14 @@ Only thin rows (ids, sizes, hashes) are shuffled, each window holds one bounded
 boundaries and one row of totals. DataFrame functions only.
 
 Defined results: a null text has size 1 and the hash of the empty text; a null doc_id sorts first; repeated rows each get a slot; an
-empty table gives an empty result; other columns are ignored.
+empty table gives an empty result; a very long text is one row of one shard; equal sizes and texts are told apart by doc_id; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +39,7 @@ def thin_rows(docs: DataFrame) -> DataFrame:
 
 def shard_by_bytes(docs: DataFrame, shards: int = 8) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, size, text_crc32, law, shard (0 to shards - 1), slot (gapless from 0 within its shard)."""
-    rows = stash(thin_rows(docs), "shard-rows")
+    rows = stash(thin_rows(docs).withColumn("row", F.monotonically_increasing_id()), "shard-rows")
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     if not total.n:
         return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
@@ -59,26 +63,32 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8) -> DataFrame:
         ranged.groupBy("range").agg(F.sum("w").alias("range_w"))
         .join(limits, "range").select("range", "low", "span", F.greatest(F.lit(1), F.ceil(F.col("range_w") / F.lit(2.0) * cells_wanted * 0.75)).alias("parts"))
     )
-    heavy = ranged.groupBy("range", "key").agg(F.sum("w").alias("key_w")).filter(F.col("key_w") > 2.0 / max(HEAVY, 4 * cells_wanted))
-    hot = heavy.select("key", F.ceil(F.col("key_w") / F.lit(2.0) * cells_wanted).alias("dealt"))  # fewer than 4 * cells_wanted rows
+    most, few = 2.0 / max(HEAVY, 4 * cells_wanted), cells_wanted <= 65_536
+    heavy = ranged.groupBy("range", "key").agg(F.sum("w").alias("key_w")).filter(F.col("key_w") > most)
+    hot = stash(heavy.select("key", F.ceil(F.col("key_w") / F.lit(2.0) * cells_wanted).alias("dealt")), "shard-hot")  # at most max(HEAVY, 4 * cells_wanted) rows
+    hot = F.broadcast(hot) if few else hot
+    twins = ranged.join(hot, "key", "left_semi").groupBy("key", "doc_id").agg(F.sum("w").alias("id_w")).filter(F.col("id_w") > most)
+    twins = twins.select(F.col("key").alias("k_"), F.col("doc_id").alias("i_"), F.ceil(F.col("id_w") / F.lit(2.0) * cells_wanted).alias("twins"))  # no more rows than hot has
     placed = (
         ranged.join(F.broadcast(cut), "range")  # RANGES rows
-        .join(F.broadcast(hot) if cells_wanted <= 65_536 else hot, "key", "left")
+        .join(hot, "key", "left")
+        .join(F.broadcast(twins) if few else twins, (F.col("key") == F.col("k_")) & F.col("doc_id").eqNullSafe(F.col("i_")), "left")
         .withColumn("part", F.least(F.col("parts") - 1, F.greatest(F.lit(0), F.floor((F.col("key").cast("double") - F.col("low")) / F.col("span") * F.col("parts")))).cast("long"))
         # a hot key's rows come as (part, key, 1..dealt); the others of its part before and after it stay whole
         .withColumn("turn", F.when(F.col("dealt").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit("turn")), F.col("dealt")) + 1).otherwise(F.lit(0)))
         .withColumn("hot_key", F.when(F.col("dealt").isNotNull(), F.col("key")))
-        .select("doc_id", "size", "text_crc32", "key", "range", "part", "hot_key", "turn")
+        .withColumn("twin", F.when(F.col("twins").isNotNull(), F.col("doc_id")))
+        .withColumn("copy", F.when(F.col("twins").isNotNull(), F.pmod(F.xxhash64("row"), F.col("twins")) + 1).otherwise(F.lit(0)))
+        .select("doc_id", "size", "text_crc32", "key", "range", "part", "hot_key", "turn", "twin", "copy")
     )
     placed = stash(placed, "shard-placed")
-    cell = ["range", "part", "hot_key", "turn"]
+    cell = ["range", "part", "hot_key", "turn", "twin", "copy"]
     before = Window.orderBy(*[F.col(c).asc_nulls_first() for c in cell]).rowsBetween(Window.unboundedPreceding, -1)  # one row a cell
     cells = placed.groupBy(*cell).agg(F.sum("size").alias("cb"), F.count("*").alias("cn"))
     starts = cells.select(*cell, F.coalesce(F.sum("cb").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("cn").over(before), F.lit(0)).alias("n0"))
-    starts = starts.select(F.col("range").alias("r_"), F.col("part").alias("p_"), F.col("hot_key").alias("h_"), F.col("turn").alias("t_"), "b0", "n0")
-    keyed = placed.join(
-        starts, (F.col("range") == F.col("r_")) & (F.col("part") == F.col("p_")) & F.col("hot_key").eqNullSafe(F.col("h_")) & (F.col("turn") == F.col("t_"))
-    )
+    starts = starts.select(*[F.col(c).alias(f"{c}_") for c in cell], "b0", "n0")
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) if c in ("hot_key", "twin") else F.col(c) == F.col(f"{c}_") for c in cell]
+    keyed = placed.join(starts, functools.reduce(lambda x, y: x & y, same))
     order = Window.partitionBy(*cell).orderBy("key", "text_crc32", "doc_id")
     run = keyed.withColumn("at", F.col("b0") + F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     run = run.withColumn("no", F.col("n0") + F.row_number().over(order) - 1)
