@@ -10,7 +10,7 @@ vectors of whole texts: the K-th best cosine is about 0.1, and the common words
 Neighbours vote with weight 1 / (1.05 - cosine); a monotone table fitted by leaving each example out maps vote shares to observed rates.
 A text that shares no word with any example gets the rate of examples without words.
 
-The driver gathers the learned terms, the words of the examples and their vectors: as much as the sample's texts.
+The driver gathers the learned terms, the words of the examples and their vectors, and broadcasts them: as much as the sample's texts.
 
 Defined results: a null or empty text has no terms; an empty table gives an empty result; a very long text is one vector, made whole in one task; with
 no labelled documents all scores are 0; of several texts under one labelled doc_id each is an example; equal cosines are ranked by example
@@ -20,6 +20,7 @@ are null are no labels; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -49,10 +50,13 @@ def terms_of(text: str | None) -> Counter:
 
 
 class Vocabulary:
-    """Numbers the terms of a text: learned leads first, then all words of the examples. Kept as one string until a task needs it."""
+    """Numbers the terms of a text: learned leads first, then all words of the examples (a list, or one string with line feeds). Kept as one
+    string until a task needs it."""
 
-    def __init__(self, leads: list[str], words: list[str]):
-        self.size, self.joined, self.number = len(leads) + len(words), "\n".join([*leads, *words]), None
+    def __init__(self, leads: list[str], words: list[str] | str):
+        words = words if isinstance(words, str) else "\n".join(words)
+        self.joined, self.number = "\n".join([*leads, *[words] * bool(words)]), None
+        self.size = self.joined.count("\n") + bool(self.joined)
         self.heads = {t.rstrip("*")[:4] for t in leads}
 
     def __getstate__(self):
@@ -135,19 +139,28 @@ class Index:
     def __init__(self, examples: list[tuple]):
         import numpy as np
 
-        self.names, self.labels = [e[0] for e in examples], np.array([e[1] for e in examples], np.float64)
         pairs = [self.arrays(v) for _, _, v in examples]
-        terms = np.concatenate([np.zeros(0, np.int64), *[p[0] for p in pairs]])
+        terms, weights = (np.concatenate([np.zeros(0, t), *[p[i] for p in pairs]]) for i, t in ((0, np.int64), (1, np.float64)))
+        self.build([e[0] for e in examples], [e[1] for e in examples], [len(p[0]) for p in pairs], terms, weights)
+
+    @classmethod
+    def flat(cls, names, labels, lengths, terms, weights) -> Index:
+        """From the examples' vectors laid end to end."""
+        index = cls.__new__(cls)
+        index.build(names, labels, lengths, terms, weights)
+        return index
+
+    def build(self, names, labels, lengths, terms, weights):
+        import numpy as np
+
+        self.names, self.labels, self.places = names, np.array(labels, np.float64), None
         order = np.argsort(terms, kind="stable")
-        self.ids = np.repeat(np.arange(len(examples), dtype=np.int32), [len(p[0]) for p in pairs])[order]
-        self.weights = np.concatenate([np.zeros(0), *[p[1] for p in pairs]])[order]
+        self.ids = np.repeat(np.arange(len(names), dtype=np.int32), lengths)[order]
+        self.weights = weights[order]
         df = np.bincount(terms)
         self.start = np.concatenate([[0], np.cumsum(df)])
         self.common, self.matrix = np.argsort(-df, kind="stable")[:DENSE], None
 
-    def __getstate__(self):
-        return {**self.__dict__, "matrix": None}
-
     @staticmethod
     def arrays(v):
         import numpy as np
@@ -183,15 +196,25 @@ class Index:
             out.append(np.bincount(np.concatenate([self.ids[i:j] for i, j in runs]), value, n) if len(value) else np.zeros(n))
         return dense @ self.matrix + np.array(out).reshape(len(queries), n)
 
-    def nearest_of(self, queries: list, k: int = K, without: int | None = None) -> list[list[tuple[float, int]]]:
-        """For each query, the k examples of largest cosine (above 0), exactly; ties by example order. without: query i leaves out example without + i."""
+    def leave_out(self, scores, name) -> None:
+        """Takes the example of a name out of its own scores; of several the most similar, which is the query itself or its equal."""
+        if self.places is None:
+            self.places = {}
+            for i, x in enumerate(self.names):
+                self.places.setdefault(x, []).append(i)
+        if name in self.places:
+            scores[max(self.places[name], key=lambda i: scores[i])] = 0
+
+    def nearest_of(self, queries: list, k: int = K, own: list | None = None) -> list[list[tuple[float, int]]]:
+        """For each query, the k examples of largest cosine (above 0), exactly; ties by example order. own: queries are the examples of
+        these names, and each leaves itself out."""
         import numpy as np
 
         found, queries = [], [self.arrays(q) for q in queries]
         for at in range(0, len(queries), BLOCK):
             for scores in self.scores(queries[at : at + BLOCK]):
-                if without is not None:
-                    scores[without + len(found)] = 0
+                if own is not None:
+                    self.leave_out(scores, own[len(found)])
                 seen = np.flatnonzero(scores > 0)
                 value = scores[seen].round(12)
                 if len(seen) > k:
@@ -216,45 +239,51 @@ def unit(counts: dict[int, int], idf: list[float]) -> dict[int, float]:
 
 
 class Model:
-    """What scoring needs; all of it is bounded by the sample's texts. idf: of each term, learned weight included; alone: of a word no example has."""
-
-    def __init__(self, vocabulary: Vocabulary, idf, alone: float, examples: list[tuple]):
-        self.vocabulary, self.idf, self.alone = vocabulary, idf, alone
-        vectors = [(name, y, self.unit(v)) for name, y, v in examples]
-        some = [e for e in vectors if len(e[2][0])]
-        self.index = Index(some)
-        rest = [y for _, y, v in vectors if not len(v[0])]
-        base = sum(y for _, y, _ in vectors) / len(vectors) if vectors else 0.0
-        self.empty = (sum(rest) + base) / (len(rest) + 1) if vectors else 0.0
-        # votes of each example without itself, in ten bins, made monotone by pooling neighbours
-        bins = [[base, 1.0] for _ in range(10)]
-        for (_, y, _), near in zip(some, self.index.nearest_of([v for _, _, v in some], without=0)):
-            if near:
-                b = bins[min(9, int(self.index.vote(near) * 10))]
-                b[0] += y
-                b[1] += 1
-        pools: list[list] = []
-        for i, (y, n) in enumerate(bins):
-            pools.append([y, n, [i]])
-            while len(pools) > 1 and pools[-2][0] / pools[-2][1] > pools[-1][0] / pools[-1][1]:
-                y2, n2, i2 = pools.pop()
-                pools[-1] = [pools[-1][0] + y2, pools[-1][1] + n2, pools[-1][2] + i2]
-        self.rates = [0.0] * 10
-        for y, n, members in pools:
-            for i in members:
-                self.rates[i] = y / n
+    """What scoring needs. shared: a broadcast of the words, weights and example vectors, bounded by the sample's texts; a Python worker
+    builds the index from it once and keeps it for its tasks. rates: of the ten bins of votes; empty: of a text without neighbours."""
+
+    def __init__(self, shared, rates: list[float], empty: float):
+        self.shared, self.rates, self.empty = shared, rates, empty
+
+    def part(self, what: str):
+        import numpy as np
+
+        held = self.shared.value
+        if "index" not in held:
+            terms, counts, sizes = (np.frombuffer(held.pop(x), np.int32) for x in ("terms", "counts", "sizes"))
+            weights = np.log(counts)
+            weights += 1
+            weights *= held["idf"][terms]
+            ends = np.cumsum(sizes)
+            for i, j, r in zip((ends - sizes).tolist(), ends.tolist(), held.pop("rests")):
+                weights[i:j] /= math.sqrt(weights[i:j] @ weights[i:j] + r * held["alone"] ** 2)
+            held["vocabulary"] = Vocabulary(held["leads"], held["words"])
+            held["index"] = Index.flat(held["names"], held["labels"], sizes, terms, weights)
+        return held[what]
 
     def unit(self, vector):
         """Terms and weights of a vector (terms, counts, counts of other words), of unit length with the other words."""
         import numpy as np
 
         terms, counts, rest = vector
-        v, r = (1 + np.log(counts)) * self.idf[terms], (1 + np.log(rest)) * self.alone
+        v, r = (1 + np.log(counts)) * self.part("idf")[terms], (1 + np.log(rest)) * self.shared.value["alone"]
         return terms, v / math.sqrt(v @ v + r @ r) if len(v) else v
 
     def score(self, text: list[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
-        near = self.index.nearest_of([self.unit(self.vocabulary.vector(t)) for t in text])
-        return [(self.rates[min(9, int(self.index.vote(x) * 10))], x) if x else (self.empty, []) for x in near]
+        index, vocabulary = self.part("index"), self.part("vocabulary")
+        near = index.nearest_of([self.unit(vocabulary.vector(t)) for t in text])
+        return [(self.rates[min(9, int(index.vote(x) * 10))], x) if x else (self.empty, []) for x in near]
+
+
+def pooled(bins: list[tuple[float, float]]) -> list[float]:
+    """Rates y / n of bins (y, n), made monotone by pooling neighbours."""
+    pools: list[list] = []
+    for i, (y, n) in enumerate(bins):
+        pools.append([y, n, [i]])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] > pools[-1][0] / pools[-1][1]:
+            y2, n2, i2 = pools.pop()
+            pools[-1] = [pools[-1][0] + y2, pools[-1][1] + n2, pools[-1][2] + i2]
+    return [y / n for y, n, members in pools for _ in members]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE) -> DataFrame:
@@ -310,10 +339,15 @@ def learn_model(docs: DataFrame, labels: DataFrame, learn=lambda c: F.lit(True),
     drawn = labelled_sample(docs, labels, learn, sample)
     learned, words = learn_terms(drawn)
     leads = [t for t in learned if t.endswith("*")]
-    vocabulary = Vocabulary(leads, words)
+    vocabulary, more = Vocabulary(leads, words), np.ones(len(leads) + len(words))
+    for k, t in enumerate(leads):
+        more[k] = learned[t]
+    for t, w in learned.items():
+        if not t.endswith("*"):
+            more[len(leads) + bisect.bisect_left(words, t)] = w
+    words = "\n".join(words)
     df, n = term_counts(docs, vocabulary)
-    more = np.array([learned[t] for t in leads] + [learned.get(w, 1.0) for w in words])
-    idf = (np.log((n + 1) / (df + 0.5)) + 1) * more
+    idf, alone = (np.log((n + 1) / (df + 0.5)) + 1) * more, math.log((n + 1) / 1.5) + 1
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def make():
@@ -323,11 +357,45 @@ def learn_model(docs: DataFrame, labels: DataFrame, learn=lambda c: F.lit(True),
 
         return each
 
-    rows = map_rows(texts(drawn, "toxic"), make, f"doc_id {id_type}, toxic int, terms binary, counts binary, rest binary").collect()  # about SAMPLE rows
-    numbers = lambda b: np.frombuffer(b, np.int32)
-    rows.sort(key=lambda r: (r.doc_id, r.terms, r.counts, r.rest, r.toxic))  # bytes: nothing is unpacked to be compared
-    examples = [(r.doc_id, r.toxic, numbers(r.terms), numbers(r.counts), numbers(r.rest)) for r in rows]
-    return Model(vocabulary, idf, math.log((n + 1) / 1.5) + 1, [(i, y, v) for i, y, *v in examples])
+    vectors = stash(map_rows(texts(drawn, "toxic"), make, f"doc_id {id_type}, toxic int, terms binary, counts binary, rest binary"), "toxicity-vectors")
+    shared = docs.sparkSession.sparkContext.broadcast({**examples_of(vectors), "idf": idf, "alone": alone, "leads": leads, "words": words})
+    model = Model(shared, [0.0] * 10, 0.0)
+
+    def votes():
+        def each(ids, toxic, terms, counts, rest):
+            index = model.part("index")
+            queries = [model.unit([np.frombuffer(x, np.int32) for x in v]) for v in zip(terms, counts, rest)]
+            near = index.nearest_of(queries, own=ids)
+            return toxic, [min(9, int(index.vote(x) * 10)) if x else -1 if len(q[0]) else -2 for x, q in zip(near, queries)]
+
+        return each
+
+    # votes of each example without itself, in ten bins; -1: no neighbours, -2: no words
+    rows = map_rows(vectors, votes, "toxic int, bin int").groupBy("bin").agg(F.sum("toxic").alias("y"), F.count("*").alias("n")).collect()  # at most 12
+    if rows:
+        base, found = sum(r.y for r in rows) / sum(r.n for r in rows), {r.bin: (r.y, r.n) for r in rows}
+        y, n = found.get(-2, (0, 0))
+        model.empty = (y + base) / (n + 1)
+        model.rates = pooled([(found.get(i, (0, 0))[0] + base, found.get(i, (0, 0))[1] + 1.0) for i in range(10)])
+    return model
+
+
+def examples_of(vectors: DataFrame) -> dict:
+    """The examples with words, by doc_id and then by the bytes of their vectors, laid end to end; about SAMPLE rows on the driver."""
+    import numpy as np
+
+    got = vectors.filter("length(terms) > 0").toArrow()
+    ids, toxic = got.column("doc_id").to_pylist(), got.column("toxic").to_pylist()
+    alike = Counter(ids)
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], *[got.column(c)[i].as_py() for c in ("terms", "counts", "rest") if alike[ids[i]] > 1]))
+    out = {"names": [ids[i] for i in order], "labels": [toxic[i] for i in order]}
+    for name in ("terms", "counts"):
+        column = got.column(name).to_pylist()
+        out["sizes"] = np.array([len(column[i]) // 4 for i in order], np.int32).tobytes()
+        out[name] = b"".join([column[i] for i in order])
+    column = got.column("rest").to_pylist()
+    out["rests"] = [float(((1 + np.log(np.frombuffer(column[i], np.int32))) ** 2).sum()) for i in order]
+    return out
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn=lambda c: F.lit(True), sample: int = SAMPLE) -> DataFrame:
@@ -338,7 +406,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn=lambda c: F.lit(Tru
     def make():
         def each(ids, text):
             found = model.score(text)
-            evidence = [[{"doc_id": model.index.names[i], "cosine": s, "label": int(model.index.labels[i])} for s, i in near] for _, near in found]
+            index = model.part("index")
+            evidence = [[{"doc_id": index.names[i], "cosine": s, "label": int(index.labels[i])} for s, i in near] for _, near in found]
             return ids, [s for s, _ in found], [int(s >= 0.5) for s, _ in found], evidence
 
         return each
