@@ -4,9 +4,9 @@ A text's vector holds all of its words (lower-cased), and the leading 4 and 5 le
 sample of labelled documents (SAMPLE) the words and leads that go with a label beyond chance (exact hypergeometric tail, Bonferroni over all
 terms) are learned; they weigh more than others by how certain they are, and no word is left out. Document frequencies
 are counted over all documents for each term of the examples; a word that no example has meets none, and lengthens the vector as a word
-of one document. The examples' TF-IDF vectors lie in an inverted index, and a batch of texts meets all postings of its terms: those of the
-DENSE commonest terms as a matrix, the others list by list. Cosines are exact and no example is passed over. (Bounds of blocks of examples do not pay on
-vectors of whole texts: the K-th best cosine is about 0.1, and the common words alone add as much.)
+of one document. The examples' TF-IDF vectors lie in a block-max inverted index. The postings of a text's rarer terms are read list by list; they bound the K-th best
+cosine from below. The DENSE commonest terms are kept by blocks of BLOCK examples of like directions, with each term's largest weight in the block:
+a block is read only where these maxima, with the best found in it so far, may reach the K-th best. Cosines are exact and no nearer example is passed over.
 Neighbours vote with weight 1 / (1.05 - cosine); a monotone table fitted by leaving each example out maps vote shares to observed rates.
 A text that shares no word with any example gets the rate of examples without words.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, fold, map_rows, small_batches, stash, table, texts
 
-SAMPLE, K, BLOCK, LEVEL, CHUNK, DENSE = 12_000, 15, 64, 0.001, 65_536, 256
+SAMPLE, K, BLOCK, BATCH, LEVEL, CHUNK, DENSE = 12_000, 15, 64, 256, 0.001, 65_536, 256
 WORD = re.compile(r"\w+")
 ASCII_GAPS = {i: " " for i in range(128) if not WORD.match(chr(i))}
 
@@ -154,12 +154,44 @@ class Index:
         import numpy as np
 
         self.names, self.labels, self.places = names, np.array(labels, np.float64), None
+        self.read = self.skipped = 0  # blocks of examples, over all queries so far
+        n, df = len(names), np.bincount(terms)
+        common = np.argsort(-df, kind="stable")[:DENSE]
+        self.row = np.full(len(df) + 1, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        ids, row = np.repeat(np.arange(n, dtype=np.int32), lengths), self.row[terms]
+        dense = np.zeros((n, len(common)))
+        dense[ids[row >= 0], row[row >= 0]] = weights[row >= 0]
+        self.order = self.alike(dense)  # slot -> example
+        slot = np.empty(n, np.int32)
+        slot[self.order] = np.arange(n, dtype=np.int32)
+        full = np.zeros((-(-n // BLOCK) * BLOCK, len(common)))
+        full[:n] = dense[self.order]
+        del dense
+        self.blocks = np.ascontiguousarray(full.reshape(-(-n // BLOCK), BLOCK, len(common)).transpose(0, 2, 1))
+        self.most = np.ascontiguousarray(self.blocks.max(2).T)
+        rare = row < 0
+        terms, ids, weights = terms[rare], slot[ids[rare]], weights[rare]
         order = np.argsort(terms, kind="stable")
-        self.ids = np.repeat(np.arange(len(names), dtype=np.int32), lengths)[order]
-        self.weights = weights[order]
-        df = np.bincount(terms)
-        self.start = np.concatenate([[0], np.cumsum(df)])
-        self.common, self.matrix = np.argsort(-df, kind="stable")[:DENSE], None
+        self.ids, self.weights = ids[order], weights[order]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(df)))])
+
+    @staticmethod
+    def alike(vectors, groups: int = 16, rounds: int = 5):
+        """An order in which examples of like directions are neighbours, so that blocks have low maxima: by the nearest of some means."""
+        import numpy as np
+
+        n = len(vectors)
+        if n <= BLOCK:
+            return np.arange(n)
+        unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+        means = unit[np.linspace(0, n - 1, groups).astype(int)]
+        for _ in range(rounds):
+            near = unit @ means.T
+            group = near.argmax(1)
+            means = np.eye(groups)[group].T @ unit
+            means /= np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-300)
+        return np.lexsort((-near.max(1), group))
 
     @staticmethod
     def arrays(v):
@@ -167,20 +199,15 @@ class Index:
 
         return (np.fromiter(v, np.int64, len(v)), np.fromiter(v.values(), np.float64, len(v))) if isinstance(v, dict) else v
 
-    def scores(self, queries):
-        """Dot products of some queries (terms, weights) with all examples."""
+    def scores(self, queries, k: int):
+        """Dot products of some queries (terms, weights) with all examples, by slot, and for each query a bound that the k-th best reaches. What
+        reaches it is exact; blocks of examples whose maxima do not are not read, and their examples have too low a score."""
         import numpy as np
 
-        n = len(self.names)
-        if self.matrix is None:
-            self.row = np.full(len(self.start), -1, np.int32)
-            self.row[self.common] = np.arange(len(self.common))
-            self.matrix = np.zeros((len(self.common), n))
-            for k, t in enumerate(self.common.tolist()):
-                self.matrix[k, self.ids[self.start[t] : self.start[t + 1]]] = self.weights[self.start[t] : self.start[t + 1]]
-        dense, out = np.zeros((len(queries), len(self.common))), []
+        n = len(self.blocks) * BLOCK
+        dense, out = np.zeros((len(queries), len(self.most))), np.zeros((len(queries), n))
         for q, (terms, weights) in enumerate(queries):
-            known = terms < len(self.start) - 1
+            known = terms < len(self.row) - 1
             terms, weights = terms[known], weights[known]
             row = self.row[terms]
             dense[q, row[row >= 0]] = weights[row >= 0]
@@ -188,20 +215,40 @@ class Index:
             order = np.argsort(terms)
             terms, weights = terms[order], weights[order]
             runs = list(zip(self.start[terms].tolist(), self.start[terms + 1].tolist()))
-            if not runs:
-                out.append(np.zeros(n))
-                continue
-            value = np.concatenate([self.weights[i:j] for i, j in runs])
-            value *= np.repeat(weights, [j - i for i, j in runs])
-            out.append(np.bincount(np.concatenate([self.ids[i:j] for i, j in runs]), value, n) if len(value) else np.zeros(n))
-        return dense @ self.matrix + np.array(out).reshape(len(queries), n)
+            if runs:
+                value = np.concatenate([self.weights[i:j] for i, j in runs])
+                value *= np.repeat(weights, [j - i for i, j in runs])
+                if len(value):
+                    out[q] = np.bincount(np.concatenate([self.ids[i:j] for i, j in runs]), value, n)
+        by_block = out.reshape(len(queries), -1, BLOCK)
+        bound = dense @ self.most + by_block.max(2)
+        # the most promising blocks first: their best and those of the others, so far, bound the k-th best from below
+        cut = max(0, len(self.blocks) - 2 * k)
+        first = (bound >= np.partition(bound, cut, axis=1)[:, cut, None]) & (bound > 0)
+        self.add(dense, by_block, first)
+        tops = by_block.max(2) if len(self.blocks) > k else out
+        cut = tops.shape[1] - k
+        least = np.partition(tops, cut, axis=1)[:, cut] - 1e-9 if cut >= 0 else np.full(len(queries), -1e-9)
+        rest = (bound >= least[:, None]) & (bound > 0) & ~first
+        self.add(dense, by_block, rest)
+        self.read += int(first.sum() + rest.sum())
+        self.skipped += int((~first & ~rest).sum())
+        return out, least
+
+    def add(self, dense, by_block, wanted) -> None:
+        """Adds the commonest terms' part to the scores of the wanted (query, block) pairs."""
+        import numpy as np
+
+        for b in np.flatnonzero(wanted.any(0)).tolist():
+            q = np.flatnonzero(wanted[:, b])
+            by_block[q, b] += dense[q] @ self.blocks[b]
 
     def leave_out(self, scores, name) -> None:
         """Takes the example of a name out of its own scores; of several the most similar, which is the query itself or its equal."""
         if self.places is None:
             self.places = {}
-            for i, x in enumerate(self.names):
-                self.places.setdefault(x, []).append(i)
+            for i, x in enumerate(self.order.tolist()):
+                self.places.setdefault(self.names[x], []).append(i)
         if name in self.places:
             scores[max(self.places[name], key=lambda i: scores[i])] = 0
 
@@ -211,17 +258,16 @@ class Index:
         import numpy as np
 
         found, queries = [], [self.arrays(q) for q in queries]
-        for at in range(0, len(queries), BLOCK):
-            for scores in self.scores(queries[at : at + BLOCK]):
+        for at in range(0, len(queries) if self.names else 0, BATCH):
+            for scores, least in zip(*self.scores(queries[at : at + BATCH], k + (own is not None))):
                 if own is not None:
                     self.leave_out(scores, own[len(found)])
-                seen = np.flatnonzero(scores > 0)
-                value = scores[seen].round(12)
-                if len(seen) > k:
-                    least = np.partition(value, len(seen) - k)[len(seen) - k]
-                    seen, value = seen[value >= least], value[value >= least]
-                order = np.lexsort((seen, -value))[:k]
-                found.append([(float(value[i]), int(seen[i])) for i in order])
+                seen = np.flatnonzero(scores >= max(least, 1e-300))
+                value, ids = scores[seen].round(12), self.order[seen]
+                order = np.lexsort((ids, -value))[:k]
+                found.append([(float(value[i]), int(ids[i])) for i in order])
+        if not self.names:
+            found = [[] for _ in queries]
         return found
 
     def nearest(self, q, k: int = K) -> list[tuple[float, int]]:

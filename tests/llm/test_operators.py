@@ -193,28 +193,105 @@ def test_one_id_with_several_labelled_texts(spark):
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
 
 
-def brute_toxicity(docs, labels):
-    """Scores of all documents from all examples, with dictionaries: what op3 must give when every labelled row is an example."""
-    learned = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 0
-    marks = {}
-    for i, y in labels:
-        if i is not None and y in (0, 1) and learned(i):
-            marks[i] = max(y, marks.get(i, 0))
-    return [(i, t, marks[i]) for i, t in docs if i in marks]
+def test_blocks_of_examples_are_skipped():
+    """Two languages: a text's neighbours are found without reading the blocks of the other, and nothing is lost."""
+    rng = random.Random(5)
+
+    def vec(lang):
+        return toxicity.unit({lang * 1000 + (rng.randrange(20) if rng.random() < 0.7 else rng.randrange(20, 1000)): rng.randrange(1, 4) for _ in range(30)}, [1 + t % 1000 / 300 for t in range(2000)])
+
+    examples = [(i, i % 2, vec(i % 2)) for i in range(3000)]
+    index, queries = toxicity.Index(examples), [vec(k % 2) for k in range(40)]
+    for q, near in zip(queries, index.nearest_of(queries)):
+        full = sorted(((-round(math.fsum(w * v.get(t, 0) for t, w in q.items()), 12), i) for i, _, v in examples))[: toxicity.K]
+        assert [s for s, _ in near] == pytest.approx([-s for s, _ in full])
+    # half of the blocks, but for one of both, are of the other language
+    assert index.skipped >= 40 * (len(index.blocks) // 2) and index.read + index.skipped == 40 * len(index.blocks)
 
 
-def test_neighbours_are_all_of_them(spark):
-    """The registered query's evidence against all examples by brute force: same neighbours' cosines, same votes in order."""
+def brute_toxicity(docs, examples):
+    """(score, cosines of the neighbours) of all texts from all examples (doc_id, text, label), by dictionaries and all pairs."""
+    import re
+
+    def terms(t):
+        words = collections.Counter(re.findall(r"\w+", t.lower()) if t else [])
+        leads = collections.Counter()
+        for w, n in words.items():
+            for k in (4, 5):
+                if len(w) >= k:
+                    leads[w[:k] + "*"] += n
+        return words, leads
+
+    parsed, examples = [terms(t) for _, t in docs], sorted(examples)
+    learn = [(i, *terms(t), y) for i, t, y in examples]
+    n, n1 = len(learn), sum(y for *_, y in learn)
+    seen = {}
+    for _, words, leads, y in learn:
+        for t in [*words, *leads]:
+            seen.setdefault(t, [0, 0])[y] += 1
+
+    def tail(a, m, side):
+        return math.log(sum(math.comb(side, i) * math.comb(n - side, m - i) for i in range(a, min(m, side) + 1)) / math.comb(n, m))
+
+    limit, more = math.log(toxicity.LEVEL / (2 * len(seen))), {}
+    for t, (clean, toxic) in seen.items():
+        p = min(tail(toxic, clean + toxic, n1), tail(clean, clean + toxic, n - n1))
+        if p < limit:
+            more[t] = 1 + limit - p
+    df = collections.Counter(t for words, leads in parsed for t in [*words, *leads])
+    all_words = {t for _, words, _, _ in learn for t in words}
+
+    def vector(words, leads):
+        v = {t: (1 + math.log(c)) * (math.log((len(docs) + 1) / (df[t] + 0.5)) + 1) * more.get(t, 1) for t, c in words.items() if t in all_words}
+        v |= {t: (1 + math.log(c)) * (math.log((len(docs) + 1) / (df[t] + 0.5)) + 1) * more[t] for t, c in leads.items() if t in more}
+        other = [(1 + math.log(c)) * (math.log((len(docs) + 1) / 1.5) + 1) for t, c in words.items() if t not in all_words]
+        length = math.sqrt(math.fsum(x * x for x in [*v.values(), *other]))
+        return {t: x / length for t, x in v.items()}
+
+    vectors = [(i, vector(words, leads), y) for i, words, leads, y in learn]
+
+    def near(v, without=None):
+        every = [(-round(math.fsum(x * e.get(t, 0) for t, x in v.items()), 12), k) for k, (i, e, _) in enumerate(vectors) if i != without]
+        return [(-s, vectors[k][2]) for s, k in sorted(every)[: toxicity.K] if s < 0]
+
+    def vote(found):
+        w = [1 / (1.05 - min(1, s)) for s, _ in found]
+        return min(9, int(sum(x * y for x, (_, y) in zip(w, found)) / sum(w) * 10))
+
+    sums = {}
+    for i, v, y in vectors:
+        found = near(v, i)
+        at = sums.setdefault(vote(found) if found else -1 if v else -2, [0, 0])
+        at[0] += y
+        at[1] += 1
+    base = n1 / n
+    y, m = sums.get(-2, (0, 0))
+    empty = (y + base) / (m + 1)
+    bins = [(sums.get(i, (0, 0))[0] + base, sums.get(i, (0, 0))[1] + 1) for i in range(10)]
+    mean = lambda a, b: sum(x for x, _ in bins[a : b + 1]) / sum(x for _, x in bins[a : b + 1])
+    rates = [max(min(mean(a, b) for b in range(i, 10)) for a in range(i + 1)) for i in range(10)]  # isotonic regression by its definition
+    found = [near(vector(*p)) for p in parsed]
+    return [(rates[vote(f)] if f else empty, [s for s, _ in f]) for f in found]
+
+
+def examples_at(spark, admit):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
+    marks = {}
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        if r.doc_id is not None and r.toxic in (0, 1) and admit(r.doc_id):
+            marks[r.doc_id] = max(r.toxic, marks.get(r.doc_id, 0))
+    return docs, [(i, t, marks[i]) for i, t in docs if i in marks]
+
+
+def test_toxicity_against_brute_force(spark):
+    """Every column of the registered query."""
+    remainder = lambda i: zlib.crc32(str(i).encode()) % 5
+    docs, examples = examples_at(spark, lambda i: remainder(i) != 0)
     got = {r.doc_id: r for r in toxicity.op3_toxicity(spark, SF).collect()}
-    examples = brute_toxicity(docs, labels)
-    names = {i for i, _, _ in examples}
-    assert len(got) == len(docs) and all(x.doc_id in names for r in got.values() for x in r.evidence)
-    for i, t, y in examples:  # an example is its own nearest, whatever its words weigh
-        near = got[i].evidence[0] if got[i].evidence else None
-        assert not toxicity.words_of(t) or near.cosine == pytest.approx(1) and len(got[i].evidence) <= toxicity.K
-        assert not toxicity.words_of(t) or any(x.doc_id == i and x.label == y for x in got[i].evidence)
+    assert len(got) == len(docs)
+    for (i, _), (score, cosines) in zip(docs, brute_toxicity(docs, examples)):
+        assert got[i].score == pytest.approx(score) and got[i].predicted == int(score >= 0.5) and got[i].held_out == (remainder(i) == 0)
+        assert [x.cosine for x in got[i].evidence] == pytest.approx(cosines)
 
 
 def test_toxicity_odd(spark, odd, none):
@@ -617,5 +694,49 @@ def test_pipeline(spark, odd, none):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "tokens"]
 
 
+def test_pipeline_against_brute_force(spark):
+    """All rows of run(): toxic by all pairs with the examples, components of all pairs, shingles of the items, masked patterns, the library's ids."""
+    import sentencepiece
+
+    docs, examples = examples_at(spark, lambda i: True)
+    kept = [d for d, (score, _) in zip(docs, brute_toxicity(docs, examples)) if score < 0.5]
+    lower = {i: [w for w in "".join(c.lower() if c.isascii() else c for c in t or "").translate({c: " " for c in range(9, 14)}).split(" ") if w] for i, t in kept}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in lower.items()}
+    top = {i: i for i in sets}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    ids = sorted(i for i in sets if sets[i])
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            if 100 * min(len(sets[i]), len(sets[j])) >= 80 * max(len(sets[i]), len(sets[j])) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                top[b] = a
+    kept = [(i, t) for i, t in kept if root(i) == i]
+    index = decontaminate.Index([(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
+    kept = [d for d, found in zip(kept, index.leaks([t for _, t in kept])) if not found]  # held against shingles in test_leaks_against_shingles
+    values = collections.defaultdict(set)
+    for _, t in kept:
+        spans = brute_base(t)
+        for s, k, e in spans:
+            m = secrets.ASSIGN.match(t, s) if k == 0 else None
+            values[secrets.KINDS[k]].add(m[2] if m else t[s:e])
+        values["none"] |= {m[0] for m in secrets.CANDIDATE.finditer(t or "") if not any(s < m.end() and m.start() < e for s, _, e in spans)}
+    assert all(len(v) <= secrets.SAMPLE // 64 for v in values.values())  # so the sample is all of them
+    automata = {k: secrets.infer(collections.Counter(v)) for k, v in [("none", values["none"]), *values.items()] if k == "none" or len(v) >= secrets.MIN_TRAIN}
+    library, want = sentencepiece.SentencePieceProcessor(model_file=piece_scan.model_path()), {}
+    for i, t in kept:
+        t, spans = t or "", brute_base(t)
+        hidden = sorted((s, e) for s, _, e in [*spans, *secrets.format_spans(t, spans, automata)])
+        cover = [any(s <= k < e for s, e in hidden) for k in range(len(t))]
+        starts = {s for s, _ in hidden if s == 0 or not cover[s - 1] or not any(a < s < b for a, b in hidden)}
+        want[i] = library.encode("".join("[SECRET]" * (k in starts) + c * (not cover[k]) for k, c in enumerate(t)))
+    got = {r.doc_id: (r.n_tokens, r.ids) for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got == {i: (len(x), x) for i, x in want.items()} and 0 < len(got) < len(docs)
+
+
 def test_registry():
     assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 11)) and set(registry.SQL) <= set(registry.QUERIES)
