@@ -38,6 +38,16 @@ def stash(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, what: str, key: str, buckets: int) -> DataFrame:
+    """Write df to the shared folder as a table bucketed by key and read it back: a later join or grouping by key does not shuffle it."""
+    spark, name, path = df.sparkSession, f"quillon_{uuid.uuid4().hex}", scratch_path(df.sparkSession, what)
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    back = spark.table(name)
+    back.schema  # resolved, so that the catalog may forget the name; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return back
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove every scratch table this package wrote to the shared folder."""
     hadoop = spark._jvm.org.apache.hadoop.fs
