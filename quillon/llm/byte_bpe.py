@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, bucketed, grouped, small_batches, spread, table, texts
 
-BLOCK_BYTES, ENCODE_BYTES, TABLE_BYTES, SIDE_BY_SIDE = 16 << 20, 16 << 20, 64 << 20, 64
+BLOCK_BYTES, ENCODE_BYTES, TABLE_BYTES, SIDE_BY_SIDE = 8 << 20, 8 << 20, 64 << 20, 64
 NO_RANK = (1 << 31) - 1
 
 
