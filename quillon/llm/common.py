@@ -121,6 +121,14 @@ def spread(starts, sizes, codes):
     return np.repeat(starts[codes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
+def carried(spark: SparkSession, value):
+    """value as a broadcast variable, classes of this package by value; the function gives it back in a task."""
+    from pyspark import cloudpickle
+
+    given = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(given.value)
+
+
 def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
     """mapInArrow over lists: make() once a task gives a function from a batch's columns (lists) to the output's columns (lists)."""
     arrow = arrow_schema(schema)

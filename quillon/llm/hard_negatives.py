@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, local_table, small_batches, stash, table
+from .common import arrow_schema, carried, local_table, small_batches, stash, table
 
 SCALE, LARGEST, PIVOTS, SAMPLE, BLOCK_ROWS, BLOCK_BYTES, PASS_BYTES = 256, 1 << 26, 16, 4096, 1024, 4 << 20, 32 << 20
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 3, 50, 95
@@ -88,16 +88,17 @@ def pick_pivots(sample, square: int, count: int = PIVOTS) -> Pivots:
 
 def pivot_table(rows: DataFrame, pivots: Pivots, d: int) -> DataFrame:
     """Rows in blocks of one label, near rows together: label, n, ids, x, far (binaries), and low, high (the block's range of each pivot's distance)."""
-    placed, kept = arrow_schema("vec_id long, label long, x binary, far binary, cell int, near float"), rows.sparkSession.sparkContext.broadcast(pivots)
+    placed, kept = arrow_schema("vec_id long, label long, x binary, far binary, cell int, near float"), carried(rows.sparkSession, pivots)
 
     def place(batches):
         import numpy as np
         import pyarrow as pa
 
+        pivots = kept()
         for b in batches:
             if len(b):
                 x = matrix(b.column(2)).astype("<i4")
-                far = kept.value.of_rows(x)
+                far = pivots.of_rows(x)
                 raw = lambda m: pa.array([r.tobytes() for r in m], pa.binary())
                 cell = far.argmin(1)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), raw(x), raw(far), pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(far)), cell])], schema=placed)
@@ -236,16 +237,13 @@ class Search:
 
 def searched(blocks: DataFrame, search: Search) -> DataFrame:
     """which (range), vec_id, score of the best rows of each range, over all blocks."""
-    given, schema, keep = blocks.sparkSession.sparkContext.broadcast(search), arrow_schema("which long, vec_id long, score long"), search.keep
+    given, schema, keep = carried(blocks.sparkSession, search), arrow_schema("which long, vec_id long, score long"), search.keep
 
     def run(batches):
-        import copy
-
         import numpy as np
         import pyarrow as pa
 
-        s = copy.copy(given.value)
-        s.bound = s.bound.copy()
+        s = given()
         d, p = s.anchors.x.shape[1], s.anchors.far.shape[1]
         for b in batches:
             for label, n, ids, x, far, low, high in zip(*[c.to_pylist() for c in b.columns]):

@@ -143,7 +143,7 @@ def fit_whitening(vectors: DataFrame, d: int, components: int = COMPONENTS) -> W
 
 def whiten(vectors: DataFrame, model: Whitening) -> DataFrame:
     """vec_id, deviation (the exact sum over dimensions of (n * x - S)^2), whitened (array of double, a component each)."""
-    known = vectors.sparkSession.sparkContext.broadcast(model)
+    known = vectors.sparkSession.sparkContext.broadcast((model.n, model.sums, model.projection))
     rows = vectors.select("vec_id", "x")
     schema = arrow_schema(ddl := f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, deviation long, whitened array<double>")
 
@@ -151,15 +151,15 @@ def whiten(vectors: DataFrame, model: Whitening) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        m = known.value
+        n, sums, projection = known.value
         for b in batches:
             if not len(b):
                 continue
-            part = numerators(matrix(b.column(1)), m.n, m.sums)
+            part = numerators(matrix(b.column(1)), n, sums)
             largest = int(np.abs(part).max())
             squares = ((part.astype(object) if largest * largest * part.shape[1] >= LONG else part) ** 2).sum(1)
             deviation = [int(s) if s < LONG else None for s in squares]
-            found = (part.astype(np.float64) / m.n) @ m.projection
+            found = (part.astype(np.float64) / n) @ projection
             ends = np.arange(len(b) + 1, dtype=np.int32) * found.shape[1]
             whitened = pa.ListArray.from_arrays(pa.array(ends), pa.array(found.reshape(-1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(deviation, pa.int64()), whitened.cast(schema.field(2).type)], schema=schema)
