@@ -56,20 +56,6 @@ def pair_codes(m: list[Column], length: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("pair_idx"), F.shiftleft(m[a], 2 * (length // 4)).bitwiseOR(m[b]).alias("key")) for i, (a, b) in enumerate(PAIRS)])
 
 
-def pair_keys(seed: Column, length: int) -> Column:
-    """The six (pair, key) structs of a seed, the key a 64-bit hash of two quarters: much cheaper than codes, and what meets by chance is told
-    apart by same_pair."""
-    m = quarters(seed, length)
-    return F.array(*[F.struct(F.lit(i).alias("pair_idx"), F.xxhash64(m[a], m[b]).alias("key")) for i, (a, b) in enumerate(PAIRS)])
-
-
-def same_pair(x: Column, y: Column, pair_idx: Column, length: int) -> Column:
-    """Whether two seeds agree in the pair's two quarters."""
-    m, n = quarters(x, length), quarters(y, length)
-    each = [m[i] == n[i] for i in range(4)]
-    return F.element_at(F.array(*[each[a] & each[b] for a, b in PAIRS]), pair_idx + 1)
-
-
 def differing(a: Column, b: Column) -> Column:
     """How many two-bit symbols of two codes differ."""
     x = a.bitwiseXOR(b)

@@ -1,10 +1,10 @@
-"""Alignment: seeds meet in an equi-join on numbers, survivors fetch their read and their text.
+"""Alignment: seeds meet in an equi-join on numbers, survivors fetch their read and are verified.
 
-A seed of four quarters with at most two mismatches has two quarters without any, so six joins on quarter pairs, expressed as one join on
-(pair_idx, key), find every window within the seed's bound. Both sides carry seeds and places only; the seed's distance is counted
-where they meet. What survives is joined with the reads, then with the text cut into pieces of at least the longest read, and verified. The probes are
-broadcast up to BROADCAST_BYTES of them, so the text's index is not shuffled; beyond that both sides shuffle by key, and Spark's adaptive skew join
-splits the keys of repeats.
+A seed of four quarters with at most two mismatches has two quarters without any, so an equi-join on (pair of quarters, key) finds every window within
+the seed's bound. seeds.py makes the text's side: rows for windows whose key is a read's, with the text around them. Of the pairs that agree the
+first alone counts, so that a hit is found once. The seed's distance is counted where both sides meet; what survives is joined with the reads and verified
+against the text it carries. Probes are broadcast up to BROADCAST_BYTES of them, so that the text is not shuffled at all; beyond that both sides
+shuffle by key, and Spark's adaptive skew join splits the keys of repeats.
 """
 
 from __future__ import annotations
@@ -12,43 +12,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.alphabet import hamming, pair_keys, reverse_complement, same_pair
+from quillon.functions.alphabet import hamming, reverse_complement
 from quillon.functions.scoring import alignment_score
 from quillon.plans.config import AlignConfig
 
 from .reads import usable
-from .text import pieces, seed_index
+from .seeds import Pieces, probes, seed_hits, text_pieces
 
-BROADCAST_BYTES, PROBE_BYTES, STEP = 64 << 20, 12 * 100, 4096
+BROADCAST_BYTES, PROBE_BYTES = 64 << 20, 12 * 100
 
 
-def probes(reads: DataFrame, length: int) -> DataFrame:
-    """Each usable read on both strands under the six keys of its seed: read_ord, len, strand, read_seed, pair_idx, key."""
-    r = usable(reads, length).select("read_ord", "seq", "len")
-    flipped = F.substring(reverse_complement(F.col("seq")), F.col("len") - length + 1, F.lit(length))
-    both = F.array(F.struct(F.lit("+").alias("strand"), F.substring("seq", 1, length).alias("read_seed")), F.struct(F.lit("-").alias("strand"), flipped.alias("read_seed")))
-    s = r.select("read_ord", "len", F.inline(both))
-    return s.select("*", F.inline(pair_keys(F.col("read_seed"), length)))
+def seed_matches(text: DataFrame | Pieces, reads: DataFrame, config: AlignConfig) -> DataFrame:
+    """Every hit once: read_ord, strand, file_ord, frag_ord, pos, pairs (the quarter pairs that agree), seed_k, k, len, and w, window, q.
 
-
-def seed_matches(fragments: DataFrame, reads: DataFrame, config: AlignConfig) -> DataFrame:
-    """Every hit once for each quarter pair that found it: read_ord, strand, file_ord, frag_ord, pos, pair_idx, seed_k, k, and w, window, q."""
+    text: fragments, or pieces with as much text around as the longest read needs."""
     n = config.seed_length
-    good = usable(reads, n)
-    found = good.agg(F.count("*").alias("n"), F.coalesce(F.max("len"), F.lit(0)).alias("longest")).first()
-    step, longest = max(STEP, found.longest), max(n, found.longest)
-    p = probes(reads, n)
-    met = seed_index(fragments, n).join(F.broadcast(p) if found.n * PROBE_BYTES <= BROADCAST_BYTES else p, ["pair_idx", "key"])
-    start = F.when(F.col("strand") == "+", F.col("pos")).otherwise(F.col("pos") - F.col("len") + n)
-    met = met.filter(same_pair(F.col("seed"), F.col("read_seed"), F.col("pair_idx"), n)).withColumn("seed_k", hamming(F.col("seed"), F.col("read_seed"))).filter(F.col("seed_k") <= config.seed_mismatches).withColumn("pos", start).filter("pos >= 0")
-    met = met.select("read_ord", "strand", "file_ord", "frag_ord", "pos", "pair_idx", "seed_k", "len")
-    own = good.select("read_ord", F.col("seq").alias("_seq"), (F.col("qual") if "qual" in reads.columns else F.lit(None).cast("array<int>")).alias("_qual"))
+    p = probes(reads, n, config.seed_mismatches)
+    more = max(n, p.longest) - n
+    met = seed_hits(text_pieces(text, more, max(n, p.longest)), p, n, config.seed_mismatches, (more, more), BROADCAST_BYTES // PROBE_BYTES)
     plus = F.col("strand") == "+"
-    met = met.join(own, "read_ord").withColumn("w", F.when(plus, F.col("_seq")).otherwise(reverse_complement(F.col("_seq")))).withColumn("q", F.when(plus, F.col("_qual")).otherwise(F.reverse("_qual")))
-    met = met.withColumn("no", F.floor(F.col("pos") / step).cast("int")).join(pieces(fragments, step, longest), ["file_ord", "frag_ord", "no"])
-    met = met.withColumn("window", F.substring("piece", F.col("pos") - F.col("no") * step + 1, F.col("len"))).filter((F.length("window") == F.col("len")) & ~F.contains("window", F.lit("N")))
+    back = F.when(plus, F.lit(0)).otherwise(F.col("len") - n)  # how far before the seed the read begins
+    met = met.withColumn("pos", (F.col("at") - back).cast("int")).withColumn("window", F.substr("near", F.col("lead") - back + 1, F.col("len")))
+    met = met.filter((F.col("lead") >= back) & (F.length("window") == F.col("len")) & ~F.contains("window", F.lit("N")))
+    qual = F.col("qual") if "qual" in reads.columns else F.lit(None).cast("array<int>")
+    own = usable(reads, n).select("read_ord", F.col("seq").alias("_seq"), qual.alias("_qual"))
+    met = met.join(F.broadcast(own) if p.n * (2 * p.longest + 50) <= BROADCAST_BYTES else own, "read_ord")
+    met = met.withColumn("w", F.when(plus, F.col("_seq")).otherwise(reverse_complement(F.col("_seq")))).withColumn("q", F.when(plus, F.col("_qual")).otherwise(F.reverse("_qual")))
     met = met.withColumn("k", hamming(F.col("window"), F.col("w"))).filter(F.col("k") <= config.total_mismatches)
-    return met.select("read_ord", "strand", "file_ord", "frag_ord", "pos", "pair_idx", "seed_k", "k", "len", "w", "window", "q")
+    return met.select("read_ord", "strand", "file_ord", "frag_ord", "pos", "pairs", "seed_k", "k", "len", "w", "window", "q")
+
+
+def events(matches: DataFrame) -> DataFrame:
+    """Each hit once for every quarter pair that agrees (pair_idx), as the order-dependent rule counts them."""
+    return matches.withColumn("pair_idx", F.explode("pairs")).drop("pairs")
 
 
 def with_score(matches: DataFrame, config: AlignConfig, qualities: bool) -> DataFrame:

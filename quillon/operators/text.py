@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.alphabet import encode_text, pair_keys
+from quillon.functions.alphabet import encode_text
 
 SEGMENT = 256
 
@@ -19,15 +19,21 @@ def fragments_of_documents(docs: DataFrame) -> DataFrame:
     return joined.select("file_ord", F.col("doc_id").alias("frag_ord"), F.col("doc_id").cast("string").alias("ref_id"), "seq", F.length("seq").alias("len"))
 
 
-def pieces(fragments: DataFrame, step: int, after: int) -> DataFrame:
-    """Fragments cut every `step` bases, each piece with the `after` bases that follow it: file_ord, frag_ord, no, piece (it starts at no * step).
+def pieces(fragments: DataFrame, step: int, after: int, before: int = 0) -> DataFrame:
+    """Fragments cut every `step` bases, each piece with the `after` bases that follow it and the `before` that precede it: file_ord, frag_ord, no, piece
+    (it starts at no * step - before, or at 0).
 
     A fragment is cut once, in time proportional to its length, so that no later work depends on how long it is."""
-    more = -(-after // step)
+    more, less = -(-after // step), -(-before // step)
     cut = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
     own = fragments.filter("len > 0").select("file_ord", "frag_ord", cut.alias("cut"))
-    whole = F.transform("cut", lambda x, i: F.struct(i.alias("no"), F.concat(x, F.substring(F.array_join(F.slice("cut", i + 2, more), ""), 1, after)).alias("piece")))
-    return own.select("file_ord", "frag_ord", F.inline(whole))
+
+    def whole(x, i):
+        joined = lambda at, n: F.array_join(F.slice("cut", at, n), "")
+        parts = [F.right(joined(F.greatest(F.lit(1), i + 1 - less), F.least(F.lit(less), i)), F.lit(before))] if before else []
+        return F.struct(i.alias("no"), F.concat(*parts, x, F.substring(joined(i + 2, F.lit(more)), 1, after)).alias("piece"))
+
+    return own.select("file_ord", "frag_ord", F.inline(F.transform("cut", whole)))
 
 
 def windows(fragments: DataFrame, length: int) -> DataFrame:
@@ -41,11 +47,6 @@ def windows(fragments: DataFrame, length: int) -> DataFrame:
     return cut.filter(most > 0).select("file_ord", "frag_ord", F.inline(seeds)).filter(~F.contains("seed", F.lit("N")))
 
 
-def seed_index(fragments: DataFrame, length: int) -> DataFrame:
-    """The windows under each of their six quarter pairs: file_ord, frag_ord, pos, seed, pair_idx, key; no text beyond the seed is carried."""
-    return windows(fragments, length).select("*", F.inline(pair_keys(F.col("seed"), length)))
-
-
 def fragment_starts(fragments: DataFrame, block: int = 65_536) -> DataFrame:
     """start: where a fragment begins in its file's concatenated text, and the next one's start.
 

@@ -20,8 +20,8 @@ def align_reads(fragments: DataFrame, reads: DataFrame, config: AlignConfig, pol
         return choose.report(align.all_hits(matches), reads, fragments, config.scored, False)
     if not config.scored:
         return choose.report(choose.unique_by_errors(matches), reads, fragments, False, config.rewrite)
-    best = choose.unique_by_fold if policy == "fold" else choose.unique_by_score
-    return choose.report(best(matches, config), reads, fragments, True, config.rewrite)
+    best = choose.unique_by_fold(align.events(matches), config) if policy == "fold" else choose.unique_by_score(matches, config)
+    return choose.report(best, reads, fragments, True, config.rewrite)
 
 
 def align_files(spark: SparkSession, text: str, patterns: str, config: AlignConfig | None = None, policy: str = "fold") -> DataFrame:
