@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import scoring
 from .functions.alphabet import PAIRS, code, differing, encode_text, hamming, pair_codes, quarters, reverse_complement, uncode
-from .operators import align, choose, reads, simulate, text
+from .operators import align, choose, gapped, reads, simulate, text
 from .plans.config import AlignConfig
 from .sources import sequences
 
@@ -263,6 +263,28 @@ def q_reads_as_fastq(spark, d):
     return sequences.fastq_lines(_reads(spark, d), 33).select("read_ord", F.explode(F.split("record", "\n")).alias("line")).groupBy("read_ord").agg(F.count("*").alias("n_lines"), F.sum(F.crc32(F.col("line").cast("binary"))).alias("crc"))
 
 
+PART = 70
+
+
+def _spliced(spark, d):
+    """One read from each document of 200 bases or more, PART of its bases with one to three left out, or put in, after the seed."""
+    own = _docs(spark, d).filter("doc_id is not null").select("doc_id", F.inline(F.array(F.struct(encode_text(F.col("text")).alias("s"))))).filter(F.length("s") >= 200)
+    place = (F.col("doc_id") * 7919 % (F.length("s") - (PART + 10))).cast("int")
+    part = own.select("doc_id", F.substr("s", place + 1, F.lit(PART)).alias("part"), (36 + F.col("doc_id") % 20).cast("int").alias("cut"), (F.col("doc_id") % 3 + 1).cast("int").alias("gap"))
+    new = F.translate(F.substr("part", F.col("cut") + 1, F.col("gap")), "ACGT", "GTAC")
+    out = F.col("doc_id") % 4 < 2
+    tail = F.when(out, F.substr("part", F.col("cut") + F.col("gap") + 1, F.lit(PART))).otherwise(F.concat(new, F.substr("part", F.col("cut") + 1, F.lit(PART))))
+    qual = F.transform(F.sequence(F.lit(0), F.lit(PART + 3)), lambda j: (20 + (F.col("doc_id") * 13 + j * 7) % 20).cast("int"))
+    return reads.prepare(part.select(F.col("doc_id").alias("read_ord"), F.concat(F.left("part", F.col("cut")), tail).alias("raw"), qual.alias("qual")))
+
+
+def q_align_gapped(spark, d):
+    """Spliced reads that have no hit without a gap: where they lie with one."""
+    frag, own = _fragments(spark, d), _spliced(spark, d)
+    best = gapped.align_gapped(frag, own, align.seed_matches(frag, own, CONFIG), CONFIG)
+    return best.select("read_ord", "file_ord", "frag_ord", "pos", "gap", "gap_in", "gap_pos", "loci", F.round("score", 4).alias("score"))
+
+
 QUERIES = {k.removeprefix("q_"): f for k, f in list(globals().items()) if k.startswith("q_")}
 
 # --- the same in SQL ---
@@ -336,6 +358,27 @@ fold AS (SELECT read_ord, list_reduce(es, lambda a, x: CASE
   WHEN a.st = 1 AND x.v > a.v - x.e AND NOT (a.f = x.f AND a.g = x.g AND a.p = x.p) THEN {{'st': 2, 'f': a.f, 'g': a.g, 'p': a.p, 's': a.s, 'k': a.k, 'v': a.v, 'e': a.e}}
   ELSE a END, {{'st': 0, 'f': 0::BIGINT, 'g': 0::BIGINT, 'p': 0::BIGINT, 's': '', 'k': 0::BIGINT, 'v': 0::DOUBLE, 'e': 0::DOUBLE}}) AS r FROM ev)"""
 
+_SPLICED = f"""src AS (SELECT doc_id, s, doc_id * 7919 % (length(s) - {PART + 10}) AS place FROM (SELECT doc_id, {_ENC} AS s FROM documents) WHERE length(s) >= 200),
+part AS (SELECT doc_id, substr(s, CAST(place + 1 AS BIGINT), {PART}) AS p, 36 + doc_id % 20 AS cut, doc_id % 3 + 1 AS gap FROM src),
+reads AS (SELECT doc_id AS read_ord, left(p, cut) || CASE WHEN doc_id % 4 < 2 THEN substr(p, cut + gap + 1) ELSE translate(substr(p, cut + 1, gap), 'ACGT', 'GTAC') || substr(p, cut + 1) END AS seq,
+  list_transform(range(0, {PART + 4}), lambda j: 20 + (doc_id * 13 + j * 7) % 20) AS qual FROM part)"""
+# every cell of the seven diagonals; scores in billionths
+_GAPPED = f""", cand AS (SELECT row_number() OVER () AS c, * FROM (SELECT DISTINCT n.read_ord, n.file_ord, n.frag_ord, n.place, seed, w, q, m - {L} AS m, substr(f.seq, CAST(n.place + {L} + 1 AS BIGINT), 2 * m) AS t
+  FROM near n JOIN frag f ON f.file_ord = n.file_ord AND f.frag_ord = n.frag_ord WHERE strand = '+' AND read_ord NOT IN (SELECT read_ord FROM events)) WHERE length(t) > 0 AND m > 0),
+cell AS (SELECT c, off, k, t, w, q, k + greatest(off, 0) AS i, k + greatest(-off, 0) AS j FROM (SELECT *, unnest(range(-3, 4)) AS off FROM cand), range(1, 101) r(k) WHERE k + greatest(off, 0) <= length(t) AND k + greatest(-off, 0) <= m),
+value AS (SELECT c, off, k, CAST(round(({_LL})[4 * (strpos('ACGT', substr(t, CAST(i AS BIGINT), 1)) - 1) + strpos('ACGT', substr(w, CAST({L} + j AS BIGINT), 1))] * (1 - ({_QE})[q[{L} + j] + 1]) * 1e9) AS BIGINT) AS v FROM cell),
+summed AS (SELECT c, off, k, CAST(sum(v) OVER (PARTITION BY c, off ORDER BY k) AS BIGINT) AS s FROM value),
+lead AS (SELECT x.c, x.off, x.k, x.s, CASE WHEN x.off = 0 THEN 0 ELSE d.s - x.s END AS a FROM summed x JOIN summed d ON d.c = x.c AND d.k = x.k AND d.off = 0),
+most AS (SELECT *, greatest(0, max(a) OVER (PARTITION BY c, off ORDER BY k)) AS top, greatest(0, coalesce(max(a) OVER (PARTITION BY c, off ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS before FROM lead),
+done AS (SELECT c, off, k, s + top AS g, max(CASE WHEN a > before THEN k ELSE 0 END) OVER (PARTITION BY c, off ORDER BY k) AS gap_pos FROM most),
+ends AS (SELECT d.*, n.read_ord, n.file_ord, n.frag_ord, n.place, n.seed, n.w, n.q, CASE WHEN d.k + greatest(-d.off, 0) = n.m THEN d.off ELSE 10 - d.off END AS turn, g + 1000000000 * (-1 - abs(off) - CASE WHEN abs(off) % 3 = 0 THEN 1 ELSE 0 END) AS total
+  FROM done d JOIN cand n USING (c) WHERE g >= -100000000000 AND (d.k + greatest(-d.off, 0) = n.m OR d.off >= 0 AND n.m + 3 > length(n.t) AND d.k = length(n.t) - d.off AND d.k < n.m)),
+chosen AS (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY c ORDER BY total DESC, turn) = 1),
+scored AS (SELECT *, 1000000000 + total + CAST(list_sum(list_transform(range(1, {L + 1}), lambda j: CAST(round(({_LL})[4 * (strpos('ACGT', substr(seed, j, 1)) - 1) + strpos('ACGT', substr(w, j, 1))] * (1 - ({_QE})[q[j] + 1]) * 1e9) AS BIGINT))) AS BIGINT) AS score FROM chosen WHERE off != 0),
+tops AS (SELECT *, count(*) OVER (PARTITION BY read_ord) AS loci FROM (SELECT *, max(score) OVER (PARTITION BY read_ord) AS top FROM scored) WHERE score >= top - 1000)
+SELECT read_ord, CAST(file_ord AS INT) AS file_ord, frag_ord, place AS pos, CAST(abs(off) AS INT) AS gap, CASE WHEN off < 0 THEN 'text' ELSE 'read' END AS gap_in, CAST(gap_pos AS INT) AS gap_pos, loci, round(score / 1e9, 4) AS score
+FROM tops QUALIFY row_number() OVER (PARTITION BY read_ord ORDER BY score DESC, file_ord, frag_ord, place) = 1"""
+
 SQL = {
     "encode_text": f"SELECT doc_id, {_ENC} AS seq FROM documents",
     "base_composition": f"WITH {_FRAG} SELECT CAST(file_ord AS INT) AS file_ord, base, CAST(sum(length(seq) - length(replace(seq, base, ''))) AS BIGINT) AS n FROM frag, (VALUES ('A'), ('C'), ('G'), ('T')) b(base) GROUP BY ALL",
@@ -379,6 +422,7 @@ near AS (SELECT *, CASE WHEN strand = '+' THEN place ELSE place - {ITEM - L} END
 placed AS (SELECT near.*, substr(f.seq, CAST(pos + 1 AS BIGINT), {ITEM}) AS ref FROM near JOIN frag f ON f.file_ord = near.file_ord AND f.frag_ord = near.frag_ord WHERE pos >= 0 AND pos + {ITEM} <= length(f.seq))
 SELECT read_ord, strand, CAST(file_ord AS INT) AS file_ord, frag_ord, CAST(pos AS BIGINT) AS pos, CAST(hamming(ref, w) AS INT) AS k FROM placed WHERE hamming(ref, w) <= {_E}""",
     "align_masked_text": "WITH " + _seeded(_MASK_FRAG, _READS, _S, _E) + " SELECT DISTINCT read_ord, strand, frag_ord, CAST(pos AS BIGINT) AS pos, CAST(k AS INT) AS k FROM events",
+    "align_gapped": "WITH " + _seeded(_FRAG, _SPLICED, _S, _E) + _GAPPED,
     "windows_dontcare_free": f"WITH {_MASK_FRAG}, w AS (SELECT frag_ord, seq, unnest(range(0, length(seq) - {L - 1})) AS pos FROM frag) SELECT frag_ord, count(*) AS n_windows, CAST(sum(pos) AS BIGINT) AS sum_pos FROM w WHERE NOT contains(substr(seq, CAST(pos + 1 AS BIGINT), {L}), 'N') GROUP BY ALL",
     "bases_of_codes": f"WITH {_READS} SELECT read_ord, left(seq, {L}) AS seed FROM reads",
     "score_of_probabilities": _odds_sql() + ", g(a, c, g, t) AS (VALUES (0.25::DOUBLE, 0.25::DOUBLE, 0.25::DOUBLE, 0.25::DOUBLE), (1, 0, 0, 0), (0.1, 0.2, 0.3, 0.4), (0, 0.5, 0.5, 0), (0.05, 0.05, 0.05, 0.85)) SELECT ref_base, a, c, g, t, round(log2(sum(odds * CASE read_base WHEN 'A' THEN a WHEN 'C' THEN c WHEN 'G' THEN g ELSE t END)), 6) AS score FROM o, g GROUP BY ref_base, a, c, g, t",

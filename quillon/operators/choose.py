@@ -7,61 +7,48 @@ from pyspark.sql import functions as F
 
 from quillon.plans.config import AlignConfig
 
+from . import fold
+
 LOCUS = ["file_ord", "frag_ord", "pos"]
 
 
 def unique_by_errors(matches: DataFrame) -> DataFrame:
-    """Reads with exactly one locus of the fewest mismatches; '+' when both strands hit it. Two partial aggregations, no window.
+    """Reads with exactly one locus of the fewest mismatches; '+' when both strands hit it."""
+    return states_by_errors(matches).filter("loci = 1").drop("loci")
+
+
+def states_by_errors(matches: DataFrame) -> DataFrame:
+    """A row a read: a locus of the fewest mismatches, and how many there are (loci). Two partial aggregations, no window.
 
     A locus is reduced first, so a read with many hits is pre-aggregated before it meets."""
     locus = matches.groupBy("read_ord", *LOCUS).agg(F.min(F.struct("k", "strand")).alias("b"))
     level = locus.groupBy("read_ord", F.col("b.k").alias("k")).agg(F.count("*").alias("loci"), F.min(F.struct(*LOCUS, F.col("b.strand").alias("strand"))).alias("hit"))
-    best = level.groupBy("read_ord").agg(F.min_by(F.struct("k", "loci", "hit"), "k").alias("x")).filter("x.loci = 1")
-    return best.select("read_ord", "x.hit.*", F.col("x.k").alias("k"))
+    best = level.groupBy("read_ord").agg(F.min_by(F.struct("k", "loci", "hit"), "k").alias("x"))
+    return best.select("read_ord", "x.hit.*", F.col("x.k").alias("k"), "x.loci")
 
 
 def unique_by_score(matches: DataFrame, config: AlignConfig) -> DataFrame:
     """Order-free rule: the best score, unless another locus has more than it less epsilon (at epsilon 0: as much)."""
+    return states_by_score(matches, config).filter("loci = 1").drop("loci")
+
+
+def states_by_score(matches: DataFrame, config: AlignConfig) -> DataFrame:
+    """A row a read: its best locus and how many are as good (loci)."""
     locus = matches.groupBy("read_ord", "len", *LOCUS).agg(F.max(F.struct("score", (F.col("strand") == "+").alias("plus"), (-F.col("k")).alias("nk"))).alias("b"))
     top = locus.groupBy("read_ord", "len").agg(F.max("b.score").alias("best"))
     eps = config.epsilon(F.col("len"))
     near = locus.join(top, ["read_ord", "len"]).filter((F.col("b.score") > F.col("best") - eps) | (F.col("b.score") == F.col("best")))
-    one = near.groupBy("read_ord").agg(F.count("*").alias("loci"), F.max(F.struct("b.score", "b.plus", "b.nk", *LOCUS)).alias("h")).filter("loci = 1")
+    one = near.groupBy("read_ord").agg(F.count("*").alias("loci"), F.max(F.struct("b.score", "b.plus", "b.nk", *LOCUS)).alias("h"))
     strand = F.when(F.col("h.plus"), F.lit("+")).otherwise(F.lit("-"))
-    return one.select("read_ord", *[F.col(f"h.{c}").alias(c) for c in LOCUS], strand.alias("strand"), (-F.col("h.nk")).alias("k"), F.col("h.score").alias("score"))
+    return one.select("read_ord", *[F.col(f"h.{c}").alias(c) for c in LOCUS], strand.alias("strand"), (-F.col("h.nk")).alias("k"), F.col("h.score").alias("score"), "loci")
 
 
-def unique_by_fold(matches: DataFrame, config: AlignConfig) -> DataFrame:
+def unique_by_fold(events: DataFrame, config: AlignConfig) -> DataFrame:
     """Order-dependent rule: events fold in the order file, strand, pair, fragment, position, as found (not distinct).
 
     A better score by more than epsilon replaces the best; one within epsilon at another locus makes the read not unique, which only a
-    better one by more than epsilon undoes. The rows of a read stream through one task in order; memory is one row."""
-    out = "read_ord {}, file_ord int, frag_ord {}, pos int, strand string, k int, score double"
-    kind = dict(matches.dtypes)
-    events = matches.select("read_ord", F.col("file_ord").cast("int"), "frag_ord", F.col("pos").cast("int"), "strand", "pair_idx", F.col("k").cast("int"), "score", config.epsilon(F.col("len")).alias("eps"))
-    ordered = events.repartition("read_ord").sortWithinPartitions("read_ord", "file_ord", "strand", "pair_idx", "frag_ord", "pos")
-
-    def run(batches):
-        import pandas as pd
-
-        names = ["read_ord", "file_ord", "frag_ord", "pos", "strand", "k", "score"]
-        read, best, alone = None, None, False
-        for pdf in batches:
-            done = []
-            for r, file, frag, pos, strand, _, k, score, eps in pdf.itertuples(index=False):
-                if r != read:
-                    if alone:
-                        done.append(best)
-                    read, best, alone = r, None, False
-                if best is None or score > best[6] + eps:
-                    best, alone = (r, file, frag, pos, strand, k, score), True
-                elif alone and score > best[6] - eps and (file, frag, pos) != best[1:4]:
-                    alone = False
-            yield pd.DataFrame(done, columns=names)
-        if alone:
-            yield pd.DataFrame([best], columns=names)
-
-    return ordered.mapInPandas(run, out.format(kind["read_ord"], kind["frag_ord"]))
+    better one by more than epsilon undoes."""
+    return fold.states(events, config).filter("loci = 1").drop("loci")
 
 
 def report(best: DataFrame, reads: DataFrame, fragments: DataFrame, scored: bool, rewrite: bool = True) -> DataFrame:

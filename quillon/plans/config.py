@@ -19,6 +19,7 @@ class AlignConfig:
     unique: bool = True
     scored: bool = True
     quality_offset: int = 0  # 0: detect
+    gapped: bool = False  # reads without a hit are looked for with one gap
     rewrite: bool = True  # unique hits are reported by read length, then in input order
     similarity: float = 0.995
     error_rate: float = 0.0

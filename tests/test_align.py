@@ -22,7 +22,7 @@ def fixture(spark, tmp_path_factory):
 
 
 def test_all_hits(spark, fixture):
-    rows = align_files(spark, *fixture, SMALL.with_(unique=False)).collect()
+    rows = align_files(spark, *fixture, SMALL.with_(unique=False)).report.collect()
     got = sorted((r.read_id, r.strand, r.ref_id, r.pos, r.errors, round(r.score, 4)) for r in rows)
     assert got == [
         ("r1", "+", "chrA desc", 9, 0, 40.7575), ("r1", "+", "chrB", 1, 0, 40.7575), ("r2", "+", "chrA desc", 9, 0, 49.3266),
@@ -33,7 +33,7 @@ def test_all_hits(spark, fixture):
 
 @pytest.mark.parametrize("config, ids", [(SMALL.with_(scored=False), {"r2", "r3", "r4"}), (SMALL.with_(filter_level=0), {"r1", "r2", "r3", "r4"}), (SMALL, {"r2", "r3", "r4"})])
 def test_unique(spark, fixture, config, ids):
-    assert {r.read_id for r in align_files(spark, *fixture, config).collect()} == ids
+    assert {r.read_id for r in align_files(spark, *fixture, config).report.collect()} == ids
 
 
 def test_seeds_are_complete(spark):
@@ -98,9 +98,37 @@ def test_reference_quirks(spark, tmp_path, body, want):
     assert [(r.ref_id, r.seq) for r in rows] == want
 
 
-def test_read_parsers():
-    assert list(sequences.parse_fasta("junk\n>q1 x\nAC GT\nacgt\n")) == [("q1 x", "ACGTacgt")]
-    assert list(sequences.parse_fastq("@a\nAC\nGT\n+p\n@+II\n@b\nA\n+\nI\n@c\nACG\n+\nII")) == [("a", "ACGT", "p", "@+II"), ("b", "A", "", "I")]
+@pytest.mark.parametrize("body, want", [("junk\n>q1 x\nAC GT\nacgt\n", [("q1 x", "ACGTacgt", None, None)]), ("@a\nAC\nGT\n+p\n@+II\n@b\nA\n+\nI\n@c\nACG\n+\nII", [("a", "ACGT", "p", "@+II"), ("b", "A", "", "I")])])
+def test_read_parsers(spark, tmp_path, body, want):
+    (tmp_path / "r").write_text(body)
+    rows = sequences.read_reads(spark, str(tmp_path / "r"), "fastq" if body[0] == "@" else "fasta").orderBy("read_ord").collect()
+    assert [(r.read_id, r.raw, r.plus, r.quality_raw) for r in rows] == want
+
+
+def test_fold_of_parts(spark, monkeypatch):
+    """Summaries of parts, cut anywhere, against a loop over the events in their order."""
+    import random
+
+    from quillon.operators import fold
+
+    monkeypatch.setattr(fold, "STRETCH", 3)
+    rng, rows, want = random.Random(3), [], {}
+    for read in range(150):
+        own = sorted({(rng.randrange(2), rng.choice("+-"), rng.randrange(3), rng.randrange(2), rng.randrange(9)) for _ in range(rng.randrange(1, 40))})
+        score = {}
+        best, alone = None, False
+        for file, strand, pair, frag, pos in own:
+            s = score.setdefault((file, frag, pos, strand), float(rng.randrange(1, 12)))
+            rows.append((read, file, frag, pos, strand, pair, 0, s, 28))
+            if best is None or s > best[0] + 2:
+                best, alone = (s, file, frag, pos, strand), True
+            elif alone and s > best[0] - 2 and (file, frag, pos) != best[1:4]:
+                alone = False
+        want[read] = (*best, 1 if alone else 2)
+    rng.shuffle(rows)
+    m = spark.createDataFrame(rows, "read_ord long, file_ord int, frag_ord long, pos int, strand string, pair_idx int, k int, score double, len int")
+    got = {r.read_ord: (r.score, r.file_ord, r.frag_ord, r.pos, r.strand, r.loci) for r in fold.states(m, AlignConfig(filter_level=2)).collect()}
+    assert got == want and {x[-1] for x in want.values()} == {1, 2}
 
 
 @pytest.mark.parametrize("quals, offset", [(["DDDD"], 0), (["D*", "h"], 33), (["Dh", "*"], 64)])
@@ -117,7 +145,9 @@ def test_rewrite_order_and_round_trip(spark, tmp_path):
 
 
 def test_report_file(spark, fixture, tmp_path):
-    sequences.write_report(align_files(spark, *fixture, SMALL), str(tmp_path / "out"))
+    run = align_files(spark, *fixture, SMALL)
+    assert run.counts == {"reads": 6, "matched": 4, "unique": 3}
+    sequences.write_report(run.report, str(tmp_path / "out"))
     lines = sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect())
     assert lines[0].split("\t") == ["r2", READS[1], "49.3266", "1", "a", "24", "+", "chrA desc", "9", "", "0"]
 
