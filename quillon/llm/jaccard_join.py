@@ -11,9 +11,11 @@ empty one has none). Two documents link when 100 * |A and B| >= PERCENT * |A or
    beyond bits), and traverses it against itself from the root: node pairs are pruned by the largest overlap that their bitmaps and sizes allow. Nothing that could link is pruned; pairs already joined
    through others are passed over, so a partition gives a forest. Its trees over all partitions are the candidate groups: no link leaves one.
 3. The sets of a candidate group meet once and every pair not yet joined is checked on them exactly; again a forest of links comes out. A
-   group of more than GROUP classes or GROUP_KEYS keys meets in pairs of blocks. So a group of copies costs its size in rows, not its square.
+   group of more than GROUP classes or GROUP_KEYS keys is cut into blocks; copies of CENTRES of its classes meet every block, and only classes that
+   these do not join into the group's largest part meet the others in pairs of blocks. So a group of near copies costs its size in rows; a
+   group that no few centres join, such as a long chain, still costs the square of its blocks.
 
-A key of more classes than UNIT is dealt over pairs of blocks likewise. All tables are shuffled by hash; broadcast are only the list of
+A key of more classes than UNIT is dealt over pairs of blocks. All tables are shuffled by hash; broadcast are only the list of
 frequent first keys (at most HOT_KEYS) and, when they are at most SMALL, the ids of the candidate documents.
 
 Defined results: a null or empty text, or one of white space, has 0 shingles and is its own component; a null doc_id takes part and never is the
@@ -30,7 +32,7 @@ from .common import arrow_schema, stash, table, texts
 from .lm_score import token_keys
 
 WORDS, PERCENT = 4, 85
-UNIT, GROUP, GROUP_KEYS, FEW, NODE, FAN, FREQUENT, HOT_KEYS, SMALL = 20_000, 1_000, 1 << 22, 24, 16, 8, 64, 100_000, 1_000_000
+UNIT, GROUP, GROUP_KEYS, CENTRES, FEW, NODE, FAN, FREQUENT, HOT_KEYS, SMALL = 20_000, 1_000, 1 << 22, 16, 24, 16, 8, 64, 100_000, 1_000_000
 PAIRS_AT_ONCE, LEAF_PAIRS_AT_ONCE = 4_096, 256
 MIN_BITS, MAX_BITS = 256, 65_536
 
@@ -437,39 +439,65 @@ def block_pairs(i, of):
 
 
 def _links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a forest of links within each candidate group (cid, comp), checked on the sets (cid, keys)."""
-    schema = arrow_schema("a long, b long")
+    """(a, b): a forest of links within each candidate group (cid, comp), checked on the sets (cid, keys).
+
+    A group that one task should not hold is joined around a few centres first: its blocks each meet copies of CENTRES of its classes. What that joins into the
+    group's largest part needs no further check within itself; the rest alone meets every block. A group of near copies so costs its size in rows."""
     sized = groups.join(sets.select("cid", F.size("keys").alias("_n")), "cid")
-    need = F.greatest(F.count("*") / F.lit(GROUP), F.sum("_n") / F.lit(GROUP_KEYS))
-    large = sized.groupBy("comp").agg(F.ceil(need).cast("int").alias("of")).filter("of > 1")
-    dealt = groups.join(large, "comp", "left").withColumn("of", F.coalesce("of", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("of")).cast("int"))
-    units = dealt.select("cid", "comp", "block", F.explode(block_pairs(F.col("block"), F.col("of"))).alias("pair"))
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(GROUP), F.sum("_n") / F.lit(GROUP_KEYS))).cast("int")
+    large = stash(sized.groupBy("comp").agg(blocks.alias("of")).filter("of > 1"), "join-large")
+    small = groups.join(large, "comp", "left_anti").select(F.col("comp").cast("string").alias("unit"), "cid", F.lit(0).alias("side"))
+    found = _checked(small, sets, percent)
+    if large.isEmpty():
+        return found
+    own = sized.join(large, "comp").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("of")).cast("int"))
+    spot = F.xxhash64("cid", F.lit(1))
+    centres = own.groupBy("comp", "of", F.pmod(spot, F.lit(CENTRES))).agg(F.min_by("cid", spot).alias("cid")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    unit = lambda *c: F.concat_ws(":", *c).alias("unit")
+    star = own.select(unit("comp", "block"), "cid", F.lit(1).alias("side")).unionAll(centres.select(unit("comp", "block"), "cid", F.lit(0).alias("side")))
+    starred = stash(_checked(star, sets, percent), "join-starred")
+    part = own.join(components(starred).withColumnRenamed("comp", "part"), "cid", "left").withColumn("part", F.coalesce("part", "cid"))
+    sizes = part.groupBy("comp", "part").agg(F.count("*").alias("of_part"))
+    top = sizes.groupBy("comp").agg(F.max_by("part", F.struct("of_part", "part")).alias("top"))
+    part = stash(part.join(top, "comp").select("comp", "cid", "_n", "of", "block", (F.col("part") != F.col("top")).alias("rest")), "join-parts")
+    rests = part.filter("rest").groupBy("comp").agg(blocks.alias("rest_of"))
+    every = part.join(rests, "comp")  # groups without a rest are done
+    copies = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    all_rows = every.withColumn("rest_block", copies("rest_of")).select(unit("comp", "block", "rest_block"), "cid", F.lit(1).alias("side"))
+    rest_rows = every.filter("rest").withColumn("rest_block", F.pmod(spot, F.col("rest_of")).cast("int")).withColumn("block", copies("of")).select(unit("comp", "block", "rest_block"), "cid", F.lit(0).alias("side"))
+    return found.unionAll(starred).unionAll(_checked(all_rows.unionAll(rest_rows), sets, percent))
+
+
+def _checked(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links within each unit (unit, cid, side), between its sides if it has two."""
+    schema = arrow_schema("a long, b long")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         def solve(rows):
-            pairs = link_forest([r[2].view(np.uint64) for r in rows], [r[1] for r in rows], percent)
-            return pa.RecordBatch.from_arrays([pa.array([rows[p[k]][0] for p in pairs], pa.int64()) for k in (0, 1)], schema=schema)
+            pairs = [(rows[i][0], rows[j][0]) for i, j in link_forest([r[2].view(np.uint64) for r in rows], [r[1] for r in rows], percent)]
+            pairs = [p for p in pairs if p[0] != p[1]]  # a class may stand on both sides
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], schema=schema)
 
         now, rows = None, []
         for b in batches:
             keys, at = b.column(3).values.to_numpy(zero_copy_only=False), b.column(3).offsets.to_pylist()  # eight bytes a key
-            for unit, cid, block, i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), at, at[1:]):
+            for unit, cid, side, i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), at, at[1:]):
                 if unit != now and rows:
                     if len(rows) > 1:
                         yield solve(rows)
                     rows = []
                 now = unit
-                rows.append((cid, block, keys[i:j].copy()))
+                rows.append((cid, side, keys[i:j].copy()))
         if len(rows) > 1:
             yield solve(rows)
 
     # sets of two blocks at most meet in a task: 2 * GROUP classes
-    tasks = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups.sparkSession.sparkContext.defaultParallelism)
-    met = units.join(sets, "cid").select(F.concat_ws(":", "comp", "pair").alias("unit"), "cid", "block", "keys").repartition(tasks, "unit").sortWithinPartitions("unit")
+    session = units.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    met = units.join(sets, "cid").select("unit", "cid", "side", "keys").repartition(tasks, "unit").sortWithinPartitions("unit")
     return met.mapInArrow(run, "a long, b long")
 
 

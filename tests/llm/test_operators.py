@@ -506,12 +506,42 @@ def test_grammar_tells_formats():
     hexes = collections.Counter("".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(300))
     words = collections.Counter("".join(rng.choice(["th", "er", "on", "an", "re", "ing"]) for _ in range(9)) for _ in range(300))
     automata = {"hex": secrets.infer(hexes), "none": secrets.infer(words)}
-    assert len(automata["hex"].transitions) < 40
+    assert len(automata["hex"].transitions) < 3 * 33  # layers of a few states
     assert not list(secrets.format_spans("theronanreingthreon", [], automata))
     assert [(s, e) for s, _, e in secrets.format_spans("see 9f8e7d6c5b4a39281706 now", [], automata)] == [(4, 24)]
     assert secrets.infer(collections.Counter()).bits("abc") < 0
 
 
+def test_planted_credentials_are_found(spark):
+    """Bare tokens of the shapes of labelled values, and of shapes that no label has, against ordinary long words."""
+    rng = random.Random(12)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    taught = [lambda: "ghp_" + pick(low + up + num, 36), lambda: pick(up + num, 20), lambda: pick(num, 8) + "-" + pick(low + num, 16)]
+    held_out = [lambda: "xoxb-" + pick(num, 11) + "-" + pick(low + up + num, 24), lambda: pick(low + up + num + "+/", 27) + "=", lambda: "sk" + pick(low + up + num, 14), lambda: pick(up, 4) + pick(num, 10)]
+    syllables = ["th", "er", "on", "an", "re", "ing", "ver", "schaft", "lich", "tion"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(5, 8)))
+    docs, planted, words = [], {}, {}
+    for i in range(600):
+        shape = rng.choice(taught + held_out)
+        secret, long = shape(), [word() for _ in range(6)]
+        docs.append((i, f"token: {rng.choice(taught)()} and so on {' '.join(long)}" + (f" with {secret} here" if i % 3 == 0 else "")))
+        if i % 3 == 0:
+            planted[i] = (docs[-1][1].rindex(secret), docs[-1][1].rindex(secret) + len(secret), shape in taught)
+        words[i] = sum(len(w) >= 12 for w in long)
+    found = {r.doc_id: [(s, e) for s, e, k in zip(r.starts, r.ends, r.kinds) if k == "format"] for r in secrets.scan_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for known in (True, False):
+        own = [i for i, p in planted.items() if p[2] == known]
+        assert sum(planted[i][:2] in found[i] for i in own) >= 0.9 * len(own)
+    assert sum(len([f for f in found[i] if i not in planted or f != planted[i][:2]]) for i in words) <= 0.01 * sum(words.values())
+
+
+def test_tokens_around_base_spans():
+    text = "zzqk9Qz7Lm2Xv4Rt8Wp1G0123456789abcdef0pQr7Yt then password=hunter2hunter2 and Key sk9Qz7Lm2Xv4"
+    spans = secrets.base_spans(text)
+    assert [text[s:e] for s, e in secrets.uncovered_candidates(text, spans)] == [text.split(" ")[0], "sk9Qz7Lm2Xv4"]
+
+
 def test_secrets_odd(spark, odd, none):
     rows = {(r.doc_id): r for r in secrets.scan_secrets(odd).collect()}
     assert rows[10].kinds[:2] == ["assign", "hex"] and "access" in rows[10].kinds and rows[4].kinds == []
@@ -560,6 +590,29 @@ def test_join_of_many_near_copies(spark, monkeypatch):
     assert got == {i: root(i) for i in range(len(rows))}
 
 
+def test_large_groups_cost_their_size(spark, monkeypatch):
+    """One group of near copies over many blocks: rows sent to be checked grow as the group does; a chain's links are all found."""
+    monkeypatch.setattr(jaccard_join, "GROUP", 10)
+    sent = []
+    checked = jaccard_join._checked
+    monkeypatch.setattr(jaccard_join, "_checked", lambda units, *a: (sent.append(units.count()), checked(units, *a))[1])
+    rng = random.Random(4)
+
+    def run(n):
+        sent.clear()
+        base = [str(rng.randrange(10**6)) for _ in range(400)]
+        rows = [(i, " ".join([*base[:40], f"x{i}", *base[41:]])) for i in range(n)]
+        got = {r.component_id for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {0}
+        return sum(sent)
+
+    assert run(160) < 2.6 * run(80)
+    words = [str(i) for i in range(600)]
+    chain = [(i, " ".join(words[4 * i : 4 * i + 100])) for i in range(50)]  # neighbours link, others do not
+    got = jaccard_join.near_duplicates(spark.createDataFrame(chain, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0}
+
+
 def test_tree_skips_nodes():
     """Many families of alike sets: the traversal finds every pair that may link and visits few of the node pairs."""
     rng = random.Random(11)
@@ -726,7 +779,7 @@ def test_pipeline_against_brute_force(spark):
             values[secrets.KINDS[k]].add(m[2] if m else t[s:e])
         values["none"] |= {m[0] for m in secrets.CANDIDATE.finditer(t or "") if not any(s < m.end() and m.start() < e for s, _, e in spans)}
     assert all(len(v) <= secrets.SAMPLE // 64 for v in values.values())  # so the sample is all of them
-    automata = {k: secrets.infer(collections.Counter(v)) for k, v in [("none", values["none"]), *values.items()] if k == "none" or len(v) >= secrets.MIN_TRAIN}
+    automata = secrets.automata_of({k: collections.Counter(values[k]) for k in ("assign", "access", "hex", "none")})
     library, want = sentencepiece.SentencePieceProcessor(model_file=piece_scan.model_path()), {}
     for i, t in kept:
         t, spans = t or "", brute_base(t)
