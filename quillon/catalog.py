@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import scoring
+from .functions import scoring, table
 from .functions.alphabet import PAIRS, code, differing, encode_text, hamming, pair_codes, quarters, reverse_complement, uncode
-from .operators import align, choose, gapped, reads, simulate, text
+from .operators import align, choose, gapped, reads, simulate, stored, text
 from .plans.config import AlignConfig
 from .sources import sequences
+from .sources.blocks import scratch_path
 
 CONFIG = AlignConfig()
 L = CONFIG.seed_length
@@ -226,11 +227,12 @@ ITEM = 36
 
 
 def q_contamination_hits(spark, d):
-    """Whole benchmark items as reads of ITEM bases, one after the other and one at the end, against all documents."""
-    items = _table(spark, d, "benchmark").select("item_id", encode_text(F.col("text")).alias("s")).filter(F.length("s") >= ITEM)
-    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), F.length("s") - ITEM, F.lit(ITEM)), F.array(F.length("s") - ITEM)))
-    each = items.select("item_id", "s", F.explode(starts).alias("at"))
-    each = each.select((F.col("item_id") * 100_000 + F.col("at")).alias("read_ord"), F.substr("s", F.col("at") + 1, F.lit(ITEM)).alias("raw"))
+    """Whole benchmark items as reads of ITEM bases (or the item's own, down to a seed's), one after the other and one at the end, against all documents."""
+    items = _table(spark, d, "benchmark").select("item_id", encode_text(F.col("text")).alias("s")).filter(F.length("s") >= L)
+    items = items.withColumn("m", F.least(F.lit(ITEM), F.length("s")))
+    last = F.length("s") - F.col("m")
+    each = items.select("item_id", "s", "m", F.explode(F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.col("m")), F.array(last)))).alias("at"))
+    each = each.select((F.col("item_id") * 100_000 + F.col("at")).alias("read_ord"), F.substr("s", F.col("at") + 1, F.col("m")).alias("raw"))
     return _hit(align.all_hits(align.seed_matches(_fragments(spark, d), reads.prepare(each), CONFIG)))
 
 
@@ -259,8 +261,27 @@ def q_score_of_probabilities(spark, d):
 
 
 def q_reads_as_fastq(spark, d):
-    """The simulated reads as FASTQ lines, truth in the ids."""
-    return sequences.fastq_lines(_reads(spark, d), 33).select("read_ord", F.explode(F.split("record", "\n")).alias("line")).groupBy("read_ord").agg(F.count("*").alias("n_lines"), F.sum(F.crc32(F.col("line").cast("binary"))).alias("crc"))
+    """The simulated reads as FASTQ records, truth in the ids."""
+    return sequences.fastq_lines(_reads(spark, d), 33)
+
+
+def q_quality_offset_64(spark, d):
+    raw = F.array_join(F.transform("qual", lambda q: F.char(q + 64)), "")
+    return reads.quality_offset(_reads(spark, d).select("read_ord", raw.alias("quality_raw")))
+
+
+def q_align_hits_in_sql(spark, d):
+    """All hits by the table function, in SQL text."""
+    table.register(spark, _fragments(spark, d), _reads(spark, d), CONFIG, "quillon_meetings")
+    return spark.sql(f"""SELECT DISTINCT read_ord, strand, file_ord, frag_ord, pos, k FROM align_hits(TABLE(quillon_meetings) PARTITION BY (pair_idx, key) ORDER BY side,
+      seed_length => {L}, seed_mismatches => {CONFIG.seed_mismatches}, total_mismatches => {CONFIG.total_mismatches})""")
+
+
+def q_align_indexed(spark, d):
+    """All hits from an index of the documents that is written first and opened again."""
+    frag, path = _fragments(spark, d), scratch_path(spark, "index")
+    stored.write_index(frag, frag, path, CONFIG, LENGTH)
+    return _hit(align.all_hits(stored.indexed_matches(stored.open_index(spark, path), _reads(spark, d), CONFIG)))
 
 
 PART = 70
@@ -414,14 +435,19 @@ SQL = {
     "random_text": "SELECT i // 60 AS line_no, string_agg(substr('ACGT', CAST(((((i + 1) * 1103515245 + 12345) % 2147483648) >> 16) % 4 + 1 AS BIGINT), 1), '' ORDER BY i) AS line FROM range(0, 60000) r(i) GROUP BY ALL",
     # every window against every part of every item, no seeds: the definition itself
     "contamination_hits": f"""WITH {_FRAG}, whole AS (SELECT item_id, {_ENC} AS s FROM benchmark),
-parts AS (SELECT DISTINCT item_id, s, unnest(list_append(range(0, length(s) - {ITEM - 1}, {ITEM}), length(s) - {ITEM})) AS place FROM whole WHERE length(s) >= {ITEM}),
-items AS (SELECT item_id * 100000 + place AS read_ord, substr(s, CAST(place + 1 AS BIGINT), {ITEM}) AS s FROM parts),
+sized AS (SELECT *, least({ITEM}, length(s)) AS m FROM whole WHERE length(s) >= {L}),
+parts AS (SELECT DISTINCT item_id, s, m, unnest(list_append(range(0, length(s) - m + 1, m), length(s) - m)) AS place FROM sized),
+items AS (SELECT item_id * 100000 + place AS read_ord, substr(s, CAST(place + 1 AS BIGINT), m) AS s FROM parts),
 two AS (SELECT read_ord, '+' AS strand, s AS w, left(s, {L}) AS rseed FROM items UNION ALL SELECT read_ord, '-', {_RC('s')}, right({_RC('s')}, {L}) FROM items),
 win AS (SELECT file_ord, frag_ord, place, substr(seq, CAST(place + 1 AS BIGINT), {L}) AS seed FROM (SELECT *, unnest(range(0, length(seq) - {L - 1})) AS place FROM frag)),
-near AS (SELECT *, CASE WHEN strand = '+' THEN place ELSE place - {ITEM - L} END AS pos FROM win JOIN two ON hamming(seed, rseed) <= {_S}),
-placed AS (SELECT near.*, substr(f.seq, CAST(pos + 1 AS BIGINT), {ITEM}) AS ref FROM near JOIN frag f ON f.file_ord = near.file_ord AND f.frag_ord = near.frag_ord WHERE pos >= 0 AND pos + {ITEM} <= length(f.seq))
+near AS (SELECT *, CASE WHEN strand = '+' THEN place ELSE place - (length(w) - {L}) END AS pos FROM win JOIN two ON hamming(seed, rseed) <= {_S}),
+placed AS (SELECT near.*, substr(f.seq, CAST(pos + 1 AS BIGINT), length(w)) AS ref FROM near JOIN frag f ON f.file_ord = near.file_ord AND f.frag_ord = near.frag_ord WHERE pos >= 0 AND pos + length(w) <= length(f.seq))
 SELECT read_ord, strand, CAST(file_ord AS INT) AS file_ord, frag_ord, CAST(pos AS BIGINT) AS pos, CAST(hamming(ref, w) AS INT) AS k FROM placed WHERE hamming(ref, w) <= {_E}""",
     "align_masked_text": "WITH " + _seeded(_MASK_FRAG, _READS, _S, _E) + " SELECT DISTINCT read_ord, strand, frag_ord, CAST(pos AS BIGINT) AS pos, CAST(k AS INT) AS k FROM events",
+    "reads_as_fastq": f"WITH {_READS} SELECT read_ord, '@' || read_id || ' length=' || length(seq) || chr(10) || seq || chr(10) || '+' || chr(10) || array_to_string(list_transform(qual, lambda q: chr(CAST(q + 33 AS INT))), '') AS record FROM reads",
+    "quality_offset_64": f"WITH {_READS}, c AS (SELECT read_ord, unnest(qual) + 64 AS o, unnest(range(0, {LENGTH})) AS i FROM reads), x AS (SELECT arg_min(o, read_ord * 1000 + i) AS o FROM c WHERE o <= 54 OR o >= 94) SELECT CASE WHEN o IS NULL THEN 0 WHEN o <= 54 THEN 33 ELSE 64 END AS quality_offset FROM x",
+    "align_hits_in_sql": f"{_EVENTS} SELECT DISTINCT {_OUT} FROM events",
+    "align_indexed": f"{_EVENTS} SELECT DISTINCT {_OUT} FROM events",
     "align_gapped": "WITH " + _seeded(_FRAG, _SPLICED, _S, _E) + _GAPPED,
     "windows_dontcare_free": f"WITH {_MASK_FRAG}, w AS (SELECT frag_ord, seq, unnest(range(0, length(seq) - {L - 1})) AS pos FROM frag) SELECT frag_ord, count(*) AS n_windows, CAST(sum(pos) AS BIGINT) AS sum_pos FROM w WHERE NOT contains(substr(seq, CAST(pos + 1 AS BIGINT), {L}), 'N') GROUP BY ALL",
     "bases_of_codes": f"WITH {_READS} SELECT read_ord, left(seq, {L}) AS seed FROM reads",

@@ -30,13 +30,18 @@ def seed_matches(text: DataFrame | Pieces, reads: DataFrame, config: AlignConfig
     p = probes(reads, n, config.seed_mismatches)
     more = max(n, p.longest) - n
     met = seed_hits(text_pieces(text, more, max(n, p.longest)), p, n, config.seed_mismatches, (more, more), BROADCAST_BYTES // PROBE_BYTES)
-    plus = F.col("strand") == "+"
+    return verified(met, reads, config, p.n * (2 * p.longest + 50) <= BROADCAST_BYTES)
+
+
+def verified(met: DataFrame, reads: DataFrame, config: AlignConfig, few: bool = False) -> DataFrame:
+    """Places near a seed, with the text around, held against their reads; few: the reads' bytes are known to suit a broadcast."""
+    n, plus = config.seed_length, F.col("strand") == "+"
     back = F.when(plus, F.lit(0)).otherwise(F.col("len") - n)  # how far before the seed the read begins
     met = met.withColumn("pos", (F.col("at") - back).cast("int")).withColumn("window", F.substr("near", F.col("lead") - back + 1, F.col("len")))
     met = met.filter((F.col("lead") >= back) & (F.length("window") == F.col("len")) & ~F.contains("window", F.lit("N")))
     qual = F.col("qual") if "qual" in reads.columns else F.lit(None).cast("array<int>")
     own = usable(reads, n).select("read_ord", F.col("seq").alias("_seq"), qual.alias("_qual"))
-    met = met.join(F.broadcast(own) if p.n * (2 * p.longest + 50) <= BROADCAST_BYTES else own, "read_ord")
+    met = met.join(F.broadcast(own) if few else own, "read_ord")
     met = met.withColumn("w", F.when(plus, F.col("_seq")).otherwise(reverse_complement(F.col("_seq")))).withColumn("q", F.when(plus, F.col("_qual")).otherwise(F.reverse("_qual")))
     met = met.withColumn("k", hamming(F.col("window"), F.col("w"))).filter(F.col("k") <= config.total_mismatches)
     return met.select("read_ord", "strand", "file_ord", "frag_ord", "pos", "pairs", "seed_k", "k", "len", "w", "window", "q")

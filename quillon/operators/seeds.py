@@ -76,13 +76,14 @@ def positions(pair, key, bits: int):
     import numpy as np
 
     # fixed values: odd multipliers that mix the key's bits into the highest ones
+    if not bits:
+        return np.zeros(len(key), np.uint64)
     return ((key.astype(np.uint64) + np.asarray(pair).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)
 
 
-def probes(reads: DataFrame, length: int, mismatches: int, strands: str = "+-") -> Probes:
-    """Reads to search for; one pass counts them, one fills the bitmap of their keys."""
+def probe_rows(reads: DataFrame, length: int, mismatches: int, strands: str = "+-") -> DataFrame:
+    """Each usable read on its strands under the keys of the cover: read_ord, len, strand, r_hi, r_lo, pair_idx, key."""
     good = usable(reads, length).select("read_ord", "seq", "len")
-    counted = good.agg(F.count("*").alias("n"), F.coalesce(F.max("len"), F.lit(0)).alias("longest")).first()
     flipped = F.substring(reverse_complement(F.col("seq")), F.col("len") - length + 1, F.lit(length))
     seeds = [F.struct(F.lit(s).alias("strand"), x.alias("seed")) for s, x in (("+", F.substring("seq", 1, length)), ("-", flipped)) if s in strands]
     both = good.select("read_ord", "len", F.inline(F.array(*seeds)))
@@ -91,7 +92,13 @@ def probes(reads: DataFrame, length: int, mismatches: int, strands: str = "+-")
     coded = both.select("read_ord", "len", "strand", F.inline(F.array(F.struct(hi.alias("r_hi"), lo.alias("r_lo")))))
     m = quarter_codes(F.col("r_hi"), F.col("r_lo"), length)
     keys = F.array(*[F.struct(F.lit(i).alias("pair_idx"), F.shiftleft(m[PAIRS[i][0]], length // 2).bitwiseOR(m[PAIRS[i][1]]).alias("key")) for i in cover(mismatches)])
-    rows = coded.select("*", F.inline(keys))
+    return coded.select("*", F.inline(keys))
+
+
+def probes(reads: DataFrame, length: int, mismatches: int, strands: str = "+-") -> Probes:
+    """Reads to search for; one pass counts them, one fills the bitmap of their keys."""
+    counted = usable(reads, length).agg(F.count("*").alias("n"), F.coalesce(F.max("len"), F.lit(0)).alias("longest")).first()
+    rows = probe_rows(reads, length, mismatches, strands)
     entries = counted.n * len(strands) * len(cover(mismatches))
     bits = min(MOST_BITS, max(1 << 16, FILTER_BITS * entries)).bit_length()
     return Probes(rows, counted.n, counted.longest, key_filter(rows, bits), bits)
@@ -221,10 +228,15 @@ def seed_hits(text: Pieces, p: Probes, length: int, mismatches: int, around: tup
     broadcast, so that the text's rows stay where they are; beyond that both sides shuffle by key."""
     found = candidates(text, p, length, mismatches, around)
     met = found.join(F.broadcast(p.rows) if p.n <= broadcast_reads else p.rows, ["pair_idx", "key"])
+    return near_seeds(met, length, mismatches).select("read_ord", "len", "strand", "file_ord", "frag_ord", "at", "seed_k", "pairs", "lead", "near")
+
+
+def near_seeds(met: DataFrame, length: int, mismatches: int) -> DataFrame:
+    """Of windows that met probes under a key, those within the seed's bound, each once, with seed_k and pairs."""
     same = agreeing(length)
     pairs = F.array_compact(F.array(*[F.when(same[a] & same[b], F.lit(i)) for i, (a, b) in enumerate(PAIRS)]))
     odd = F.lit(0x5555555555555555)
     apart = lambda x, y: (lambda d: F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(odd)))(x.bitwiseXOR(y))
     met = met.withColumn("seed_k", (apart(F.col("hi"), F.col("r_hi")) + apart(F.col("lo"), F.col("r_lo"))).cast("int")).filter(F.col("seed_k") <= mismatches)
     first = F.coalesce(*[F.when(same[PAIRS[i][0]] & same[PAIRS[i][1]], F.lit(i)) for i in cover(mismatches)])
-    return met.filter(first == F.col("pair_idx")).select("read_ord", "len", "strand", "file_ord", "frag_ord", "at", "seed_k", pairs.alias("pairs"), "lead", "near")
+    return met.filter(first == F.col("pair_idx")).withColumn("pairs", pairs).drop("pair_idx", "key", "hi", "lo", "r_hi", "r_lo")

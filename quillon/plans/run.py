@@ -20,8 +20,12 @@ from .config import AlignConfig
 def align_reads(text: DataFrame | Pieces, reads: DataFrame, config: AlignConfig, policy: str = "fold", names: DataFrame | None = None) -> DataFrame:
     """The report of reads(read_ord, read_id, seq, len, has_n[, qual]) on text: fragments, or pieces with the names of their fragments (file_ord, frag_ord,
     ref_id). policy of unique scored mode: fold or canonical."""
-    best, rewrite = chosen(align.seed_matches(text, reads, config), reads, config, policy)
-    return choose.report(best.filter("loci = 1") if "loci" in best.columns else best, reads, text if names is None else names, config.scored, rewrite)
+    return reported(align.seed_matches(text, reads, config), reads, config, policy, text if names is None else names)
+
+
+def reported(matches: DataFrame, reads: DataFrame, config: AlignConfig, policy: str, names: DataFrame) -> DataFrame:
+    best, rewrite = chosen(matches, reads, config, policy)
+    return choose.report(best.filter("loci = 1") if config.unique else best, reads, names, config.scored, rewrite)
 
 
 def chosen(matches: DataFrame, reads: DataFrame, config: AlignConfig, policy: str) -> tuple[DataFrame, bool]:
