@@ -1,8 +1,8 @@
 """Places of the text whose seed may be near a read's: packed codes, a key filter, and rows for what passes it alone.
 
 The text comes in pieces. A task packs the bases of many pieces to two bits and forms the quarter codes of all windows at once by doubling; each pair of
-quarters gives a key. The reads' keys stand in a bitmap of FILTER_BITS a key, so that all but a few hundredths of the windows go before any row of them
-exists; the rest become rows (pair, key) that carry their seed and the text around it, so that the text is never joined or shuffled.
+quarters gives a key. The reads' keys stand in a bitmap of FILTER_BITS a key (and of MOST_BITS at most, beyond which it lets more through), so that all but a few hundredths of the
+windows go before any row of them exists; the rest become rows (pair, key) that carry their seed and the text around it, so that the text is never joined or shuffled.
 
 How many pairs are asked for depends on the allowed mismatches s, as each mismatch spoils one quarter: one pair is complete for s = 0, two disjoint ones
 for s = 1, all six for s = 2.
@@ -100,7 +100,7 @@ def probes(reads: DataFrame, length: int, mismatches: int, strands: str = "+-")
     counted = usable(reads, length).agg(F.count("*").alias("n"), F.coalesce(F.max("len"), F.lit(0)).alias("longest")).first()
     rows = probe_rows(reads, length, mismatches, strands)
     entries = counted.n * len(strands) * len(cover(mismatches))
-    bits = min(MOST_BITS, max(1 << 16, FILTER_BITS * entries)).bit_length()
+    bits = (min(MOST_BITS, max(1 << 16, FILTER_BITS * entries)) - 1).bit_length()
     return Probes(rows, counted.n, counted.longest, key_filter(rows, bits), bits)
 
 
@@ -112,10 +112,11 @@ def key_filter(rows: DataFrame, bits: int):
         import numpy as np
         import pyarrow as pa
 
-        found = np.zeros(1 << bits, bool)
+        found = np.zeros((1 << bits) // 8, np.uint8)
         for b in batches:
-            found[positions(b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), bits)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(found, bitorder="little").tobytes()], pa.binary())], names=["map"])
+            at = positions(b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), bits)
+            np.bitwise_or.at(found, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["map"])
 
     parts = rows.select("pair_idx", "key").mapInArrow(run, "map binary").rdd.map(lambda r: np.frombuffer(r.map, np.uint8))
     both = lambda a, b: b if a is None else a if b is None else a | b
@@ -184,6 +185,14 @@ class Windows:
         return which, place, pair, key, hi.view(np.int64), lo.view(np.int64), at - left, left, right - left, flat
 
 
+def slices(batches, size: int = 1 << 20):
+    """Batches in parts of about that many bytes of their last column, so that the codes of a part's windows are bounded."""
+    for whole in batches:
+        n = max(1, size * len(whole) // max(1, whole.column(whole.num_columns - 1).nbytes))
+        for i in range(0, len(whole), n):
+            yield whole[i : i + n]
+
+
 def candidates(text: Pieces, p: Probes, length: int, mismatches: int, around: tuple[int, int]) -> DataFrame:
     """Windows whose key is some probe's, as far as the bitmap tells: file_ord, frag_ord, at (of the window), pair_idx, key, hi, lo, lead, near (text from
     `lead` bases before the window on; around: how many bases before and after it)."""
@@ -200,7 +209,7 @@ def candidates(text: Pieces, p: Probes, length: int, mismatches: int, around: tu
         import pyarrow as pa
 
         windows = Windows(*given.value)
-        for b in batches:
+        for b in slices(batches):
             which, place, pair, key, hi, lo, lead, left, size, flat = windows.found(b.column(3).cast(pa.large_string()), b.column(2).to_numpy())
             for i in range(0, len(which), 1 << 14):
                 own = slice(i, i + (1 << 14))
