@@ -11,9 +11,9 @@ empty one has none). Two documents link when 100 * |A and B| >= PERCENT * |A or
    beyond bits), and traverses it against itself from the root: node pairs are pruned by the largest overlap that their bitmaps and sizes allow. Nothing that could link is pruned; pairs already joined
    through others are passed over, so a partition gives a forest. Its trees over all partitions are the candidate groups: no link leaves one.
 3. The sets of a candidate group meet once and every pair not yet joined is checked on them exactly; again a forest of links comes out. A
-   group of more than GROUP classes or GROUP_KEYS keys is cut into blocks; copies of CENTRES of its classes meet every block, and only classes that
-   these do not join into the group's largest part meet the others in pairs of blocks. So a group of near copies costs its size in rows; a
-   group that no few centres join, such as a long chain, still costs the square of its blocks.
+   group of more than GROUP classes or GROUP_KEYS keys is cut into blocks, which meet in pairs. Of a group of more than SQUARE blocks, copies of CENTRES of its
+   classes meet every block first, and only classes that these do not join into the group's largest part meet the others in pairs of blocks. So a group
+   of near copies costs at most SQUARE times its size in rows; one that no few centres join, such as a long chain, still costs the square of its blocks.
 
 A key of more classes than UNIT is dealt over pairs of blocks. All tables are shuffled by hash; broadcast are only the list of
 frequent first keys (at most HOT_KEYS) and, when they are at most SMALL, the ids of the candidate documents.
@@ -32,7 +32,7 @@ from .common import arrow_schema, stash, table, texts
 from .lm_score import token_keys
 
 WORDS, PERCENT = 4, 85
-UNIT, GROUP, GROUP_KEYS, CENTRES, FEW, NODE, FAN, FREQUENT, HOT_KEYS, SMALL = 20_000, 1_000, 1 << 22, 16, 24, 16, 8, 64, 100_000, 1_000_000
+UNIT, GROUP, GROUP_KEYS, SQUARE, CENTRES, FEW, NODE, FAN, FREQUENT, HOT_KEYS, SMALL = 20_000, 1_000, 1 << 22, 8, 16, 24, 16, 8, 64, 100_000, 1_000_000
 PAIRS_AT_ONCE, LEAF_PAIRS_AT_ONCE = 4_096, 256
 MIN_BITS, MAX_BITS = 256, 65_536
 
@@ -441,19 +441,23 @@ def block_pairs(i, of):
 def _links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): a forest of links within each candidate group (cid, comp), checked on the sets (cid, keys).
 
-    A group that one task should not hold is joined around a few centres first: its blocks each meet copies of CENTRES of its classes. What that joins into the
-    group's largest part needs no further check within itself; the rest alone meets every block. A group of near copies so costs its size in rows."""
+    A group that one task should not hold meets in pairs of blocks, which sends each set once a block. A group of more than SQUARE blocks is joined around a few
+    centres first: its blocks each meet copies of CENTRES of its classes. What that joins into the group's largest part needs no further check within
+    itself; the rest alone meets every block. So no set of a group of near copies is sent more than SQUARE times."""
     sized = groups.join(sets.select("cid", F.size("keys").alias("_n")), "cid")
     blocks = F.ceil(F.greatest(F.count("*") / F.lit(GROUP), F.sum("_n") / F.lit(GROUP_KEYS))).cast("int")
     large = stash(sized.groupBy("comp").agg(blocks.alias("of")).filter("of > 1"), "join-large")
-    small = groups.join(large, "comp", "left_anti").select(F.col("comp").cast("string").alias("unit"), "cid", F.lit(0).alias("side"))
-    found = _checked(small, sets, percent)
-    if large.isEmpty():
+    unit = lambda *c: F.concat_ws(":", *c).alias("unit")
+    block = F.pmod(F.xxhash64("cid"), F.col("of")).cast("int")
+    dealt = groups.join(large, "comp", "left").withColumn("of", F.coalesce("of", F.lit(1))).filter(F.col("of") <= SQUARE).withColumn("block", block)
+    pairs = dealt.withColumn("pair", F.explode(block_pairs(F.col("block"), F.col("of"))))
+    found = _checked(pairs.select(unit("comp", "pair"), "cid", F.col("block").alias("side")), sets, percent)
+    huge = large.filter(F.col("of") > SQUARE)
+    if huge.isEmpty():
         return found
-    own = sized.join(large, "comp").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("of")).cast("int"))
+    own = sized.join(huge, "comp").withColumn("block", block)
     spot = F.xxhash64("cid", F.lit(1))
     centres = own.groupBy("comp", "of", F.pmod(spot, F.lit(CENTRES))).agg(F.min_by("cid", spot).alias("cid")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    unit = lambda *c: F.concat_ws(":", *c).alias("unit")
     star = own.select(unit("comp", "block"), "cid", F.lit(1).alias("side")).unionAll(centres.select(unit("comp", "block"), "cid", F.lit(0).alias("side")))
     starred = stash(_checked(star, sets, percent), "join-starred")
     part = own.join(components(starred).withColumnRenamed("comp", "part"), "cid", "left").withColumn("part", F.coalesce("part", "cid"))

@@ -592,7 +592,7 @@ def test_join_of_many_near_copies(spark, monkeypatch):
 
 def test_large_groups_cost_their_size(spark, monkeypatch):
     """One group of near copies over many blocks: rows sent to be checked grow as the group does; a chain's links are all found."""
-    monkeypatch.setattr(jaccard_join, "GROUP", 10)
+    monkeypatch.setattr(jaccard_join, "GROUP", 5)
     sent = []
     checked = jaccard_join._checked
     monkeypatch.setattr(jaccard_join, "_checked", lambda units, *a: (sent.append(units.count()), checked(units, *a))[1])
