@@ -278,10 +278,10 @@ def q_align_hits_in_sql(spark, d):
 
 
 def q_align_indexed(spark, d):
-    """All hits from an index of the documents that is written first and opened again."""
-    frag, path = _fragments(spark, d), scratch_path(spark, "index")
-    stored.write_index(frag, frag, path, CONFIG, LENGTH)
-    return _hit(align.all_hits(stored.indexed_matches(stored.open_index(spark, path), _reads(spark, d), CONFIG)))
+    """All hits with one mismatch at most in the seed, from an index of the documents that is written first and opened again."""
+    frag, path, config = _fragments(spark, d), scratch_path(spark, "index"), CONFIG.with_(seed_mismatches=1)
+    stored.write_index(frag, frag, path, config, LENGTH)
+    return _hit(align.all_hits(stored.indexed_matches(stored.open_index(spark, path), _reads(spark, d), config)))
 
 
 PART = 70
@@ -447,7 +447,7 @@ SELECT read_ord, strand, CAST(file_ord AS INT) AS file_ord, frag_ord, CAST(pos A
     "reads_as_fastq": f"WITH {_READS} SELECT read_ord, '@' || read_id || ' length=' || length(seq) || chr(10) || seq || chr(10) || '+' || chr(10) || array_to_string(list_transform(qual, lambda q: chr(CAST(q + 33 AS INT))), '') AS record FROM reads",
     "quality_offset_64": f"WITH {_READS}, c AS (SELECT read_ord, unnest(qual) + 64 AS o, unnest(range(0, {LENGTH})) AS i FROM reads), x AS (SELECT arg_min(o, read_ord * 1000 + i) AS o FROM c WHERE o <= 54 OR o >= 94) SELECT CASE WHEN o IS NULL THEN 0 WHEN o <= 54 THEN 33 ELSE 64 END AS quality_offset FROM x",
     "align_hits_in_sql": f"{_EVENTS} SELECT DISTINCT {_OUT} FROM events",
-    "align_indexed": f"{_EVENTS} SELECT DISTINCT {_OUT} FROM events",
+    "align_indexed": "WITH " + _seeded(_FRAG, _READS, 1, _E) + f" SELECT DISTINCT {_OUT} FROM events",
     "align_gapped": "WITH " + _seeded(_FRAG, _SPLICED, _S, _E) + _GAPPED,
     "windows_dontcare_free": f"WITH {_MASK_FRAG}, w AS (SELECT frag_ord, seq, unnest(range(0, length(seq) - {L - 1})) AS pos FROM frag) SELECT frag_ord, count(*) AS n_windows, CAST(sum(pos) AS BIGINT) AS sum_pos FROM w WHERE NOT contains(substr(seq, CAST(pos + 1 AS BIGINT), {L}), 'N') GROUP BY ALL",
     "bases_of_codes": f"WITH {_READS} SELECT read_ord, left(seq, {L}) AS seed FROM reads",
