@@ -2,7 +2,7 @@
 
 The text comes in pieces. A task packs the bases of many pieces to two bits and forms the quarter codes of all windows at once by doubling; each pair of
 quarters gives a key. The reads' keys stand in a bitmap of FILTER_BITS a key (and of MOST_BITS at most, beyond which it lets more through), so that all but a few hundredths of the
-windows go before any row of them exists; the rest become rows (pair, key) that carry their seed and the text around it, so that the text is never joined or shuffled.
+windows go before any row of them exists; the rest become rows (pair, key) that carry their seed and the text around it, so that the text is never joined.
 
 How many pairs are asked for depends on the allowed mismatches s, as each mismatch spoils one quarter: one pair is complete for s = 0, two disjoint ones
 for s = 1, all six for s = 2.
@@ -40,13 +40,16 @@ class Pieces:
 
 
 def text_pieces(text: DataFrame | Pieces, before: int, after: int) -> Pieces:
-    """Fragments as pieces with that much text around; pieces stay as they are if they have enough."""
+    """Fragments as pieces with that much text around, dealt to all tasks however few files or fragments they come from; pieces stay as and where they are if
+    they have enough."""
     if isinstance(text, Pieces):
         if text.before < before or text.after < after:
             raise ValueError(f"these reads need pieces with {before} bases before and {after} after")
         return text
     step = max(STEP, before, after)
-    return Pieces(pieces(text, step, after, before), step, before, after)
+    session = text.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    return Pieces(pieces(text, step, after, before).repartition(tasks, "file_ord", "frag_ord", "no"), step, before, after)
 
 
 @dataclass(frozen=True)
