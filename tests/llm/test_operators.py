@@ -726,6 +726,20 @@ def test_lm_against_counts(spark, odd, monkeypatch, docs):
         assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], abs=2e-6, rel=1e-8)
 
 
+def test_lm_moves_no_blocks(spark, docs, monkeypatch):
+    """Nothing but keys and counts is shuffled: the blocks' texts are written once and stay, and of the totals only those of tokens are written besides."""
+    import re
+
+    written = []
+    monkeypatch.setattr(lm_score, "stash", lambda df, what, stash=lm_score.stash: written.append(stash(df, what)) or written[-1])
+    scored = lm_score.score_texts(docs, lambda c: fold(c) != 1)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    moved = re.findall(r"\) Exchange\n(?:Input|Output)[^\[]*\[\d+\]: \[(.*)\]", scored._jdf.queryExecution().explainString(mode))
+    assert len(moved) == 2 and all("counts#" in x and "token#" not in x and "ids#" not in x for x in moved)
+    assert [{r.kind for r in df.select("kind").distinct().collect()} for df in written] == [{0}]
+    assert scored.count() == docs.count()
+
+
 def test_lm_empty(none, odd):
     from pyspark.sql import functions as F
 
