@@ -107,8 +107,9 @@ def grouped(batches, column: int, size: int):
         held.append(b)
         n += b.column(column).nbytes
         if n >= size:
-            yield pa.concat_batches(held)
-            held, n = [], 0
+            group, held, n = pa.concat_batches(held), [], 0
+            yield group
+            del b, group  # or they would stay while the next ones come
     if held:
         yield pa.concat_batches(held)
 

@@ -153,6 +153,40 @@ def test_encode_docs_odd(spark, odd, none, pieces):
     assert piece_scan.encode_docs(none, piece_scan.model_path()).count() == 0
 
 
+def test_encode_all_in_runs(pieces, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(piece_scan, "RUN_WORDS", 3)
+    for given in ([], [None], ["", None], ["a  b", None, "c d e f g", " x ", "", "▁q", "é😀 zz\n", "plain words here", "", "k"] * 3):
+        runs = list(pieces.encode_all(pa.array(given, pa.string())))
+        ids, sizes = [np.concatenate([x[i] for x in runs]).tolist() for i in (0, 1)]
+        want = [pieces.encode(t) for t in given]
+        assert sizes == list(map(len, want)) and ids == [i for w in want for i in w]
+    assert len(runs) > 10
+
+
+def test_memory_of_the_encoder(pieces):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quillon.llm.common import grouped
+
+    rng = random.Random(6)
+    words = ["".join(rng.choices("aeinorst", k=rng.randrange(11, 17))) for _ in range(60_000)]
+    many = pa.array([" ".join(rng.choices("abcde", k=2_000)) for _ in range(600)])  # 1,200,000 words
+    pieces.solve_all(["a"])
+    for run, most in ((lambda: pieces.solve_all(words), 60e6), (lambda: sum(len(x) for x, _ in pieces.encode_all(many)), 20e6)):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most
+    before = pa.total_allocated_bytes()
+    for group in grouped((pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * 1000)], ["text"]) for _ in range(24)), 0, 8_000_000):
+        assert pa.total_allocated_bytes() - before < 12e6  # the group, without the batches that it was joined from
+
+
 # 3. toxicity
 
 
