@@ -774,6 +774,27 @@ def test_lm_moves_no_blocks(spark, docs, monkeypatch):
     assert scored.count() == docs.count()
 
 
+def test_lm_memory_of_a_block():
+    """Arrays of a block take at most 80 bytes a token at once, from its numbers to its scores."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng, n = np.random.default_rng(1), 200_000
+    vocab = np.unique(rng.integers(0, 2**63, 40_000).astype(np.uint64))
+    token = np.minimum(rng.zipf(1.3, n) - 1, rng.integers(0, len(vocab), n))
+    used, token = np.unique(token, return_inverse=True)
+    sizes, token = np.full(n // 500, 500), token.astype(np.int32)
+    tracemalloc.start()
+    try:
+        block = lm_score.Block(vocab[used], token, sizes, 48)
+        counts = [np.bincount(at[at >= 0], minlength=len(keys)).astype("<u8") for keys, at in zip(block.keys, block.at)]
+        lm_score.Automaton(block, counts, n, len(used)).walk(block)
+        assert tracemalloc.get_traced_memory()[1] < 80 * n
+    finally:
+        tracemalloc.stop()
+
+
 def test_lm_empty(none, odd):
     from pyspark.sql import functions as F
 
