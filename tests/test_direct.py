@@ -4,7 +4,7 @@ import random
 import pytest
 
 from quillon import catalog
-from quillon.operators import align, direct, reads
+from quillon.operators import align, choose, direct, reads
 from quillon.plans.config import AlignConfig
 
 FLIP = str.maketrans("ACGT", "TGCA")
@@ -46,9 +46,31 @@ def test_reads_beyond_the_broadcast_take_the_join(spark, pair, monkeypatch):
     assert sorted(map(tuple, met.collect())) == want
 
 
-@pytest.mark.parametrize("name", ["align_all"])
+@pytest.mark.parametrize("name", ["align_all", "align_all_scored", "align_masked_text"])
 def test_hits_are_not_shuffled(spark, name):
     """Hits grow as the square of a text with common lines; no exchange may stand above the search."""
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     above = plan[: plan.index("MapInArrow")]
     assert "Exchange" not in above
+
+
+def test_counts_are_those_of_the_hits(spark, pair):
+    c = AlignConfig(seed_length=12)
+    hits = align.distinct_hits(*pair, c, once=True).groupBy("read_ord").agg({"k": "min", "*": "count"}).select("read_ord", "count(1)", "min(k)")
+    assert sorted(map(tuple, align.hit_counts(*pair, c, True).collect())) == sorted(map(tuple, hits.collect()))
+
+
+@pytest.mark.parametrize("level", [0, 2])
+def test_best_hits_tell_the_unique_ones(spark, pair, monkeypatch, level):
+    """Two hits a task and read give what all hits give, also if they come in many parts."""
+    c = AlignConfig(seed_length=12, filter_level=level)
+    met = align.with_score(align.seed_matches(*pair, c), c, True).persist()
+    monkeypatch.setattr(direct, "CHUNK", 5)
+    rows = lambda df: sorted(map(tuple, df.select("read_ord", "strand", "file_ord", "frag_ord", "pos", "k").collect()))
+    found, scored = align.telling_hits(*pair, c), align.telling_hits(*pair, c, True)
+    assert 0 < found.groupBy("read_ord").count().agg({"count": "max"}).first()[0] <= 2 * found.rdd.getNumPartitions()
+    assert rows(choose.unique_by_errors(found)) == rows(choose.unique_by_errors(met))
+    want = choose.unique_by_score(met, c)
+    assert rows(choose.unique_by_score(scored, c)) == rows(want)
+    score = lambda df: {r.read_ord: r.score for r in df.collect()}
+    assert score(choose.unique_by_score(scored, c)) == score(want)
