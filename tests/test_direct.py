@@ -74,3 +74,34 @@ def test_best_hits_tell_the_unique_ones(spark, pair, monkeypatch, level):
     assert rows(choose.unique_by_score(scored, c)) == rows(want)
     score = lambda df: {r.read_ord: r.score for r in df.collect()}
     assert score(choose.unique_by_score(scored, c)) == score(want)
+
+
+def test_events_kept_tell_the_fold(spark, pair, monkeypatch):
+    """Events that a task drops change no outcome, however its runs are cut; and the fold of random runs agrees with that of what is kept."""
+    import numpy as np
+
+    c = AlignConfig(seed_length=12)
+    rows = lambda df: sorted(map(tuple, df.select("read_ord", "strand", "file_ord", "frag_ord", "pos", "k", "score").collect()))
+    want = rows(choose.unique_by_fold(align.events(align.with_score(align.seed_matches(*pair, c), c, True)), c))
+    monkeypatch.setattr(direct, "CHUNK", 5)
+    monkeypatch.setattr(direct, "MOST_EVENTS", 3)
+    assert rows(choose.unique_by_fold(align.telling_events(*pair, c), c)) == want and want
+
+    def fold(scores, places, eps):
+        best, where, alone = None, None, True
+        for v, p in zip(scores, places):
+            if best is None or v > best + eps:
+                best, where, alone = v, p, True
+            elif v > best - eps and p != where:
+                alone = False
+        return best, where, alone
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        n = rng.randrange(1, 12)
+        score, place = np.array([rng.randrange(8) / 2 for _ in range(n)]), np.array([rng.randrange(4) for _ in range(n)])
+        kept = direct.telling(np.zeros(n, int), score, place[None])
+        for entering in (None, (rng.randrange(8) / 2, rng.randrange(4))):
+            head = [entering] if entering else []
+            run = lambda own: fold([*[x[0] for x in head], *score[own]], [*[x[1] for x in head], *place[own]], 1.0)
+            assert run(kept) == run(np.arange(n))
