@@ -105,3 +105,13 @@ def test_events_kept_tell_the_fold(spark, pair, monkeypatch):
             head = [entering] if entering else []
             run = lambda own: fold([*[x[0] for x in head], *score[own]], [*[x[1] for x in head], *place[own]], 1.0)
             assert run(kept) == run(np.arange(n))
+
+
+def test_hits_are_ranked_after_one_exchange(spark):
+    plan = catalog.QUERIES["align_all_ranked"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.index("MapInArrow")].count("Exchange") == 1
+
+
+def test_gapped_search_reads_its_reads_from_a_table(spark):
+    """The reads without a hit are found once, not in each of the search's four passes over them."""
+    assert "LeftAnti" not in catalog.QUERIES["align_gapped"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
